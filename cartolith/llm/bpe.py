@@ -80,37 +80,16 @@ def stitch(chunks: list[str], starts: list[int], marks: list[np.ndarray], patter
     return out
 
 
-class Pieces(dict):
-    """The ids' bytes of each piece that was met; it forgets all when it holds so many."""
-
-    MOST = 250_000
-
-    def __init__(self, ranks_path: str, pattern: str):
-        self.enc = encoding(ranks_path, pattern)
-        self.split = _compiled(pattern).findall
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.MOST:
-            self.clear()
-        out = self[piece] = np.array(self.enc.encode_ordinary(piece), dtype="<u4").tobytes()
-        return out
-
-    def encode(self, text: str) -> bytes:
-        """The ids of the text, whose pieces are encoded each on its own."""
-        return b"".join(map(self.__getitem__, self.split(text)))
-
-
-@functools.lru_cache(maxsize=2)
-def pieces(ranks_path: str, pattern: str) -> Pieces:
-    """One table of pieces per worker."""
-    return Pieces(ranks_path, pattern)
+def encode_text(enc, text: str) -> bytes:
+    """The ids of a text as little-endian unsigned 32-bit integers."""
+    return enc.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 def _encoder(ranks_path: str, pattern: str, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoded = pieces(ranks_path, pattern).encode
+        enc = encoding(ranks_path, pattern)
         for batch in batches:
-            ids = [encoded(t.as_py() or "") for t in batch.column(text_at)]
+            ids = [encode_text(enc, t.as_py() or "") for t in batch.column(text_at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], [*batch.schema.names, "x_ids"])
 
     return run
@@ -152,13 +131,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
     marked = long.mapInArrow(split, T.StructType([*long.schema.fields, T.StructField("x_marks", T.BinaryType())]))
 
     def join(group: pa.Table) -> pa.Table:
-        encoded = pieces(ranks_path, pattern).encode
+        enc = encoding(ranks_path, pattern)
         group = group.sort_by("x_k")
         chunks = group.column("x_part").to_pylist()
         marks = [np.frombuffer(m, "<i4").astype(np.int64) for m in group.column("x_marks").to_pylist()]
         ranges = stitch(chunks, [k * step for k in group.column("x_k").to_pylist()], marks, pattern)
         whole = "".join(ranges)
-        got = b"".join(map(encoded, ranges))
+        got = b"".join(encode_text(enc, r) for r in ranges)
         first = group.slice(0, 1)
         return pa.table([first.column("x_rest"), pa.array([whole], pa.string()), pa.array([got], pa.binary())], ["x_rest", "x_text", "x_ids"])
 
