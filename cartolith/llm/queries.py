@@ -6,9 +6,16 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cartolith.llm import bpe
-from cartolith.llm.common import table
+from cartolith.llm import bpe, decontam, langid
+from cartolith.llm.common import fold, table
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.where(fold(F.col("doc_id")) != 2), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return model.predict(docs.select("doc_id", "text", F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"))).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +23,12 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_byte_bpe,)}
+    return {f.__name__: f for f in (op3_language_id, op4_byte_bpe, op7_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
