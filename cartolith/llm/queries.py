@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolith.llm import bpe, decontam, langid
+from cartolith.llm import bpe, decontam, langid, minhash
 from cartolith.llm.common import fold, table
 
 
@@ -27,8 +27,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_id, op4_byte_bpe, op7_decontamination)}
+    return {f.__name__: f for f in (op3_language_id, op4_byte_bpe, op7_decontamination, op9_minhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
