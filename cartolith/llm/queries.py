@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolith.llm import bpe, decontam, langid, minhash
+from cartolith.llm import bpe, decontam, langid, minhash, pii
 from cartolith.llm.common import fold, table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.train(docs.where(fold(F.col("doc_id")) != 2), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -32,7 +36,7 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_id, op4_byte_bpe, op7_decontamination, op9_minhash_dedup)}
+    return {f.__name__: f for f in (op1_pii, op3_language_id, op4_byte_bpe, op7_decontamination, op9_minhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
