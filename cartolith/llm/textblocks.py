@@ -94,12 +94,14 @@ def _cut(data: np.ndarray, offsets: np.ndarray, member: np.ndarray, pos: int, en
     return row_end
 
 
-def hash_words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray, spans: bool = False) -> tuple[np.ndarray, ...]:
+def hash_words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray, spans: bool = False, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
     """64-bit hashes of all words with A-Z lower-cased, and each row's number of words.
 
-    With spans, also where each word begins in data, and its length in bytes.
+    With spans, also where each word begins in data, and its length in bytes. With prefixes, then the hashes of so many
+    first bytes of each word, an array for each; a shorter word's is its own.
     """
     pos, end = int(offsets[0]), int(offsets[-1])
+    heads: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)] for _ in prefixes]
     hashes, begins, lengths = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     while pos < end:
         stop = _cut(data, offsets, member, pos, end)
@@ -116,13 +118,17 @@ def hash_words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray, spans:
         sums = np.zeros(len(low) + 1, np.uint64)
         np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[: len(low)], out=sums[1:])
         hashes.append(mix((sums[e] - sums[s]) * down[s]))
+        for out, size in zip(heads, prefixes, strict=True):
+            out.append(mix((sums[np.minimum(e, s + size)] - sums[s]) * down[s]))
         begins.append(s + pos)
         lengths.append(e - s)
         pos = stop
     begin = np.concatenate(begins)
     counts = np.diff(np.searchsorted(begin, offsets))
     out = (np.concatenate(hashes), counts)
-    return (*out, begin, np.concatenate(lengths)) if spans else out
+    if spans:
+        out = (*out, begin, np.concatenate(lengths))
+    return (*out, *(np.concatenate(h) for h in heads))
 
 
 def row_blocks(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
