@@ -17,7 +17,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         moved = moved.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         moved = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return moved.where(F.col("u") != F.col("v")).distinct()
+    return moved.where(F.col("u") != F.col("v"))
 
 
 def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
@@ -29,7 +29,7 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     now = written(edges.select("u", "v").where(F.col("u") != F.col("v")).distinct(), "edges")
     state = None
     for _ in range(most_rounds):
-        after = written(_star(_star(now, True), False), "edges")
+        after = written(_star(_star(now, True), False).distinct(), "edges")
         sign = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
         drop_written(now)
         now = after

@@ -9,11 +9,11 @@ Steps, all of them on tables in the shared folder:
 1. Each text becomes a row: the size of its set, 128 bits of digest, sub-keys, a 72-bit sketch.
 2. Equal sets become one node; copies never make pairs.
 3. Sub-keys that only one node has are dropped before any pairs of sub-keys are formed.
-4. Links are sought in rounds. Each bucket (key of a table) names a leader, and the others are compared with it alone.
-   Components of the links so far are found; buckets whose nodes are all in one component are done. In the next round
-   another leader is named. Pairs of different components that are left in a bucket are then compared outright, if
-   their sizes allow the similarity and their sketches don't rule it out (a pair of 0.75 is ruled out with a
-   probability under 1e-4).
+4. Each bucket (key of a table) names a leader, and the others are compared with it alone. Components of the links so
+   found are formed; a bucket whose nodes are all in one of them is done. Nodes of other buckets meet once more by
+   sub-key, in blocks of at most 2 * GROUP: all that are outside the largest component of such a group are compared
+   with the whole group, without ever making rows of pairs. Sizes and sketches rule out what cannot be similar (a pair
+   of 0.75 is ruled out with a probability under 1e-4), and only links that join components leave a block.
 5. A pair is a link only if its full sets confirm it.
 
 Null and empty texts have no shingles and are components of their own. Rows that repeat are one document; so are rows
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ from cartolith.llm.textblocks import NOT_SPACE, column_bytes, hash_words, mix, r
 WORDS, M, K = 5, 12, 3
 PERCENT = 75
 BLOCK = 4 << 20
+#: Nodes of a block that are compared with another block's.
+GROUP = 256
 #: Bits of 2 * M * K in which sketches of a pair at the threshold differ: 9 expected, deviation 2.8.
 SKETCH_DIFFERENCE = 20
 #: So many ids at most are broadcast, 8 bytes each.
@@ -133,45 +136,129 @@ def buckets(nodes: DataFrame) -> DataFrame:
     return keyed.join(many, "key", "left_semi")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (u, v) of node ids whose full sets are similar enough. texts: node, text."""
-    left = texts.select(F.col("node").alias("u"), F.col("text").alias("t"))
-    right = texts.select(F.col("node").alias("v"), F.col("text").alias("w"))
-    both = pairs.select("u", "v").join(left, "u").join(right, "v")
+def full_sets(docs: DataFrame) -> DataFrame:
+    """(node, shingles) with the sorted shingles' bytes. docs: node, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
-                one, two = (shingle_sets(*column_bytes(part.column(c))) for c in ("t", "w"))
-                good = []
-                for x, y in zip(one, two, strict=True):
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    good.append(common > 0 and 100 * common >= percent * (len(x) + len(y) - common))
-                yield part.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+            data, offsets = column_bytes(batch.column("text"))
+            for a, b in row_blocks(offsets, BLOCK):
+                sets = [s.tobytes() for s in shingle_sets(data, offsets[a : b + 1])]
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), pa.array(sets, pa.binary())], ["node", "shingles"])
 
-    return both.select("u", "v", "t", "w").mapInArrow(run, "u bigint, v bigint")
+    return docs.select("node", "text").mapInArrow(run, "node bigint, shingles binary")
 
 
-def _labelled(table: DataFrame, parts: DataFrame) -> DataFrame:
-    return table.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+def _set(shingles: pa.BinaryScalar) -> np.ndarray:
+    return np.frombuffer(shingles.as_buffer(), np.uint64)
 
 
-def _sized(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sizes and sketches allow the similarity."""
-    info = nodes.select("node", "n_shingles", "s1", "s2")
-    a = info.select(F.col("node").alias("u"), *(F.col(c).alias(f"u_{c}") for c in ("n_shingles", "s1", "s2")))
-    b = info.select(F.col("node").alias("v"), *(F.col(c).alias(f"v_{c}") for c in ("n_shingles", "s1", "s2")))
-    return pairs.join(a, "u").join(b, "v").where(_alike("u_", "v_", percent)).select("u", "v")
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (u, v) of node ids whose full sets are similar enough."""
+    left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("s"))
+    right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("t"))
+    both = pairs.select("u", "v").join(left, "u").join(right, "v")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for s, t in zip(batch.column("s"), batch.column("t"), strict=True):
+                x, y = _set(s), _set(t)
+                common = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) * 100 >= percent * max(len(x), len(y)) else 0
+                good.append(common > 0 and 100 * common >= percent * (len(x) + len(y) - common))
+            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    return both.select("u", "v", "s", "t").mapInArrow(run, "u bigint, v bigint")
+
+
+class _Forest:
+    """Sets of numbers that grow together."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while self.up.setdefault(x, x) != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _block_links(left: pa.Table, right: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """Links between rows of left and right that join their components."""
+    node_l, node_r = left.column("node").to_numpy(), right.column("node").to_numpy()
+    part_l, part_r = left.column("component").to_numpy(), right.column("component").to_numpy()
+    sketch = [np.stack([t.column(c).to_numpy() for c in ("s1", "s2")], axis=1).view(np.uint64) for t in (left, right)]
+    sets_l, sets_r = ([_set(s) for c in t.column("shingles").chunks for s in c] for t in (left, right))
+    size_l, size_r = np.array([len(s) for s in sets_l]), np.array([len(s) for s in sets_r])
+    names, flat = np.unique(np.concatenate(sets_r), return_inverse=True)
+    begin = np.concatenate([[0], np.cumsum(size_r)[:-1]])
+    forest, out = _Forest(), []
+    for i, s in enumerate(sets_l):
+        apart = np.bitwise_count(sketch[0][i] ^ sketch[1]).sum(axis=1)
+        may = (part_r != part_l[i]) & (apart <= SKETCH_DIFFERENCE) & (np.minimum(size_r, size_l[i]) * 100 >= np.maximum(size_r, size_l[i]) * percent)
+        if may.any():
+            at = np.minimum(np.searchsorted(names, s), len(names) - 1)
+            mark = np.zeros(len(names), np.int64)
+            mark[at[names[at] == s]] = 1
+            common = np.add.reduceat(mark[flat], begin)
+            for j in np.flatnonzero(may & (100 * common >= percent * (size_l[i] + size_r - common))).tolist():
+                if forest.join(int(part_l[i]), int(part_r[j])):
+                    out.append((int(node_l[i]), int(node_r[j])))
+    return out
 
-def _alike(x: str, y: str, percent: int):
-    sizes = F.least(f"{x}n_shingles", f"{y}n_shingles") * 100 >= F.greatest(f"{x}n_shingles", f"{y}n_shingles") * percent
-    apart = F.bit_count(F.col(f"{x}s1").bitwiseXOR(F.col(f"{y}s1"))) + F.bit_count(F.col(f"{x}s2").bitwiseXOR(F.col(f"{y}s2")))
-    return sizes & (apart <= SKETCH_DIFFERENCE)
 
+def group_links(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (u, v) between components. rows: node, component, s1, s2, shingles and keys, of nodes that are still open."""
+    narrow = rows.select("node", "component", F.posexplode(F.slice("keys", 1, M)).alias("i", "value"))
+    counted = narrow.groupBy("i", "value", "component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sign"))
+    groups = counted.groupBy("i", "value").agg(F.sum("n").alias("n"), F.sum("sign").alias("sign"), F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    once = groups.groupBy("n", "sign").agg(F.min(F.struct("i", "value", "main", "most")).alias("g")).select("g.i", "g.value", "g.main", F.ceil(F.col("n") / GROUP).cast("int").alias("all_blocks"), F.ceil((F.col("n") - F.col("g.most")) / GROUP).cast("int").alias("few_blocks"))
+    placed = narrow.join(once, ["i", "value"]).withColumn("few", F.col("component") != F.col("main"))
+    spot = F.xxhash64("node", F.lit(1))
+    as_right = F.transform(F.sequence(F.lit(0), F.col("few_blocks") - 1), lambda p: F.struct(p.alias("p"), F.pmod(spot, F.col("all_blocks")).cast("int").alias("q"), F.lit(False).alias("left")))
+    as_left = F.transform(F.sequence(F.lit(0), F.col("all_blocks") - 1), lambda q: F.struct(F.pmod(spot, F.col("few_blocks")).cast("int").alias("p"), q.alias("q"), F.lit(True).alias("left")))
+    spread = placed.select("node", "few", "i", "value", F.explode(F.when((F.col("all_blocks") > 1) & F.col("few"), F.concat(as_right, as_left)).otherwise(as_right)).alias("at"))
+    met = spread.select("node", "few", "at.left", F.xxhash64("i", "value", "at.p", "at.q").alias("group")).join(rows.select("node", "component", "s1", "s2", "shingles"), "node")
+    dealt = met.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "group").sortWithinPartitions("group")
+
+    def solve(chunks: list[pa.RecordBatch]) -> list[tuple[int, int]]:
+        whole = pa.Table.from_batches(chunks)
+        left = whole.filter(whole.column("left"))
+        right = whole.filter(pa.compute.invert(whole.column("left")))
+        left = left if len(left) else whole.filter(whole.column("few"))
+        return _block_links(left, right, percent) if len(left) and len(right) else []
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, leaders: int = 2) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
+        for batch in batches:
+            group = batch.column("group").to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
+            links: list[tuple[int, int]] = []
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if a == b:
+                    continue
+                if held and group[a] != now:
+                    links += solve(held)
+                    held = []
+                now = group[a]
+                held.append(batch.slice(a, b - a))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["u", "v"])
+        links = solve(held) if held else []
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["u", "v"])
+
+    return dealt.mapInArrow(run, "u bigint, v bigint")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs."""
     signed = written(signatures(docs, doc_id, text), "signatures")
     some = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
@@ -181,29 +268,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nodes = written(firsts.select(F.col("doc_id").alias("node"), "n_shingles", "s1", "s2", "keys"), "nodes")
     keyed = written(buckets(nodes), "buckets")
     ids = written(keyed.select("node").distinct(), "ids")
-    near = ids.count() <= BROADCAST_IDS
-    texts = written(docs.select(F.col(doc_id).cast("bigint").alias("node"), F.col(text).alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(ids) if near else ids, "node", "left_semi"), "texts")
-    nodes_met = nodes.select("node", "n_shingles", "s1", "s2").join(F.broadcast(ids) if near else ids, "node", "left_semi")
-
-    links, parts, tried = None, None, None
-    for turn in range(leaders + 1):
-        now = _labelled(keyed, parts) if parts is not None else keyed.withColumn("component", F.col("node"))
-        if turn < leaders:
-            named = now.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("u"), F.min_by("component", F.xxhash64("node", F.lit(turn))).alias("c"))
-            pairs = now.join(named.where("a <> b").select("key", "u", "c"), "key").where(F.col("component") != F.col("c")).select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v"))
-            pairs = _sized(pairs.distinct(), nodes_met, percent)
-        else:
-            open_ = now.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-            rows = now.join(open_, "key", "left_semi").join(nodes_met, "node")
-            a, b = (rows.select("key", *(F.col(c).alias(f"{x}{c}") for c in ("node", "component", "n_shingles", "s1", "s2"))) for x in ("u_", "v_"))
-            pairs = a.join(b, "key").where((F.col("u_node") < F.col("v_node")) & (F.col("u_component") != F.col("v_component")) & _alike("u_", "v_", percent)).select(F.col("u_node").alias("u"), F.col("v_node").alias("v")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = written(pairs, "pairs")
-        found = written(confirm(pairs, texts, percent), "links")
-        tried = pairs if tried is None else tried.union(pairs)
-        links = found if links is None else links.union(found)
-        parts = components(links)
+    near = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    met = docs.select(F.col(doc_id).cast("bigint").alias("node"), F.col(text).alias("text")).where(F.col("text").isNotNull()).join(near, "node", "left_semi")
+    sets = written(full_sets(met), "sets")
+
+    leaders = keyed.groupBy("key").agg(F.min_by("node", F.xxhash64("node")).alias("u"))
+    pairs = keyed.join(leaders, "key").where(F.col("u") != F.col("node")).select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
+    links = written(confirm(pairs, sets, percent), "links")
+    parts = components(links)
+
+    now = keyed.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_keys = now.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+    open_nodes = now.join(open_keys, "key", "left_semi").select("node", "component").distinct()
+    rows = written(open_nodes.join(nodes, "node").join(sets, "node"), "open")
+    more = written(group_links(rows, percent), "links")
+    if not more.isEmpty():
+        parts = components(parts.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
 
     whole = classes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     out = signed.join(whole.select(*group, "component"), group, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
