@@ -1,0 +1 @@
+"""Spatial tables, grids and feature overlays on Spark DataFrames."""
