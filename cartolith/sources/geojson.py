@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartolith.functions.geometry import RING
-from cartolith.operators.features import checked
 
 #: A feature as read: properties and coordinates stay JSON until a caller names their types.
 FEATURE = "struct<type:string,id:string,properties:string,geometry:struct<type:string,coordinates:string>>"
@@ -28,8 +27,9 @@ def read_features(spark: SparkSession, path: str, missing_ok: bool = False) -> D
     if missing_ok and not exists(spark, path):
         return spark.createDataFrame([], schema)
     raw = spark.read.schema(COLLECTION).option("multiLine", True).json(path)
-    sound = checked(raw, (F.col("type") == "FeatureCollection") & F.col("features").isNotNull(), "not a FeatureCollection")
-    return sound.select(F.posexplode("features").alias("ord", "f")).select("ord", F.col("f.id").alias("id"), F.col("f.geometry.type").alias("type"), F.col("f.properties").alias("properties"), F.col("f.geometry.coordinates").alias("coordinates"))
+    good = F.coalesce((F.col("type") == "FeatureCollection") & F.col("features").isNotNull(), F.lit(False))
+    found = F.when(good, F.col("features")).otherwise(F.raise_error(F.lit("not a FeatureCollection")))
+    return raw.select(F.posexplode(found).alias("ord", "f")).select("ord", F.col("f.id").alias("id"), F.col("f.geometry.type").alias("type"), F.col("f.properties").alias("properties"), F.col("f.geometry.coordinates").alias("coordinates"))
 
 
 def properties(features: DataFrame, schema: str) -> DataFrame:
