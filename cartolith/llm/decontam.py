@@ -190,4 +190,4 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that are not contaminated."""
     n, spans, ids = (own_name(docs.columns, x) for x in ("n_words", "hit_spans", "hit_items"))
     out = mark(docs, items, names=(n, spans, ids))
-    return out.where(~contaminated(F.col(n), hits(F.col(spans)))).select(*docs.columns)
+    return out.where(~contaminated(F.col(n), hits(F.col(spans)))).drop(n, spans, ids)
