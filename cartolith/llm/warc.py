@@ -6,8 +6,8 @@ of its payload. read() joins them, checks every payload against its digest, and
 file would hold them. parse() takes such bytes apart again.
 
 Of records with equal payloads of at least 1000 bytes, that with the largest page_id is the response and the others
-revisit it; shorter payloads are always responses. The payload's holder is found from digests alone, and payloads are
-shuffled by page_id and digest, so a payload that many pages share moves no more than others.
+revisit it; shorter payloads are always responses. The payload's holder is found from digests alone, so a payload
+that many pages share moves once at most; payloads of one page aren't shuffled to be written.
 
 A null html is an empty payload, a null url gives no WARC-Target-URI. Rows that repeat make records that repeat; all
 rows with the holder's page_id and payload are responses. Rows of a null page_id are responses unless a row with an id
@@ -23,6 +23,8 @@ from cartolith.llm.common import new_folder
 
 #: Payloads of fewer bytes are never replaced by a revisit.
 LEAST_BYTES = 1000
+#: So many digests of repeated payloads at most are broadcast, 32 bytes and an id each.
+BROADCAST_DIGESTS = 200_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = "\r\n"
 BREAK = CRLF + CRLF
@@ -68,16 +70,21 @@ def write(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> str:
     spark = pages.sparkSession
     folder = new_folder(spark, "archive")
     full = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("digest", F.unhex(F.sha2("payload", 256)))
-    full.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest")).write.parquet(f"{folder}/hashed")
+    full.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest")).write.option("compression", "zstd").parquet(f"{folder}/hashed")
     hashed = spark.read.parquet(f"{folder}/hashed")
     holders = hashed.groupBy("digest").agg(F.max("page_id").alias("holder"))
     records = hashed.join(holders, "digest")
     again = (F.col("payload_bytes") >= LEAST_BYTES) & F.col("holder").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("holder"))
     records = records.select("page_id", "url", "digest", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("holder")).alias("refers_to"))
     records.select("page_id", "digest", "record_type", _header(date).alias("header")).write.option("compression", "zstd").parquet(f"{folder}/headers")
-    mine = full.select("digest", "payload", F.col("page_id").alias("holder"))
-    both = mine.join(holders.select(F.col("digest").alias("d"), F.col("holder").alias("h")), (F.col("digest") == F.col("d")) & F.col("holder").eqNullSafe(F.col("h")), "left_semi")
-    both.dropDuplicates(["digest", "holder"]).select("digest", "payload").write.option("compression", "zstd").parquet(f"{folder}/payloads")
+    many = spark.read.parquet(f"{folder}/hashed").groupBy("digest").agg(F.max("page_id").alias("holder"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("d"), F.col("holder").alias("h"))
+    many.write.parquet(f"{folder}/repeated")
+    many = spark.read.parquet(f"{folder}/repeated")
+    if many.count() <= BROADCAST_DIGESTS:  # payloads then stay where they are read
+        many = F.broadcast(many)
+    once = full.join(many, F.col("digest") == F.col("d"), "left_anti").select("digest", "payload")
+    first = full.join(many, (F.col("digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("h")), "left_semi").dropDuplicates(["digest"]).select("digest", "payload")
+    once.union(first).write.option("compression", "zstd").parquet(f"{folder}/payloads")
     return folder
 
 
