@@ -18,9 +18,12 @@ COUNTRY_SLOTS = {
 
 
 def checked(rows: DataFrame, good: Column, message: Column | str) -> DataFrame:
-    """rows; the query fails at a row for which `good` isn't true."""
+    """rows; the query fails at a row for which `good` isn't true.
+
+    The check holds a random term that is always true, so that no later filter is moved in front of it.
+    """
     message = F.lit(message) if isinstance(message, str) else message
-    return rows.where(F.assert_true(F.coalesce(good, F.lit(False)), message).isNull())
+    return rows.where(F.assert_true(F.coalesce(good, F.lit(False)) & (F.rand() >= 0), message).isNull())
 
 
 def same_keys(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
@@ -38,7 +41,7 @@ def ids_of_colors(palette: DataFrame, known: DataFrame) -> DataFrame:
     out = palette.withColumn("rgb", colors.rgb_key()).join(known, "rgb", "left")
     out = checked(out, F.col("id").isNotNull(), F.concat(F.lit("no id for colour "), F.col("rgb")))
     twice = out.groupBy("id").agg(F.count(F.lit(1)).alias("_n"))
-    return checked(out.join(twice, "id"), F.col("_n") == 1, F.concat(F.lit("several colours for id "), F.col("id"))).drop("_n")
+    return checked(out.join(twice, "id", "left"), F.col("_n") == 1, F.concat(F.lit("several colours for id "), F.col("id"))).drop("_n")
 
 
 def palette(cells: DataFrame, least: int, opaque: float, largest: DataFrame | None = None) -> DataFrame:
@@ -172,7 +175,8 @@ def kept_labels(features: DataFrame, labels: DataFrame) -> DataFrame:
     """
     old = features.join(labels.select("id", "x", "y"), "id", "left")
     good = F.coalesce(F.col("x").isNotNull() & geometry.in_multipolygon(F.col("x"), F.col("y"), F.col("shape")), F.lit(False))
-    return old.select("id", F.when(good, F.col("x")).otherwise(F.col("px")).alias("x"), F.when(good, F.col("y")).otherwise(F.col("py")).alias("y"), good.alias("kept"))
+    old = old.withColumn("kept", good)
+    return old.select("id", F.when(F.col("kept"), F.struct("x", "y")).otherwise(F.struct(F.col("px").alias("x"), F.col("py").alias("y"))).alias("at"), "kept").select("id", "at.x", "at.y", "kept")
 
 
 def country_rows(shapes: DataFrame, palette_ids: DataFrame, by_palette: bool = False) -> DataFrame:

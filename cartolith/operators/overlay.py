@@ -99,8 +99,9 @@ def exactly_one(points: DataFrame, shapes: DataFrame, key: str, square: float =
     """(key, id) of each point's only holder; fails where a point has none or several."""
     found = points.select(key).join(points_in_shapes(points, shapes, square).select(key, "id"), key, "left")
     counted = found.groupBy(key).agg(F.count("id").alias("n"), F.max("id").alias("id"))
-    check = F.assert_true(F.col("n") == 1, F.concat(F.lit("anchor must be in exactly one part: "), F.col(key).cast("string")))
-    return counted.where(check.isNull()).select(key, "id")
+    from cartolith.operators.features import checked
+
+    return checked(counted, F.col("n") == 1, F.concat(F.lit("anchor must be in exactly one part: "), F.col(key).cast("string"))).select(key, "id")
 
 
 def box_overlaps(boxes: DataFrame, square: float = 64.0, least: float = 1e-9) -> DataFrame:
