@@ -27,6 +27,7 @@ from cartolith.llm.common import own_name
 
 #: Characters of a match's look-ahead, and so of a chunk's end where boundaries aren't trusted.
 MARGIN = 4
+MADE = ("x_ids", "x_raw")
 
 
 @functools.lru_cache(maxsize=4)
@@ -85,30 +86,40 @@ def encode_text(enc, text: str) -> bytes:
     return enc.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
-def _encoder(ranks_path: str, pattern: str, text_at: int):
+def decode_ids(words: dict[int, bytes], ids: bytes) -> bytes:
+    """The concatenated bytes of ids."""
+    return b"".join(map(words.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def _encoder(ranks_path: str, pattern: str, text_at: int, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(ranks_path, pattern)
+        enc, words = encoding(ranks_path, pattern), vocabulary(ranks_path)
         for batch in batches:
             ids = [encode_text(enc, t.as_py() or "") for t in batch.column(text_at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], [*batch.schema.names, "x_ids"])
+            more = [pa.array(ids, pa.binary())]
+            if decoded:
+                more.append(pa.array([decode_ids(words, i) for i in ids], pa.binary()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *MADE[: len(more)]])
 
     return run
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", chunk_chars: int = 32768, overlap_chars: int = 1024) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", chunk_chars: int = 32768, overlap_chars: int = 1024, decoded: str | None = None) -> DataFrame:
     """docs and a binary column of each text's ids, as little-endian unsigned 32-bit integers.
 
+    decoded: a name for one more column, of the bytes that the ids decode to, made where they are encoded.
+
     Texts of at most chunk_chars characters are encoded where they are read. The chunks of longer ones are dealt over
     the cluster, pre-tokenised there, and meet again by text; such a group is one text's and no larger than it.
     """
     names = docs.columns
-    ids_type = T.StructType([*docs.schema.fields, T.StructField(ids, T.BinaryType())])
+    made = [T.StructField(n, T.BinaryType()) for n in (MADE if decoded else MADE[:1])]
     inner = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)])
     docs = docs.toDF(*inner.fieldNames())
     at = names.index(text)
     col = F.col(f"c{at}")
     short = docs.where(F.coalesce(F.length(col), F.lit(0)) <= chunk_chars).mapInArrow(
-        _encoder(ranks_path, pattern, at), T.StructType([*inner.fields, T.StructField("x_ids", T.BinaryType())])
+        _encoder(ranks_path, pattern, at, decoded is not None), T.StructType([*inner.fields, *made])
     )
 
     step = chunk_chars - overlap_chars
@@ -131,7 +142,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
     marked = long.mapInArrow(split, T.StructType([*long.schema.fields, T.StructField("x_marks", T.BinaryType())]))
 
     def join(group: pa.Table) -> pa.Table:
-        enc = encoding(ranks_path, pattern)
+        enc, words = encoding(ranks_path, pattern), vocabulary(ranks_path)
         group = group.sort_by("x_k")
         chunks = group.column("x_part").to_pylist()
         marks = [np.frombuffer(m, "<i4").astype(np.int64) for m in group.column("x_marks").to_pylist()]
@@ -139,11 +150,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
         whole = "".join(ranges)
         got = b"".join(encode_text(enc, r) for r in ranges)
         first = group.slice(0, 1)
-        return pa.table([first.column("x_rest"), pa.array([whole], pa.string()), pa.array([got], pa.binary())], ["x_rest", "x_text", "x_ids"])
+        coded = [got, decode_ids(words, got)][: len(made)]
+        return pa.table([first.column("x_rest"), pa.array([whole], pa.string()), *(pa.array([c], pa.binary()) for c in coded)], ["x_rest", "x_text", *MADE[: len(made)]])
 
-    met = marked.groupBy("x_row").applyInArrow(join, T.StructType([long.schema["x_rest"], T.StructField("x_text", T.StringType()), T.StructField("x_ids", T.BinaryType())]))
-    met = met.select(*[F.col("x_text").alias(c) if c == f"c{at}" else F.col(f"x_rest.{c}").alias(c) for c in inner.fieldNames()], "x_ids")
-    return short.unionByName(met).toDF(*ids_type.fieldNames())
+    met = marked.groupBy("x_row").applyInArrow(join, T.StructType([long.schema["x_rest"], T.StructField("x_text", T.StringType()), *made]))
+    met = met.select(*[F.col("x_text").alias(c) if c == f"c{at}" else F.col(f"x_rest.{c}").alias(c) for c in inner.fieldNames()], *MADE[: len(made)])
+    return short.unionByName(met).toDF(*names, ids, *([decoded] if decoded else []))
 
 
 def decode(docs: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -155,7 +167,7 @@ def decode(docs: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", dec
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(ranks_path)
         for batch in batches:
-            raw = [b"".join(map(words.__getitem__, np.frombuffer(x.as_py() or b"", "<u4").tolist())) for x in batch.column(at)]
+            raw = [decode_ids(words, x.as_py() or b"") for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], [*batch.schema.names, "x_raw"])
 
     return inner.mapInArrow(run, T.StructType([*inner.schema.fields, T.StructField("x_raw", T.BinaryType())])).toDF(*names, decoded)
@@ -165,8 +177,8 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text",
     """The columns of keep (all but the text, if none are named), n_tokens, ids_sha256 and decoded_sha256 of each text."""
     keep = [c for c in docs.columns if c != text] if keep is None else keep
     ids, raw = own_name(docs.columns, "ids"), own_name(docs.columns, "decoded")
-    coded = encode(docs.select(*keep, text), ranks_path, pattern, text, ids).drop(text)
-    return decode(coded, ranks_path, pattern, ids, raw).select(
+    coded = encode(docs.select(*keep, text), ranks_path, pattern, text, ids, decoded=raw)
+    return coded.select(
         *keep,
         (F.octet_length(ids) / 4).cast("long").alias("n_tokens"),
         F.sha2(F.col(ids), 256).alias("ids_sha256"),

@@ -47,7 +47,19 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows that go to a Python worker together, at most; Spark's own 10,000 are much memory where rows are long texts.
+BATCH_ROWS = 2048
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has the session hand at most BATCH_ROWS rows to Python at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

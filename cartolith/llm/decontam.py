@@ -30,7 +30,7 @@ from cartolith.llm.textblocks import ALNUM, column_bytes, hash_words, row_blocks
 
 WINDOW = 13
 #: Symbols of a shard, bytes of text worked on together, bytes of items in a block.
-SHARD, BLOCK, ITEMS = 1 << 19, 8 << 20, 32 << 20
+SHARD, BLOCK, ITEMS = 1 << 19, 2 << 20, 32 << 20
 SPANS = "array<struct<start:bigint,end:bigint>>"
 
 

@@ -36,7 +36,7 @@ from cartolith.llm.textblocks import NOT_SPACE, column_bytes, hash_words, mix, r
 
 WORDS, M, K = 5, 12, 3
 PERCENT = 75
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Nodes of a block that are compared with another block's.
 GROUP = 256
 #: Bits of 2 * M * K in which sketches of a pair at the threshold differ: 9 expected, deviation 2.8.

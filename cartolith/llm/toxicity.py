@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from cartolith.llm.textblocks import LETTERS, column_bytes, hash_words, mix, row_blocks
 
 HEADS = (4, 5, 6, 7, 8)
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 SAMPLE, TERMS, VOTERS = 20_000, 256, 96
 #: Terms of fewer toxic documents in the sample are none.
 LEAST_TOXIC = 4

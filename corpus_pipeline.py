@@ -13,10 +13,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cartolith.llm import bpe, decontam, langid, minhash, pii
-from cartolith.llm.common import new_folder, table
+from cartolith.llm.common import new_folder, small_batches, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return langid.keep_identified(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), docs.select("text", "lang"))
 
 
