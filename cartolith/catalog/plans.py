@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,11 +13,13 @@ from cartolith.operators import grid, overlay, shapes
 from cartolith.plans import edits, extraction
 
 _PAIR = f"{fx.GRID}, {fx.OWNED}, {fx.MASK}"
+#: The edits' SQL has the first four bands.
+_SQL_WIDTH = 120
 
 
-def _map(spark: SparkSession, sf_dir: str) -> edits.Map:
-    """Four bands as countries, each of two regions (upper and lower rows)."""
-    cells = fx.owned(spark, sf_dir).where("x < 120")
+def _map(spark: SparkSession, sf_dir: str, width: int = 150) -> edits.Map:
+    """The bands of the grid up to that width as countries, each of two regions (upper and lower rows)."""
+    cells = fx.owned(spark, sf_dir).where(F.col("x") < width)
     half = F.when(F.col("y") < 50, "-region-01").otherwise("-region-02")
     regions = cells.select(F.concat("owner", half).alias("owner"), "x", "y")
     rows = cells.select(F.col("owner").alias("id"), F.concat(F.lit("Land "), F.substring("owner", -3, 3)).alias("name"), F.substring("owner", -1, 1).cast("int").alias("slot")).distinct()
@@ -30,7 +34,7 @@ _AREA = "area AS (SELECT x, y FROM grid WHERE x BETWEEN 25 AND 64 AND y BETWEEN
 n AS (SELECT owner, x, y FROM o WHERE owner = 'country-002' UNION SELECT 'country-002', x, y FROM b UNION SELECT owner, x, y FROM o WHERE owner <> 'country-002' AND NOT EXISTS (SELECT 1 FROM b WHERE b.x = o.x AND b.y = o.y))
 SELECT owner, count(*) AS area FROM n GROUP BY owner""")
 def expand_country(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m, cells = _map(spark, sf_dir), fx.grid(spark, sf_dir)
+    m, cells = _map(spark, sf_dir, _SQL_WIDTH), fx.grid(spark, sf_dir)
     brush = cells.where("x between 25 and 64 and y between 0 and 6").select("x", "y")
     return overlay.areas(edits.expand_country(m.countries, "country-002", brush, cells.where("noise < 900")))
 
@@ -39,20 +43,20 @@ def expand_country(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT owner, count(*) AS area FROM n GROUP BY owner""")
 def create_country(spark: SparkSession, sf_dir: str) -> DataFrame:
     area = fx.grid(spark, sf_dir).where("x between 25 and 64 and y between 0 and 6").select("x", "y")
-    return overlay.areas(edits.create_country(_map(spark, sf_dir), area, "New").countries)
+    return overlay.areas(edits.create_country(_map(spark, sf_dir, _SQL_WIDTH), area, "New").countries)
 
 
 @query(f"""WITH {_PAIR}, o AS (SELECT owner || CASE WHEN y < 50 THEN '-region-01' ELSE '-region-02' END AS owner, x, y FROM owned WHERE x < 120)
 SELECT CASE WHEN owner = 'country-001-region-02' THEN 'country-003-region-03' ELSE owner END AS owner, count(*) AS area FROM o GROUP BY 1""")
 def transfer_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlay.areas(edits.transfer_region(_map(spark, sf_dir), "country-001-region-02", "country-003").regions)
+    return overlay.areas(edits.transfer_region(_map(spark, sf_dir, _SQL_WIDTH), "country-001-region-02", "country-003").regions)
 
 
 @query(f"""WITH {_PAIR}, {_AREA}, o AS (SELECT owner || CASE WHEN y < 50 THEN '-region-01' ELSE '-region-02' END AS owner, x, y FROM owned WHERE x < 120),
 n AS (SELECT owner, x, y FROM o WHERE NOT EXISTS (SELECT 1 FROM area a WHERE a.x = o.x AND a.y = o.y) UNION ALL SELECT 'new', x, y FROM area) SELECT owner, count(*) AS area FROM n GROUP BY owner""")
 def create_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     area = fx.grid(spark, sf_dir).where("x between 25 and 64 and y between 0 and 6").select("x", "y")
-    return overlay.areas(edits.create_region(_map(spark, sf_dir), area, "new", "Fresh", "country-002").regions)
+    return overlay.areas(edits.create_region(_map(spark, sf_dir, _SQL_WIDTH), area, "new", "Fresh", "country-002").regions)
 
 
 @query(f"""WITH {fx.GRID} SELECT DISTINCT x, y FROM grid WHERE x BETWEEN 10 AND 39 AND y BETWEEN 5 AND 44""")
@@ -92,10 +96,12 @@ def topology_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def snapped_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions grown over their country's gaps; a test checks that every gap in reach went to its nearest region."""
+    """Regions of all countries grown over their country's gaps; a test checks that every gap in reach went to its nearest region."""
     m = _map(spark, sf_dir)
-    grown = edits.Map(fx.grid(spark, sf_dir).where("x < 30").select(F.lit("country-001").alias("owner"), "x", "y"), m.country_rows, m.regions, m.region_rows)
-    return overlay.areas(edits.snap_regions(grown, "country-001", True, 8))
+    bands = fx.grid(spark, sf_dir).select(F.format_string("country-%03d", 1 + F.floor(F.col("x") / 30)).alias("owner"), "x", "y")
+    grown = edits.Map(bands, m.country_rows, m.regions, m.region_rows)
+    parts = [edits.snap_regions(grown, f"country-{k:03d}", True, 8) for k in range(1, 6)]  # the five bands of the grid's width
+    return overlay.areas(functools.reduce(DataFrame.unionByName, parts))
 
 
 @query(None)
@@ -106,8 +112,8 @@ def sliced_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def photo_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions between drawn lines; a test checks them against a plain flood."""
-    cells = fx.grid(spark, sf_dir).where("x < 60 and y < 60").select(F.lit("photo").alias("owner"), "x", "y", F.when((F.col("x") % 20 == 10) | (F.col("y") % 15 == 7), -1).otherwise(0).alias("value"))
+    """Regions between lines drawn over the whole grid; a test checks them against a plain flood."""
+    cells = fx.grid(spark, sf_dir).select(F.lit("photo").alias("owner"), "x", "y", F.when((F.col("x") % 20 == 10) | (F.col("y") % 15 == 7), -1).otherwise(0).alias("value"))
     return extraction.photo_regions(cells, 5).groupBy("owner", "label").agg(F.count(F.lit(1)).alias("area"))
 
 
