@@ -2,11 +2,15 @@
 
 Only DataFrame and SQL functions are used. A text's base spans are those of four patterns. Their values are the
 protected entities. From the corpus come the numbers of documents with an entity, with a term, and with both; in
-nats, an entity's information content is ln(N / n_c), and a term gives away
-ln(n_ct * N / (n_c * n_t)) of it. Where that share exceeds a threshold, the term is generalised in documents that hold
-the entity, or, beyond a higher one, removed. A term must share at least `support` documents with the entity, in
-unlike contexts: copies of one document tell nothing about what other documents disclose. Entities that are in more
-than exp(-least_content) of all documents are public, and protected by their patterns alone.
+nats, an entity's information content is ln(N / n_c), and a term gives away ln(p * N / n_c) of it, where p is the chance
+that another document with the term holds the entity. Where that share exceeds a threshold, the term is generalised in
+documents that hold the entity, or, beyond a higher one, removed. Terms are those outside of base spans throughout.
+
+Every base value is an entity. p is estimated from contexts (distinct sets of terms; copies of one document tell
+nothing about what other documents disclose) and drawn to chance by `support` contexts with a rate of n_c / N. One
+context is the document's own, so that with n of them shared, of m = n * n_t / n_ct with the term,
+p = (n - 1 + support * n_c / N) / (m - 1 + support). A single context gives away no more than chance, a share of 0 at
+most; so values of one document have no disclosing terms, and neither has a value that all documents hold.
 
 Spans count code points, ends exclusive. The patterns are written with possessive repeats and look-behinds, so that no
 text takes more than linear time; their matches are those of the plain patterns, leftmost and non-overlapping.
@@ -17,7 +21,7 @@ are kept, whatever their names.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,22 +67,32 @@ def valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it and in whatever lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def places(gaps: Column, matches: Column) -> Column:
     """(start, end, match) of each match: gaps are the strings before each match and behind the last."""
-    sizes = F.transform(matches, lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), F.length(m).alias("size"), m.alias("match")))
     none = F.array().cast("array<struct<start:int,end:int,match:string>>")
 
     def one(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         return F.struct((start + x["size"]).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), (start + x["size"]).alias("end"), x["match"].alias("match")))).alias("out"))
 
-    def block(acc: Column, b: Column) -> Column:
-        inner = F.aggregate(F.slice(sizes, b * STEP + 1, F.lit(STEP)), F.struct(acc["at"].alias("at"), none.alias("out")), one)
-        return F.struct(inner["at"].alias("at"), F.concat(acc["out"], F.array(inner["out"])).alias("out"))
+    def summed(sizes: Column) -> Column:
+        def block(acc: Column, b: Column) -> Column:
+            inner = F.aggregate(F.slice(sizes, b * STEP + 1, F.lit(STEP)), F.struct(acc["at"].alias("at"), none.alias("out")), one)
+            return _once(inner, lambda i: F.struct(i["at"].alias("at"), F.concat(acc["out"], F.array(i["out"])).alias("out")))
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,end:int,match:string>>>").alias("out"))
+        blocks = F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / STEP).cast("int"))
+        return F.when(F.size(sizes) > 0, F.flatten(F.aggregate(blocks, start, block)["out"])).otherwise(none)
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,end:int,match:string>>>").alias("out"))
-    blocks = F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / STEP).cast("int"))
-    return F.when(F.size(matches) > 0, F.flatten(F.aggregate(blocks, start, block)["out"])).otherwise(none)
+    def sized(g: Column) -> Column:
+        return F.transform(matches, lambda m, i: F.struct(F.length(F.get(g, i)).alias("gap"), F.length(m).alias("size"), m.alias("match")))
+
+    return _once(_once(gaps, sized), summed)
 
 
 def base_spans(text: Column) -> Column:
@@ -97,10 +111,6 @@ def _count(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
-def _least_hash(terms: Column, seed: int) -> Column:
-    return F.array_min(F.transform(terms, lambda t: F.xxhash64(t, F.lit(seed))))
-
-
 def _normal(kind: Column, value: Column) -> Column:
     return F.concat(kind, F.lit(":"), F.when(kind.isin("card", "phone"), F.regexp_replace(value, "[^0-9]", "")).otherwise(F.lower(value)))
 
@@ -112,11 +122,13 @@ def _masked(text: Column, spans: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), n), gap), " ")
 
 
-def _terms(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+def _terms(text: Column, spans: Column) -> Column:
+    """Distinct terms outside of base spans; of these, only e-mail addresses hold letters."""
+    mail = F.filter(spans, lambda s: s["kind"] == "email")
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.when(F.size(mail) > 0, _masked(text, mail)).otherwise(text)), F.lit(TERM), F.lit(0)))
 
 
-def annotate(docs: DataFrame, text: str = "text", support: int = 3, generalise_at: float = 0.8, remove_at: float = 0.95, least_content: float = 3.0) -> DataFrame:
+def annotate(docs: DataFrame, text: str = "text", support: int = 3, generalise_at: float = 0.8, remove_at: float = 0.95) -> DataFrame:
     """docs with two more columns at their end: base spans, and (start, order, end, kind) of disclosing terms."""
     names = docs.columns
     col = F.coalesce(F.col(f"c{names.index(text)}"), F.lit(""))
@@ -126,26 +138,26 @@ def annotate(docs: DataFrame, text: str = "text", support: int = 3, generalise_a
     entity = lambda s: _normal(s["kind"], s["value"])
     held = base.where(F.size("x_base") > 0)
     entities = held.select("x_row", F.explode(F.array_distinct(F.transform("x_base", entity))).alias("entity"))
-    rare = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c")).where((F.col("n_c") >= support) & (F.col("n_c") <= total * math.exp(-least_content)))
-    mine = entities.join(rare, "entity").groupBy("x_row").agg(F.collect_list(F.struct("entity", "n_c")).alias("entities"))
-    exposed = held.select("x_row", col.alias("text"), "x_base").join(mine, "x_row").withColumn("terms", _terms(_masked(F.col("text"), F.col("x_base"))))
-    contexts = {f"h{k}": _least_hash(F.col("terms"), k) for k in range(4)}
-    exposed = written(exposed.withColumns(contexts), "exposed")
-
-    each = exposed.select("x_row", *contexts, "terms", F.explode("entities").alias("e")).select("x_row", *contexts, F.col("e.entity").alias("entity"), F.col("e.n_c").alias("n_c"), F.explode("terms").alias("term"))
-    unlike = [F.min(h) != F.max(h) for h in contexts]
-    pairs = each.groupBy("entity", "n_c", "term").agg(F.count(F.lit(1)).alias("n_ct"), *(u.alias(f"u{k}") for k, u in enumerate(unlike))).where((F.col("n_ct") >= support) & F.col("u0") & F.col("u1") & F.col("u2") & F.col("u3"))
-    pairs = written(pairs.select("entity", "n_c", "term", "n_ct"), "pairs")
-    counts = base.select(F.explode(_terms(col)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    content = F.log(F.lit(float(max(total, 1))) / F.col("n_c"))
-    share = F.log(F.col("n_ct") * F.lit(float(max(total, 1))) / (F.col("n_c") * F.col("n_t"))) / content
-    flags = pairs.join(counts, "term").withColumn("share", share).where(F.col("share") >= generalise_at).select("entity", "term", (F.col("share") >= remove_at).alias("remove"))
+    shared = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c")).where(F.col("n_c").between(2, total - 1))  # others have no share above 0
+    mine = entities.join(shared, "entity").groupBy("x_row").agg(F.collect_list(F.struct("entity", "n_c")).alias("entities"))
+    exposed = held.select("x_row", col.alias("text"), "x_base").join(mine, "x_row").withColumn("terms", _terms(F.col("text"), F.col("x_base")))
+    exposed = written(exposed.withColumn("context", F.sha2(F.concat_ws(" ", F.array_sort("terms")), 256)), "exposed")
+
+    contexts = exposed.select("x_row", "context", F.explode("entities").alias("e")).groupBy("e.entity", "e.n_c", "context").agg(F.min("x_row").alias("x_row"), F.count(F.lit(1)).alias("copies"))
+    each = contexts.join(exposed.select("x_row", "terms"), "x_row").select("entity", "n_c", "copies", F.explode("terms").alias("term"))
+    pairs = each.groupBy("entity", "n_c", "term").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("n_ct")).where("n > 1")
+    pairs = written(pairs, "pairs")
+    counts = base.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(col), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    rate = F.col("n_c") / F.lit(float(max(total, 1)))
+    chance = (F.col("n") - 1 + support * rate) / (F.col("n") * F.col("n_t") / F.col("n_ct") - 1 + support)
+    flags = pairs.join(counts, "term").withColumn("share", 1 - F.log(chance) / F.log(rate)).where(F.col("share") >= generalise_at).select("entity", "term", (F.col("share") >= remove_at).alias("remove"))
     flags = written(flags, "flags")
-    hits = each.select("x_row", "entity", "term").join(flags, ["entity", "term"]).groupBy("x_row", "term").agg(F.max("remove").alias("remove")).groupBy("x_row").agg(F.collect_list(F.struct("term", "remove")).alias("flags"))
+    said = exposed.select("x_row", "terms", F.explode("entities.entity").alias("entity")).select("x_row", "entity", F.explode("terms").alias("term"))
+    hits = said.join(flags, ["entity", "term"]).groupBy("x_row", "term").agg(F.max("remove").alias("remove")).groupBy("x_row").agg(F.collect_list(F.struct("term", "remove")).alias("flags"))
 
     tokens = places(F.split(F.col("text"), TERM, -1), F.regexp_extract_all(F.col("text"), F.lit(TERM), F.lit(0)))
-    row = exposed.select("x_row", "text", "x_base").join(hits, "x_row").withColumn("names", F.transform("flags", lambda f: f["term"]))
-    row = row.withColumn("tokens", F.filter(tokens, lambda t: F.array_contains("names", F.lower(t["match"]))))
+    row = exposed.select("x_row", "text", "x_base").join(hits, "x_row")
+    row = row.withColumn("tokens", _once(F.transform("flags", lambda f: f["term"]), lambda names: F.filter(tokens, lambda t: F.array_contains(names, F.lower(t["match"])))))
     clear = F.filter("tokens", lambda t: ~F.exists("x_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
 
     def span(t: Column) -> Column:
