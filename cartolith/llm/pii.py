@@ -147,7 +147,7 @@ def annotate(docs: DataFrame, text: str = "text", support: int = 3, generalise_a
     each = contexts.join(exposed.select("x_row", "terms"), "x_row").select("entity", "n_c", "copies", F.explode("terms").alias("term"))
     pairs = each.groupBy("entity", "n_c", "term").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("n_ct")).where("n > 1")
     pairs = written(pairs, "pairs")
-    counts = base.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(col), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    counts = base.select(F.explode(_terms(col, F.col("x_base"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     rate = F.col("n_c") / F.lit(float(max(total, 1)))
     chance = (F.col("n") - 1 + support * rate) / (F.col("n") * F.col("n_t") / F.col("n_ct") - 1 + support)
     flags = pairs.join(counts, "term").withColumn("share", 1 - F.log(chance) / F.log(rate)).where(F.col("share") >= generalise_at).select("entity", "term", (F.col("share") >= remove_at).alias("remove"))

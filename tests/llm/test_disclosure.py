@@ -48,7 +48,7 @@ def prose(rng, n=6):
     return " ".join("word" + "".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(n))
 
 
-@pytest.mark.parametrize("case", ["hot", "two", "copies"])
+@pytest.mark.parametrize("case", ["hot", "two", "owner", "copies", "nested"])
 def test_terms_of_every_base_value(spark, case):
     rng = random.Random(case)
     plain = [prose(rng) for _ in range(400)]
