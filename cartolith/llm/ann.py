@@ -12,7 +12,7 @@ shuffled but each task's best for each query.
 
 Vectors that are null or zero, have null or non-finite components, or another length than most (ties: than the longest
 of the commonest) take no part. Equal scores go to the smaller id; rows with the query's own id are no candidates, and
-rows that repeat are candidates each.
+rows that repeat are candidates each. A vec_id asks once: of its vectors the least, by their components in turn.
 """
 
 from __future__ import annotations
@@ -194,4 +194,5 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     book, coded = index(usable(rows))
     if book is None:
         return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    return search(book, coded, coded.where(F.col("vec_id") % every == 0), k)
+    queries = coded.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    return search(book, coded, queries, k)
