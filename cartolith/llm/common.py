@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -47,12 +48,42 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Rows that go to a Python worker together, at most; Spark's own 10,000 are much memory where rows are long texts.
+#: A key of more than one row in SHARE is dealt over several tasks.
+SHARE = 1000
+
+
+def spread_join(rows: DataFrame, right: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """A left join of rows with right, in which no task gets many more than total / SHARE rows of one key.
+
+    right: one row a key; its column n says how many of the `total` rows have that key. Keys with more than a share, at
+    most SHARE of them, are broadcast with their number of salts, and stand on the right once a salt, 2 * SHARE times at
+    most in all. Rows of a null key meet nothing and are dealt evenly. rows have no columns of right but the keys.
+    """
+    most = max(1, total // SHARE)
+    salts = F.when(F.col(n) > most, F.ceil(F.col(n) / most)).otherwise(1).cast("int")
+    hot = right.where(F.col(n) > most).select(*keys, salts.alias("x_salts"))
+    copies = right.withColumn("x_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop(n)
+    spot = F.xxhash64(F.monotonically_increasing_id())
+    no_key = functools.reduce(lambda a, b: a | b, (F.col(k).isNull() for k in keys))
+    salt = F.when(no_key, -1 - F.pmod(spot, F.lit(1 << 20))).otherwise(F.pmod(spot, F.coalesce("x_salts", F.lit(1)))).cast("int")
+    return rows.join(F.broadcast(hot), keys, "left").withColumn("x_salt", salt).drop("x_salts").join(copies, [*keys, "x_salt"], "left").drop("x_salt")
+
+
+#: Hashes are cut to this range for shares of rows.
+RANGE = 1 << 62
+
+
+def in_share(key: Column, share: float) -> Column:
+    """Whether the hash of a key lies in that share of all hashes; shares of one in 10^18 still count."""
+    return F.pmod(F.xxhash64(key), F.lit(RANGE)) < F.lit(min(RANGE, int(share * RANGE)))
+
+
+#: Rows that go to a Python worker together, at most; Spark itself bounds their bytes (maxBytesPerBatch, 64 MB).
 BATCH_ROWS = 2048
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Has the session hand at most BATCH_ROWS rows to Python at once."""
+    """Has the session hand at most BATCH_ROWS rows to Python at once; a smaller setting stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
