@@ -1,16 +1,18 @@
 """Language identification by unigrams of pieces, summed over all segmentations.
 
-A language is a distribution over the pieces of a fixed public vocabulary (byte-level ranks; pieces of at most eight
-bytes, all single bytes among them). A word's probability is the sum over all its segmentations of the product of
-their pieces' probabilities, by a forward pass; a text's is the product over its words. Words are runs of letters
-(a-z after lower-casing A-Z, and all that is not ASCII), with a leading space, as the vocabulary has them.
-
-Training is expectation-maximisation from the uniform distribution: a forward-backward pass over each distinct word
-gives the expected number of each piece, weighted by the word's occurrences in each language. Spark sums these over
-all training texts; a model has at most pieces x languages numbers, whatever the corpus.
-
-Words that a batch repeats are scored once. Null texts and texts without any letter are "und" with score 0; so are all
-texts if there is nothing to learn from. Ties go to the language that sorts first.
+A language is a distribution over the pieces of a fixed public vocabulary (all of its byte-level ranks, and all single
+bytes). A word's probability is the sum over all its segmentations of the product of their pieces' probabilities, by a
+forward pass; a text's is the product over its words. Words are runs of letters (a-z after lower-casing A-Z, and all
+that is not ASCII) of any length, with a leading space, as the vocabulary has them.
+
+Training is expectation-maximisation from the uniform distribution. Spark counts each distinct word in each language
+once, in a table; a step is a forward-backward pass over that table, which gives the expected number of each piece.
+A model has pieces x languages numbers, whatever the corpus; more than MOST_LANGUAGES languages are an error.
+
+A task scores a word once while it stays in a cache of fixed size. Null texts and texts without any letter are "und"
+with score 0; so are all texts if there is nothing to learn from. Ties go to the language that sorts first. Repeated
+rows are told alike, and each counts in training. Other columns are kept; where one has a new column's name, the new
+one gets a leading underscore.
 """
 
 from __future__ import annotations
@@ -26,57 +28,67 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartolith.llm.common import own_name
+from cartolith.llm.common import own_name, written
 from cartolith.llm.textblocks import LETTERS, LOWER, column_bytes, hash_words, row_blocks
 
-WIDE = 8
-#: Longer words take no part in training; they are scored like others.
-TRAIN_WORD = 32
 #: Bytes of text that are worked on together.
 BLOCK = 2 << 20
+#: Numbers (words x bytes x languages) of a batch of words; so many bytes at most are kept as scores of known words.
+CELLS, CACHE = 1 << 22, 16 << 20
+#: A batch of fewer words goes word by word, over the edges that there are.
+FEW = 8
+MOST_LANGUAGES = 1000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
 class Pieces:
-    """The vocabulary's pieces of at most eight bytes, found by their bytes packed into a number."""
+    """The vocabulary as a trie of its pieces read backward: hashes of all their endings, with a piece's number or -1."""
 
-    BITS = 18
+    BITS = 20
 
     def __init__(self, ranks_path: str):
         with open(ranks_path, "rb") as lines:
             words = [base64.b64decode(a) for a, _ in map(bytes.split, lines)]
-        words = sorted({w for w in words if 0 < len(w) <= WIDE and b"\0" not in w} | {bytes([i]) for i in range(1, 256)})
-        self.keys = np.array([int.from_bytes(w, "little") for w in words], dtype=np.uint64)
-        self.slots = np.full(1 << self.BITS, -1, dtype=np.int32)
-        self.longest_probe = 0
-        for i, at in enumerate(self._slot(self.keys).tolist()):
+        self.words = sorted({w for w in words if w and b"\0" not in w} | {bytes([i]) for i in range(1, 256)})
+        self.longest = max(map(len, self.words))
+        ends: dict[int, int] = {}
+        mask, step = (1 << 64) - 1, int(_STEP)
+        for i, w in enumerate(self.words):
+            key = 0
+            for byte in reversed(w):
+                key = (key * step + byte + 1) & mask
+                ends.setdefault(key, -1)
+            ends[key] = i
+        self.slots = np.full(1 << self.BITS, -2, dtype=np.int32)
+        self.keys = np.zeros(1 << self.BITS, dtype=np.uint64)
+        keys = np.fromiter(ends, np.uint64, len(ends))
+        self.probes = 0
+        for key, at, i in zip(keys.tolist(), self._slot(keys).tolist(), ends.values(), strict=True):
             probe = 0
-            while self.slots[at] >= 0:
+            while self.slots[at] != -2:
                 at, probe = (at + 1) & ((1 << self.BITS) - 1), probe + 1
-            self.slots[at] = i
-            self.longest_probe = max(self.longest_probe, probe)
-        self.slot_keys = np.where(self.slots >= 0, self.keys[self.slots], np.uint64(0))
+            self.slots[at], self.keys[at] = i, key
+            self.probes = max(self.probes, probe)
 
     def __len__(self) -> int:
-        return len(self.keys)
+        return len(self.words)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * _MULTIPLIER) >> np.uint64(64 - self.BITS)).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """The pieces' numbers, -1 for what is none."""
+        """The numbers of pieces, -1 for endings of pieces only, -2 for what is none."""
         at = self._slot(keys)
-        there = self.slot_keys[at]
-        out = np.where(there == keys, self.slots[at], -1)
-        left = np.flatnonzero((there != keys) & (there != 0))
-        for probe in range(1, self.longest_probe + 1):
+        out = np.where(self.keys[at] == keys, self.slots[at], -2)
+        left = np.flatnonzero((self.keys[at] != keys) & (self.slots[at] != -2))
+        for probe in range(1, self.probes + 1):
             if not len(left):
                 break
             near = (at[left] + probe) & ((1 << self.BITS) - 1)
-            there = self.slot_keys[near]
-            hit = there == keys[left]
+            hit = self.keys[near] == keys[left]
             out[left[hit]] = self.slots[near[hit]]
-            left = left[~hit & (there != 0)]
+            left = left[~hit & (self.slots[near] != -2)]
         return out
 
 
@@ -85,107 +97,205 @@ def pieces(ranks_path: str) -> Pieces:
     return Pieces(ranks_path)
 
 
-def edges(words: np.ndarray, vocabulary: Pieces) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(from, to, piece or -1 of each word), by rising end. words: bytes of words of one length, a row each."""
+def edges(words: np.ndarray, vocabulary: Pieces) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(from, to, rows, pieces) by rising end. words: a row of bytes each, filled up with zeros behind a word's end."""
     n, length = words.shape
     for end in range(1, length + 1):
-        key = np.zeros(n, np.uint64)
-        for begin in range(end - 1, max(-1, end - 1 - WIDE), -1):
-            key = (key << np.uint64(8)) | words[:, begin].astype(np.uint64)
-            yield begin, end, vocabulary.find(key)
-
-
-def forward(words: np.ndarray, vocabulary: Pieces, prob: np.ndarray) -> np.ndarray:
-    """Log-probability of each word in each language; prob: languages by pieces, and a last column of zeros."""
-    n, length = words.shape
-    at = np.zeros((length + 1, n, prob.shape[0]))
+        rows, key = np.arange(n), np.zeros(n, np.uint64)
+        for begin in range(end - 1, max(-1, end - 1 - vocabulary.longest), -1):
+            key = key * _STEP + words[rows, begin].astype(np.uint64) + np.uint64(1)
+            found = vocabulary.find(key)
+            have = found >= 0
+            if have.any():
+                yield begin, end, rows[have], found[have]
+            alive = found != -2
+            if not alive.all():
+                rows, key = rows[alive], key[alive]
+                if not len(rows):
+                    break
+
+
+def word_edges(word: np.ndarray, vocabulary: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(from, to, piece) of one word's edges, by rising end and then falling start."""
+    ends, key, out = np.arange(1, len(word) + 1), np.zeros(len(word), np.uint64), []
+    for size in range(1, vocabulary.longest + 1):
+        inside = ends >= size
+        ends, key = ends[inside], key[inside]
+        if not len(ends):
+            break
+        key = key * _STEP + word[ends - size].astype(np.uint64) + np.uint64(1)
+        found = vocabulary.find(key)
+        have = found >= 0
+        out.append((ends[have] - size, ends[have], found[have]))
+        ends, key = ends[found != -2], key[found != -2]
+    begin, end, ids = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.lexsort((-begin, end))
+    return begin[order], end[order], ids[order]
+
+
+def _forward_one(word: np.ndarray, vocabulary: Pieces, table: np.ndarray) -> np.ndarray:
+    """Logarithm of a word's probability; table: pieces by languages."""
+    begin, end, ids = word_edges(word, vocabulary)
+    cuts = np.searchsorted(end, np.arange(1, len(word) + 2))
+    at, scale = np.zeros((len(word) + 1, table.shape[1])), np.zeros(table.shape[1])
     at[0] = 1
-    scale = np.zeros((n, prob.shape[0]))
-    table = np.ascontiguousarray(prob.T)
-    done = 0
-    for begin, end, ids in edges(words, vocabulary):
-        if end != done and done and done % WIDE == 0:
-            top = at[max(0, done - WIDE + 1) : done + 1].max(axis=0)
-            at[max(0, done - WIDE + 1) : done + 1] /= top
+    for e in range(1, len(word) + 1):
+        part = slice(cuts[e - 1], cuts[e])
+        at[e] = (at[begin[part]] * table[ids[part]]).sum(axis=0)
+        if e % 8 == 0:
+            top = at[e].copy()
+            at[max(0, e - vocabulary.longest) : e + 1] /= top
             scale += np.log(top)
-        done = end
-        at[end] += at[begin] * table[ids]
-    return np.log(at[length]) + scale
+    return np.log(at[-1]) + scale
 
 
-def expected(words: np.ndarray, vocabulary: Pieces, prob: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Expected number of each piece in each language; weight: occurrences of each word in each language."""
+def forward(words: np.ndarray, vocabulary: Pieces, prob: np.ndarray, size: np.ndarray | None = None) -> np.ndarray:
+    """Log-probability of each word in each language. words: as for edges(); size: bytes of each (default: all);
+    prob: languages by pieces, without zeros."""
     n, length = words.shape
-    found = list(edges(words, vocabulary))
+    size = np.full(n, length) if size is None else size
     table = np.ascontiguousarray(prob.T)
-    fore, back = np.zeros((length + 1, n, prob.shape[0])), np.zeros((length + 1, n, prob.shape[0]))
-    fore[0], back[length] = 1, 1
-    for begin, end, ids in found:
-        fore[end] += fore[begin] * table[ids]
-    out = np.zeros(prob.shape)
-    share = np.divide(weight, fore[length], out=np.zeros_like(fore[length]), where=fore[length] > 0)
-    for begin, end, ids in sorted(found, key=lambda e: -e[1]):
-        back[begin] += back[end] * table[ids]
-    for begin, end, ids in found:
-        have = np.flatnonzero(ids >= 0)
-        if len(have):
-            gain = fore[begin][have] * table[ids[have]] * back[end][have] * share[have]
-            for lang in range(prob.shape[0]):
-                out[lang, :-1] += np.bincount(ids[have], gain[:, lang], minlength=prob.shape[1] - 1)
+    if n < FEW and length > 64:
+        return np.stack([_forward_one(w[:s], vocabulary, table) for w, s in zip(words, size.tolist(), strict=True)])
+    at = np.zeros((length + 1, n, prob.shape[0]))
+    at[0] = 1
+    out, scale, done = np.zeros((n, prob.shape[0])), np.zeros((n, prob.shape[0])), 0
+
+    def finish(end: int) -> None:
+        """Notes words that end here, and every eight bytes sets the values from which later ones are reached to scale."""
+        over = np.flatnonzero(size == end)
+        out[over] = np.log(at[end][over]) + scale[over]
+        if end % 8 == 0:
+            top = np.where(at[end] > 0, at[end], 1)
+            at[max(0, end - vocabulary.longest) : end + 1] /= top
+            scale[:] += np.log(top)
+
+    for begin, end, rows, ids in edges(words, vocabulary):
+        if end != done:
+            if done:
+                finish(done)
+            done = end
+        at[end][rows] += at[begin][rows] * table[ids]
+    if done:
+        finish(done)
     return out
 
 
-def _by_length(data: np.ndarray, begin: np.ndarray, size: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(positions in begin, matrix of the words' bytes, each with a leading space) for words of one length."""
+def expected(words: np.ndarray, vocabulary: Pieces, prob: np.ndarray, lang: np.ndarray, weight: np.ndarray, size: np.ndarray | None = None) -> np.ndarray:
+    """Expected number of each piece in each language; lang, weight: each word's language, and how often it occurs in it.
+
+    Passes run on logarithms, so that words of any length keep all their segmentations.
+    """
+    n, length = words.shape
+    size = np.full(n, length) if size is None else size
+    logs = np.log(prob)
+    if n < FEW and length > 64:
+        found = []
+        for r in range(n):
+            begin, end, ids = word_edges(words[r, : size[r]], vocabulary)
+            found += [(int(a), int(b), np.array([r]), np.array([i])) for a, b, i in zip(begin, end, ids, strict=True)]
+        found.sort(key=lambda e: e[1])
+    else:
+        found = list(edges(words, vocabulary))
+    fore, back = np.full((length + 1, n), -np.inf), np.full((length + 1, n), -np.inf)
+    fore[0] = 0
+    back[size, np.arange(n)] = 0
+    gains = [logs[lang[rows], ids] for _, _, rows, ids in found]
+    for (begin, end, rows, _), gain in zip(found, gains, strict=True):
+        fore[end][rows] = np.logaddexp(fore[end][rows], fore[begin][rows] + gain)
+    for (begin, end, rows, _), gain in sorted(zip(found, gains, strict=True), key=lambda e: -e[0][1]):
+        back[begin][rows] = np.logaddexp(back[begin][rows], back[end][rows] + gain)
+    total = fore[size, np.arange(n)]
+    shares = [np.exp(fore[begin][rows] + gain + back[end][rows] - total[rows]) * weight[rows] for (begin, end, rows, _), gain in zip(found, gains, strict=True)]
+    spots = np.concatenate([lang[rows] * prob.shape[1] + ids for _, _, rows, ids in found])
+    return np.bincount(spots, np.concatenate(shares), minlength=prob.size).reshape(prob.shape)
+
+
+def _batches(data: np.ndarray, begin: np.ndarray, size: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(positions in begin, matrix of the words' bytes with a leading space, their sizes) for words of like length."""
     order = np.argsort(size, kind="stable")
-    cuts = np.flatnonzero(np.diff(size[order])) + 1
-    for same in np.split(order, cuts):
-        if len(same):
-            length = int(size[same[0]])
-            step = max(1, most // (64 * (length + 1)))
-            for a in range(0, len(same), step):
-                part = same[a : a + step]
-                out = np.full((len(part), length + 1), 32, np.uint8)
-                out[:, 1:] = LOWER[data[begin[part][:, None] + np.arange(length)]]
-                yield part, out
-
-
-def train(docs: DataFrame, ranks_path: str, text: str = "text", lang: str = "lang", steps: int = 1, smoothing: float = 0.05) -> Model:
+    a = 0
+    while a < len(order):
+        least = int(size[order[a]])
+        b = int(np.searchsorted(size[order], least + least // 8, "right"))
+        b = min(b, a + max(1, CELLS // (width * (least + least // 8 + 2))))
+        part = order[a:b]
+        longest = int(size[part].max())
+        out = np.zeros((len(part), longest + 1), np.uint8)
+        out[:, 0] = 32
+        inside = np.arange(longest) < size[part][:, None]
+        out[:, 1:][inside] = LOWER[data[(begin[part][:, None] + np.arange(longest))[inside]]]
+        yield part, out, size[part] + 1
+        a = b
+
+
+class Cache:
+    """Scores of words by their hash; a word takes the place of another with the same slot."""
+
+    def __init__(self, width: int):
+        self.bits = max(8, int(CACHE // (8 * (width + 1))).bit_length() - 1)
+        self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.zeros((1 << self.bits, width))
+
+    def slot(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def put(self, hashes: np.ndarray, values: np.ndarray) -> None:
+        at = self.slot(hashes)
+        self.keys[at], self.values[at] = hashes, values
+
+
+def distinct_words(docs: DataFrame, langs: list[str]) -> DataFrame:
+    """(word, lang, n): how often each distinct word occurs in each language. docs: text, lang."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {x: i for i, x in enumerate(langs)}
+        for batch in batches:
+            data, offsets = column_bytes(batch.column("text"))
+            which = np.array([place[x] for x in batch.column("lang").to_pylist()], dtype=np.int64)
+            for a, b in row_blocks(offsets, BLOCK):
+                hashes, counts, begin, length = hash_words(data, offsets[a : b + 1], LETTERS, spans=True)
+                lang = np.repeat(which[a:b], counts)
+                _, first, n = np.unique(hashes * np.uint64(len(langs)) + lang.astype(np.uint64), return_index=True, return_counts=True)
+                size = length[first]
+                ends = np.concatenate([[0], np.cumsum(size)])
+                spots = np.repeat(begin[first] - ends[:-1], size) + np.arange(ends[-1])
+                words = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(LOWER[data[spots]])]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([words, pa.array(lang[first].astype(np.int32)), pa.array(n.astype(np.int64))], ["word", "lang", "n"])
+
+    return docs.select("text", "lang").mapInArrow(run, "word binary, lang int, n bigint").groupBy("word", "lang").agg(F.sum("n").alias("n"))
+
+
+def train(docs: DataFrame, ranks_path: str, text: str = "text", lang: str = "lang", steps: int = 2, smoothing: float = 0.05) -> Model:
     """A model of the languages of docs; rows whose text or language is null take no part.
 
-    Each step is a pass over docs. smoothing: added to each piece's expected number, in shares of the mean number.
+    smoothing: added to each piece's expected number, in shares of the mean number.
     """
-    docs = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    langs = sorted(r.lang for r in docs.select("lang").distinct().collect())  # as many rows as languages
+    docs = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    langs = sorted(r.lang for r in docs.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
+    if len(langs) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     size = len(pieces(ranks_path))
-    prob = np.full((len(langs), size + 1), 1 / size)
-    prob[:, -1] = 0
+    prob = np.full((len(langs), size), 1 / size)
+    words = written(distinct_words(docs, langs), "words") if langs else None
     for _ in range(steps if langs else 0):
         held = docs.sparkSession.sparkContext.broadcast(prob)  # pieces x languages
 
         def count(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             vocabulary, prob = pieces(ranks_path), held.value
-            place = {x: i for i, x in enumerate(langs)}
             total = np.zeros(prob.shape)
             for batch in batches:
-                data, offsets = column_bytes(batch.column("text"))
-                which = np.array([place[x] for x in batch.column("lang").to_pylist()], dtype=np.int64)
-                for a, b in row_blocks(offsets, BLOCK):
-                    hashes, counts, begin, length = hash_words(data, offsets[a : b + 1], LETTERS, spans=True)
-                    _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-                    row_lang = np.repeat(which[a:b], counts)
-                    weight = np.bincount(inverse * len(langs) + row_lang, minlength=len(first) * len(langs)).reshape(-1, len(langs))
-                    fit = np.flatnonzero(length[first] <= TRAIN_WORD)
-                    for part, words in _by_length(data, begin[first[fit]], length[first[fit]]):
-                        total += expected(words, vocabulary, prob, weight[fit[part]].astype(np.float64))
-            at = np.nonzero(total[:, :-1] > 0)
+                data, offsets = column_bytes(batch.column("word"))
+                lang, n = batch.column("lang").to_numpy().astype(np.int64), batch.column("n").to_numpy().astype(np.float64)
+                for part, matrix, sizes in _batches(data, offsets[:-1], np.diff(offsets), 8):
+                    total += expected(matrix, vocabulary, prob, lang[part], n[part], sizes)
+            at = np.nonzero(total > 0)
             yield pa.RecordBatch.from_arrays([pa.array(at[0], pa.int32()), pa.array(at[1], pa.int32()), pa.array(total[at])], ["lang", "piece", "n"])
 
-        rows = docs.mapInArrow(count, "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
+        rows = words.mapInArrow(count, "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
         counts = np.zeros((len(langs), size))
         counts[rows.column("lang").to_numpy(), rows.column("piece").to_numpy()] = rows.column("n").to_numpy()
         counts += smoothing * counts.mean(axis=1, keepdims=True) + 1e-9
-        prob = np.hstack([counts / counts.sum(axis=1, keepdims=True), np.zeros((len(langs), 1))])
+        prob = counts / counts.sum(axis=1, keepdims=True)
         held.unpersist()
     return Model(ranks_path, langs, prob)
 
@@ -196,47 +306,64 @@ class Model:
     langs: list[str]
     prob: np.ndarray
 
-    def predict(self, docs: DataFrame, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
-        """docs and two columns: the likeliest language, and its posterior probability under equal priors."""
+    def predict(self, docs: DataFrame, text: str = "text", lang_pred: str = "lang_pred", score: str = "score", outside: str | None = None) -> DataFrame:
+        """docs and two columns: the likeliest language, and its posterior probability under equal priors.
+
+        outside: a name for one more column: whether pieces drawn evenly explain the text better than any language.
+        """
         names, langs, ranks_path = docs.columns, self.langs, self.ranks_path
         inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
         at = names.index(text)
         inner = inner.withColumn("x_letter", F.coalesce(F.col(f"c{at}").rlike(r"\p{L}"), F.lit(False)))
-        held = docs.sparkSession.sparkContext.broadcast(self.prob)  # pieces x languages
+        prob = self.prob if outside is None else np.vstack([self.prob, np.full((1, self.prob.shape[1]), 1 / self.prob.shape[1])])
+        held = docs.sparkSession.sparkContext.broadcast(prob)  # pieces x languages
+        width = len(prob) if langs else 0
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             vocabulary, prob = pieces(ranks_path), held.value
+            cache = Cache(max(1, width))
             for batch in batches:
                 data, offsets = column_bytes(batch.column(at))
-                total = np.zeros((len(batch), len(langs)))
-                for a, b in row_blocks(offsets, BLOCK) if langs else ():
+                total = np.zeros((len(batch), width))
+                for a, b in row_blocks(offsets, BLOCK) if width else ():
                     hashes, counts, begin, length = hash_words(data, offsets[a : b + 1], LETTERS, spans=True)
-                    _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-                    logs = np.zeros((len(first) + 1, len(langs)))
-                    for part, words in _by_length(data, begin[first], length[first]):
-                        logs[part] = forward(words, vocabulary, prob)
+                    distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+                    slots = cache.slot(distinct)
+                    logs = cache.values[slots]
+                    fresh = np.flatnonzero(cache.keys[slots] != distinct)
+                    for part, matrix, sizes in _batches(data, begin[first[fresh]], length[first[fresh]], width):
+                        logs[fresh[part]] = forward(matrix, vocabulary, prob, sizes)
+                    cache.put(distinct[fresh], logs[fresh])
                     rows = np.concatenate([[0], np.cumsum(counts)])
-                    sums = np.zeros((len(hashes) + 1, len(langs)))
+                    sums = np.zeros((len(hashes) + 1, width))
                     np.cumsum(logs[inverse], axis=0, out=sums[1:])
                     total[a:b] = sums[rows[1:]] - sums[rows[:-1]]
                 letter = batch.column("x_letter").to_numpy(zero_copy_only=False).astype(bool)
+                beyond = np.zeros(len(batch), bool)
                 if langs:
-                    best = total.argmax(axis=1)
-                    odds = np.exp(total - total.max(axis=1, keepdims=True))
+                    known = total[:, : len(langs)]
+                    best, top = known.argmax(axis=1), known.max(axis=1)
+                    odds = np.exp(known - top[:, None])
                     score_of = np.where(letter, odds.max(axis=1) / odds.sum(axis=1), 0.0)
                     named = [langs[k] if y else "und" for k, y in zip(best.tolist(), letter.tolist(), strict=True)]
+                    beyond = letter & (total[:, -1] > top)
                 else:
                     score_of, named = np.zeros(len(batch)), ["und"] * len(batch)
-                columns = batch.columns[:-1]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(named, pa.string()), pa.array(score_of)], [*batch.schema.names[:-1], "x_pred", "x_score"])
+                more = [pa.array(named, pa.string()), pa.array(score_of), *([pa.array(beyond)] if outside else [])]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], [*batch.schema.names[:-1], *made])
 
-        schema = T.StructType([*inner.schema.fields[:-1], T.StructField("x_pred", T.StringType()), T.StructField("x_score", T.DoubleType())])
-        return inner.mapInArrow(run, schema).toDF(*names, lang_pred, score)
+        made = ["x_pred", "x_score", *(["x_outside"] if outside else [])]
+        kinds = (T.StringType(), T.DoubleType(), T.BooleanType())
+        schema = T.StructType([*inner.schema.fields[:-1], *(T.StructField(m, k) for m, k in zip(made, kinds, strict=False))])
+        extra = [own_name(names, c) for c in (lang_pred, score, *([outside] if outside else []))]
+        return inner.mapInArrow(run, schema).toDF(*names, *extra)
 
 
-def keep_identified(docs: DataFrame, ranks_path: str, learn: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of docs in a language that is told with at least that score; learn: rows to learn from."""
-    pred = own_name(docs.columns, "lang_pred")
-    score = own_name(docs.columns, "score")
-    out = train(learn, ranks_path).predict(docs, "text", pred, score)
-    return out.where((F.col(pred) != "und") & (F.col(score) >= least)).drop(pred, score)
+def keep_identified(docs: DataFrame, ranks_path: str, learn: DataFrame) -> DataFrame:
+    """The rows of docs in one of the languages of learn (text, lang), however short their texts are.
+
+    Rejected are null texts, texts without a letter, and texts that pieces drawn evenly explain better than any language.
+    """
+    pred, score, outside = (own_name(docs.columns, c) for c in ("lang_pred", "score", "outside"))
+    out = train(learn, ranks_path).predict(docs, "text", pred, score, outside)
+    return out.where((F.col(pred) != "und") & ~F.col(outside)).drop(pred, score, outside)
