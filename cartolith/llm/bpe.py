@@ -4,11 +4,13 @@ A long text is cut into chunks that overlap. Each chunk is pre-tokenised alone,
 (it can begin within a match) and its last ones too (the match can go on behind its end). A match depends only on
 where it begins and on what follows, so once a chunk has one true boundary, all later ones are true up to its end's
 margin. Chunk k is stitched to chunk k+1 at the first place in their overlap that is a boundary of both; a place
-behind white space is no stitch, for a white-space match looks at what follows it. Where an overlap has no common
-boundary, the two chunks are joined and split again. The ranges between stitches are encoded on their own.
+behind white space is no stitch, for a white-space match looks at what follows it. Pairs of chunks are stitched apart
+from each other. Where an overlap has no common boundary, the two chunks are joined and split again. The ranges between
+stitches are encoded on their own, all over the cluster; decoding concatenates bytes.
 
 Null texts are empty texts; an empty text has no ids. Repeated rows stay as they are, an empty table gives an empty
-one. Other columns are kept, whatever their names.
+one. Other columns are kept, whatever their names; decode() gives its column a leading underscore where docs has one
+of that name.
 """
 
 from __future__ import annotations
@@ -19,11 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartolith.llm.common import own_name
+from cartolith.llm.common import own_name, written
 
 #: Characters of a match's look-ahead, and so of a chunk's end where boundaries aren't trusted.
 MARGIN = 4
@@ -104,58 +106,142 @@ def _encoder(ranks_path: str, pattern: str, text_at: int, decoded: bool):
     return run
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", chunk_chars: int = 32768, overlap_chars: int = 1024, decoded: str | None = None) -> DataFrame:
+def _cut(chunk_chars: int, overlap_chars: int):
+    """Long texts to overlapping chunks; the row's other columns stay with the first."""
+    step = chunk_chars - overlap_chars
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(len(batch)):
+                text, rest = batch.column("x_text")[r].as_py(), batch.column("x_rest").slice(r, 1)
+                starts = list(range(0, max(1, len(text) - overlap_chars), step))
+                none = pa.nulls(1, rest.type)
+                for k, at in enumerate(starts):
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("x_row").slice(r, 1), pa.array([k], pa.int32()), rest if k == 0 else none, pa.array([text[at : at + chunk_chars]], pa.string()), pa.array([k == len(starts) - 1])],
+                        ["x_row", "x_k", "x_rest", "x_part", "x_last"],
+                    )
+
+    return run
+
+
+def _split(pattern: str, step: int, overlap_chars: int):
+    """Adds the places in a text where a chunk has a boundary in its first overlap, and a trusted one in its last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads, tails = [], []
+            for text, k in zip(batch.column("x_part").to_pylist(), batch.column("x_k").to_pylist(), strict=True):
+                mark = boundaries(text, pattern)[:-1]
+                tail = mark[(mark > step) & (mark <= len(text) - MARGIN)]
+                tails.append([k * step + p for p in tail.tolist() if not text[p - 1].isspace()])
+                heads.append((mark[(mark > 0) & (mark < overlap_chars)] + k * step).tolist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))], [*batch.schema.names, "x_head", "x_tail"])
+
+    return run
+
+
+def _pieces(group: pa.Table, pattern: str, step: int) -> tuple[list[str], str]:
+    """The ranges of a run of chunks up to its end, and the run's text up to the last chunk's end."""
+    group = group.sort_by("x_k")
+    chunks, at = group.column("x_part").to_pylist(), [k * step for k in group.column("x_k").to_pylist()]
+    begin, end = group.column("x_own")[0].as_py(), group.column("x_end")[len(group) - 1].as_py()
+    whole = chunks[-1]
+    if len(chunks) > 1:
+        chunks[0], at[0] = chunks[0][begin - at[0] :], begin
+        marks = [boundaries(c, pattern) for c in chunks]
+        ranges = stitch(chunks, at, marks, pattern)
+        whole = "".join(ranges)
+        ranges[-1] = ranges[-1][: len(ranges[-1]) - (len(whole) - (end - begin))] if end is not None else ranges[-1]
+        return ranges, whole
+    return [whole[begin - at[0] : None if end is None else end - at[0]]], whole
+
+
+def runs_of(chunks: DataFrame) -> DataFrame:
+    """(x_row, x_k, x_run, x_own, x_end): the run that each chunk is in, and where the run begins and ends in its text.
+
+    Neighbouring chunks are told apart at their first common boundary, each pair by itself. Chunks without one are a run
+    together. x_end is null at a text's end.
+    """
+    pairs = chunks.where("not x_last").select("x_row", "x_k", F.col("x_tail").alias("tail"), F.lit(None).cast("array<bigint>").alias("head"))
+    pairs = pairs.unionByName(chunks.where("x_k > 0").select("x_row", (F.col("x_k") - 1).alias("x_k"), F.lit(None).cast("array<bigint>").alias("tail"), F.col("x_head").alias("head")))
+    met = pairs.groupBy("x_row", "x_k").agg(F.array_min(F.array_intersect(F.max("tail"), F.max("head"))).alias("place"))
+    places = chunks.select("x_row", "x_k", "x_last").join(met, ["x_row", "x_k"], "left")
+    order = Window.partitionBy("x_row").orderBy("x_k")  # a row a chunk, without its text
+    before = F.lag("place").over(order)
+    out = places.withColumn("x_own", F.when(F.col("x_k") == 0, 0).otherwise(before)).withColumn("x_run", F.sum(F.col("x_own").isNotNull().cast("int")).over(order))
+    run = Window.partitionBy("x_row", "x_run")
+    return out.select("x_row", "x_k", "x_run", F.max("x_own").over(run).alias("x_own"), F.max("place").over(run).alias("x_end"))
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", chunk_chars: int = 16384, overlap_chars: int = 1024, decoded: str | None = None, keep_text: bool = True) -> DataFrame:
     """docs and a binary column of each text's ids, as little-endian unsigned 32-bit integers.
 
-    decoded: a name for one more column, of the bytes that the ids decode to, made where they are encoded.
+    decoded: a name for one more column, of the bytes that the ids decode to, made where they are encoded. Without
+    keep_text the texts are left out. chunk_chars is twice overlap_chars at least.
 
-    Texts of at most chunk_chars characters are encoded where they are read. The chunks of longer ones are dealt over
-    the cluster, pre-tokenised there, and meet again by text; such a group is one text's and no larger than it.
+    A text of at most chunk_chars characters is one chunk, and encoded where it is read. The chunks of longer ones are
+    dealt over the cluster, pre-tokenised, stitched pair by pair and encoded there; a text's ids meet at the end only,
+    to be one value. Where chunks without a common boundary lie side by side, their run is split again as a whole, and
+    a text whose split then doesn't have the run's end as a boundary is one run.
     """
     names = docs.columns
     made = [T.StructField(n, T.BinaryType()) for n in (MADE if decoded else MADE[:1])]
     inner = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)])
     docs = docs.toDF(*inner.fieldNames())
-    at = names.index(text)
+    at, step = names.index(text), chunk_chars - overlap_chars
     col = F.col(f"c{at}")
+    last = [n for n in names if keep_text or n != text] + [ids, *([decoded] if decoded else [])]
     short = docs.where(F.coalesce(F.length(col), F.lit(0)) <= chunk_chars).mapInArrow(
         _encoder(ranks_path, pattern, at, decoded is not None), T.StructType([*inner.fields, *made])
     )
+    short = short if keep_text else short.drop(f"c{at}")
 
-    step = chunk_chars - overlap_chars
-    number = F.ceil((F.length(col) - overlap_chars) / F.lit(step)).cast("int")
     rest = [c for c in inner.fieldNames() if c != f"c{at}"]
-    long = (
-        docs.where(F.length(col) > chunk_chars)
-        .withColumn("x_row", F.monotonically_increasing_id())
-        .select("x_row", F.struct(*rest).alias("x_rest") if rest else F.lit(0).alias("x_rest"), col.alias("x_text"), F.explode(F.sequence(F.lit(0), number - 1)).alias("x_k"))
-        .select("x_row", "x_k", F.when(F.col("x_k") == 0, F.col("x_rest")).alias("x_rest"), F.substring(F.col("x_text"), F.col("x_k") * step + 1, F.lit(chunk_chars)).alias("x_part"))
-    )
-    parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    long = long.repartition(int(parts), "x_row", "x_k")
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            marks = [boundaries(t, pattern).astype("<i4").tobytes() for t in batch.column("x_part").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.binary())], [*batch.schema.names, "x_marks"])
-
-    marked = long.mapInArrow(split, T.StructType([*long.schema.fields, T.StructField("x_marks", T.BinaryType())]))
-
-    def join(group: pa.Table) -> pa.Table:
+    long = docs.where(F.length(col) > chunk_chars).select(F.monotonically_increasing_id().alias("x_row"), F.struct(*rest).alias("x_rest") if rest else F.lit(0).alias("x_rest"), col.alias("x_text"))
+    schema = T.StructType([long.schema["x_row"], T.StructField("x_k", T.IntegerType()), T.StructField("x_rest", long.schema["x_rest"].dataType), T.StructField("x_part", T.StringType()), T.StructField("x_last", T.BooleanType())])
+    parts = long.mapInArrow(_cut(chunk_chars, overlap_chars), schema)
+    parts = parts.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "x_row", "x_k")
+    places = T.ArrayType(T.LongType())
+    chunks = written(parts.mapInArrow(_split(pattern, step, overlap_chars), T.StructType([*schema.fields, T.StructField("x_head", places), T.StructField("x_tail", places)])), "chunks")
+    runs = written(runs_of(chunks), "runs")
+
+    joined = runs.groupBy("x_row", "x_run").count().where("count > 1").select("x_row", "x_run")
+    if not joined.isEmpty():
+
+        def check(group: pa.Table) -> pa.Table:
+            end = group.sort_by("x_k").column("x_end")[len(group) - 1].as_py()
+            begin = group.column("x_own")[0].as_py()
+            good = end is None or end - begin in boundaries(_pieces(group, pattern, step)[1], pattern)
+            return pa.table([group.column("x_row").slice(0, 0 if good else 1)], ["x_row"])
+
+        suspects = chunks.select("x_row", "x_k", "x_part").join(runs.join(joined, ["x_row", "x_run"], "left_semi"), ["x_row", "x_k"])
+        bad = written(suspects.groupBy("x_row", "x_run").applyInArrow(check, "x_row bigint").distinct(), "bad").withColumn("bad", F.lit(True))
+        runs = runs.join(bad, "x_row", "left")
+        whole = F.coalesce("bad", F.lit(False))
+        runs = runs.select("x_row", "x_k", F.when(whole, 0).otherwise(F.col("x_run")).alias("x_run"), F.when(whole, 0).otherwise(F.col("x_own")).alias("x_own"), F.when(~whole, F.col("x_end")).alias("x_end"))
+
+    def code(group: pa.Table) -> pa.Table:
         enc, words = encoding(ranks_path, pattern), vocabulary(ranks_path)
-        group = group.sort_by("x_k")
-        chunks = group.column("x_part").to_pylist()
-        marks = [np.frombuffer(m, "<i4").astype(np.int64) for m in group.column("x_marks").to_pylist()]
-        ranges = stitch(chunks, [k * step for k in group.column("x_k").to_pylist()], marks, pattern)
-        whole = "".join(ranges)
+        ranges, _ = _pieces(group, pattern, step)
         got = b"".join(encode_text(enc, r) for r in ranges)
-        first = group.slice(0, 1)
         coded = [got, decode_ids(words, got)][: len(made)]
-        return pa.table([first.column("x_rest"), pa.array([whole], pa.string()), *(pa.array([c], pa.binary()) for c in coded)], ["x_rest", "x_text", *MADE[: len(made)]])
+        texts = [pa.array(["".join(ranges)], pa.string())] if keep_text else []
+        return pa.table([*(group.column(c).slice(0, 1) for c in ("x_row", "x_run")), *texts, *(pa.array([c], pa.binary()) for c in coded)], [f.name for f in coded_fields])
+
+    texts = [T.StructField("x_text", T.StringType())] if keep_text else []
+    coded_fields = [T.StructField("x_row", T.LongType()), T.StructField("x_run", runs.schema["x_run"].dataType), *texts, *made]
+    coded = chunks.select("x_row", "x_k", "x_part").join(runs, ["x_row", "x_k"]).groupBy("x_row", "x_run").applyInArrow(code, T.StructType(coded_fields))
+
+    def join(group: pa.Table) -> pa.Table:
+        group = group.sort_by("x_run")
+        whole = [("" if pa.types.is_string(group.schema.field(f.name).type) else b"").join(group.column(f.name).to_pylist()) for f in coded_fields[2:]]
+        return pa.table([group.column("x_row").slice(0, 1), *(pa.array([w], pa.string() if isinstance(w, str) else pa.binary()) for w in whole)], ["x_row", *(f.name for f in coded_fields[2:])])
 
-    met = marked.groupBy("x_row").applyInArrow(join, T.StructType([long.schema["x_rest"], T.StructField("x_text", T.StringType()), *made]))
-    met = met.select(*[F.col("x_text").alias(c) if c == f"c{at}" else F.col(f"x_rest.{c}").alias(c) for c in inner.fieldNames()], *MADE[: len(made)])
-    return short.unionByName(met).toDF(*names, ids, *([decoded] if decoded else []))
+    met = coded.groupBy("x_row").applyInArrow(join, T.StructType([coded_fields[0], *coded_fields[2:]]))
+    met = met.join(chunks.where("x_k = 0").select("x_row", "x_rest"), "x_row")
+    met = met.select(*[F.col("x_text").alias(c) if c == f"c{at}" else F.col(f"x_rest.{c}").alias(c) for c in inner.fieldNames() if keep_text or c != f"c{at}"], *MADE[: len(made)])
+    return short.unionByName(met).toDF(*last)
 
 
 def decode(docs: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -170,14 +256,14 @@ def decode(docs: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", dec
             raw = [decode_ids(words, x.as_py() or b"") for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], [*batch.schema.names, "x_raw"])
 
-    return inner.mapInArrow(run, T.StructType([*inner.schema.fields, T.StructField("x_raw", T.BinaryType())])).toDF(*names, decoded)
+    return inner.mapInArrow(run, T.StructType([*inner.schema.fields, T.StructField("x_raw", T.BinaryType())])).toDF(*names, own_name(names, decoded))
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns of keep (all but the text, if none are named), n_tokens, ids_sha256 and decoded_sha256 of each text."""
     keep = [c for c in docs.columns if c != text] if keep is None else keep
     ids, raw = own_name(docs.columns, "ids"), own_name(docs.columns, "decoded")
-    coded = encode(docs.select(*keep, text), ranks_path, pattern, text, ids, decoded=raw)
+    coded = encode(docs.select(*dict.fromkeys([*keep, text])), ranks_path, pattern, text, ids, decoded=raw, keep_text=text in keep)
     return coded.select(
         *keep,
         (F.octet_length(ids) / 4).cast("long").alias("n_tokens"),
