@@ -3,12 +3,12 @@
 A vector is cut into pairs of components, each replaced by one of 16 codewords: four bits a pair. The loss weighs the
 part of the error that is parallel to the vector more than the rest, for it is what changes large inner products; codes
 are chosen by coordinate descent on that loss, codewords solve its normal equations. Codebooks are fitted on a bounded
-sample; all vectors are coded. A query's table of 16 products for each pair scores codes by look-ups, two pairs at a
-time. The best of each batch of rows are rescored with the original vectors in double precision, and only such scores
-are compared between batches and tasks.
+random sample; all vectors are coded, and dealt into parts. A query's table of 16 products for each pair scores codes by
+look-ups, two pairs at a time. A part's best are rescored with the original vectors in double precision, and only such
+scores are compared between parts.
 
-Queries are a stated set: blocks of at most QUERIES of them go to the executors, each block over all codes. Nothing is
-shuffled but each task's best for each query.
+Queries are a stated set. They are a table too, which meets each part once: no task holds more than a part's codes and
+vectors and TOGETHER queries, and neither goes through the driver.
 
 Vectors that are null or zero, have null or non-finite components, or another length than most (ties: than the longest
 of the commonest) take no part. Equal scores go to the smaller id; rows with the query's own id are no candidates, and
@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 
 from cartolith.llm.common import written
 
-SAMPLE, QUERIES = 20_000, 16_384
+SAMPLE = 20_000
+#: Rows of a part, and parts whose results meet in one step.
+PART, GROUPED = 1 << 16, 64
 #: Inner products from this share of the norms on are the ones whose errors matter.
 THRESHOLD = 0.2
-#: Rows of a batch that are rescored for each query, rows of a batch, queries scored together.
+#: Rows of a part that are rescored for each query, rows that are scored together, and queries.
 RESCORED, ROWS, TOGETHER = 96, 8192, 256
 
 
@@ -66,12 +68,11 @@ class Codebook:
             along = book._along(parts, unit, codes)
             for s in range(d // pair):
                 u, rest = unit[:, s], along.sum(axis=1) - along[:, s]
-                for c in range(16):
-                    m = codes[:, s] == c
-                    if m.any():
-                        lhs = m.sum() * np.eye(pair) + (eta - 1) * u[m].T @ u[m]
-                        rhs = parts[m, s].sum(axis=0) + (eta - 1) * u[m].T @ (rest[m] + (parts[m, s] * u[m]).sum(axis=1))
-                        words[s, c] = np.linalg.solve(lhs, rhs)
+                is_code = (codes[:, s] == np.arange(16)[:, None]).astype(np.float64)
+                n = is_code.sum(axis=1)
+                lhs = n[:, None, None] * np.eye(pair) + (eta - 1) * (is_code @ (u[:, :, None] * u[:, None, :]).reshape(len(u), -1)).reshape(16, pair, pair)
+                rhs = is_code @ (parts[:, s] + (eta - 1) * u * (rest + (parts[:, s] * u).sum(axis=1))[:, None])
+                words[s, n > 0] = np.linalg.solve(lhs[n > 0], rhs[n > 0][:, :, None])[:, :, 0]
                 along[:, s] = ((parts[:, s] - words[s][codes[:, s]]) * u).sum(axis=1)
         return book
 
@@ -80,16 +81,19 @@ class Codebook:
         return np.stack([((parts[:, s] - self.words[s][codes[:, s]]) * unit[:, s]).sum(axis=1) for s in range(parts.shape[1])], axis=1)
 
     def _descend(self, parts: np.ndarray, unit: np.ndarray, codes: np.ndarray, rounds: int) -> np.ndarray:
+        """Each pair's best code in turn, with the others as they are; the loss is written without what all codes share."""
         codes = codes.copy()
         along = self._along(parts, unit, codes)
         total = along.sum(axis=1)
+        rows = np.arange(len(codes))
         for _ in range(rounds):
             for s in range(parts.shape[1]):
-                error = parts[:, s, None, :] - self.words[s]
-                parallel = (error * unit[:, s, None, :]).sum(axis=2)
-                loss = (error**2).sum(axis=2) + (self.eta - 1) * ((total - along[:, s])[:, None] + parallel) ** 2
+                p, u, w = parts[:, s], unit[:, s], self.words[s]
+                mine, by_word = (p * u).sum(axis=1), u @ w.T
+                parallel = (total - along[:, s] + mine)[:, None] - by_word
+                loss = (w * w).sum(axis=1) - 2 * (p @ w.T) + (self.eta - 1) * parallel * parallel
                 codes[:, s] = loss.argmin(axis=1)
-                fresh = parallel[np.arange(len(codes)), codes[:, s]]
+                fresh = mine - by_word[rows, codes[:, s]]
                 total += fresh - along[:, s]
                 along[:, s] = fresh
         return codes
@@ -100,7 +104,7 @@ class Codebook:
         x = np.hstack([x, np.zeros((len(x), pairs * width - x.shape[1]))])
         parts = x.reshape(len(x), pairs, width)
         unit = parts / np.linalg.norm(x, axis=1)[:, None, None]
-        codes = np.stack([((parts[:, s, None, :] - self.words[s]) ** 2).sum(axis=2).argmin(axis=1) for s in range(pairs)], axis=1)
+        codes = np.stack([((w * w).sum(axis=1) - 2 * (parts[:, s] @ w.T)).argmin(axis=1) for s, w in enumerate(self.words)], axis=1)
         codes = self._descend(parts, unit, codes, 2)
         return (codes[:, 0::2] * 16 + codes[:, 1::2]).astype(np.uint8)
 
@@ -116,14 +120,22 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
-def index(vectors: DataFrame, sample: int = SAMPLE) -> tuple[Codebook | None, DataFrame]:
-    """A codebook and the coded vectors, written to the shared folder. vectors: as from usable()."""
+def index(vectors: DataFrame, sample: int = SAMPLE) -> tuple[Codebook | None, DataFrame, int]:
+    """A codebook, the coded vectors in parts, written to the shared folder, and the number of parts.
+
+    vectors: as from usable(). A part has PART rows at most, give or take, and is smaller where there are few rows, so
+    that all cores have one.
+    """
+    spark = vectors.sparkSession
     total = vectors.count()
-    chosen = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(min(1.0, sample / max(1, total)) * 1_000_000)) if total > sample else vectors
-    found = chosen.toArrow()  # about `sample` rows
+    chosen = vectors.where(F.rand(11) < sample / total).limit(2 * sample) if total > sample else vectors
+    found = chosen.toArrow()  # about `sample` rows, twice as many at most
     if not len(found):
-        return None, vectors.withColumn("code", F.lit(None).cast("binary"))
+        if total:
+            raise RuntimeError(f"no row of {total} got into the sample")
+        return None, vectors.withColumns({"code": F.lit(None).cast("binary"), "part": F.lit(0)}), 0
     book = Codebook.fit(_matrix(found.column("embedding").combine_chunks()))
+    parts = -(-total // min(PART, max(ROWS, -(-total // spark.sparkContext.defaultParallelism))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,67 +144,91 @@ def index(vectors: DataFrame, sample: int = SAMPLE) -> tuple[Codebook | None, Da
                 codes = book.encode(_matrix(part.column("embedding")))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "embedding", "code"])
 
-    return book, written(vectors.mapInArrow(run, "vec_id bigint, embedding array<double>, code binary"), "codes")
-
-
-def search(book: Codebook, coded: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    """(query_id, rank, vec_id, score) of each query's k nearest. queries: vec_id, embedding."""
-    total = queries.count()
-    blocks = max(1, -(-total // (QUERIES // 2)))
-    out = None
-    for block in range(blocks):
-        found = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).select("vec_id", "embedding").toArrow()  # about QUERIES / 2 rows
-        if not len(found):
-            continue
-        held = queries.sparkSession.sparkContext.broadcast((found.column("vec_id").to_numpy(), _matrix(found.column("embedding").combine_chunks())))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            ids, q = held.value
-            best = np.full((len(ids), k), -np.inf)
-            who = np.full((len(ids), k), np.iinfo(np.int64).max)
-            for batch in batches:
-                for at in range(0, len(batch), ROWS):
-                    part = batch.slice(at, ROWS)
-                    vec = part.column("vec_id").to_numpy()
-                    order = np.argsort(vec, kind="stable")
-                    vec, x = vec[order], _matrix(part.column("embedding"))[order]
-                    code = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(len(vec), -1)[order]
-                    for a in range(0, len(ids), TOGETHER):
-                        _scan(book, ids[a : a + TOGETHER], q[a : a + TOGETHER], vec, x, code, best[a : a + TOGETHER], who[a : a + TOGETHER])
-            row, col = np.nonzero(best > -np.inf)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(who[row, col]), pa.array(best[row, col])], ["query_id", "vec_id", "score"])
-
-        part = coded.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
-        out = part if out is None else out.union(part)
-    if out is None:
-        return coded.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    near = out.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k).alias("near"))
+    coded = vectors.mapInArrow(run, "vec_id bigint, embedding array<double>, code binary")
+    return book, written(coded.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int")), "codes"), parts
+
+
+SCORED = "part int, query_id bigint, vec_id bigint, score double"
+
+
+def search(book: Codebook, coded: DataFrame, parts: int, queries: DataFrame, k: int = 20) -> DataFrame:
+    """(query_id, rank, vec_id, score) of each query's k nearest. queries: vec_id, embedding.
+
+    A task gets whole parts, the codes of each before the queries, which stream by. The best of a part are k for each
+    query; they meet in two steps, by groups of parts and then by query.
+    """
+    spark = coded.sparkSession
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("kind"), F.col("vec_id").cast("bigint").alias("vec_id"), "embedding", F.lit(None).cast("binary").alias("code"))
+    rows = coded.select("part", F.lit(0).alias("kind"), "vec_id", "embedding", "code").unionByName(asked)
+    dealt = rows.repartition(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), "part").sortWithinPartitions("part", "kind", "vec_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, ready = None, [], None
+        for batch in batches:
+            keys = batch.column("part").to_numpy() * 2 + batch.column("kind").to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if a == b:
+                    continue
+                block, part = batch.slice(a, b - a), int(keys[a]) // 2
+                if part != now:
+                    now, held, ready = part, [], None
+                vec, x = block.column("vec_id").to_numpy(), _matrix(block.column("embedding"))
+                if keys[a] % 2 == 0:
+                    code = np.frombuffer(b"".join(block.column("code").to_pylist()), np.uint8).reshape(len(vec), -1)
+                    held.append((vec, x, code))
+                elif held or ready:
+                    ready = ready or tuple(np.concatenate(c) for c in zip(*held, strict=True))
+                    held = []
+                    for at in range(0, len(vec), TOGETHER):
+                        ids = vec[at : at + TOGETHER]
+                        best, who = _scan(book, ids, x[at : at + TOGETHER], *ready, k)
+                        row, col = np.nonzero(best > -np.inf)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), part, np.int32)), pa.array(ids[row]), pa.array(who[row, col]), pa.array(best[row, col])], ["part", "query_id", "vec_id", "score"])
+
+    top = F.slice(F.array_sort(F.collect_list(F.struct("far", "vec_id"))), 1, k).alias("near")
+    scored = dealt.mapInArrow(run, SCORED).select("part", "query_id", (-F.col("score")).alias("far"), "vec_id")
+    if parts > GROUPED:
+        some = scored.groupBy("query_id", F.floor(F.col("part") / GROUPED).alias("g")).agg(top)
+        scored = some.select("query_id", F.explode("near").alias("n")).select("query_id", "n.far", "n.vec_id")
+    near = scored.groupBy("query_id").agg(top)
     return near.select("query_id", F.posexplode("near").alias("at", "n")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("n.vec_id").alias("vec_id"), (-F.col("n.far")).alias("score"))
 
 
-def _scan(book: Codebook, ids: np.ndarray, q: np.ndarray, vec: np.ndarray, x: np.ndarray, code: np.ndarray, best: np.ndarray, who: np.ndarray) -> None:
-    """Puts a batch's best for each query into best and who. Rows are in order of vec."""
+def _scan(book: Codebook, ids: np.ndarray, q: np.ndarray, vec: np.ndarray, x: np.ndarray, code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, ids) of a part's k best for each query, -inf where there are fewer. Rows are in order of vec.
+
+    The RESCORED rows of best scores by code, of all the part, are rescored with the vectors themselves.
+    """
     tables = book.tables(q)
-    score = np.zeros((len(vec), len(ids)), np.float32)
-    for byte in range(code.shape[1]):
-        score += tables[byte][code[:, byte]]
-    rank = np.ascontiguousarray(score.T).astype(np.float64) - np.arange(len(vec)) * 1e-12  # equal codes: smaller ids first
-    own = np.searchsorted(vec, ids), np.searchsorted(vec, ids, "right")
-    for r in np.flatnonzero(own[0] < own[1]).tolist():
-        rank[r, own[0][r] : own[1][r]] = -np.inf
     few = min(RESCORED, len(vec))
-    pick = np.argpartition(-rank, few - 1, axis=1)[:, :few] if few < len(vec) else np.broadcast_to(np.arange(len(vec)), rank.shape)
-    exact = np.einsum("qrd,qd->qr", x[pick], q)
-    exact[np.take_along_axis(rank, pick, axis=1) == -np.inf] = -np.inf
-    scores, names = np.hstack([best, exact]), np.hstack([who, vec[pick]])
-    order = np.lexsort((names, -scores), axis=1)[:, : best.shape[1]]
-    best[:], who[:] = np.take_along_axis(scores, order, axis=1), np.take_along_axis(names, order, axis=1)
+    top, at = np.full((len(ids), 0), 0.0), np.zeros((len(ids), 0), np.int64)
+    own = np.searchsorted(vec, ids), np.searchsorted(vec, ids, "right")
+    for a in range(0, len(vec), ROWS):
+        b = min(len(vec), a + ROWS)
+        score = np.zeros((b - a, len(ids)), np.float32)
+        for byte in range(code.shape[1]):
+            score += tables[byte][code[a:b, byte]]
+        rank = np.ascontiguousarray(score.T).astype(np.float64) - np.arange(a, b) * 1e-12  # equal codes: smaller ids first
+        for r in np.flatnonzero((own[0] < b) & (own[1] > a) & (own[0] < own[1])).tolist():
+            rank[r, max(own[0][r], a) - a : min(own[1][r], b) - a] = -np.inf
+        n = min(few, b - a)
+        pick = np.argpartition(-rank, n - 1, axis=1)[:, :n] if n < b - a else np.broadcast_to(np.arange(b - a), rank.shape)
+        top, at = np.hstack([top, np.take_along_axis(rank, pick, axis=1)]), np.hstack([at, pick + a])
+        if top.shape[1] > few:
+            best = np.argpartition(-top, few - 1, axis=1)[:, :few]
+            top, at = np.take_along_axis(top, best, axis=1), np.take_along_axis(at, best, axis=1)
+    exact = np.einsum("qrd,qd->qr", x[at], q)
+    exact[top == -np.inf] = -np.inf
+    names = vec[at]
+    order = np.lexsort((names, -exact), axis=1)[:, :k]
+    return np.take_along_axis(exact, order, axis=1), np.take_along_axis(names, order, axis=1)
 
 
 def nearest(rows: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """The k nearest of each vector whose vec_id is divisible by `every`, among all others."""
-    book, coded = index(usable(rows))
+    book, coded, parts = index(usable(rows))
     if book is None:
         return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     queries = coded.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    return search(book, coded, queries, k)
+    return search(book, coded, parts, written(queries, "queries"), k)
