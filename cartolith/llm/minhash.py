@@ -7,7 +7,7 @@ that is 0.997 likely at a similarity of exactly 0.75, and 0.9999 at 0.85.
 
 Steps, all of them on tables in the shared folder:
 1. Each text becomes a row: the size of its set, 128 bits of digest, sub-keys, a 72-bit sketch.
-2. Equal sets become one node; copies never make pairs.
+2. Equal sets become one node; copies never make pairs. Nodes that share a doc_id are linked.
 3. Sub-keys that only one node has are dropped before any pairs of sub-keys are formed.
 4. Each bucket (key of a table) names a leader, and the others are compared with it alone. Components of the links so
    found are formed; a bucket whose nodes are all in one of them is done. Nodes of other buckets meet once more by
@@ -17,7 +17,7 @@ Steps, all of them on tables in the shared folder:
 5. A pair is a link only if its full sets confirm it.
 
 Null and empty texts have no shingles and are components of their own. Rows that repeat are one document; so are rows
-that share a doc_id, whose texts may all make links. A null doc_id is a component of its own, and kept.
+that share a doc_id, all of whose texts make links. A null doc_id is a component of its own, and kept.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolith.llm.common import written
+from cartolith.llm.common import drop_written, spread_join, written
 from cartolith.llm.components import components
 from cartolith.llm.textblocks import NOT_SPACE, column_bytes, hash_words, mix, row_blocks
 
@@ -153,11 +153,19 @@ def _set(shingles: pa.BinaryScalar) -> np.ndarray:
     return np.frombuffer(shingles.as_buffer(), np.uint64)
 
 
+#: Pairs that one copy of a leader's set serves.
+SERVED = 4096
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (u, v) of node ids whose full sets are similar enough."""
-    left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("s"))
+    """The pairs (u, v) of node ids whose full sets are similar enough. pairs: u, v, salt.
+
+    A node that leads very many pairs is joined by salt: its set is copied once for each salt that its pairs have.
+    """
+    salts = pairs.groupBy("u").agg(F.max("salt").alias("most"))
+    left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("s")).join(salts, "u").select("u", "s", F.explode(F.sequence(F.lit(0), "most")).alias("salt"))
     right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("t"))
-    both = pairs.select("u", "v").join(left, "u").join(right, "v")
+    both = pairs.join(left, ["u", "salt"]).join(right, "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,18 +271,27 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     signed = written(signatures(docs, doc_id, text), "signatures")
     some = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     group = ["n_shingles", "d1", "d2"]
-    classes = some.groupBy(*group).agg(F.min("doc_id").alias("node"))
-    firsts = some.join(classes.select(F.col("node").alias("doc_id"), *group), ["doc_id", *group], "left_semi").dropDuplicates(["doc_id", *group])
-    nodes = written(firsts.select(F.col("doc_id").alias("node"), "n_shingles", "s1", "s2", "keys"), "nodes")
+    first = some.groupBy(*group).agg(F.min(F.struct("doc_id", "keys", "s1", "s2")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    classes = written(first.select(*group, "copies", F.col("first.doc_id").alias("node"), "first.keys", "first.s1", "first.s2"), "classes")
+    nodes = classes.select("node", "n_shingles", "s1", "s2", "keys")
+    repeated = some.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), (F.min(F.struct(*group)) != F.max(F.struct(*group))).alias("unlike")).where("n > 1")
+    repeated = written(repeated, "repeated")
+    again = not repeated.isEmpty()
+
     keyed = written(buckets(nodes), "buckets")
     ids = written(keyed.select("node").distinct(), "ids")
     near = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     met = docs.select(F.col(doc_id).cast("bigint").alias("node"), F.col(text).alias("text")).where(F.col("text").isNotNull()).join(near, "node", "left_semi")
-    sets = written(full_sets(met), "sets")
-
-    leaders = keyed.groupBy("key").agg(F.min_by("node", F.xxhash64("node")).alias("u"))
-    pairs = keyed.join(leaders, "key").where(F.col("u") != F.col("node")).select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
-    links = written(confirm(pairs, sets, percent), "links")
+    sets = written(full_sets(met.dropDuplicates(["node", "text"]) if again else met), "sets")
+
+    leaders = keyed.groupBy("key").agg(F.min_by("node", F.xxhash64("node")).alias("u"), F.count(F.lit(1)).alias("n"))
+    led = spread_join(keyed, leaders.withColumn("salts", F.ceil(F.col("n") / SERVED)), ["key"], "n", keyed.count()).where(F.col("u") != F.col("node"))
+    pairs = led.select("u", F.col("node").alias("v"), F.pmod(F.xxhash64("node", F.lit(2)), F.col("salts")).cast("int").alias("salt")).groupBy("u", "v").agg(F.min("salt").alias("salt"))
+    links = confirm(written(pairs, "pairs"), sets, percent)
+    if again:  # all texts of a doc_id are one document
+        unlike = some.select("doc_id", *group).join(repeated.where("unlike").select("doc_id"), "doc_id", "left_semi").join(classes.select(*group, "node"), group)
+        links = links.union(unlike.where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v")).distinct())
+    links = written(links, "links")
     parts = components(links)
 
     now = keyed.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -284,9 +301,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     more = written(group_links(rows, percent), "links")
     if not more.isEmpty():
         parts = components(parts.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
-
-    whole = classes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    out = signed.join(whole.select(*group, "component"), group, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    for done in (keyed, ids, sets, links, rows, more, repeated):
+        drop_written(done)
+
+    # Rows of a class that is neither repeated nor linked are components of their own, as are rows without a set.
+    whole = classes.select("node", "copies", *(F.col(c).alias(f"x_{c}") for c in group)).join(parts, "node", "left").where("copies > 1 or component is not null")
+    whole = whole.select(*(f"x_{c}" for c in group), "copies", F.coalesce("component", "node").alias("component"))
+    known = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    out = signed.select("doc_id", "n_shingles", *(F.when(known, F.col(c)).alias(f"x_{c}") for c in group))
+    out = spread_join(out, whole, [f"x_{c}" for c in group], "copies", signed.count()).select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
