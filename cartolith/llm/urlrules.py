@@ -1,11 +1,12 @@
 """URL filtering by host and path rules, and by association rules mined from the URLs that those label.
 
-Only DataFrame and SQL functions and Spark's FP-growth are used. A URL becomes a set of tokens: parts of its host,
-the first part of its path, an extension. URLs that a rule judges are the labelled ones; FP-growth over their tokens
+Only DataFrame and SQL functions and Spark's FP-growth are used. A URL becomes a set of tokens: the labels of its host,
+its site (the last two of them), the segments of its path, the keys of its query, an extension. URLs that a rule judges are the labelled ones; FP-growth over their tokens
 and verdicts finds sets of tokens that go with a verdict, and rules of enough support and confidence are kept, without
 those that a shorter rule with the same verdict and no less confidence makes idle. Each kept rule is indexed by its
-rarest token. Distinct token sets (far fewer than URLs) meet the index by token, and keep the rules that are contained in
+rarest token. Distinct token sets (fewer than URLs) meet the index by token, and keep the rules that are contained in
 them; the most confident one decides, then that of larger support, then block before allow. What no rule meets is allowed.
+Tokens and sets that very many rows share are dealt over several tasks.
 
 A null URL, or one without "://", has an empty host and path and no tokens. Repeated rows are judged alike and count as
 often as they come.
@@ -19,7 +20,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartolith.llm.common import own_name, written
+from cartolith.llm.common import own_name, spread_join, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -53,6 +54,12 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, UPPER, LOWER), path
 
 
+def query_keys(url: Column) -> Column:
+    """The keys of a URL's query, as they are."""
+    found = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[^?#]*\?([^#]*)", 1)
+    return F.filter(F.transform(F.split(found, "&"), lambda p: F.substring_index(p, "=", 1)), lambda k: k != "")
+
+
 def longest_rule(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """The longest rule that fits, or null; a rule stands above those of equal length that follow it."""
     ordered = sorted(rules, key=lambda r: -len(r.rule))
@@ -64,15 +71,14 @@ def verdict_of(rule: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return F.coalesce(*(F.when(rule == r.rule, F.lit(r.verdict)) for r in rules), F.lit(None).cast("string"))
 
 
-def tokens(host: Column, path: Column) -> Column:
+def tokens(host: Column, path: Column, keys: Column) -> Column:
     """Distinct tokens of a URL, sorted; none for an empty host."""
+    named = lambda kind, values: F.transform(F.filter(values, lambda v: v != ""), lambda v: F.concat(F.lit(f"{kind}:"), v))
     labels = F.split(host, r"\.")
-    top = F.concat(F.lit("top:"), F.get(labels, F.size(labels) - 1))
-    site = F.concat(F.lit("site:"), F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - 1), F.lit(2)), "."))
-    first = F.regexp_extract(path, r"^/([^/]+)/", 1)
-    kind = F.regexp_extract(path, r"\.([A-Za-z]{1,5})$", 1)
-    found = F.array(F.concat(F.lit("host:"), host), top, site, F.when(F.size(labels) > 2, F.concat(F.lit("sub:"), F.get(labels, F.lit(0)))), F.when(first != "", F.concat(F.lit("dir:"), first)), F.when(kind != "", F.concat(F.lit("ext:"), F.lower(kind))))
-    return F.when(host != "", F.array_sort(F.array_distinct(F.array_compact(found)))).otherwise(F.array().cast("array<string>"))
+    site = F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - 1), F.lit(2)), ".")
+    kind = F.lower(F.regexp_extract(path, r"\.([A-Za-z]{1,5})$", 1))
+    found = F.concat(named("label", labels), named("site", F.array(site)), named("dir", F.split(path, "/")), named("key", keys), named("ext", F.array(kind)))
+    return F.when(host != "", F.array_sort(F.array_distinct(found))).otherwise(F.array().cast("array<string>"))
 
 
 def mine(labelled: DataFrame, support: float = 0.002, confidence: float = 0.9) -> DataFrame:
@@ -94,14 +100,18 @@ def mine(labelled: DataFrame, support: float = 0.002, confidence: float = 0.9) -
 
 
 def match(sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """(tokens, verdict) of the distinct token sets that a rule meets. sets: tokens, n (how many have it)."""
+    """(tokens, n, verdict) of the distinct token sets that a rule meets. sets: tokens, n (how many have it)."""
     each = sets.select("tokens", "n", F.explode("tokens").alias("token"))
-    counts = each.groupBy("token").agg(F.sum("n").alias("n"))
+    counts = written(each.groupBy("token").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("sets")), "tokencounts")
     ranked = rules.select("antecedent", "verdict", "confidence", "support", F.explode("antecedent").alias("token")).join(counts, "token")
-    index = ranked.groupBy("antecedent", "verdict", "confidence", "support").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
-    met = each.select("tokens", "token").join(index, "token").where(F.size(F.array_except("antecedent", "tokens")) == 0)
-    best = F.max(F.struct("confidence", "support", (F.col("verdict") == "block").alias("block"), "verdict"))
-    return met.groupBy("tokens").agg(best.alias("best")).select("tokens", F.col("best.verdict").alias("verdict"))
+    index = ranked.groupBy("antecedent", "verdict", "confidence", "support").agg(F.min_by("token", F.struct("n", "token")).alias("token"), F.min(F.struct("n", "token", "sets")).alias("rarest"))
+    rule = F.struct("confidence", "support", (F.col("verdict") == "block").alias("block"), "verdict", "antecedent")
+    index = index.groupBy("token", F.col("rarest.sets").alias("sets")).agg(F.collect_list(rule).alias("rules"))
+    met = spread_join(each, index, ["token"], "sets", sets.count()).where("rules is not null")
+    fits = F.filter("rules", lambda r: F.size(F.array_except(r["antecedent"], F.col("tokens"))) == 0)
+    best = F.array_max(F.transform(fits, lambda r: F.struct(*(r[c].alias(c) for c in ("confidence", "support", "block", "verdict")))))
+    found = met.select("tokens", "n", best.alias("best")).where("best is not null").groupBy("tokens").agg(F.max("best").alias("best"), F.max("n").alias("n"))
+    return found.select("tokens", "n", F.col("best.verdict").alias("verdict"))
 
 
 def judge(pages: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RULES, support: float = 0.002, confidence: float = 0.9) -> DataFrame:
@@ -113,13 +123,14 @@ def judge(pages: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RULES, s
     inner = pages.toDF(*[f"c{i}" for i in range(len(names))])
     host, path = host_and_path(F.col(f"c{names.index(url)}"))
     inner = inner.withColumns({"host": host, "path": path})
-    inner = inner.withColumn("rule", longest_rule(F.col("host"), F.col("path"), rules)).withColumn("tokens", tokens(F.col("host"), F.col("path")))
+    inner = inner.withColumn("rule", longest_rule(F.col("host"), F.col("path"), rules)).withColumn("tokens", tokens(F.col("host"), F.col("path"), query_keys(F.col(f"c{names.index(url)}"))))
     inner = inner.withColumn("by_rule", verdict_of(F.col("rule"), rules))
     mined = mine(inner.where(F.col("rule").isNotNull()).select("tokens", F.col("by_rule").alias("verdict")), support, confidence)
     sets = written(inner.where(F.col("rule").isNull() & (F.size("tokens") > 0)).groupBy("tokens").agg(F.count(F.lit(1)).alias("n")), "tokensets")
-    found = written(match(sets, mined), "verdicts").select(F.col("tokens").alias("t"), F.col("verdict").alias("by_mined"))
-    key = F.when(F.col("rule").isNull(), F.col("tokens"))
-    out = inner.join(found, key == F.col("t"), "left")
+    found = written(match(sets, mined), "verdicts").where(F.col("verdict") == "block")  # what is not blocked is allowed
+    found = found.select(F.col("tokens").alias("key"), "n", F.col("verdict").alias("by_mined"))
+    keyed = inner.withColumn("key", F.when(F.col("rule").isNull() & (F.size("tokens") > 0), F.col("tokens"))).drop("tokens")
+    out = spread_join(keyed, found, ["key"], "n", sets.agg(F.sum("n")).first()[0] or 0)
     extra = [own_name(names, n) for n in ("host", "path", "rule", "verdict")]
     return out.select(*[f"c{i}" for i in range(len(names))], "host", "path", "rule", F.coalesce("by_rule", "by_mined", F.lit("allow")).alias("verdict")).toDF(*names, *extra)
 
