@@ -1,20 +1,25 @@
 """Toxicity by weak supervision: many voters, a generative label model, a linear classifier on its posteriors.
 
-1. Lexicon. Whole words and word beginnings of 4 to 8 bytes are candidates. From labelled rows come the numbers of
-   toxic and of other documents with each; those of the largest log-likelihood ratio make the lexicon.
-2. Voters. Each term votes where it occurs, and again where it occurs twice; patterns (upper case, exclamation marks)
-   and the annotator vote too.
-3. Label model. Each voter has its own rates of voting in toxic and in other documents, found by
-   expectation-maximisation; the annotator's are set, which tells the classes apart. Correlations are estimated from what votes have in common beyond their class: a voter's
-   log-odds are divided by one plus the sum of its positive residual correlations, so that a term and its beginnings
-   count about once.
+1. Lexicon. Whole words and word beginnings of 4 to 8 bytes (that end where a character does) are candidates. From
+   labelled rows come the numbers of toxic and of other documents with each; those of the largest log-likelihood ratio,
+   in LEAST_TOXIC toxic documents at least, make the lexicon of TERMS terms.
+2. Voters. Each of the first VOTERS terms votes where it occurs, and again where it occurs twice; patterns (upper case,
+   exclamation marks) and the annotator vote too.
+3. Label model. In either class a voter votes with a probability of its own, given the vote of one other voter: the
+   model is a forest over voters. Its edges are those of largest mutual information within the classes, as far as they
+   say more than their parameters cost (Bayes' information criterion). All rates, the annotator's too, come from
+   expectation-maximisation that begins at the annotator's votes. So voters that say the same, as a term and its
+   beginnings, count about once.
 4. Classifier. Logistic regression of the posteriors on term counts and patterns; it needs no label.
 
-Fitting uses at most `sample` labelled rows, chosen by a hash of doc_id; the terms' counts, the votes and the posteriors
-are all over that sample, so what reaches the driver is bounded by it. Scoring covers all rows.
+Fitting uses at most about `sample` labelled documents, chosen by a hash of doc_id, one text of each; the terms' counts,
+the votes and the posteriors are all over that sample, so what reaches the driver is bounded by it. Scoring covers all
+rows.
 
 Null and empty texts have no terms and get the score of such a text. Without labelled rows of both classes all scores are
-0. Rows that repeat are scored alike. A document with several labels is toxic if any says so.
+0. Rows that repeat are scored alike. A document with several labels is toxic if any says so; of several texts with one
+doc_id the least is learned from. Other columns are kept; where one has the score's name, the score gets a leading
+underscore.
 """
 
 from __future__ import annotations
@@ -24,10 +29,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cartolith.llm.common import in_share, own_name, written
 from cartolith.llm.textblocks import LETTERS, column_bytes, hash_words, mix, row_blocks
 
 HEADS = (4, 5, 6, 7, 8)
@@ -35,17 +42,24 @@ BLOCK = 2 << 20
 SAMPLE, TERMS, VOTERS = 20_000, 256, 96
 #: Terms of fewer toxic documents in the sample are none.
 LEAST_TOXIC = 4
-#: How often annotators call toxic what is toxic, and what isn't.
-ANNOTATOR = 0.95, 0.02
 _SALTS = mix(np.arange(1, len(HEADS) + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 PATTERNS = 3
 
 
 def _term_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each word and its beginnings (a row each), and the words' rows. A word has no beginning of its whole length."""
+    """Hashes of each word and its beginnings (a row each), and the words' rows. Beginnings that would be the whole word
+    or would end within a character are none."""
     found = hash_words(data, offsets, LETTERS, spans=True, prefixes=HEADS)
-    whole, counts, _, length, heads = found[0], found[1], found[2], found[3], found[4:]
-    hashes = np.stack([whole ^ _SALTS[0], *(np.where(length > size, h, np.uint64(0)) ^ s for h, s, size in zip(heads, _SALTS[1:], HEADS, strict=True))])
+    whole, counts, begin, length, heads = found[0], found[1], found[2], found[3], found[4:]
+
+    def head(h: np.ndarray, size: int) -> np.ndarray:
+        longer = np.flatnonzero(length > size)
+        ends = longer[(data[begin[longer] + size] & 0xC0) != 0x80]
+        out = np.zeros(len(h), np.uint64)
+        out[ends] = h[ends]
+        return out
+
+    hashes = np.stack([whole ^ _SALTS[0], *(head(h, size) ^ s for h, s, size in zip(heads, _SALTS[1:], HEADS, strict=True))])
     return hashes, np.repeat(np.arange(len(counts)), counts)
 
 
@@ -122,26 +136,70 @@ def votes(features: np.ndarray, gold: np.ndarray, voters: int = VOTERS) -> np.nd
     return np.hstack([counts >= 1, counts[:, : voters // 2] >= 2, (upper > 0.5)[:, None], (marks > 0.2)[:, None], gold[:, None] > 0]).astype(np.float64)
 
 
-def label_model(vote: np.ndarray, steps: int = 15) -> np.ndarray:
-    """Posterior probability that each row is toxic; the last voter is the annotator."""
+@dataclass
+class LabelModel:
+    """prior: of toxic; parent: of each voter, or -1; rates: chance of a vote, by class, the parent's vote, and voter."""
+
+    prior: float
+    parent: np.ndarray
+    rates: np.ndarray
+
+    def posterior(self, vote: np.ndarray) -> np.ndarray:
+        """Probability of each row to be toxic."""
+        said = np.where(self.parent >= 0, vote[:, self.parent], 0).astype(np.int64)
+        logit = np.full(len(vote), np.log(self.prior / (1 - self.prior)))
+        for j in range(vote.shape[1]):
+            chance = self.rates[:, said[:, j], j]
+            chance = np.where(vote[:, j] > 0, chance, 1 - chance)
+            logit += np.log(chance[1] / chance[0])
+        return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+
+
+def _forest(vote: np.ndarray, post: np.ndarray, free: int) -> np.ndarray:
+    """Parents in the forest of largest mutual information given the class; voters from `free` on have none."""
+    n, m = vote.shape
+    gain = np.zeros((m, m))
+    for w in (1 - post, post):
+        total = w.sum() + 1e-9
+        one = np.clip(w @ vote / total, 1e-9, 1 - 1e-9)
+        both = (vote * w[:, None]).T @ vote / total
+        for a in (0, 1):
+            for b in (0, 1):
+                p = both if a and b else one[:, None] - both if a else one[None, :] - both if b else 1 - one[:, None] - one[None, :] + both
+                base = (one if a else 1 - one)[:, None] * (one if b else 1 - one)[None, :]
+                p = np.maximum(p, 0)
+                gain += total * np.where(p > 1e-12, p * np.log(np.maximum(p, 1e-12) / base), 0)
+    gain -= np.log(max(2, n))  # an edge adds a rate in either class
+    gain[free:], gain[:, free:] = -np.inf, -np.inf
+    np.fill_diagonal(gain, -np.inf)
+    parent, best, link, left = np.full(m, -1), np.full(m, -np.inf), np.full(m, -1), np.ones(m, bool)
+    for _ in range(m):
+        j = int(np.where(left, best, -np.inf).argmax()) if (left & (best > 0)).any() else int(np.flatnonzero(left)[0])
+        parent[j] = link[j] if best[j] > 0 else -1
+        left[j] = False
+        better = left & (gain[j] > best)
+        best[better], link[better] = gain[j][better], j
+    return parent
+
+
+def label_model(vote: np.ndarray, steps: int = 15) -> tuple[LabelModel, np.ndarray]:
+    """A model of 0/1 votes, and each row's posterior probability to be toxic. The last voter, the annotator, is where
+    estimation begins; it depends on no other."""
     post = np.clip(vote[:, -1], 0.03, 0.97)
-    for _ in range(steps):
-        prior = np.clip(post.mean(), 1e-3, 1 - 1e-3)
-        rate1 = (post @ vote + 0.1) / (post.sum() + 1)
-        rate0 = ((1 - post) @ vote + 0.1) / ((1 - post).sum() + 1)
-        mean = post[:, None] * rate1 + (1 - post)[:, None] * rate0
-        rate1[-1], rate0[-1] = ANNOTATOR
-        left = vote - mean
-        cov = left.T @ left / len(vote)
-        deviation = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-        corr = cov / deviation[:, None] / deviation
-        np.fill_diagonal(corr, 0)
-        weight = 1 / (1 + np.maximum(corr, 0).sum(axis=0))
-        weight[-1] = 1
-        fired, silent = np.log(rate1 / rate0), np.log((1 - rate1) / (1 - rate0))
-        logit = np.log(prior / (1 - prior)) + vote @ (weight * fired) + (1 - vote) @ (weight * silent)
-        post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return post
+    model = None
+    for step in range(steps):
+        parent = _forest(vote, post, vote.shape[1] - 1) if model is None or step < 4 else model.parent
+        said = np.where(parent >= 0, vote[:, parent], 0)
+        rates = np.empty((2, 2, vote.shape[1]))
+        for y, w in ((0, 1 - post), (1, post)):
+            alone = (w @ vote + 0.1) / (w.sum() + 1)
+            for a in (0, 1):
+                here = w[:, None] * (said == a)
+                # one row's worth of the voter's own rate, so that rare cases have some
+                rates[y, a] = ((here * vote).sum(axis=0) + alone) / (here.sum(axis=0) + 1)
+        model = LabelModel(float(np.clip(post.mean(), 1e-3, 1 - 1e-3)), parent, np.clip(rates, 1e-4, 1 - 1e-4))
+        post = model.posterior(vote)
+    return model, post
 
 
 def design(features: np.ndarray) -> np.ndarray:
@@ -166,6 +224,13 @@ def regression(x: np.ndarray, target: np.ndarray, penalty: float = 1.0, steps: i
     return w
 
 
+def _packed(features: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Where each row's values other than 0 are, and the values."""
+    row, at = np.nonzero(features)
+    ends = np.searchsorted(row, np.arange(len(features) + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, pa.array(at.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(features[row, at]))
+
+
 @dataclass
 class Model:
     terms: np.ndarray
@@ -186,15 +251,16 @@ class Model:
                     out[a:b] = 1 / (1 + np.exp(-np.clip(design(counter.features(data, offsets[a : b + 1])) @ weights, -30, 30)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "x_score"])
 
-        return inner.mapInArrow(run, T.StructType([*inner.schema.fields, T.StructField("x_score", T.DoubleType())])).toDF(*names, score)
+        return inner.mapInArrow(run, T.StructType([*inner.schema.fields, T.StructField("x_score", T.DoubleType())])).toDF(*names, own_name(names, score))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Model:
     """A model from the rows of docs that labels (doc_id, toxic) covers."""
     known = labels.where(F.col(toxic).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(toxic).alias("toxic"))
     share = min(1.0, sample / max(1, known.count()))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))  # about `sample` rows
+    chosen = known.where(in_share(F.col("doc_id"), share)) if share < 1 else known
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")  # about `sample` ids
+    rows = written(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic")).select("text", "toxic"), "labelled")
     total, bad = (int(x or 0) for x in rows.agg(F.count(F.lit(1)), F.sum("toxic")).first())
     if not 0 < bad < total:
         return Model(np.zeros(0, np.uint64), None)
@@ -206,9 +272,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str
             data, offsets = column_bytes(batch.column("text"))
             for a, b in row_blocks(offsets, BLOCK):
                 found = counter.features(data, offsets[a : b + 1])
-                yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(a, b - a), pa.array([np.minimum(x, 65000).astype(np.float16).tobytes() for x in found], pa.binary())], ["toxic", "features"])
+                yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(a, b - a), *_packed(found)], ["toxic", "at", "value"])
 
-    table = rows.mapInArrow(run, "toxic int, features binary").toArrow()  # about `sample` rows of 2 * (TERMS + PATTERNS) bytes
+    table = rows.mapInArrow(run, "toxic int, at array<int>, value array<float>").toArrow()  # about `sample` rows, TERMS + PATTERNS values at most
     gold = table.column("toxic").to_numpy()
-    features = np.frombuffer(b"".join(table.column("features").to_pylist()), np.float16).astype(np.float32).reshape(len(gold), -1)
-    return Model(terms, regression(design(features), label_model(votes(features, gold))))
+    features = np.zeros((len(gold), len(terms) + PATTERNS), np.float32)
+    at, value = table.column("at").combine_chunks(), table.column("value").combine_chunks()
+    features[np.repeat(np.arange(len(gold)), pa.compute.list_value_length(at).to_numpy()), at.flatten().to_numpy()] = value.flatten().to_numpy()
+    _, post = label_model(votes(features, gold))
+    return Model(terms, regression(design(features), post))
