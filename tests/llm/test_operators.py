@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -100,22 +101,62 @@ def test_windows_in_long_runs_and_small_shards(monkeypatch):
 
 def test_forward_sums_all_segmentations():
     vocabulary = langid.pieces(MULTI)
-    prob = np.random.default_rng(0).random((2, len(vocabulary) + 1))
-    prob[:, -1] = 0
-    number = {int(k): i for i, k in enumerate(vocabulary.keys.tolist())}
+    prob = np.random.default_rng(0).random((2, len(vocabulary)))
+    number = {w: i for i, w in enumerate(vocabulary.words)}
 
     def total(word, lang):
         sums = [1.0] + [0.0] * len(word)
         for end in range(1, len(word) + 1):
-            for begin in range(max(0, end - 8), end):
-                i = number.get(int.from_bytes(word[begin:end], "little"))
+            for begin in range(max(0, end - vocabulary.longest), end):
+                i = number.get(word[begin:end])
                 sums[end] += sums[begin] * prob[lang, i] if i is not None else 0
         return np.log(sums[-1])
 
-    for word in (b" the", b" segmentation", " größe".encode()):
-        got = langid.forward(np.frombuffer(word, np.uint8)[None], vocabulary, prob)
-        assert np.allclose(got[0], [total(word, k) for k in (0, 1)])
+    words = [b" the", b" segmentation", " größe".encode(), b" internationalisation", b" responsibilities"]
+    rows = np.zeros((len(words), max(map(len, words))), np.uint8)
+    for i, w in enumerate(words):
+        rows[i, : len(w)] = list(w)
+    size = np.array([len(w) for w in words])
+    want = [[total(w, k) for k in (0, 1)] for w in words]
+    assert np.allclose(langid.forward(rows, vocabulary, prob, size), want)
+    table = np.ascontiguousarray(prob.T)
+    assert np.allclose([langid._forward_one(np.frombuffer(w, np.uint8), vocabulary, table) for w in words], want)
     assert np.isfinite(langid.forward(np.full((1, 5000), 97, np.uint8), vocabulary, prob / len(vocabulary))).all()
+    assert np.isfinite(langid.forward(np.full((20, 700), 200, np.uint8), vocabulary, prob * 1e-9)).all()
+
+
+@pytest.mark.parametrize("repeat", [1, 30])
+def test_expected_pieces_are_those_of_all_segmentations(repeat):
+    vocabulary = langid.pieces(MULTI)
+    prob = np.random.default_rng(1).random((2, len(vocabulary))) * 1e-3
+    number = {w: i for i, w in enumerate(vocabulary.words)}
+    words, lang, weight = [b" the", b" anding", b" of"], np.array([0, 1, 1]), np.array([2.0, 1.0, 5.0])
+
+    def ways(word):
+        return [[]] if not word else [[number[word[:k]], *rest] for k in range(1, len(word) + 1) if word[:k] in number for rest in ways(word[k:])]
+
+    want = np.zeros(prob.shape)
+    for word, y, n in zip(words, lang, weight, strict=True):
+        each = [(way, np.prod(prob[y, way])) for way in ways(word)]
+        for way, p in each:
+            np.add.at(want, (y, way), n * p / sum(q for _, q in each))
+    rows = np.zeros((3, 7), np.uint8)
+    for i, w in enumerate(words):
+        rows[i, : len(w)] = list(w)
+    size = np.array([len(w) for w in words])
+    got = langid.expected(np.tile(rows, (repeat, 1)), vocabulary, prob, np.tile(lang, repeat), np.tile(weight, repeat), np.tile(size, repeat))
+    assert np.allclose(got, want * repeat)
+    long = np.frombuffer(b" " + b"thisandthatword" * 40, np.uint8)
+    few = langid.expected(long[None], vocabulary, prob, lang[:1], weight[:1])
+    many = langid.expected(np.tile(long, (9, 1)), vocabulary, prob, np.zeros(9, int), np.full(9, 2.0))
+    assert np.allclose(few * 9, many) and few.sum() > 40
+
+
+def test_words_of_any_length_are_learned(spark):
+    rows = [("漢字仮名交じり文は長い" * 40, "ja"), ("это длинное слово", "ru"), ("한국어텍스트" * 60, "ko")]
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string"), MULTI)
+    told = model.predict(spark.createDataFrame([("漢字は長い" * 3,), ("слово",), ("텍스트한국어",), ("字" * 30000,)], "text string")).collect()
+    assert [r.lang_pred for r in told] == ["ja", "ru", "ko", "ja"]
 
 
 def test_language_of_odd_rows(spark, odd, none):
@@ -127,7 +168,9 @@ def test_language_of_odd_rows(spark, odd, none):
     assert {r.lang_pred for r in langid.train(train.limit(0), MULTI).predict(odd).collect()} == {"und"}
     told = model.predict(spark.createDataFrame([("die und der",), ("of the and",)], "text string")).collect()
     assert [r.lang_pred for r in told] == ["de", "en"]
-    assert set(langid.keep_identified(odd, MULTI, train).columns) == set(odd.columns)
+    assert langid.keep_identified(odd, MULTI, train).columns == odd.columns and model.predict(odd).columns == [*odd.columns, "lang_pred", "_score"]
+    more = spark.createDataFrame([("and",), ("der die das",), ("qxzj vvkq zzxw qqjk",), ("12 !",), (None,), ("",)], "text string")
+    assert sorted(r.text for r in langid.keep_identified(more, MULTI, train).collect()) == ["and", "der die das"]
 
 
 def test_near_duplicates_of_odd_rows(spark, odd, none):
@@ -198,6 +241,20 @@ def test_many_matches_are_placed_in_blocks(spark):
     assert spans == [f"email:{7 * i}:{7 * i + 6}" for i in range(700)]
 
 
+@pytest.mark.parametrize("unit", ["a@b.cd ", "1.", "12 34", "1.2.3.4 ", "+12345678901 x"])
+def test_a_hundred_thousand_matches_take_linear_time(spark, unit):
+    def took(n):
+        row = spark.createDataFrame([(1, unit * n)], "doc_id long, text string")
+        begin = time.monotonic()
+        out = pii.base_spans(F.col("text"))
+        row.select(F.length(pii.sanitised(F.col("text"), pii._all(out, F.array().cast(f"array<{pii.SPAN}>"))))).collect()
+        return time.monotonic() - begin
+
+    took(100)
+    small = took(10_000)
+    assert took(100_000) < 30 * small + 10
+
+
 def test_archive_of_odd_pages(spark):
     big = "x\r\n\r\n" * 300
     rows = [(1, "http://a b\r\nX: y", big), (2, None, big), (3, "u", None), (4, "u", ""), (3, "u", None), (None, "u", big), (5, "é", "ü" * 600)]
@@ -208,6 +265,10 @@ def test_archive_of_odd_pages(spark):
     folder = warc.write(pages)
     assert spark.read.parquet(f"{folder}/payloads").count() == 3
     assert {bytes(r.payload).decode() for r in warc.parse(warc.read(spark, folder)).where("payload is not null").collect()} == {big, "", "ü" * 600}
+    records = [bytes(r.record).decode() for r in warc.read(spark, folder).collect()]
+    ids = [re.search("WARC-Record-ID: (.*)\r", r)[1] for r in records]
+    refers = {m[1] for r in records if (m := re.search("WARC-Refers-To: (.*)\r", r))}
+    assert len(set(ids)) == len(rows) and len(refers) == 1 and refers < set(ids)
     assert warc.report(pages.limit(0)).count() == 0
 
 
@@ -240,7 +301,37 @@ def test_label_model_divides_what_is_correlated():
     vote = lambda hit, false: (rng.random(4000) < np.where(truth, hit, false)).astype(float)
     weak = vote(0.6, 0.1)
     votes = np.stack([vote(0.7, 0.05), vote(0.6, 0.08), weak, weak, weak, vote(0.95, 0.02)], axis=1)
-    assert ((toxicity.label_model(votes) > 0.5) == truth).mean() > 0.95
+    model, post = toxicity.label_model(votes)
+    assert ((post > 0.5) == truth).mean() > 0.95
+    copies = {2, 3, 4}
+    assert sum(j in copies and model.parent[j] in copies for j in copies) == 2  # copies hang together
+    assert abs(model.rates[1, 0, 5] - 0.95) < 0.05 and abs(model.rates[0, 0, 5] - 0.02) < 0.02  # the annotator's rates are found
+
+
+def test_posterior_is_that_of_the_joint_table():
+    rng = np.random.default_rng(2)
+    parent = np.array([1, -1, 1, 2, -1])
+    model = toxicity.LabelModel(0.3, parent, rng.uniform(0.05, 0.95, (2, 2, 5)))
+    table = np.array([[i >> j & 1 for j in range(5)] for i in range(32)], float)
+
+    def joint(y, v):
+        p = 0.3 if y else 0.7
+        for j in range(5):
+            rate = model.rates[y, int(v[parent[j]]) if parent[j] >= 0 else 0, j]
+            p *= rate if v[j] else 1 - rate
+        return p
+
+    assert abs(sum(joint(y, v) for y in (0, 1) for v in table) - 1) < 1e-9
+    assert np.allclose(model.posterior(table), [joint(1, v) / (joint(0, v) + joint(1, v)) for v in table])
+
+
+def test_beginnings_end_where_characters_do():
+    def heads(text):
+        data, offsets = textblocks.column_bytes(pa.array([text]))
+        hashes, _ = toxicity._term_hashes(data, offsets)
+        return {size for size, h, salt in zip(toxicity.HEADS, hashes[1:, 0], toxicity._SALTS[1:], strict=True) if h != salt}
+
+    assert heads("abcdefghij") == {4, 5, 6, 7, 8} and heads("ааааа") == {4, 6, 8} and heads("abcd") == set()
 
 
 def test_neighbours_with_ties_and_unsound_vectors(spark):
@@ -256,13 +347,24 @@ def test_neighbours_with_ties_and_unsound_vectors(spark):
     assert ann.nearest(spark.createDataFrame(rows[:1], "vec_id long, embedding array<float>")).count() == 0
 
 
-def test_token_blocks_of_any_size(spark, odd, none):
+def test_token_ranges_of_any_size(spark, odd, none, tmp_path):
     enc = bpe.encoding(RANKS, public_tokenizers.PATTERN)
     want = sorted((r.doc_id or 0, len(enc.encode_ordinary(r.text or ""))) for r in odd.collect())
-    for size in (1, 3, 64, 1 << 16):
-        folder = tokencount.write(odd, RANKS, public_tokenizers.PATTERN, 50256, block_tokens=size)
-        out = tokencount.scan(tokencount.blocks(spark, folder), 50256).join(tokencount.names(spark, folder), ["shard", "ordinal"])
-        assert sorted((r.doc_id or 0, r.n_tokens) for r in out.collect()) == want
-    cut = spark.createDataFrame([(0, 0, np.array([5, 9, 7], "<u2").tobytes()), (0, 1, np.array([8], "<u2").tobytes())], "shard int, block long, tokens binary")
-    assert [tuple(r) for r in tokencount.scan(cut, 9).orderBy("ordinal").collect()] == [(0, 0, 1, True), (0, 1, 2, False)]
+    for file_tokens, size, group in ((1 << 28, 1, 2), (1 << 28, 3, 1 << 10), (4, 64, 3), (1 << 28, 1 << 16, 1)):
+        if size == 1:
+            rows = odd.where("coalesce(length(text), 0) < 1000")
+            some = sorted((r.doc_id or 0, len(enc.encode_ordinary(r.text or ""))) for r in rows.collect())
+        else:
+            rows, some = odd, want
+        folder = tokencount.write(rows, RANKS, public_tokenizers.PATTERN, 50256, file_tokens=file_tokens)
+        out = tokencount.scan(tokencount.files(spark, folder), 50256, 2, size, group).join(tokencount.names(spark, folder), ["file", "ordinal"])
+        assert sorted((r.doc_id or 0, r.n_tokens) for r in out.collect()) == some
+    for width in (2, 4):  # files that others wrote
+        np.array([5, 9, 7, 8, 9, 9, 1], f"<u{width}").tofile(tmp_path / f"{width}.bin")
+        alien = spark.createDataFrame([("f", str(tmp_path / f"{width}.bin"), 7 * width)], "file string, uri string, bytes long")
+        for size in (1, 2, 3, 100):
+            assert [tuple(r)[1:] for r in tokencount.scan(alien, 9, width, size, 2).orderBy("ordinal").collect()] == [(0, 1, True), (1, 2, True), (2, 0, True), (3, 1, False)]
     assert tokencount.report(none, RANKS, public_tokenizers.PATTERN, 50256).count() == 0
+    assert tokencount.width_of(RANKS, 65535) == 2 and tokencount.width_of(RANKS, 65536) == 4
+    with pytest.raises(ValueError):
+        tokencount.width_of(RANKS, 50000)

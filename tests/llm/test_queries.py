@@ -2,6 +2,7 @@
 
 import glob
 import hashlib
+import itertools
 import os
 import re
 import zlib
@@ -96,6 +97,7 @@ def test_op4(spark, sf_dir, tables):
 
 def test_op5(spark, sf_dir, tables):
     rules = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+    judged = {}
     got = rows(QUERIES["op5_url_filters"](spark, sf_dir), "page_id")
     for page_id, url in tables.sql("SELECT page_id, url FROM pages").fetchall():
         rest = (url or "").partition("://")[2]
@@ -104,12 +106,38 @@ def test_op5(spark, sf_dir, tables):
         fits = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
         r = got[page_id]
         assert (r.host, r.path, r.rule) == (host, path, max(fits)[1] if fits else None)
-        assert r.verdict == max(fits)[2] if fits else r.verdict in ("allow", "block")
+        judged[page_id] = (url_tokens(url or "", host, path), max(fits)[2] if fits else None)
+    labelled = [v for v in judged.values() if v[1] and v[0]]
+    least, counts, total = max(1, -(-2 * len(labelled) // 1000)), Counter(), Counter()
+    for tokens, verdict in labelled:
+        for size in range(1, len(tokens) + 1):
+            for some in itertools.combinations(sorted(tokens), size):
+                counts[some, verdict] += 1
+                total[some] += 1
+    mined = defaultdict(list)
+    for (some, verdict), n in counts.items():
+        if n >= least and n / total[some] >= 0.9:
+            mined[some].append((n / total[some], n / len(labelled), verdict == "block", verdict))
+    for page_id, (tokens, verdict) in judged.items():
+        met = [m for size in range(1, len(tokens) + 1) for some in itertools.combinations(sorted(tokens), size) for m in mined.get(some, ())]
+        assert got[page_id].verdict == (verdict or (max(met)[3] if met else "allow"))
+
+
+def url_tokens(url, host, path):
+    if not host:
+        return set()
+    query = re.match(r"[^?#]*\?([^#]*)", url)
+    keys = {p.partition("=")[0] for p in query[1].split("&")} if query else set()
+    ext = re.search(r"\.([A-Za-z]{1,5})$", path)
+    found = {f"label:{x}" for x in host.split(".") if x} | {f"site:{'.'.join(host.split('.')[-2:])}"} | {f"dir:{x}" for x in path.split("/") if x} | {f"key:{k}" for k in keys if k}
+    return found | ({f"ext:{ext[1].lower()}"} if ext else set())
 
 
 def test_op6(spark, sf_dir, tables):
-    got = rows(QUERIES["op6_toxicity"](spark, "/root/testdata/sf0.1" if os.path.isdir("/root/testdata/sf0.1") else sf_dir), "doc_id")
-    labels = duckdb.sql("SELECT doc_id, toxic FROM '/root/testdata/sf0.1/labels.parquet'").fetchall()
+    large = "/root/testdata/sf0.1"  # enough labels to learn from
+    where = large if os.path.isdir(large) else sf_dir
+    got = rows(QUERIES["op6_toxicity"](spark, where), "doc_id")
+    labels = duckdb.sql(f"SELECT doc_id, toxic FROM '{where}/labels.parquet'").fetchall()
     held = [(got[i].predicted, toxic) for i, toxic in labels if got[i].held_out]
     hit = sum(p and t for p, t in held)
     assert hit >= 0.9 * sum(t for _, t in held) and hit >= 0.95 * sum(p for p, _ in held)
@@ -212,5 +240,4 @@ def test_pipeline(spark, sf_dir, tables):
         return not (hit and 20 * len(hit) >= len(words))
 
     out = {r.doc_id for r in corpus_pipeline.run(spark, sf_dir).collect()}
-    want = {i for i, t in docs if i in kept and clean(t)}
-    assert len(want - out) <= 0.01 * len(want) + 1 and out - want == set()  # a text of one word can't be told
+    assert out == {i for i, t in docs if i in kept and clean(t)}  # all of these have letters
