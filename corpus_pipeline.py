@@ -1,10 +1,12 @@
 """A training-data pipeline over documents: five stages, each written as Parquet and read again by the next.
 
-Language ID drops documents whose language can't be told, MinHash keeps one document of each group of near-duplicates,
-decontamination drops documents with benchmark passages, PII replaces personal data and terms that disclose it, and
-byte-level BPE turns the texts that are left into ids. Each stage keeps all columns of documents but the last, which
-returns doc_id, source, lang, the ids' digest and that of the decoded bytes. No stage has an SQL form as a whole, so
-ORACLE_SQL is None and a test runs the stages against brute-force ones.
+Language ID drops documents without a letter (null and empty texts among them) and those that no learned language
+explains, MinHash keeps one document of each group of near-duplicates, decontamination drops documents with benchmark
+passages, PII replaces personal data and terms that disclose it, and byte-level BPE turns the texts that are left into
+ids. Each stage keeps all columns of its input but the last, which returns doc_id, source, lang, the number of ids, their
+digest and that of the decoded bytes. Of rows with one doc_id one stays, rows without a doc_id all stay; a null language
+or source stays null; an empty table gives an empty one. No stage has an SQL form as a whole, so ORACLE_SQL is None and
+a test runs the stages against brute-force ones.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cartolith.llm import bpe, decontam, langid, minhash, pii
-from cartolith.llm.common import new_folder, small_batches, table
+from cartolith.llm.common import drop_written, new_folder, small_batches, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,10 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over all of documents."""
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows over all of documents. A stage's table goes when the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = new_folder(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before is not None:
+            drop_written(before)
+        docs = before = spark.read.parquet(path)
     return docs
