@@ -174,10 +174,10 @@ def runs_of(chunks: DataFrame) -> DataFrame:
     return out.select("x_row", "x_k", "x_run", F.max("x_own").over(run).alias("x_own"), F.max("place").over(run).alias("x_end"))
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", chunk_chars: int = 16384, overlap_chars: int = 1024, decoded: str | None = None, keep_text: bool = True) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", chunk_chars: int = 32768, overlap_chars: int = 1024, decoded: str | None = None, keep_text: bool = True) -> DataFrame:
     """docs and a binary column of each text's ids, as little-endian unsigned 32-bit integers.
 
-    decoded: a name for one more column, of the bytes that the ids decode to, made where they are encoded. Without
+    decoded: a name for one more column, of the bytes that the ids decode to, made where a text's ids are whole. Without
     keep_text the texts are left out. chunk_chars is twice overlap_chars at least.
 
     A text of at most chunk_chars characters is one chunk, and encoded where it is read. The chunks of longer ones are
@@ -206,7 +206,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
     chunks = written(parts.mapInArrow(_split(pattern, step, overlap_chars), T.StructType([*schema.fields, T.StructField("x_head", places), T.StructField("x_tail", places)])), "chunks")
     runs = written(runs_of(chunks), "runs")
 
-    joined = runs.groupBy("x_row", "x_run").count().where("count > 1").select("x_row", "x_run")
+    joined = written(runs.groupBy("x_row", "x_run").count().where("count > 1").select("x_row", "x_run"), "joined")
     if not joined.isEmpty():
 
         def check(group: pa.Table) -> pa.Table:
@@ -221,24 +221,36 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
         whole = F.coalesce("bad", F.lit(False))
         runs = runs.select("x_row", "x_k", F.when(whole, 0).otherwise(F.col("x_run")).alias("x_run"), F.when(whole, 0).otherwise(F.col("x_own")).alias("x_own"), F.when(~whole, F.col("x_end")).alias("x_end"))
 
+    fields = [T.StructField("x_row", T.LongType()), T.StructField("x_run", runs.schema["x_run"].dataType), *([T.StructField("x_text", T.StringType())] if keep_text else []), made[0]]
+    placed = chunks.select("x_row", "x_k", "x_part").join(runs, ["x_row", "x_k"])
+
     def code(group: pa.Table) -> pa.Table:
-        enc, words = encoding(ranks_path, pattern), vocabulary(ranks_path)
+        enc = encoding(ranks_path, pattern)
         ranges, _ = _pieces(group, pattern, step)
-        got = b"".join(encode_text(enc, r) for r in ranges)
-        coded = [got, decode_ids(words, got)][: len(made)]
         texts = [pa.array(["".join(ranges)], pa.string())] if keep_text else []
-        return pa.table([*(group.column(c).slice(0, 1) for c in ("x_row", "x_run")), *texts, *(pa.array([c], pa.binary()) for c in coded)], [f.name for f in coded_fields])
+        return pa.table([*(group.column(c).slice(0, 1) for c in ("x_row", "x_run")), *texts, pa.array([b"".join(encode_text(enc, r) for r in ranges)], pa.binary())], [f.name for f in fields])
+
+    def code_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = pa.Table.from_batches([batch])
+            for i in range(len(batch)):
+                yield from code(whole.slice(i, 1)).combine_chunks().to_batches()
 
-    texts = [T.StructField("x_text", T.StringType())] if keep_text else []
-    coded_fields = [T.StructField("x_row", T.LongType()), T.StructField("x_run", runs.schema["x_run"].dataType), *texts, *made]
-    coded = chunks.select("x_row", "x_k", "x_part").join(runs, ["x_row", "x_k"]).groupBy("x_row", "x_run").applyInArrow(code, T.StructType(coded_fields))
+    if joined.isEmpty():  # each chunk is a run
+        coded = placed.mapInArrow(code_each, T.StructType(fields))
+    else:
+        several = written(runs.groupBy("x_row", "x_run").count().where("count > 1").select("x_row", "x_run"), "several")
+        coded = placed.join(several, ["x_row", "x_run"], "left_anti").mapInArrow(code_each, T.StructType(fields))
+        coded = coded.union(placed.join(several, ["x_row", "x_run"], "left_semi").groupBy("x_row", "x_run").applyInArrow(code, T.StructType(fields)))
 
     def join(group: pa.Table) -> pa.Table:
         group = group.sort_by("x_run")
-        whole = [("" if pa.types.is_string(group.schema.field(f.name).type) else b"").join(group.column(f.name).to_pylist()) for f in coded_fields[2:]]
-        return pa.table([group.column("x_row").slice(0, 1), *(pa.array([w], pa.string() if isinstance(w, str) else pa.binary()) for w in whole)], ["x_row", *(f.name for f in coded_fields[2:])])
+        got = b"".join(group.column(MADE[0]).to_pylist())
+        texts = [pa.array(["".join(group.column("x_text").to_pylist())], pa.string())] if keep_text else []
+        coded = [got, decode_ids(vocabulary(ranks_path), got)] if decoded else [got]
+        return pa.table([group.column("x_row").slice(0, 1), *texts, *(pa.array([c], pa.binary()) for c in coded)], [fields[0].name, *(f.name for f in fields[2:-1]), *(f.name for f in made)])
 
-    met = coded.groupBy("x_row").applyInArrow(join, T.StructType([coded_fields[0], *coded_fields[2:]]))
+    met = coded.groupBy("x_row").applyInArrow(join, T.StructType([fields[0], *fields[2:-1], *made]))
     met = met.join(chunks.where("x_k = 0").select("x_row", "x_rest"), "x_row")
     met = met.select(*[F.col("x_text").alias(c) if c == f"c{at}" else F.col(f"x_rest.{c}").alias(c) for c in inner.fieldNames() if keep_text or c != f"c{at}"], *MADE[: len(made)])
     return short.unionByName(met).toDF(*last)
