@@ -1,16 +1,18 @@
 """Grids as cell tables (x, y, ...): neighbours, morphology, components, floods and nearest seeds.
 
 Components work on square tiles: a tile's cells are labelled by an array kernel, then the labels that touch across
-tile borders are joined by alternating stars. No task holds more than a tile, and the graph holds border pairs only.
-Breadth-first fills run as a kernel where the grid's bounding box is small, else level by level.
+tile borders are joined, by one task while there are few pairs of them, else by alternating stars. Fills run on tiles as
+well, which hand on the values at their borders until none gets better. No task holds more than a tile. Nearest seeds
+are found by columns and then by bands of rows.
 """
 
 from __future__ import annotations
 
-from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +22,10 @@ from cartolith.session import written
 AROUND_8 = ((-1, -1), (0, -1), (1, -1), (-1, 0), (1, 0), (-1, 1), (0, 1), (1, 1))
 AROUND_4 = ((1, 0), (-1, 0), (0, 1), (0, -1))
 TILE = 512
-#: Cells of a bounding box up to which a fill runs in one kernel call.
-KERNEL_CELLS = 4_000_000
+#: Pairs of touching labels up to which one task joins them all (16 bytes each).
+FEW_PAIRS = 1_000_000
+#: Rows of a band that finds its nearest seeds together.
+BAND = 32
 
 
 def offsets(spark: SparkSession, steps=AROUND_8) -> DataFrame:
@@ -135,7 +139,29 @@ def _stars(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     raise RuntimeError("components didn't settle")
 
 
-def components(cells: DataFrame, steps=AROUND_8, tile: int = TILE) -> DataFrame:
+def _joined(pairs: DataFrame) -> DataFrame:
+    """(node, root) as _stars() has it, for a written table of pairs that fits into a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for batch in batches:
+            for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                u, v = root(u), root(v)
+                up[max(u, v)] = min(u, v)
+        nodes = [n for n in list(up) if root(n) != n]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(n) for n in nodes], pa.int64())], ["node", "root"])
+
+    return pairs.coalesce(1).mapInArrow(run, "node long, root long")
+
+
+def components(cells: DataFrame, steps=AROUND_8, tile: int = TILE, few_pairs: int = FEW_PAIRS) -> DataFrame:
     """(x, y, component): the least cell number (y * 2^32 + x) that each cell reaches. Coordinates are 0 to 2^31 - 1."""
     placed = cells.select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).distinct()
     placed = placed.withColumns({"tx": F.floor(F.col("x") / tile), "ty": F.floor(F.col("y") / tile)})
@@ -148,8 +174,9 @@ def components(cells: DataFrame, steps=AROUND_8, tile: int = TILE) -> DataFrame:
     local = written(placed.groupBy("tx", "ty").applyInPandas(label, "x long, y long, node long"), "tiles")
     edge = ((F.col("x") % tile).isin(0, tile - 1)) | ((F.col("y") % tile).isin(0, tile - 1))
     border = local.where(edge)
-    crossing = adjacent(border, steps, ("node",)).where(F.col("node") != F.col("n_node")).select(F.col("node").alias("u"), F.col("n_node").alias("v"))
-    roots = _stars(crossing)
+    crossing = adjacent(border, steps, ("node",)).where(F.col("node") < F.col("n_node")).select(F.col("node").alias("u"), F.col("n_node").alias("v")).distinct()
+    crossing = written(crossing, "crossing")
+    roots = _joined(crossing) if crossing.count() <= few_pairs else _stars(crossing)
     return local.join(roots, "node", "left").select("x", "y", F.coalesce("root", "node").alias("component"))
 
 
@@ -200,83 +227,133 @@ def fill_holes(cells: DataFrame) -> DataFrame:
     return mine.union(holes).distinct()
 
 
-def _fill_kernel(x: np.ndarray, y: np.ndarray, seed: np.ndarray, steps) -> tuple[np.ndarray, np.ndarray]:
-    """Labels and distances of cells by a queue; seeds enter in row-major order."""
-    where = {(int(a), int(b)): i for i, (a, b) in enumerate(zip(x, y, strict=True))}
-    label, distance = seed.copy(), np.full(len(x), -1, np.int64)
-    starts = [int(i) for i in np.lexsort((x, y)) if seed[i] > 0]
-    distance[starts] = 0
-    queue = deque(starts)
-    while queue:
-        i = queue.popleft()
+NEVER = np.iinfo(np.int64).max
+
+
+def _fill_tile(x: np.ndarray, y: np.ndarray, far: np.ndarray, seed: np.ndarray, steps) -> tuple[np.ndarray, np.ndarray]:
+    """Distances and seed numbers of cells that start with some, spread to all that they reach: the shortest distance,
+    and of the seeds at that distance the least. Cells that are not reached have NEVER."""
+    x0, y0 = x.min() - 1, y.min() - 1
+    spot = np.full((int(y.max() - y0) + 2, int(x.max() - x0) + 2), -1, np.int64)
+    spot[y - y0, x - x0] = np.arange(len(x))
+    far, seed = far.copy(), seed.copy()
+    level = int(far.min())
+    front = np.flatnonzero(far == level)
+    while level != NEVER:
         for dx, dy in steps:
-            j = where.get((int(x[i]) + dx, int(y[i]) + dy))
-            if j is not None and distance[j] < 0:
-                distance[j], label[j] = distance[i] + 1, label[i]
-                queue.append(j)
-    return label, distance
+            near = spot[y[front] - y0 + dy, x[front] - x0 + dx]
+            there = near >= 0
+            to, by = near[there], seed[front[there]]
+            shorter = far[to] > level + 1
+            far[to[shorter]] = level + 1
+            seed[to[shorter]] = NEVER
+            equal = far[to] == level + 1
+            np.minimum.at(seed, to[equal], by[equal])
+        level += 1
+        front = np.flatnonzero(far == level)
+        if not len(front):
+            level = int(far[far > level].min(initial=NEVER))
+            front = np.flatnonzero(far == level)
+    return far, seed
 
 
-def flood(cells: DataFrame, steps=AROUND_8, kernel_cells: int = KERNEL_CELLS) -> DataFrame:
+def flood(cells: DataFrame, steps=AROUND_8, tile: int = TILE) -> DataFrame:
     """(x, y, label, distance): seeds spread over cells; unreached cells have label 0 and distance -1.
 
-    cells: x, y, seed (0: none). Among seeds at equal distance the one that a queue would serve first wins: seeds in
-    row-major order, then neighbours in the order of the steps.
+    cells: x, y (0 to 2^31 - 1), seed (0: none). Among seeds at equal distance the first one in row-major order wins.
+    That is the one that a queue would serve first: it serves cells by distance, and those of a distance in the order
+    of the seeds they came from. Each tile spreads what it has; values beside a border go to the next tile, for as long
+    as they make any cell there nearer, or as near to an earlier seed.
     """
-    cells = cells.select("x", "y", "seed")
-    box = cells.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
-    if box[0] is None:
-        return cells.select("x", "y", F.col("seed").alias("label"), F.lit(-1).cast("long").alias("distance"))
-    if (box[2] - box[0] + 1) * (box[3] - box[1] + 1) <= kernel_cells:
-        kinds = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
-
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            label, distance = _fill_kernel(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["seed"].to_numpy(), steps)
-            return pd.DataFrame({"x": pdf["x"], "y": pdf["y"], "label": label, "distance": distance})
-
-        return cells.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, f"x {kinds['x']}, y {kinds['y']}, label {kinds['seed']}, distance long")  # at most kernel_cells rows
-    return _flood_by_levels(cells, steps)
-
-
-def _flood_by_levels(cells: DataFrame, steps) -> DataFrame:
-    """As flood(), a join a level. A cell's place in the queue is (parent's place, step); places are renumbered by a
-    range-partitioned count, so that no task holds a whole level."""
-    open_ = written(cells.where("seed = 0 or seed is null").select("x", "y"), "open")
-    front = written(cells.where("seed > 0").select("x", "y", F.col("seed").alias("label"), (F.col("y").cast("decimal(38,0)") * (1 << 32) + F.col("x")).alias("place")), "front")
-    done, level = front.select("x", "y", "label", F.lit(0).cast("long").alias("distance")), 0
-    while not front.isEmpty():
-        level += 1
-        reach = neighbours(front, steps, ("label", "place")).select(F.col("nx").alias("x"), F.col("ny").alias("y"), "label", F.struct("place", "k").alias("order"))
-        found = reach.join(open_, ["x", "y"], "left_semi").groupBy("x", "y").agg(F.min_by("label", "order").alias("label"), F.min("order").alias("order"))
-        found = written(found, "level")
-        open_ = written(open_.join(found, ["x", "y"], "left_anti"), "open")
-        front = written(_numbered(found), "front")
-        done = done.union(front.select("x", "y", "label", F.lit(level).cast("long").alias("distance")))
-    rest = open_.select("x", "y", F.lit(0).alias("label"), F.lit(-1).cast("long").alias("distance"))
-    return done.union(rest)
-
-
-def _numbered(found: DataFrame) -> DataFrame:
-    """place: dense number by order, from partition counts and a window within range partitions."""
-    ranged = written(found.repartitionByRange("order").withColumn("part", F.spark_partition_id()), "ranged")
-    sizes = ranged.groupBy("part").count()
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    base = sizes.select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    number = F.row_number().over(Window.partitionBy("part").orderBy("order"))
-    return ranged.withColumn("n", number).join(base, "part").select("x", "y", "label", (F.col("base") + F.col("n")).cast("decimal(38,0)").alias("place"))
-
-
-def nearest_seed(cells: DataFrame, seeds: DataFrame, radius: int) -> DataFrame:
-    """(x, y, label, d2) of the seed nearest to each cell, ties by (y, x); null where none is within the radius."""
-    size = max(1, radius)
-    mine = cells.select("x", "y", F.floor(F.col("x") / size).alias("bx"), F.floor(F.col("y") / size).alias("by"))
-    spread = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)))).alias("s")
-    theirs = seeds.select(F.col("x").alias("sx"), F.col("y").alias("sy"), "label", spread)
-    theirs = theirs.select("sx", "sy", "label", (F.floor(F.col("sx") / size) + F.col("s.dx")).alias("bx"), (F.floor(F.col("sy") / size) + F.col("s.dy")).alias("by"))
-    d2 = (F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")) + (F.col("y") - F.col("sy")) * (F.col("y") - F.col("sy"))
-    near = mine.join(theirs, ["bx", "by"]).withColumn("d2", d2).where(F.col("d2") <= radius * radius)
-    best = near.groupBy("x", "y").agg(F.min(F.struct("d2", "sy", "sx", "label")).alias("m")).select("x", "y", F.col("m.label").alias("label"), F.col("m.d2").alias("d2"))
-    return cells.select("x", "y").join(best, ["x", "y"], "left")
+    kind = cells.schema["seed"].dataType.simpleString()
+    number = F.when(F.col("seed") > 0, F.col("y").cast("long") * (1 << 32) + F.col("x"))
+    now = cells.select("x", "y", "seed", F.when(F.col("seed") > 0, 0).otherwise(NEVER).cast("long").alias("far"), F.coalesce(number, F.lit(NEVER)).alias("by"))
+    kinds = {f.name: f.dataType.simpleString() for f in now.schema.fields}
+    schema = ", ".join(f"{n} {k}" for n, k in kinds.items())
+    halo = now.limit(0).select("x", "y", "far", "by", F.lit(0).cast("long").alias("tx"), F.lit(0).cast("long").alias("ty"))
+
+    def spread(key, own: pd.DataFrame, beside: pd.DataFrame) -> pd.DataFrame:
+        if not len(own):
+            return own[list(kinds)].assign(changed=False)
+        both = pd.concat([own, beside], ignore_index=True)
+        far, by = _fill_tile(both["x"].to_numpy(np.int64), both["y"].to_numpy(np.int64), both["far"].to_numpy(np.int64), both["by"].to_numpy(np.int64), steps)
+        n = len(own)
+        changed = (far[:n] != own["far"].to_numpy()) | (by[:n] != own["by"].to_numpy())
+        return own[list(kinds)].assign(far=far[:n], by=by[:n], changed=changed)
+
+    tiles = {"tx": F.floor(F.col("x") / tile), "ty": F.floor(F.col("y") / tile)}
+    edge = (F.col("x") % tile).isin(0, tile - 1) | (F.col("y") % tile).isin(0, tile - 1)
+    while True:
+        done = now.withColumns(tiles).groupBy("tx", "ty").cogroup(halo.groupBy("tx", "ty")).applyInPandas(spread, f"{schema}, changed boolean")
+        now = written(done, "flood")
+        if now.where(F.col("changed") & edge).isEmpty():
+            break
+        ring = neighbours(now.where(edge & (F.col("far") != NEVER)), AROUND_8, ("far", "by")).select("x", "y", "far", "by", F.floor(F.col("nx") / tile).alias("tx"), F.floor(F.col("ny") / tile).alias("ty"))
+        halo = ring.where((F.col("tx") != F.floor(F.col("x") / tile)) | (F.col("ty") != F.floor(F.col("y") / tile))).distinct()
+        now = now.drop("changed")
+    seeds = now.where("by = y * 4294967296L + x").select(F.col("by").alias("by"), F.col("seed").alias("label"))
+    return now.select("x", "y", "far", "by").join(seeds, "by", "left").select("x", "y", F.coalesce("label", F.lit(0)).cast(kind).alias("label"), F.when(F.col("far") == NEVER, -1).otherwise(F.col("far")).alias("distance"))
+
+
+def nearest_seed(cells: DataFrame, seeds: DataFrame, radius: int | None = None) -> DataFrame:
+    """(x, y, label, d2) of the seed nearest to each cell, ties by the seed's (y, x).
+
+    Null only where there is no seed, or none within a radius if one is given. First each column that has seeds tells
+    its nearest one to each row; then rows look along those, from each cell to both sides as far as it can get nearer.
+    A task holds a column's seeds, and then a band of rows. seeds: x, y, label.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in cells.select("x", "y").schema.fields} | {"label": seeds.schema["label"].dataType.simpleString()}
+    box = cells.agg(F.min("y"), F.max("y")).first()
+    if box[0] is None or seeds.isEmpty():
+        return cells.select("x", "y", F.lit(None).cast(kinds["label"]).alias("label"), F.lit(None).cast("long").alias("d2"))
+    low, high = int(box[0]), int(box[1])
+
+    def column(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("y")
+        at, rows = pdf["y"].to_numpy(np.int64), np.arange(low, high + 1)
+        below = np.clip(np.searchsorted(at, rows), 0, len(at) - 1)
+        above = np.maximum(below - 1, 0)
+        pick = np.where(np.abs(rows - at[above]) <= np.abs(at[below] - rows), above, below)
+        return pd.DataFrame({"x": pdf["x"].iloc[0], "y": rows, "sy": at[pick], "label": pdf["label"].to_numpy()[pick]})
+
+    columns = seeds.select("x", "y", "label").groupBy("x").applyInPandas(column, f"x {kinds['x']}, y long, sy long, label {kinds['label']}")
+
+    def band(key, own: pd.DataFrame, beside: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        by_row = {y: p for y, p in beside.groupby("y")}
+        for y, mine in own.groupby("y"):
+            p = by_row[y].sort_values("x")
+            sx, sy = p["x"].to_numpy(np.int64), p["sy"].to_numpy(np.int64)
+            gap = (sy - y) ** 2
+            x = mine["x"].to_numpy(np.int64)
+            right = np.searchsorted(sx, x)
+            best = np.full((len(x), 3), NEVER)  # d2, sy, sx
+            which = np.full(len(x), -1)
+            for side in (0, 1):
+                live, step = np.arange(len(x)), 0
+                while len(live):
+                    i = right[live] + step if side else right[live] - 1 - step
+                    inside = (i >= 0) & (i < len(sx))
+                    live, i = live[inside], i[inside]
+                    along = (sx[i] - x[live]) ** 2
+                    near = along <= best[live, 0]
+                    live, i, along = live[near], i[near], along[near]
+                    d2 = along + gap[i]
+                    old = best[live]
+                    better = (d2 < old[:, 0]) | ((d2 == old[:, 0]) & ((sy[i] < old[:, 1]) | ((sy[i] == old[:, 1]) & (sx[i] < old[:, 2]))))
+                    best[live[better]] = np.stack([d2, sy[i], sx[i]], axis=1)[better]
+                    which[live[better]] = i[better]
+                    step += 1
+            out.append(mine.assign(label=p["label"].to_numpy()[which], d2=best[:, 0]))
+        return pd.concat(out) if out else own.assign(label=None, d2=None)
+
+    rows = F.floor(F.col("y") / BAND).alias("band")
+    mine = cells.select("x", "y").distinct()
+    found = mine.groupBy(rows).cogroup(columns.join(mine.select("y").distinct(), "y", "left_semi").groupBy(rows)).applyInPandas(band, f"x {kinds['x']}, y {kinds['y']}, label {kinds['label']}, d2 long")
+    if radius is None:
+        return found
+    near = F.col("d2") <= radius * radius
+    return found.select("x", "y", F.when(near, F.col("label")).alias("label"), F.when(near, F.col("d2")).alias("d2"))
 
 
 def seal_kernel(grid: np.ndarray, gaps: bool = True) -> np.ndarray:

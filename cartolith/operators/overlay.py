@@ -145,11 +145,11 @@ def nearest_in_group(points: DataFrame, targets: DataFrame, group: str, key: str
     return best.select(key, F.posexplode("near").alias("p", "m")).select(key, (F.col("p") + 1).alias("place"), F.col("m.id").alias("id"), F.col("m.d2").alias("d2"))
 
 
-def absorb_gaps(cells: DataFrame, territory: DataFrame, reach: int, owner: str = "owner") -> DataFrame:
+def absorb_gaps(cells: DataFrame, territory: DataFrame, reach: int | None = None, owner: str = "owner") -> DataFrame:
     """Owners' cells within a territory, each gap of it (its connected free cells) given whole to the nearest owner.
 
-    Nearest is by the closest pair of cells, ties to the smaller owner; gaps farther than `reach` stay free. Gaps don't
-    wait for each other: a gap goes to an owner of the start.
+    Nearest is by the closest pair of cells, ties to the smaller owner; with a reach, gaps farther than that stay free.
+    Gaps don't wait for each other: a gap goes to an owner of the start.
     """
     from cartolith.operators.grid import components, nearest_seed
 

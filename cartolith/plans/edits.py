@@ -237,7 +237,7 @@ def slice_region(m: Map, stroke: list[tuple[float, float]], country: str, select
     return m
 
 
-def snap_regions(m: Map, country: str, whole: bool, reach: int = 64) -> DataFrame:
+def snap_regions(m: Map, country: str, whole: bool, reach: int | None = None) -> DataFrame:
     """A country's region cells clipped to it and grown over its gaps; without `whole`, to its parts with regions."""
     territory = m.countries.where(F.col("owner") == country).select(*XY)
     mine = m.regions.join(m.region_rows.where(F.col("country_id") == country).select(F.col("id").alias("owner")), "owner", "left_semi")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartolith.functions import colors, text
@@ -31,13 +31,13 @@ def largest_by_color(cells: DataFrame) -> DataFrame:
     return labelled.groupBy("r", "g", "b", "component").count().groupBy("r", "g", "b").agg(F.max("count").alias("largest"))
 
 
-def country_labels(states: DataFrame, known: DataFrame, least: int, opaque: float, reach: int) -> DataFrame:
+def country_labels(states: DataFrame, known: DataFrame, least: int, opaque: float) -> DataFrame:
     """(x, y, id) of foreground cells: palette colours keep their country, edge pixels join the nearest palette cell."""
     front = states.where("not (a < 1 or (r = 0 and g = 0 and b = 0) or (r = 128 and g = 128 and b = 128))")
     found = ft.ids_of_colors(ft.palette(front, least, opaque, largest_by_color(front)), known)
     seeds = front.join(found.select("r", "g", "b", "id"), ["r", "g", "b"]).select(*XY, F.col("id").alias("label"))
     rest = overlay.subtract(front, seeds).select(*XY)
-    near = grid.nearest_seed(rest, seeds, reach).where(F.col("label").isNotNull()).select(*XY, "label")
+    near = grid.nearest_seed(rest, seeds).where(F.col("label").isNotNull()).select(*XY, "label")
     return seeds.union(near).select(*XY, F.col("label").alias("id"))
 
 
@@ -150,14 +150,24 @@ def seeded_faces(found: DataFrame, seeds: DataFrame) -> DataFrame:
     return ft.checked(each, F.col("region") == F.col("other"), "a face has seeds of two regions").select("face", "region")
 
 
-def linework_regions(barrier: DataFrame, seeds: DataFrame, box: tuple[int, int, int, int], least: int, reach: int) -> DataFrame:
-    """(x, y, region): faces with seeds, grown over lines and faces without any within their outline."""
+def linework_regions(barrier: DataFrame, seeds: DataFrame, box: tuple[int, int, int, int], least: int, close: int = 1) -> DataFrame:
+    """(x, y, region): all cells that lines enclose, lines included, given to the nearest face with a seed.
+
+    barrier: x, y of line cells, closed by a square of `close` cells first; seeds: x, y, region; box: x0, y0, x1, y1 of
+    the drawing. What is outside is what can be reached, side by side and free of lines, from the drawing's edge. Faces
+    of fewer than `least` cells, and those without a seed, are given away like lines.
+    """
+    whole = written(grid.box_cells(barrier.sparkSession, *box), "box")
+    if close > 1:
+        drawn = whole.join(barrier.select(*XY).distinct().withColumn("value", F.lit(1)), XY, "left").fillna(0, ["value"])
+        barrier = written(grid.close(drawn, "value", close).where("value = 1").select(*XY), "barrier")
     found = written(faces(barrier, *box, least), "faces")
-    named = found.join(seeded_faces(found, seeds), "face").select(*XY, "region")
-    inside = grid.fill_holes(named.select(*XY))
-    rest = overlay.subtract(inside, named)
-    near = grid.nearest_seed(rest, named.select(*XY, F.col("region").alias("label")), reach).where(F.col("label").isNotNull())
-    return named.union(near.select(*XY, F.col("label").alias("region")))
+    chosen = written(seeded_faces(found, seeds), "seeded")  # by itself, so that no join's condition gets ahead of its checks
+    named = written(found.join(chosen, "face").select(*XY, "region"), "named")
+    inner = grid.enclosed(overlay.subtract(whole, barrier), *box).select(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
+    inside = inner.union(overlay.intersect(barrier, whole).select(*XY)).distinct()
+    near = grid.nearest_seed(overlay.subtract(inside, named), named.select(*XY, F.col("region").alias("label")))
+    return named.union(near.where(F.col("label").isNotNull()).select(*XY, F.col("label").alias("region")))
 
 
 def mask_regions(pixels: DataFrame, known: DataFrame, parent: DataFrame) -> DataFrame:
@@ -210,26 +220,34 @@ def debug_labels(made: DataFrame) -> DataFrame:
     return ft.component_choice(parts).join(spots, "id").select("id", text.without_prefix(F.col("id"), "country-").alias("label"), "parts", "share", "questionable", "x", "y")
 
 
+def photo_cells(owned: DataFrame, pixels: DataFrame, box: tuple[float, float, float, float], size: tuple[int, int], scale: tuple[float, float], shift: tuple[float, float], dark: Column, strokes: DataFrame | None = None) -> DataFrame:
+    """(owner, x, y, value) of owners' cells under a photo: -1 where it is dark or a stroke was drawn, else 0."""
+    value = grid.sampled_image(owned.select(*XY).distinct(), pixels, box, size, scale, shift, dark)
+    value = value if strokes is None else grid.barrier_cells(value, strokes)
+    return owned.select("owner", *XY).join(value, XY)
+
+
 def photo_regions(cells: DataFrame, least: int) -> DataFrame:
     """(owner, x, y, label): regions between the border cells (-1) of each owner's land (0).
 
     Leaks and gaps are sealed, faces labelled, borders given to the face that reaches them first, noise merged. Sealing
-    and merging depend on their order, so an owner's grid is one kernel call.
+    and merging depend on their order, so an owner's grid is one kernel call. For the search of faces and the fill,
+    owners lie in one grid side by side, a column apart, so that all are done at once.
     """
     sealed = written(grid.owned_grid_kernel(cells, "owner", "value", grid.seal_kernel, -999), "sealed")
-    names = ranking.numbered(sealed.select("owner").distinct(), ["owner"], "k")
-    joined = sealed.join(names, "owner").withColumn("gx", F.col("x"))
-    out = None
-    for row in names.orderBy("k").collect():  # one row an owner of one photo session
-        mine = joined.where(F.col("k") == row.k)
-        parts = grid.components(mine.where("value = 0"), grid.AROUND_4)
-        order = ranking.numbered(parts.select("component").distinct(), ["component"], "label")
-        seeds = parts.join(order, "component").select(*XY, F.col("label").cast("int").alias("label"))
-        full = mine.select(*XY).join(seeds, XY, "left").select(*XY, F.coalesce("label", F.lit(0)).alias("seed"))
-        grown = grid.flood(full, grid.AROUND_4).select(F.lit(row.owner).alias("owner"), *XY, "label")
-        merged = grid.owned_grid_kernel(grown, "owner", "label", lambda g: grid.merge_noise_kernel(g, least), 0)
-        out = merged if out is None else out.union(merged)
-    return out
+    bounds = sealed.groupBy("owner").agg(F.min("x").alias("x0"), (F.max("x") - F.min("x") + 2).alias("width"))
+    order = ranking.numbered(bounds, ["owner"], "k")
+    left = F.coalesce(F.sum("width").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row an owner
+    placed = written(sealed.join(order.withColumn("at", left).select("owner", (F.col("at") - F.col("x0")).alias("move")), "owner").withColumn("gx", F.col("x") + F.col("move")), "placed")
+    spots = placed.select("owner", F.col("gx").alias("x"), "y", "value", "move")
+    parts = grid.components(spots.where("value = 0"), grid.AROUND_4)
+    faces_ = parts.select("component").distinct().join(spots.select("owner", (F.col("y").cast("long") * (1 << 32) + F.col("x")).alias("component")), "component")
+    number = F.row_number().over(Window.partitionBy("owner").orderBy("component"))  # a row a face
+    seeds = parts.join(faces_.withColumn("label", number), "component").select(*XY, "label")
+    full = spots.join(seeds, XY, "left").select("owner", *XY, "move", F.coalesce("label", F.lit(0)).alias("seed"))
+    grown = grid.flood(full.select(*XY, "seed"), grid.AROUND_4).join(full.select("owner", *XY, "move"), XY)
+    back = grown.select("owner", (F.col("x") - F.col("move")).cast("int").alias("x"), "y", "label")
+    return grid.owned_grid_kernel(back, "owner", "label", lambda g: grid.merge_noise_kernel(g, least), 0)
 
 
 def border_preview(cells: DataFrame) -> DataFrame:
@@ -300,10 +318,10 @@ def accepted(report: DataFrame, rules: list[tuple[str, Column]], path: str | Non
     return validate.enforce(report.withColumn("failures", validate.failures(rules)), path)
 
 
-def rebuild(pixels: DataFrame, land: DataFrame, known: DataFrame, palette_ids: DataFrame, least: int, opaque: float, reach: int, most: int = 12, tolerance: float = 0.55) -> dict[str, DataFrame]:
+def rebuild(pixels: DataFrame, land: DataFrame, known: DataFrame, palette_ids: DataFrame, least: int, opaque: float, most: int = 12, tolerance: float = 0.55) -> dict[str, DataFrame]:
     """The chain of stages: states, fill, countries, display clip and labels; each stage's cells are written."""
     states = written(with_states(pixels, land), "states")
-    named = country_labels(states, known, least, opaque, reach).join(palette_ids.select("id", "label"), "id").select(*XY, "label")
+    named = country_labels(states, known, least, opaque).join(palette_ids.select("id", "label"), "id").select(*XY, "label")
     fill = fill_countries(states, written(named, "labels"), mode="safe", most=most)
     cells = written(fill.cells.where("label > 0").select(*XY, F.col("label").cast("int").alias("label")), "countries")
     made = country_products(cells, palette_ids, tolerance)

@@ -24,16 +24,16 @@ def test_six_states_of_four_pixels(spark):
         colors.check_colors((1, 1, 1), (1, 1, 1))
 
 
-@pytest.mark.parametrize("kernel_cells", [grid.KERNEL_CELLS, 0])
-def test_barrier_blocks_a_fill(spark, kernel_cells):
+@pytest.mark.parametrize("tile", [512, 3])
+def test_barrier_blocks_a_fill(spark, tile):
     rows = [(x, y, {(0, 2): 1, (6, 2): 2}.get((x, y), 0)) for x in range(7) for y in range(5) if x != 3]
-    got = grid.flood(cells(spark, rows), kernel_cells=kernel_cells).collect()
+    got = grid.flood(cells(spark, rows), tile=tile).collect()
     assert {(r.x, r.label) for r in got} == {(x, 1 if x < 3 else 2) for x in range(7) if x != 3}
 
 
-@pytest.mark.parametrize("kernel_cells", [grid.KERNEL_CELLS, 0])
+@pytest.mark.parametrize("tile", [512, 3])
 @pytest.mark.parametrize("steps", [grid.AROUND_8, grid.AROUND_4])
-def test_fill_is_that_of_a_queue(spark, kernel_cells, steps):
+def test_fill_is_that_of_a_queue(spark, tile, steps):
     rng = random.Random(5)
     land = {(x, y): rng.choice([0] * 9 + [1, 2, 3]) for x in range(8) for y in range(7) if rng.random() < 0.8}
     want, queue = {p: (s, 0) for p, s in land.items() if s}, deque(sorted((p for p, s in land.items() if s), key=lambda p: (p[1], p[0])))
@@ -44,21 +44,52 @@ def test_fill_is_that_of_a_queue(spark, kernel_cells, steps):
             if p in land and p not in want:
                 want[p] = (want[x, y][0], want[x, y][1] + 1)
                 queue.append(p)
-    got = {(r.x, r.y): (r.label, r.distance) for r in grid.flood(cells(spark, [(*p, s) for p, s in land.items()]), steps, kernel_cells).collect()}
+    got = {(r.x, r.y): (r.label, r.distance) for r in grid.flood(cells(spark, [(*p, s) for p, s in land.items()]), steps, tile).collect()}
     assert got == {p: want.get(p, (0, -1)) for p in land}
 
 
-@pytest.mark.parametrize("tile", [3, 512])
-def test_components_do_not_depend_on_tiles(spark, tile):
+@pytest.mark.parametrize(("tile", "few"), [(3, 0), (3, 1000), (512, 1000)])
+def test_components_do_not_depend_on_tiles(spark, tile, few):
     rng = random.Random(2)
     here = [(x, y) for x in range(12) for y in range(12) if rng.random() < 0.45]
-    got = {(r.x, r.y): r.component for r in grid.components(spark.createDataFrame(here, "x int, y int"), grid.AROUND_8, tile).collect()}
+    got = {(r.x, r.y): r.component for r in grid.components(spark.createDataFrame(here, "x int, y int"), grid.AROUND_8, tile, few).collect()}
     for x, y in here:
         near = [(x + dx, y + dy) for dx, dy in grid.AROUND_8 if (x + dx, y + dy) in got]
         assert all(got[p] == got[x, y] for p in near)
     assert all(c == min(b * (1 << 32) + a for (a, b), d in got.items() if d == c) for c in set(got.values()))
 
 
+@pytest.mark.parametrize("far", [9, 400])
+def test_nearest_seeds_are_those_of_brute_force(spark, far):
+    rng = random.Random(far)
+    here = [(rng.randrange(far), rng.randrange(far)) for _ in range(60)]
+    seeds = {(rng.randrange(far), rng.randrange(far)): rng.randrange(1, 5) for _ in range(12)}
+    got = grid.nearest_seed(spark.createDataFrame(here, "x int, y int"), spark.createDataFrame([(*p, v) for p, v in seeds.items()], "x int, y int, label int"))
+    want = {(x, y): min(((x - a) ** 2 + (y - b) ** 2, b, a) for a, b in seeds) for x, y in here}
+    assert {(r.x, r.y): (r.d2, r.label) for r in got.collect()} == {p: (d, seeds[a, b]) for p, (d, b, a) in want.items()}
+
+
+def test_linework_gives_every_enclosed_cell(spark):
+    wall = {(x, y) for x in range(3, 14) for y in range(3, 10) if x in (3, 8, 13) or y in (3, 9)} - {(5, 3)}
+    lines, box = spark.createDataFrame(sorted(wall), "x int, y int"), (0, 0, 16, 12)
+    seeds = spark.createDataFrame([(5, 6, 1), (10, 6, 2)], "x int, y int, region int")
+    with pytest.raises(Exception, match="seed is in no face"):  # the gap lets the outside in
+        extraction.linework_regions(lines, seeds, box, 3).count()
+    got = {(r.x, r.y): r.region for r in extraction.linework_regions(lines, seeds, box, 3, 3).collect()}
+    faces = {(x, y): 1 if x < 8 else 2 for x in range(4, 13) for y in range(4, 9) if x != 8}
+    inside = {(x, y) for x in range(3, 14) for y in range(3, 10)}
+    near = lambda p: min(((p[0] - a) ** 2 + (p[1] - b) ** 2, b, a, v) for (a, b), v in faces.items())[3]
+    assert got == {p: faces.get(p) or near(p) for p in inside}
+
+
+def test_photos_of_several_owners(spark):
+    cells = [(o, x + dx, y, -1 if x == 4 and o == "a" else 0) for o, dx in (("a", 0), ("b", 5), ("c", 2)) for x in range(9) for y in range(4)]
+    got = extraction.photo_regions(spark.createDataFrame(cells, "owner string, x int, y int, value int"), 2).collect()
+    assert {(r.owner, r.x, r.y) for r in got} == {c[:3] for c in cells}
+    assert {o: sorted({r.label for r in got if r.owner == o}) for o in "abc"} == {"a": [1, 2], "b": [1], "c": [1]}
+    assert all(r.label == 1 for r in got if r.owner == "a" and r.x == 4)
+
+
 def test_empty_grids(spark):
     none = spark.createDataFrame([], "x int, y int, seed int")
     assert grid.flood(none).count() == 0
