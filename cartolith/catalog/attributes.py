@@ -60,11 +60,10 @@ def slugs_and_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""WITH RECURSIVE h(id, s, i, v) AS (SELECT p_partkey, p_type, 0, 0::BIGINT FROM part WHERE p_partkey <= 400
- UNION ALL SELECT id, s, i + 1, (v * 31 + ascii(s[i + 1:])) % 4294967296 FROM h WHERE i < length(s))
-SELECT id AS p_partkey, v AS hash, (v % 8)::INT AS slot FROM h WHERE i = length(s)""")
+@query("""SELECT p_partkey, v AS hash, (v % 8)::INT AS slot FROM (SELECT p_partkey,
+ list_reduce(list_prepend(0::BIGINT, list_transform(string_split(p_type, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296) AS v FROM part)""")
 def id_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").where("p_partkey <= 400").select("p_partkey", text.id_hash(F.col("p_type")).alias("hash"), text.color_slot(F.col("p_type")).alias("slot"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.id_hash(F.col("p_type")).alias("hash"), text.color_slot(F.col("p_type")).alias("slot"))
 
 
 @query("""SELECT * FROM (VALUES ('Иудейская Автономия', 'iudeyskaya-avtonomiya'), ('  Щука/Ёж №5 ', 'shchuka-yozh-5'), ('--Объект__2', 'obekt-2'), ('', '')) t(name, slug)""")
@@ -206,16 +205,16 @@ def row_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").cast("long").alias("id"), "name", F.when(F.col("id") == "30", F.col("id").cast("long") % 19 == 0).otherwise(F.col("is_capital")).alias("is_capital"), "is_city")
 
 
-@query("""SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'second' ELSE 'first' END AS side FROM (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_custkey < 60) a
-FULL JOIN (SELECT DISTINCT s_nationkey AS k FROM supplier) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL""")
+@query("""SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'second' ELSE 'first' END AS side FROM (SELECT DISTINCT c_custkey AS k FROM customer) a
+FULL JOIN (SELECT DISTINCT o_custkey * 3 AS k FROM orders) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL""")
 def key_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ft.same_keys(table(spark, sf_dir, "customer").where("c_custkey < 60").select(F.col("c_nationkey").alias("k")), table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")), "k")
+    return ft.same_keys(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), table(spark, sf_dir, "orders").select((F.col("o_custkey") * 3).alias("k")), "k")
 
 
-@query("""SELECT n_nationkey AS id, CASE WHEN s.s_acctbal IS NULL THEN n_regionkey * 1.0 ELSE s.s_acctbal END AS x, s.s_acctbal IS NOT NULL AS overridden FROM nation LEFT JOIN (SELECT s_suppkey, s_acctbal FROM supplier WHERE s_suppkey < 9) s ON s.s_suppkey = n_nationkey""")
+@query("""SELECT n_nationkey AS id, CASE WHEN s.s_acctbal IS NULL THEN n_regionkey * 1.0 ELSE s.s_acctbal END AS x, s.s_acctbal IS NOT NULL AS overridden FROM nation LEFT JOIN (SELECT s_suppkey * 3 AS s_suppkey, s_acctbal FROM supplier) s ON s.s_suppkey = n_nationkey""")
 def optional_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_regionkey").cast("double").alias("x"))
-    return ft.overridden(rows, table(spark, sf_dir, "supplier").where("s_suppkey < 9").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("x")), "id", ["x"])
+    return ft.overridden(rows, table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 3).alias("id"), F.col("s_acctbal").alias("x")), "id", ["x"])
 
 
 @query("""SELECT n_nationkey AS number, CASE n_nationkey WHEN 1 THEN 'Alpha' WHEN 2 THEN 'Beta' WHEN 3 THEN 'Gamma' ELSE n_name END AS name FROM nation""")
@@ -252,3 +251,130 @@ def geojson_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     geojson.write_collection(geojson.feature_lines(rows, geojson.geometry_json("Point", F.col("p")), ["kind", "name", "stored"]), path)
     read = geojson.points(geojson.properties(geojson.read_features(spark, path).drop("id", "type"), "id string, kind string, name string, stored string"))
     return read.select(F.col("id").cast("long").alias("id"), "kind", "x", "y", "name", geojson.preference(F.col("stored"), ["light", "dark"], "light").alias("scheme"))
+
+
+@query(f"""WITH {_CITY} SELECT id, rank FROM city WHERE type = 'city' AND rank <> 'hamlet' AND population IS NOT NULL""")
+def strict_city_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _cities(spark, sf_dir)
+    sound = c.where(ft.valid_city({n: F.col(n) for n in ("id", "name", "type", "rank", "population", "x", "y")}))
+    return ft.strict_cities(sound).select("id", "rank")
+
+
+def _two_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each box as a polygon, and a small one beside it."""
+    k = F.col("id")
+    ring = lambda x0, y0, x1, y1: F.array(g.point(x0, y0), g.point(x1, y0), g.point(x1, y1), g.point(x0, y1), g.point(x0, y0))
+    small = ring(F.lit(900), F.lit(900), 901 + k % 3, F.lit(901))
+    return fx.boxes(spark, sf_dir).select(k, F.array(F.array(ring(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))), F.array(small)).alias("shape"))
+
+
+@query(f"""WITH {fx.BOXES} SELECT id, (1 + (1 + id % 3 >= 2)::INT)::INT AS parts, CASE WHEN 1 + id % 3 >= 2 THEN 'MultiPolygon' ELSE 'Polygon' END AS kind, (1 + (1 + id % 3 >= 2)::INT)::INT AS lines,
+ ((x1 - x0) * (y1 - y0) + CASE WHEN 1 + id % 3 >= 2 THEN 1 + id % 3 ELSE 0 END)::DOUBLE AS area FROM boxes""")
+def parts_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = _two_parts(spark, sf_dir).withColumn("shape", g.without_small_parts(F.col("shape"), 2.0))
+    shape = F.col("shape")
+    return kept.select("id", F.size(shape).alias("parts"), g.shape_type(shape).alias("kind"), F.size(g.outline(shape)).alias("lines"), g.area(shape).alias("area"))
+
+
+@query(f"""WITH {fx.BOXES} SELECT id, (id % 5) * 0.01 <= 0.02 AS same FROM boxes""")
+def matching_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    box = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
+    off = (F.col("id") % 5) * 0.01
+    return fx.boxes(spark, sf_dir).select("id", g.bounds_match(F.array(*(c * 0 for c in box)), F.array(*(c * 0 + off for c in box)), 0.02).alias("same"))
+
+
+@query(f"""WITH {fx.BOXES} SELECT id, round(least(greatest(x0, 0), 1925) / 1925 * 359.998 - 179.999, 6) AS x0, round(least(greatest(x1, 0), 1925) / 1925 * 359.998 - 179.999, 6) AS x1,
+ round(degrees(atan((exp(-z1) - exp(z1)) / 2)), 6) AS y0, round(degrees(atan((exp(-z0) - exp(z0)) / 2)), 6) AS y1
+FROM (SELECT *, radians((y0 / 1080.0 - 0.5) * (359.998 * (1080.0 / 1925.0))) AS z0, radians((y1 / 1080.0 - 0.5) * (359.998 * (1080.0 / 1925.0))) AS z1 FROM boxes)""")
+def shapes_on_the_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = fx.box_shapes(spark, sf_dir).select("id", g.bbox(g.map_multipolygon(F.col("shape"), lambda x, y: g.world_to_map(x, y))).alias("b"))
+    return moved.select("id", *(F.round(f"b.{c}", 6).alias(c) for c in ("x0", "y0", "x1", "y1")))
+
+
+@query("""WITH h AS (SELECT s_suppkey AS id, s_suppkey % 9 / 4.0 AS f, s_suppkey * 13 % 200 AS l, s_suppkey * 7 % 90 AS t, 5 + s_suppkey % 60 AS w, 4 + s_suppkey % 45 AS h FROM supplier),
+ s AS (SELECT *, greatest(10, floor(w * f + 0.5)) AS sw, greatest(10, floor(h * f + 0.5)) AS sh FROM h)
+SELECT id, floor(l + (w - sw) / 2 + 0.5)::BIGINT AS "left", floor(t + (h - sh) / 2 + 0.5)::BIGINT AS top, sw::BIGINT AS width, sh::BIGINT AS height FROM s""")
+def scaled_overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    box = g.scaled_overlay(k * 13 % 200, k * 7 % 90, 5 + k % 60, 4 + k % 45, k % 9 / 4.0)
+    return table(spark, sf_dir, "supplier").select(k.alias("id"), box.alias("b")).select("id", *(F.col(f"b.{c}").cast("long").alias(c) for c in ("left", "top", "width", "height")))
+
+
+@query(f"""WITH {fx.BOXES}, h AS (SELECT id, sha256('[[[' || '{{"x":' || x0::DOUBLE || ',"y":' || y0::DOUBLE || '}},{{"x":' || x1::DOUBLE || ',"y":' || y0::DOUBLE || '}},{{"x":' || x1::DOUBLE || ',"y":' || y1::DOUBLE || '}},{{"x":' || x0::DOUBLE || ',"y":' || y1::DOUBLE || '}},{{"x":' || x0::DOUBLE || ',"y":' || y0::DOUBLE || '}}' || ']]]') AS hash FROM boxes)
+SELECT count(*) AS shapes, min(hash) AS first, sha256(string_agg(hash, '' ORDER BY id)) AS combined FROM h""")
+def hashes_of_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = ft.shape_hashes(fx.box_shapes(spark, sf_dir))
+    return row.select(F.size("hashes").cast("long").alias("shapes"), F.array_min(F.map_values("hashes")).alias("first"), "combined")
+
+
+@query("""WITH r AS (SELECT s_suppkey::VARCHAR AS id, s_name AS name, s_nationkey AS country_id FROM supplier), n AS (SELECT CASE WHEN id = '3' THEN 'x-3' ELSE id END AS id, name, country_id FROM r)
+SELECT 'region' AS kind, id, name FROM n WHERE country_id <> 4 UNION ALL SELECT 'region', 'new-' || c_custkey, c_name FROM customer WHERE c_nationkey = 4
+UNION ALL SELECT 'label', CASE WHEN id = '3' THEN 'x-3' ELSE id END, CASE WHEN id = '5' THEN '7.0' ELSE '1.0' END FROM r UNION ALL SELECT 'border', CASE WHEN id = '3' THEN 'x-3' ELSE id END, '' FROM r""")
+def region_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key changed in three tables (and not changed to one that is taken), a label moved, a country's regions replaced."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").cast("string").alias("country_id"))
+    labels, borders = rows.select("id", F.lit(1.0).alias("x"), F.lit(2.0).alias("y")), rows.select(F.col("id").alias("region_id"))
+    regions, labels, borders = ft.rekey(*ft.rekey(rows, labels, borders, "3", " x-3 "), "2", "4")
+    fresh = table(spark, sf_dir, "customer").where("c_nationkey = 4").select(F.concat(F.lit("new-"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("name"), F.lit("4").alias("country_id"))
+    regions = ft.replace_regions(regions, "4", fresh)
+    moved = ft.move_label(labels, "5", 7.0, 8.0).select(F.lit("label").alias("kind"), "id", F.col("x").cast("string").alias("name"))
+    return regions.select(F.lit("region").alias("kind"), "id", "name").union(moved).union(borders.select(F.lit("border").alias("kind"), F.col("region_id").alias("id"), F.lit("").alias("name")))
+
+
+@query("""SELECT c_nationkey, c_custkey, round(c_acctbal, 2) AS size FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 1 OFFSET 6""")
+def seventh_largest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.kth_largest(table(spark, sf_dir, "customer"), 7, "c_acctbal", "c_custkey").select("c_nationkey", "c_custkey", F.round("c_acctbal", 2).alias("size"))
+
+
+@query("""WITH t AS (SELECT c_custkey AS id, 'country-' || lpad((c_custkey % 30)::VARCHAR, 3, '0') AS cid, c_custkey % 3 = 0 AS cap, c_nationkey AS rk FROM customer),
+ known AS (SELECT * FROM (VALUES ('country-002', 5), ('country-004', 7), ('country-005', 4), ('country-006', 1), ('country-007', 6), ('country-008', 3), ('country-009', 0), ('country-010', 5),
+ ('country-011', 2), ('country-012', 7), ('country-013', 5), ('country-014', 1), ('country-015', 6), ('country-016', 4), ('country-017', 0), ('country-018', 5), ('country-019', 2), ('country-020', 7),
+ ('country-021', 4), ('country-022', 1), ('country-023', 6), ('country-024', 2), ('country-025', 0)) k(kid, slot))
+SELECT id, CASE WHEN cap THEN 0 ELSE rk END::INT AS draw, coalesce(CASE WHEN id % 7 = 0 THEN 3 END, slot, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(cid, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296) % 8)::INT AS slot,
+ id::VARCHAR || chr(10) || cid AS label, replace('a/' || id, '/', '-') AS path, replace(format('{:,}', id * 12345), ',', chr(160)) AS big FROM t LEFT JOIN known ON kid = cid""")
+def display_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    cid = F.concat(F.lit("country-"), text.padded(k % 30, 3))
+    return table(spark, sf_dir, "customer").select(
+        k.alias("id"), ft.draw_order(k % 3 == 0, F.col("c_nationkey")).cast("int").alias("draw"), ft.theme_slot(F.when(k % 7 == 0, 3), cid).alias("slot"),
+        text.numbered_label(k, cid).alias("label"), text.path_safe(F.concat(F.lit("a/"), k.cast("string"))).alias("path"), text.grouped_number(k * 12345).alias("big"),
+    )
+
+
+@query(f"""WITH {fx.GRID}, t AS (SELECT k, r, g + k % 90 AS g, b + k % 70 AS b FROM grid)
+SELECT k, r < 120 AND g > r + 18 AND b > r + 18 AND abs(g - b) < 45 AND g < 190 AND b < 190 AND r + g + b > 60 AS teal, 0.299 * r + 0.587 * g + 0.114 * b < 100.05 AND NOT (b > r + 16 AND g > r + 10) AS border,
+ CASE WHEN k % 5 = 0 THEN 255 WHEN k % 2 = 0 THEN floor(floor(r * 0.72) * 0.78 + 205 * 0.22) ELSE floor(r * 0.72) END::INT AS preview, r FROM t""")
+def drawn_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("k")
+    px = fx.grid(spark, sf_dir).select("k", "r", (F.col("g") + k % 90).alias("g"), (F.col("b") + k % 70).alias("b"))
+    back = F.get(colors.parse_rgb_key(colors.rgb_key()), F.lit(0))
+    return px.select("k", colors.is_teal_boundary().alias("teal"), colors.is_border_pixel(100.05).alias("border"), colors.preview_color(k % 2 == 0, k % 5 == 0, F.col("r")).alias("preview"), back.alias("r"))
+
+
+@query("""SELECT k AS id, list_filter(['regions are not mostly inside the territory', 'contour IoU is below the minimum', 'regions meet an overseas part', 'regions meet another country', 'regions overlap', 'labels are outside their regions', 'shapes are invalid'],
+ lambda s: (s[-9:] = 'territory' AND k % 10 / 10.0 < 0.3) OR (s[1:1] = 'c' AND k % 7 / 7.0 < 0.5) OR (s[-4:] = 'part' AND k % 5 > 2) OR (s[-7:] = 'country' AND k % 4 > 1) OR (s = 'regions overlap' AND k % 3 > 0) OR (s[1:1] = 'l' AND k % 2 <> 0) OR (s[1:1] = 's' AND k % 6 <> 0)) AS failures
+FROM (SELECT s_suppkey AS k FROM supplier)""")
+def placement_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    values = (k % 10 / 10.0, k % 7 / 7.0, (k % 5).cast("double"), (k % 4).cast("double"), (k % 3).cast("double"), k % 2, k % 6)
+    report = table(spark, sf_dir, "supplier").select(k.alias("id"), *(v.alias(n) for v, n in zip(values, validate.PLACEMENT, strict=True)))
+    return validate.placement_gate(report, 0.3, 0.5, 2.0, 1.0).select("id", "failures")
+
+
+@query("""SELECT count(*) AS n FROM supplier""")
+def guarded_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many labels as expected, none of them on a boundary, one for each feature."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.lit(0.5).alias("clearance"))
+    sound = validate.clearance_guard(rows)
+    odd = validate.one_label_each(rows, sound.select("id"))
+    return validate.expected_count(sound.join(odd.select("id"), "id", "left_anti"), rows.count())
+
+
+@query("""SELECT user_id, i::INT AS i, x, y FROM (SELECT user_id, generate_subscripts(p, 1) - 1 AS i, unnest(p).x AS x, unnest(p).y AS y FROM (SELECT user_id, [{'x': 0.0, 'y': 0.0}, {'x': (user_id % 9 + 1)::DOUBLE, 'y': (user_id % 9 + 1)::DOUBLE}, {'x': (user_id % 9 + 6)::DOUBLE, 'y': (user_id % 9 + 1)::DOUBLE}] AS p FROM (SELECT DISTINCT user_id FROM events)))""")
+def snapped_strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cartolith.operators import shapes
+
+    k = F.col("user_id") % 9 + 1
+    points = F.array(g.point(F.lit(0.2), F.lit(-0.4)), g.point(k + 0.3, k - 0.5), g.point(k + 2.0, k + 0.1), g.point(k + 5.4, k + 0.49))
+    lines = shapes.grid_lines(table(spark, sf_dir, "events").select("user_id").distinct().select("user_id", points.alias("points")), "user_id")
+    return lines.select("user_id", F.posexplode("line").alias("i", "p")).select("user_id", "i", "p.x", "p.y")
