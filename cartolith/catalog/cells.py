@@ -25,7 +25,7 @@ FROM (SELECT x, y, min(c) AS component FROM c GROUP BY x, y) GROUP BY component"
 
 
 def _components(spark: SparkSession, sf_dir: str, steps) -> DataFrame:
-    found = grid.component_stats(grid.components(fx.grid(spark, sf_dir).where("land"), steps, tile=64))
+    found = grid.component_stats(grid.components(fx.grid(spark, sf_dir).where("land"), steps))
     return found.withColumns({"cx": F.round("cx", 6), "cy": F.round("cy", 6)})
 
 
@@ -150,12 +150,199 @@ def nearest_three(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlay.nearest_in_group(fx.spots(spark, sf_dir), targets, "nation", k=3)
 
 
-@query(f"""WITH {fx.GRID}, s AS (SELECT x AS sx, y AS sy, label FROM grid WHERE noise < 60) SELECT x, y, arg_min(label, (d, sy, sx)) AS label, min(d) AS d2
-FROM (SELECT g.x, g.y, s.*, (g.x - sx) * (g.x - sx) + (g.y - sy) * (g.y - sy) AS d FROM grid g JOIN s ON sx BETWEEN g.x - 6 AND g.x + 6 AND sy BETWEEN g.y - 6 AND g.y + 6 WHERE noise % 3 = 0) WHERE d <= 36 GROUP BY x, y""")
+@query(f"""WITH {fx.GRID}, s AS (SELECT x AS sx, y AS sy, label FROM grid WHERE noise < 20) SELECT x, y, arg_min(label, (d, sy, sx)) AS label, min(d) AS d2
+FROM (SELECT g.x, g.y, s.*, (g.x - sx) * (g.x - sx) + (g.y - sy) * (g.y - sy) AS d FROM grid g, s) GROUP BY x, y""")
 def nearest_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = fx.grid(spark, sf_dir)
-    found = grid.nearest_seed(cells.where("noise % 3 = 0").select("x", "y"), cells.where("noise < 60").select("x", "y", "label"), 6)
-    return found.where(F.col("label").isNotNull())
+    return grid.nearest_seed(cells.select("x", "y"), cells.where("noise < 20").select("x", "y", "label"))
+
+
+_LABEL_CELLS = "l AS (SELECT x, y, CASE WHEN k % 23 = 0 THEN label ELSE 0 END AS seed FROM grid WHERE land)"
+
+
+@query(f"""WITH RECURSIVE {fx.GRID}, {_LABEL_CELLS}, e AS (SELECT l.x, l.y, m.x AS nx, m.y AS ny FROM l, {_AROUND}, l m WHERE m.x = l.x + o.dx AND m.y = l.y + o.dy),
+d(x, y, d) AS (SELECT x, y, 0 FROM l WHERE seed > 0 UNION SELECT e.nx, e.ny, d.d + 1 FROM d JOIN e ON e.x = d.x AND e.y = d.y WHERE d.d < 80), f AS (SELECT x, y, min(d) AS d FROM d GROUP BY x, y),
+c(x, y, d, src) AS (SELECT x, y, 0, y * 4294967296 + x FROM l WHERE seed > 0 UNION SELECT f.x, f.y, f.d, c.src FROM c JOIN e ON e.x = c.x AND e.y = c.y JOIN f ON f.x = e.nx AND f.y = e.ny AND f.d = c.d + 1),
+w AS (SELECT x, y, min(d) AS d, min(src) AS src FROM c GROUP BY x, y)
+SELECT coalesce(s.seed, 0) AS label, count(*) AS cells, max(coalesce(w.d, -1))::BIGINT AS farthest FROM l LEFT JOIN w USING (x, y) LEFT JOIN l s ON w.src = s.y * 4294967296 + s.x GROUP BY 1""")
+def flood_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = fx.grid(spark, sf_dir).where("land").select("x", "y", F.when(F.col("k") % 23 == 0, F.col("label")).otherwise(0).alias("seed"))
+    return grid.flood(cells).groupBy("label").agg(F.count(F.lit(1)).alias("cells"), F.max("distance").alias("farthest"))
+
+
+def _box_sql(name: str, source: str, size: int, f: str) -> str:
+    """f of v over a square of a grid (x, y, v)."""
+    r = size // 2
+    return f"{name} AS (SELECT a.x, a.y, {f}(n.v) AS v FROM {source} a, range(-{r}, {r + 1}) i(dx), range(-{r}, {r + 1}) j(dy), {source} n WHERE n.x = a.x + dx AND n.y = a.y + dy GROUP BY a.x, a.y)"
+
+
+def _edges_sql(name: str, source: str) -> str:
+    hi, lo = _box_sql(f"{name}h", source, 3, "max"), _box_sql(f"{name}l", source, 3, "min")
+    return f"{hi}, {lo}, {name} AS (SELECT x, y, h.v - l.v AS v FROM {name}h h JOIN {name}l l USING (x, y))"
+
+
+@query(f"""WITH {fx.GRID}, a AS (SELECT x, y, (x BETWEEN 20 AND 80)::INT AS v FROM grid), b AS (SELECT x, y, (x BETWEEN 23 AND 83)::INT AS v FROM grid),
+{_edges_sql("ea", "a")}, {_edges_sql("eb", "b")}, {_box_sql("wa", "ea", 5, "max")}, {_box_sql("wb", "eb", 5, "max")},
+p AS (SELECT sum(w.v)::DOUBLE / count(*) AS p FROM ea e JOIN wb w USING (x, y) WHERE e.v = 1), r AS (SELECT sum(w.v)::DOUBLE / count(*) AS r FROM eb e JOIN wa w USING (x, y) WHERE e.v = 1)
+SELECT (SELECT count(*) FILTER (a.v = 1 AND b.v = 1)::DOUBLE / count(*) FILTER (a.v = 1 OR b.v = 1) FROM a JOIN b USING (x, y)) AS iou, p AS boundary_precision, r AS boundary_recall, 2 * p * r / greatest(1e-12, p + r) AS boundary_f FROM p, r""")
+def boundary_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = fx.grid(spark, sf_dir)
+    first, second = (cells.select("x", "y", F.col("x").between(a, a + 60).cast("int").alias("value")) for a in (20, 23))
+    return overlay.boundary_metrics(first, second, 5)
+
+
+@query(f"""WITH {fx.GRID} SELECT x, y, min(bar) AS value FROM (SELECT g.x, g.y, CASE WHEN p.noise < 60 THEN -1 ELSE 0 END AS bar FROM grid g, range(-1, 2) i(dx), range(-1, 2) j(dy), grid p
+ WHERE g.x < 100 AND p.x = floor((g.x + 0.5) / 100 * 150) + dx AND p.y = g.y + dy UNION ALL SELECT x, y, 0 FROM grid UNION ALL SELECT x, y, -1 FROM grid WHERE y = 3 AND x BETWEEN 2 AND 60) GROUP BY x, y""")
+def photo_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of one owner under a photo that lies over the first 100 columns, and under a stroke."""
+    from cartolith.plans import extraction
+
+    cells = fx.grid(spark, sf_dir)
+    height = (cells.agg(F.max("y")).first()[0] or 0) + 1
+    owned = cells.select(F.lit("a").alias("owner"), "x", "y")
+    stroke = spark.createDataFrame([([(2.5, 3.5), (60.5, 3.5)],)], "points array<struct<x:double,y:double>>")
+    found = extraction.photo_cells(owned, cells.select("x", "y", "noise"), (0.0, 0.0, 100.0, float(height)), (150, height), (1.0, 1.0), (0.0, 0.0), F.col("noise") < 60, stroke)
+    return found.select("x", "y", "value")
+
+
+@query(f"""WITH {fx.GRID}, p AS (SELECT x, y, k, CASE WHEN noise % 3 = 0 THEN 200 WHEN noise % 3 = 1 THEN 128 ELSE k % 256 END AS r, CASE WHEN noise % 3 = 0 THEN 0 WHEN noise % 3 = 1 THEN 128 ELSE 20 END AS g, CASE WHEN noise % 3 = 0 THEN 40 WHEN noise % 3 = 1 THEN 128 ELSE 20 END AS b FROM grid),
+d AS (SELECT *, (r-200)*(r-200)+g*g+(b-40)*(b-40) AS d1, (r-128)*(r-128)+(g-128)*(g-128)+(b-128)*(b-128) AS d2, x BETWEEN 10 AND 90 AND y >= 2 AS area FROM p)
+SELECT x, y, CASE WHEN area AND least(d1, d2) <= 3200 AND d1 <= d2 THEN 128 ELSE r END AS r, CASE WHEN area AND least(d1, d2) <= 3200 AND d1 <= d2 THEN 128 ELSE g END AS g FROM d""")
+def transferred_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cartolith.plans import extraction
+
+    mask = _mask_pixels(spark, sf_dir)
+    return extraction.transfer_pixels(mask, mask.where("x between 10 and 90 and y >= 2"), (200, 0, 40), (128, 128, 128), most_foreign=1 << 40, share=1.0).select("x", "y", "r", "g")
+
+
+def _mask_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("noise") % 3
+    return fx.grid(spark, sf_dir).select("x", "y", *(F.when(kind == 0, a).when(kind == 1, 128).otherwise(b).alias(c) for c, a, b in (("r", 200, F.col("k") % 256), ("g", 0, F.lit(20)), ("b", 40, F.lit(20)))))
+
+
+@query(f"""WITH {fx.GRID}, p AS (SELECT x, y, CASE WHEN noise % 3 = 0 THEN 200 WHEN noise % 3 = 1 THEN 128 ELSE k % 256 END AS r, CASE WHEN noise % 3 = 0 THEN 0 WHEN noise % 3 = 1 THEN 128 ELSE 20 END AS g, CASE WHEN noise % 3 = 0 THEN 40 WHEN noise % 3 = 1 THEN 128 ELSE 20 END AS b FROM grid)
+SELECT r, g, b, count(*) AS n FROM p WHERE x BETWEEN 10 AND 90 AND least((r-200)*(r-200)+g*g+(b-40)*(b-40), (r-128)*(r-128)+(g-128)*(g-128)+(b-128)*(b-128)) > 3200 GROUP BY ALL ORDER BY n DESC, r, g, b LIMIT 8""")
+def commonest_foreign_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cartolith.plans import extraction
+
+    mask = _mask_pixels(spark, sf_dir)
+    return extraction.foreign_colors(mask, mask.where("x between 10 and 90"), (200, 0, 40), (128, 128, 128))
+
+
+_PAINT = "paint AS (SELECT x, y, CASE WHEN x BETWEEN 40 AND 44 AND y BETWEEN 2 AND 6 THEN 9 WHEN land THEN label ELSE 0 END AS r FROM grid)"
+
+
+@query(f"""WITH {fx.GRID}, {_PAINT} SELECT x, y, CASE WHEN r = 9 THEN 77 ELSE r END AS r FROM paint""")
+def corrected_component(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cartolith.plans import extraction
+
+    mask = _paint(spark, sf_dir).withColumns({"g": F.lit(0), "b": F.lit(0)})
+    return extraction.correct_component(mask, (9, 0, 0), (42, 4), (40, 2, 44, 6), (77, 0, 0)).select("x", "y", "r")
+
+
+def _paint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    special = F.col("x").between(40, 44) & F.col("y").between(2, 6)
+    return fx.grid(spark, sf_dir).select("x", "y", F.when(special, 9).when(F.col("land"), F.col("label")).otherwise(0).alias("r"))
+
+
+@query(f"""WITH RECURSIVE {fx.GRID}, {_PAINT}, e AS (SELECT a.x, a.y, b.x AS nx, b.y AS ny FROM paint a, {_AROUND}, paint b WHERE b.x = a.x + o.dx AND b.y = a.y + o.dy AND a.r = b.r AND a.r > 0),
+c(x, y, c) AS (SELECT x, y, y::BIGINT * 4294967296 + x FROM paint WHERE r > 0 UNION SELECT e.nx, e.ny, c.c FROM c JOIN e USING (x, y)), m AS (SELECT x, y, min(c) AS c FROM c GROUP BY x, y)
+SELECT r, max(n) AS largest FROM (SELECT r, c, count(*) AS n FROM m JOIN paint USING (x, y) GROUP BY r, c) GROUP BY r""")
+def largest_of_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cartolith.plans import extraction
+
+    return extraction.largest_by_color(_paint(spark, sf_dir).where("r > 0").withColumns({"g": F.lit(0), "b": F.lit(0)})).select("r", "largest")
+
+
+def _corner_sql(labels: str) -> str:
+    """Figures of outlines from cells alone: each label's cells at each grid point tell its corners; hulls are parts
+    that hang together side by side, and holes follow from hulls less the Euler number."""
+    return f"""q AS (SELECT label, x + i AS vx, y + j AS vy, count(*) AS n, sum(CASE WHEN i = j THEN 1 ELSE 10 END) AS kind FROM {labels}, range(0, 2) a(i), range(0, 2) b(j) GROUP BY ALL),
+z AS (SELECT label, count(*) FILTER (n = 1) AS n1, count(*) FILTER (n = 3) AS n3, count(*) FILTER (n = 2 AND kind IN (2, 20)) AS nd FROM q GROUP BY label),
+e AS (SELECT a.x, a.y, b.x AS nx, b.y AS ny FROM {labels} a, {_SIDE}, {labels} b WHERE b.x = a.x + o.dx AND b.y = a.y + o.dy AND a.label = b.label),
+c(x, y, c) AS (SELECT x, y, y::BIGINT * 4294967296 + x FROM {labels} UNION SELECT e.nx, e.ny, c.c FROM c JOIN e USING (x, y)), m AS (SELECT x, y, min(c) AS c FROM c GROUP BY x, y),
+h AS (SELECT label, count(DISTINCT c) AS hulls FROM m JOIN {labels} USING (x, y) GROUP BY label),
+f AS (SELECT label, hulls, hulls - (n1 - n3 + 2 * nd) // 4 AS holes, n1 + n3 + 2 * nd AS corners FROM z JOIN h USING (label))"""
+
+
+_LAND = "labels AS (SELECT x, y, label FROM grid WHERE land)"
+
+
+@query(f"""WITH RECURSIVE {fx.GRID}, {_LAND}, {_corner_sql("labels")}, t AS (SELECT DISTINCT least(a.label, b.label) AS a, greatest(a.label, b.label) AS b FROM labels a, {_SIDE}, labels b WHERE b.x = a.x + o.dx AND b.y = a.y + o.dy AND a.label <> b.label)
+SELECT sum(hulls + holes)::BIGINT AS rings, sum(holes)::BIGINT AS holes, sum(corners + hulls + holes)::BIGINT AS vertices, 0::BIGINT AS "open", 0::BIGINT AS repeated, 0::BIGINT AS flat, sum(hulls)::BIGINT AS components,
+ (SELECT count(*) FROM labels)::DOUBLE AS vector_area, (SELECT count(*) FROM t) AS shared_pairs, (SELECT count(*) FROM labels) AS cells, 0.0::DOUBLE AS area_delta FROM f""")
+def topology_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cartolith.plans import extraction
+
+    labels = fx.grid(spark, sf_dir).where("land").select("x", "y", "label")
+    ids = spark.range(1, 6).select(F.col("id").cast("int").alias("label"), F.format_string("country-%03d", "id").alias("id"), F.lit(1).alias("r"), F.lit(2).alias("g"), F.lit(3).alias("b"))
+    made = extraction.country_products(labels, ids, 0.0)
+    return extraction.topology_report(made.shapes, labels, made.arcs)
+
+
+@query(f"""WITH RECURSIVE {fx.GRID}, labels AS (SELECT x, y, 1 AS label FROM grid WHERE r = 128), {_corner_sql("labels")}
+SELECT 'unclaimed-001' AS id, 'unclaimed' AS type, [128, 128, 128] AS rgb, hulls AS polygon_count, holes AS hole_count FROM f""")
+def unclaimed_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cartolith.plans import extraction
+
+    made = extraction.unclaimed_product(fx.grid(spark, sf_dir).where("r = 128"))
+    return made.select("id", "type", "rgb", F.col("polygon_count").cast("long").alias("polygon_count"), F.col("hole_count").cast("long").alias("hole_count"))
+
+
+@query(f"""WITH {fx.GRID}, l AS (SELECT x, y FROM grid WHERE land), e AS (SELECT 'v' AS t, x, y FROM l UNION ALL SELECT 'v', x + 1, y FROM l UNION ALL SELECT 'h', x, y FROM l UNION ALL SELECT 'h', x, y + 1 FROM l)
+SELECT (SELECT count(*) FROM l)::DOUBLE AS area, (SELECT count(*) FROM (SELECT t, x, y FROM e GROUP BY ALL HAVING count(*) = 1))::DOUBLE AS coast""")
+def land_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cartolith.plans import extraction
+
+    shapes_, lines = extraction.land_products(fx.grid(spark, sf_dir).where("land"), 0.0)
+    length = g._fold_pairs(F.col("points"), F.lit(0.0), lambda s, x0, y0, x1, y1: s + F.abs(x1 - x0) + F.abs(y1 - y0))
+    return shapes_.agg(F.sum(g.area(F.col("shape"))).alias("area")).join(lines.agg(F.sum(length).alias("coast")))  # one row each
+
+
+@query(f"""WITH RECURSIVE {fx.GRID}, l AS (SELECT x, y FROM grid WHERE r - b > 60 AND noise < 600), e AS (SELECT l.x, l.y, m.x AS nx, m.y AS ny FROM l, {_AROUND}, l m WHERE m.x = l.x + o.dx AND m.y = l.y + o.dy),
+c(x, y, c) AS (SELECT x, y, y::BIGINT * 4294967296 + x FROM l UNION SELECT e.nx, e.ny, c.c FROM c JOIN e USING (x, y)), m AS (SELECT x, y, min(c) AS c FROM c GROUP BY x, y) SELECT x, y FROM m WHERE c IN (SELECT c FROM m GROUP BY c HAVING count(*) >= 3)""")
+def land_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cartolith.plans import extraction
+
+    pixels = fx.grid(spark, sf_dir).withColumn("r", F.when(F.col("noise") < 600, F.col("r")).otherwise(0))
+    return extraction.silhouette(pixels, 60, 1, 3).select(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
+
+
+#: Walls over the whole grid, with doors where the noise is low.
+_WALLS = "walls AS (SELECT x, y FROM grid WHERE (x % 15 = 7 OR y % 9 = 4) AND x BETWEEN 7 AND 142 AND y >= 4 AND y <= (SELECT max(y) FROM grid) - (1 + ((SELECT max(y) FROM grid) - 5) % 9))"
+
+
+def _walls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, tuple[int, int, int, int]]:
+    """Line cells of a grid of rooms, and the drawing's box."""
+    cells = fx.grid(spark, sf_dir)
+    top = cells.agg(F.max("y")).first()[0] or 0
+    last = top - (1 + (top - 5) % 9)
+    return cells.where(((F.col("x") % 15 == 7) | (F.col("y") % 9 == 4)) & F.col("x").between(7, 142) & (F.col("y") >= 4) & (F.col("y") <= last)).select("x", "y"), (0, 0, 149, top)
+
+
+@query(f"""WITH {fx.GRID}, {_WALLS}, b AS (SELECT max(y) AS last FROM walls), room AS (SELECT (x - 7) // 15 AS i, (y - 4) // 9 AS j, x, y FROM grid, b WHERE x > 7 AND x < 142 AND x % 15 <> 7 AND y > 4 AND y < last AND y % 9 <> 4),
+ n AS (SELECT i, j, row_number() OVER (ORDER BY j, i) AS face FROM (SELECT DISTINCT i, j FROM room)) SELECT face::INT AS face, count(*) AS area, min(x) AS x, min(y) AS y FROM room JOIN n USING (i, j) GROUP BY face""")
+def faces_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cartolith.plans import extraction
+
+    barrier, box = _walls(spark, sf_dir)
+    return extraction.faces(barrier, *box, 5).groupBy("face").agg(F.count(F.lit(1)).alias("area"), F.min("x").cast("int").alias("x"), F.min("y").cast("int").alias("y"))
+
+
+@query(f"""WITH {fx.GRID}, {_WALLS}, b AS (SELECT max(y) AS last FROM walls), inside AS (SELECT x, y FROM grid, b WHERE x BETWEEN 7 AND 142 AND y BETWEEN 4 AND last),
+ room AS (SELECT (x - 7) // 15 AS i, (y - 4) // 9 AS j, x, y FROM grid, b WHERE x > 7 AND x < 142 AND x % 15 <> 7 AND y > 4 AND y < last AND y % 9 <> 4 AND ((x - 7) // 15 + (y - 4) // 9) % 2 = 0),
+ near AS (SELECT a.x, a.y, arg_min(i * 1000 + j, ((a.x - r.x) * (a.x - r.x) + (a.y - r.y) * (a.y - r.y), r.y, r.x)) AS region FROM inside a JOIN room r ON r.x BETWEEN a.x - 16 AND a.x + 16 AND r.y BETWEEN a.y - 10 AND a.y + 10 GROUP BY a.x, a.y)
+SELECT region::INT AS region, count(*) AS area, sum(x)::BIGINT AS sx, sum(y)::BIGINT AS sy FROM near GROUP BY region""")
+def regions_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other room is named; lines and the other rooms go to the nearest named one."""
+    from cartolith.plans import extraction
+
+    barrier, box = _walls(spark, sf_dir)
+    last = barrier.agg(F.max("y")).first()[0] or 0
+    i, j = F.floor((F.col("x") - 7) / 15), F.floor((F.col("y") - 4) / 9)
+    seeds = fx.grid(spark, sf_dir).where((F.col("x") % 15 == 9) & (F.col("y") % 9 == 6) & F.col("x").between(8, 141) & F.col("y").between(5, last - 1) & ((i + j) % 2 == 0))
+    found = extraction.linework_regions(barrier, seeds.select("x", "y", (i * 1000 + j).cast("int").alias("region")), box, 5)
+    return found.groupBy("region").agg(F.count(F.lit(1)).alias("area"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
 
 
 @query(f"""WITH {fx.GRID} SELECT count(*) AS cells, count(*) FILTER (noise * 255 // 1008 >= 128) AS land_cells, count(*) FILTER (noise * 255 // 1008 < 128) AS ocean_cells, count(*) FILTER (noise * 255 // 1008 NOT IN (0, 255)) AS grey_cells FROM grid""")

@@ -41,7 +41,7 @@ def give(cells: DataFrame, target: str, area: DataFrame, from_owners: DataFrame
         rest = overlay.subtract(cells, area)
     else:
         named = cells.join(from_owners, "owner", "left_semi")
-        rest = cells.join(from_owners, "owner", "left_anti").union(overlay.subtract(named, area))
+        rest = cells.join(from_owners, "owner", "left_anti").unionByName(overlay.subtract(named, area))
     return overlay.union(rest.where(F.col("owner") != target).select("owner", *XY), cells.where(F.col("owner") == target).select("owner", *XY).union(_owned(cells, target, area)))
 
 
