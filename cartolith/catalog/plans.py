@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cartolith.catalog import fixtures as fx
 from cartolith.catalog import query
-from cartolith.operators import grid, overlay, shapes
+from cartolith.operators import overlay, shapes, validate
 from cartolith.plans import edits, extraction
 
 _PAIR = f"{fx.GRID}, {fx.OWNED}, {fx.MASK}"
@@ -156,3 +156,80 @@ def photo_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions between lines drawn over the whole grid; a test checks them against a plain flood."""
     cells = fx.grid(spark, sf_dir).select(F.lit("photo").alias("owner"), "x", "y", F.when((F.col("x") % 20 == 10) | (F.col("y") % 15 == 7), -1).otherwise(0).alias("value"))
     return extraction.photo_regions(cells, 5).groupBy("owner", "label").agg(F.count(F.lit(1)).alias("area"))
+
+
+_BANDS = "band AS (SELECT x, y, noise, (1 + x // 30)::INT AS label, noise < 100 AS edge FROM grid)"
+
+
+def _banded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pixels in five colours, some of them of colours of their own that are not opaque, and the ids of the five."""
+    edge = F.col("noise") < 100
+    band = (1 + F.floor(F.col("x") / 30)).cast("int")
+    pixels = fx.grid(spark, sf_dir).select("x", "y", F.lit(200).alias("r"), (band * 10).alias("g"), F.when(edge, 41 + F.col("k") % 7).otherwise(40).cast("int").alias("b"), F.when(edge, 200).otherwise(255).alias("a"), "noise")
+    known = spark.range(1, 6).select(F.concat_ws(",", F.lit("200"), (F.col("id") * 10).cast("string"), F.lit("40")).alias("rgb"), F.format_string("country-%03d", "id").alias("id"))
+    return pixels, known
+
+
+@query(f"""WITH {fx.GRID}, {_BANDS} SELECT 'country-' || lpad(label::VARCHAR, 3, '0') AS id, count(*) AS cells, sum(x)::BIGINT AS sx, sum(y)::BIGINT AS sy FROM (
+ SELECT x, y, label FROM band WHERE NOT edge UNION ALL SELECT a.x, a.y, arg_min(s.label, ((a.x - s.x) * (a.x - s.x) + (a.y - s.y) * (a.y - s.y), s.y, s.x)) FROM band a JOIN band s ON s.x BETWEEN a.x - 6 AND a.x + 6 AND s.y BETWEEN a.y - 6 AND a.y + 6 AND NOT s.edge WHERE a.edge GROUP BY a.x, a.y) GROUP BY 1""")
+def labels_of_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Palette colours keep their country, other pixels join the nearest one that has a palette colour."""
+    pixels, known = _banded(spark, sf_dir)
+    found = extraction.country_labels(pixels, known, 20, 0.5)
+    return found.groupBy("id").agg(F.count(F.lit(1)).alias("cells"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
+
+
+@query(f"""WITH {fx.GRID}, {_BANDS}, c AS (SELECT label, count(*) AS area FROM band WHERE noise < 900 GROUP BY label), k AS (SELECT label, area, row_number() OVER (ORDER BY area DESC, label) AS i, count(*) OVER () AS n FROM c)
+SELECT 'country-009-region-' || lpad(label::VARCHAR, 3, '0') AS id, label AS number, area, least(3, (i - 1) * 3 // n + 1)::INT AS label_rank, (label % 5)::INT AS style_index FROM k""")
+def regions_of_a_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole run on a categorical mask, from its alignment to feature rows."""
+    pixels, known = _banded(spark, sf_dir)
+    pixels = pixels.withColumn("b", F.lit(40))
+    named = known.select("rgb", F.concat(F.lit("country-009-region-"), F.substring("id", -3, 3)).alias("id"))
+    parent = pixels.where("noise < 900").select("x", "y")
+    made = extraction.extract_mask(pixels, named, parent, "country-009", parent, 3, 0.9, 0.9)
+    return made.rows.select("id", "number", "area", "label_rank", "style_index")
+
+
+@query(f"""WITH {fx.GRID}, b AS (SELECT max(y) - (1 + (max(y) - 5) % 9) AS last FROM grid), inside AS (SELECT x, y FROM grid, b WHERE x BETWEEN 7 AND 142 AND y BETWEEN 4 AND last), terr AS (SELECT x, y FROM grid WHERE x >= 30),
+ room AS (SELECT 1 + (x - 7) // 45 AS region, x, y FROM grid, b WHERE x > 7 AND x < 142 AND (x - 7) % 45 <> 0 AND y > 4 AND y < last),
+ near AS (SELECT a.x, a.y, arg_min(r.region, ((a.x - r.x) * (a.x - r.x) + (a.y - r.y) * (a.y - r.y), r.y, r.x)) AS region FROM inside a JOIN room r ON r.x BETWEEN a.x - 3 AND a.x + 3 AND r.y BETWEEN a.y - 3 AND a.y + 3 GROUP BY a.x, a.y),
+ kept AS (SELECT n.* FROM near n JOIN terr USING (x, y)) SELECT (SELECT count(*) FROM kept) AS cells, (SELECT count(DISTINCT region) FROM kept) AS regions, round(1.0, 6) AS inside_ratio, round((SELECT count(*) FROM kept) / (SELECT count(*) FROM terr), 6) AS contour_iou,
+ (SELECT count(*) FROM kept WHERE x < 40) AS overseas_area, 0 AS labels_outside, 1 AS missing_pairs, ['regions meet an overseas part', 'required borders are missing'] AS failures""")
+def regions_of_a_drawing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole run on linework: three rooms clipped to a territory, judged by the gate."""
+    cells = fx.grid(spark, sf_dir)
+    top = cells.agg(F.max("y")).first()[0] or 0
+    last = top - (1 + (top - 5) % 9)
+    x, y = F.col("x"), F.col("y")
+    lines = cells.where(x.between(7, 142) & y.between(4, last) & (((x - 7) % 45 == 0) | y.isin(4, last))).select("x", "y")
+    seeds = spark.createDataFrame([(12 + 45 * i, 5, 1 + i) for i in range(3)], "x int, y int, region int")
+    made = extraction.extract_linework(lines, seeds, (0, 0, 149, top), 5, 1, "country-007", cells.where("x >= 30").select("x", "y"), cells.where("x < 40").select("x", "y"), cells.where("x < 0").select("x", "y"), [(1, 2), (1, 3)])
+    report = validate.linework_gate(made.report, 0.9, 0.1, 0.0, 0.0)
+    n = made.cells.agg(F.count(F.lit(1)).alias("cells"), F.count_distinct("owner").alias("regions"))
+    return n.join(report).select("cells", "regions", F.round("inside_ratio", 6).alias("inside_ratio"), F.round("contour_iou", 6).alias("contour_iou"), "overseas_area", "labels_outside", "missing_pairs", "failures")  # one row each
+
+
+@query(f"""WITH {fx.GRID}, {fx.OWNED} SELECT (SELECT count(*) FROM grid WHERE land) AS land_cells, (SELECT count(*) FROM grid WHERE land)::DOUBLE AS vector_area, (SELECT count(*) FROM owned JOIN grid USING (x, y) WHERE land) AS shown,
+ (SELECT count(*) FROM grid WHERE land AND NOT noise < 700 AND noise % 5 <> 0) AS unassigned""")
+def land_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cartolith.functions import geometry as g
+
+    cells = fx.grid(spark, sf_dir)
+    mask = cells.select("x", "y", F.lit(255).alias("gray"), F.col("land").cast("int").alias("land"))
+    out = extraction.extract_land(mask, fx.owned(spark, sf_dir), cells.where("noise % 5 = 0").select("x", "y"), 0.0)
+    count = lambda df, n: df.agg(F.count(F.lit(1)).alias(n))
+    area = out["land"].agg(F.sum(g.area(F.col("shape"))).alias("vector_area"))
+    return out["mask_report"].select("land_cells").join(area).join(count(out["display"], "shown")).join(count(out["unassigned"], "unassigned"))  # one row each
+
+
+@query(f"""WITH {fx.GRID}, {_BANDS} SELECT 'country-' || lpad(label::VARCHAR, 3, '0') AS id, 'Land ' || label AS name, count(*)::DOUBLE AS area_world, CASE WHEN count(*) >= 30000 THEN 1 WHEN count(*) >= 9000 THEN 2 ELSE 3 END::INT AS label_rank, 1::BIGINT AS parts FROM band GROUP BY label""")
+def rebuilt_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five stages over the grid; every cell is land, so each band is one country of one part."""
+    pixels, known = _banded(spark, sf_dir)
+    ids = spark.range(1, 6).select(F.col("id").cast("int").alias("label"), F.format_string("country-%03d", "id").alias("id"), F.lit(200).alias("r"), (F.col("id") * 10).cast("int").alias("g"), F.lit(40).alias("b"))
+    fill = pixels.withColumn("b", F.lit(40)).withColumn("a", F.lit(255))
+    names = ids.select("id", F.concat(F.lit("Land "), F.col("label").cast("string")).alias("name"), F.lit(None).cast("string").alias("state_group_id"))
+    nowhere = pixels.select("x", "y").limit(0)
+    out = extraction.rebuild(fill.drop("noise"), pixels.select("x", "y", F.lit(1).alias("land")), known, ids, 20, 0.5, transfer=(nowhere, (1, 1, 1), (2, 2, 2)), names=names)
+    return out["labels"].join(out["debug_labels"].select(F.col("id").alias("country_id"), "parts"), "country_id").select(F.col("country_id").alias("id"), "name", "area_world", "label_rank", "parts")

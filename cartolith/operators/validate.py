@@ -40,6 +40,28 @@ def placement_gate(report: DataFrame, least_inside: float, least_iou: float, mos
     )
 
 
+LINEWORK = ("inside_ratio", "contour_iou", "overseas_area", "wrong_country_area", "labels_outside", "area_ratio", "missing_pairs")
+
+
+def linework_gate(report: DataFrame, least_inside: float, least_iou: float, most_overseas: float, most_wrong: float) -> DataFrame:
+    """report (LINEWORK) with failures, in the order of its columns."""
+    c = {n: F.col(n) for n in LINEWORK}
+    return report.withColumn(
+        "failures",
+        failures(
+            [
+                ("regions are not mostly inside the territory", c["inside_ratio"] >= least_inside),
+                ("contour IoU is below the minimum", c["contour_iou"] >= least_iou),
+                ("regions meet an overseas part", c["overseas_area"] <= most_overseas),
+                ("regions meet another country", c["wrong_country_area"] <= most_wrong),
+                ("labels are outside their regions", c["labels_outside"] == 0),
+                ("outlines and cells differ in area", F.abs(c["area_ratio"] - 1) <= 1e-8),
+                ("required borders are missing", c["missing_pairs"] == 0),
+            ]
+        ),
+    )
+
+
 def enforce(report: DataFrame, path: str | None = None) -> DataFrame:
     """Writes the report where a path is given, then passes only rows without failures."""
     if path is not None:

@@ -318,8 +318,114 @@ def accepted(report: DataFrame, rules: list[tuple[str, Column]], path: str | Non
     return validate.enforce(report.withColumn("failures", validate.failures(rules)), path)
 
 
-def rebuild(pixels: DataFrame, land: DataFrame, known: DataFrame, palette_ids: DataFrame, least: int, opaque: float, most: int = 12, tolerance: float = 0.55) -> dict[str, DataFrame]:
-    """The chain of stages: states, fill, countries, display clip and labels; each stage's cells are written."""
+@dataclass
+class Regions:
+    cells: DataFrame
+    rows: DataFrame
+    shapes: DataFrame
+    labels: DataFrame
+    borders: DataFrame
+    report: DataFrame
+
+
+def _regions(cells: DataFrame, country: str, tolerance: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows, shapes, labels and shared borders of region cells (owner, x, y); owners end in region-<number>."""
+    from cartolith.functions import geometry as g
+
+    labels = written(cells.select(*XY, text.id_number(F.col("owner"), "region-").alias("label")), "labels")
+    names = cells.select("owner", text.id_number(F.col("owner"), "region-").alias("label")).distinct()
+    made = topology.polygons(labels).join(names, "label").select(F.col("owner").alias("id"), "shape")
+    made = written(made, "shapes")
+    spots = shapes.inner_points(made).join(made, "id").withColumn("inside", g.in_multipolygon(F.col("x"), F.col("y"), F.col("shape"))).drop("shape")
+    lines = topology.arcs(topology.interfaces(labels), tolerance).where("a > 0")
+    return region_rows(cells, country), made, spots, lines
+
+
+def _fit(cells: DataFrame, made: DataFrame, spots: DataFrame, territory: DataFrame, overseas: DataFrame, others: DataFrame) -> DataFrame:
+    """One row: how regions lie in their territory, and what they must not meet."""
+    from cartolith.functions import geometry as g
+
+    count = lambda df, n: df.agg(F.count(F.lit(1)).alias(n))
+    fit = overlay.similarity(cells.select(*XY), territory).select(F.col("first_covered").alias("inside_ratio"), F.col("iou").alias("contour_iou"))
+    row = fit.join(count(overlay.intersect(cells, overseas), "overseas_area")).join(count(overlay.intersect(cells, others), "wrong_country_area")).join(count(spots.where("not inside"), "labels_outside"))
+    ratio = made.agg(F.sum(g.area(F.col("shape"))).alias("vector")).join(count(cells, "n")).select((F.col("vector") / F.greatest(F.lit(1), "n")).alias("area_ratio"))
+    shared = overlay.overlaps(cells).agg(F.coalesce(F.sum("area"), F.lit(0)).alias("overlap_area"))
+    return row.join(ratio).join(shared)  # one row each
+
+
+def extract_linework(barrier: DataFrame, seeds: DataFrame, box: tuple[int, int, int, int], least: int, close: int, country: str, territory: DataFrame, overseas: DataFrame, others: DataFrame, required: list[tuple[int, int]] = (), clip: bool = True, tolerance: float = 0.55) -> Regions:
+    """Regions of a drawing, from its lines to feature rows, borders and the report that linework_gate() judges.
+
+    seeds: x, y, region (a number); territory, overseas, others: x, y of the country's parts that belong to the drawing,
+    of its other parts, and of countries that must not be met; required: pairs of numbers that must share a border.
+    """
+    spark = barrier.sparkSession
+    found = linework_regions(barrier, seeds, box, least, close)
+    raw = written(found.select(F.concat(F.lit(f"{country}-region-"), text.padded(F.col("region"), 3)).alias("owner"), *XY), "regions")
+    cells = written(overlay.intersect(raw, territory).select("owner", *XY), "clipped") if clip else raw
+    rows, made, spots, lines = _regions(cells, country, tolerance)
+    lines = written(lines, "borders")
+    pairs = spark.createDataFrame([(min(p), max(p)) for p in required], "a int, b int")
+    missing = pairs.join(lines.select("a", "b").distinct(), ["a", "b"], "left_anti").agg(F.count(F.lit(1)).alias("missing_pairs"))
+    report = _fit(cells, made, spots, territory, overseas, others).join(missing)  # one row each
+    return Regions(cells, rows, made, spots, lines, report)
+
+
+def close_border(made: DataFrame, first: str, second: str) -> DataFrame:
+    """(first, second, length, points): the shortest line between two regions' hulls, for borders that a drawing breaks.
+    Both shapes are single rows."""
+    import numpy as np
+
+    rings = {r.id: np.array([(p["x"], p["y"]) for p in r["shape"][0][0]]) for r in made.where(F.col("id").isin(first, second)).collect()}  # two rows
+    gap, p, q = shapes.shortest_link(rings[first], rings[second])
+    return made.sparkSession.createDataFrame([(first, second, gap, [tuple(map(float, x)) for x in (p, q)])], "first string, second string, length double, points array<struct<x:double,y:double>>")
+
+
+def extend_to_coast(line: DataFrame, territory_shape: DataFrame, most: float = 8.0) -> DataFrame:
+    """(length, points): from the end of a border that is nearest to the coast to the coast; fails beyond `most`."""
+    import numpy as np
+
+    points = [np.array([(p["x"], p["y"]) for p in r["points"]]) for r in line.select("points").collect()]  # one pair's lines
+    coast = np.array([(p["x"], p["y"]) for p in territory_shape.first()["shape"][0][0]])
+    ends = [e for x in points for e in (x[0], x[-1])]
+    end = min(ends, key=lambda e: shapes.shortest_link(np.vstack([e, e]), coast)[0])
+    there = shapes.coast_link(end, coast, most)
+    return line.sparkSession.createDataFrame([(float(np.hypot(*(end - there))), [tuple(map(float, x)) for x in (end, there)])], "length double, points array<struct<x:double,y:double>>")
+
+
+def extract_mask(pixels: DataFrame, known: DataFrame, parent: DataFrame, country: str, drawn: DataFrame, tolerance_cells: int, least_iou: float, least_f: float, tolerance: float = 0.55) -> Regions:
+    """Regions of a categorical mask; fails unless the drawing's land and the parent's cells agree.
+
+    known: rgb, id (ending in region-<number>); drawn, parent: x, y of either land.
+    """
+    grid_ = pixels.select(*XY)
+    land = lambda cells: grid_.join(cells.select(*XY).distinct().withColumn("value", F.lit(1)), XY, "left").fillna(0, ["value"])
+    fit = validate.alignment_gate(written(overlay.boundary_metrics(land(drawn), land(parent), tolerance_cells), "alignment"), least_iou, least_f)
+    validate.enforce(fit).count()
+    cells = written(mask_regions(pixels, known, parent).select("owner", *XY), "regions")
+    rows, made, spots, lines = _regions(cells, country, tolerance)
+    none = parent.select(*XY).limit(0)
+    return Regions(cells, rows, made, spots, lines, _fit(cells, made, spots, parent, none, none))
+
+
+def extract_land(mask: DataFrame, countries: DataFrame, unclaimed: DataFrame, tolerance: float = 0.55) -> dict[str, DataFrame]:
+    """The land-only run: the mask's report, shapes and coast, and countries clipped to it. mask: x, y, gray, land."""
+    from cartolith.sources import images
+
+    land = written(mask.where("land = 1").select(*XY), "land")
+    made, coast = land_products(land, tolerance)
+    shown, _, free, report = overlay.clip_to_land(countries, countries.select(F.lit("none").alias("id"), *XY).limit(0), land, unclaimed)
+    return {"mask_report": images.mask_report(mask), "land": made, "coast": coast, "display": shown, "unassigned": free, "clip_report": report}
+
+
+def rebuild(pixels: DataFrame, land: DataFrame, known: DataFrame, palette_ids: DataFrame, least: int, opaque: float, most: int = 12, tolerance: float = 0.55, transfer: tuple[DataFrame, colors.Rgb, colors.Rgb] | None = None, names: DataFrame | None = None, overrides: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The five stages in turn: a reviewed transfer of pixels, the fill, countries and display clip, labels, debug labels.
+    Each stage's cells are written.
+
+    transfer: area, donor and receiver of transfer_pixels(); names: id, name, state_group_id; overrides: id, x, y.
+    """
+    if transfer is not None:
+        pixels = written(transfer_pixels(pixels, *transfer), "transferred")
     states = written(with_states(pixels, land), "states")
     named = country_labels(states, known, least, opaque).join(palette_ids.select("id", "label"), "id").select(*XY, "label")
     fill = fill_countries(states, written(named, "labels"), mode="safe", most=most)
@@ -327,5 +433,10 @@ def rebuild(pixels: DataFrame, land: DataFrame, known: DataFrame, palette_ids: D
     made = country_products(cells, palette_ids, tolerance)
     owners = cells.join(palette_ids.select("label", F.col("id").alias("owner")), "label").select("owner", *XY)
     shown, _, free, report = overlay.clip_to_land(owners, cells.select(F.lit("none").alias("id"), *XY).limit(0), land.where("land = 1"), states.where("unclaimed"))
-    named_shapes = made.shapes.join(palette_ids.select("label", "id"), "label").select("id", "shape")
-    return {"fill_report": fill.report, "countries": made.rows, "borders": made.borders, "coast": made.coast, "display": shown, "unassigned": free, "clip_report": report, "topology_report": topology_report(made.shapes, cells, made.arcs), "debug_labels": debug_labels(named_shapes)}
+    named_shapes = written(made.shapes.join(palette_ids.select("label", "id"), "label").select("id", "shape"), "named")
+    out = {"fill_report": fill.report, "countries": made.rows, "borders": made.borders, "coast": made.coast, "display": shown, "unassigned": free, "clip_report": report, "topology_report": topology_report(made.shapes, cells, made.arcs)}
+    if names is not None:
+        sized = overlay.areas(owners).select(F.col("owner").alias("id"), F.col("area").cast("double").alias("area"))
+        spots = overrides if overrides is not None else named_shapes.select("id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y")).limit(0)
+        out["labels"] = production_labels(named_shapes, names.join(sized, "id"), spots)
+    return out | {"debug_labels": debug_labels(named_shapes)}

@@ -13,6 +13,23 @@ FEATURE = "struct<type:string,id:string,properties:string,geometry:struct<type:s
 COLLECTION = f"type string, features array<{FEATURE}>"
 
 
+def read_config(spark: SparkSession, path: str, defaults: dict) -> dict:
+    """A JSON file of settings, one object; settings that it leaves out have their defaults, in nested objects too."""
+    import json
+
+    found = json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+    def filled(have: dict, want: dict) -> dict:
+        return {**want, **{k: filled(v, want[k]) if isinstance(v, dict) and isinstance(want.get(k), dict) else v for k, v in have.items()}}
+
+    return filled(found, defaults)
+
+
+def base_datasets(spark: SparkSession, paths: dict[str, str], debug: tuple[str, ...], with_debug: bool) -> dict[str, DataFrame]:
+    """The features of each dataset; those for debugging are empty, and not read, unless they are asked for."""
+    return {name: read_features(spark, path) if with_debug or name not in debug else spark.createDataFrame([], "ord int, id string, type string, properties string, coordinates string") for name, path in paths.items()}
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
@@ -21,6 +38,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 def read_features(spark: SparkSession, path: str, missing_ok: bool = False) -> DataFrame:
     """(ord, id, type, properties, coordinates) of a collection's features, properties and coordinates as JSON.
 
+    A feature without an id of its own has that of its properties.
     Fails where the file isn't a FeatureCollection; a missing file is an empty collection if missing_ok is set.
     """
     schema = "ord int, id string, type string, properties string, coordinates string"
@@ -29,7 +47,8 @@ def read_features(spark: SparkSession, path: str, missing_ok: bool = False) -> D
     raw = spark.read.schema(COLLECTION).option("multiLine", True).json(path)
     good = F.coalesce((F.col("type") == "FeatureCollection") & F.col("features").isNotNull(), F.lit(False))
     found = F.when(good, F.col("features")).otherwise(F.raise_error(F.lit("not a FeatureCollection")))
-    return raw.select(F.posexplode(found).alias("ord", "f")).select("ord", F.col("f.id").alias("id"), F.col("f.geometry.type").alias("type"), F.col("f.properties").alias("properties"), F.col("f.geometry.coordinates").alias("coordinates"))
+    own = F.get_json_object("f.properties", "$.id")
+    return raw.select(F.posexplode(found).alias("ord", "f")).select("ord", F.coalesce(F.col("f.id"), own).alias("id"), F.col("f.geometry.type").alias("type"), F.col("f.properties").alias("properties"), F.col("f.geometry.coordinates").alias("coordinates"))
 
 
 def properties(features: DataFrame, schema: str) -> DataFrame:
