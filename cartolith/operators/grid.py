@@ -161,21 +161,25 @@ def _joined(pairs: DataFrame) -> DataFrame:
     return pairs.coalesce(1).mapInArrow(run, "node long, root long")
 
 
-def components(cells: DataFrame, steps=AROUND_8, tile: int = TILE, few_pairs: int = FEW_PAIRS) -> DataFrame:
-    """(x, y, component): the least cell number (y * 2^32 + x) that each cell reaches. Coordinates are 0 to 2^31 - 1."""
-    placed = cells.select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).distinct()
+def components(cells: DataFrame, steps=AROUND_8, tile: int = TILE, few_pairs: int = FEW_PAIRS, by: str | None = None) -> DataFrame:
+    """(x, y, component): the least cell number (y * 2^32 + x) that each cell reaches. Coordinates are 0 to 2^31 - 1.
+
+    by: a column of whole numbers; cells of unlike values don't hang together.
+    """
+    kind = F.lit(0).cast("long") if by is None else F.col(by).cast("long")
+    placed = cells.select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), kind.alias("kind")).distinct()
     placed = placed.withColumns({"tx": F.floor(F.col("x") / tile), "ty": F.floor(F.col("y") / tile)})
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
         first = _tile_labels(x, y, steps)
-        return pd.DataFrame({"x": x, "y": y, "node": y[first] * (1 << 32) + x[first]})
+        return pd.DataFrame({"x": x, "y": y, "kind": pdf["kind"], "node": y[first] * (1 << 32) + x[first]})
 
-    local = written(placed.groupBy("tx", "ty").applyInPandas(label, "x long, y long, node long"), "tiles")
+    local = written(placed.groupBy("tx", "ty", "kind").applyInPandas(label, "x long, y long, kind long, node long"), "tiles")
     edge = ((F.col("x") % tile).isin(0, tile - 1)) | ((F.col("y") % tile).isin(0, tile - 1))
     border = local.where(edge)
-    crossing = adjacent(border, steps, ("node",)).where(F.col("node") < F.col("n_node")).select(F.col("node").alias("u"), F.col("n_node").alias("v")).distinct()
-    crossing = written(crossing, "crossing")
+    crossing = adjacent(border, steps, ("node", "kind")).where((F.col("node") < F.col("n_node")) & (F.col("kind") == F.col("n_kind")))
+    crossing = written(crossing.select(F.col("node").alias("u"), F.col("n_node").alias("v")).distinct(), "crossing")
     roots = _joined(crossing) if crossing.count() <= few_pairs else _stars(crossing)
     return local.join(roots, "node", "left").select("x", "y", F.coalesce("root", "node").alias("component"))
 

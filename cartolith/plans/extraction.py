@@ -23,11 +23,7 @@ def with_states(pixels: DataFrame, land: DataFrame) -> DataFrame:
 def largest_by_color(cells: DataFrame) -> DataFrame:
     """(r, g, b, largest): cells of each colour's largest component."""
     shade = F.col("r") * 65536 + F.col("g") * 256 + F.col("b")
-    keyed = cells.withColumn("shade", shade)
-    same = grid.adjacent(keyed.select(*XY, "shade"), grid.AROUND_8, ("shade",)).where("shade = n_shade")
-    number = lambda x, y: F.col(y).cast("long") * (1 << 32) + F.col(x).cast("long")
-    roots = grid._stars(same.select(number("x", "y").alias("u"), number("nx", "ny").alias("v")))
-    labelled = keyed.withColumn("node", number("x", "y")).join(roots, "node", "left").withColumn("component", F.coalesce("root", "node"))
+    labelled = cells.join(grid.components(cells.withColumn("shade", shade), by="shade"), XY)
     return labelled.groupBy("r", "g", "b", "component").count().groupBy("r", "g", "b").agg(F.max("count").alias("largest"))
 
 
