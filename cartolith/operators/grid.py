@@ -274,7 +274,7 @@ def flood(cells: DataFrame, steps=AROUND_8, tile: int = TILE) -> DataFrame:
     now = cells.select("x", "y", "seed", F.when(F.col("seed") > 0, 0).otherwise(NEVER).cast("long").alias("far"), F.coalesce(number, F.lit(NEVER)).alias("by"))
     kinds = {f.name: f.dataType.simpleString() for f in now.schema.fields}
     schema = ", ".join(f"{n} {k}" for n, k in kinds.items())
-    halo = now.limit(0).select("x", "y", "far", "by", F.lit(0).cast("long").alias("tx"), F.lit(0).cast("long").alias("ty"))
+    halo = cells.sparkSession.createDataFrame([], f"x {kinds['x']}, y {kinds['y']}, far long, by long, tx long, ty long")
 
     def spread(key, own: pd.DataFrame, beside: pd.DataFrame) -> pd.DataFrame:
         if not len(own):
@@ -293,7 +293,7 @@ def flood(cells: DataFrame, steps=AROUND_8, tile: int = TILE) -> DataFrame:
         if now.where(F.col("changed") & edge).isEmpty():
             break
         ring = neighbours(now.where(edge & (F.col("far") != NEVER)), AROUND_8, ("far", "by")).select("x", "y", "far", "by", F.floor(F.col("nx") / tile).alias("tx"), F.floor(F.col("ny") / tile).alias("ty"))
-        halo = ring.where((F.col("tx") != F.floor(F.col("x") / tile)) | (F.col("ty") != F.floor(F.col("y") / tile))).distinct()
+        halo = written(ring.where((F.col("tx") != F.floor(F.col("x") / tile)) | (F.col("ty") != F.floor(F.col("y") / tile))).distinct(), "halo")
         now = now.drop("changed")
     seeds = now.where("by = y * 4294967296L + x").select(F.col("by").alias("by"), F.col("seed").alias("label"))
     return now.select("x", "y", "far", "by").join(seeds, "by", "left").select("x", "y", F.coalesce("label", F.lit(0)).cast(kind).alias("label"), F.when(F.col("far") == NEVER, -1).otherwise(F.col("far")).alias("distance"))
