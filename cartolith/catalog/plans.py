@@ -53,12 +53,12 @@ def expand_country(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlay.areas(edits.expand_country(_map(spark, sf_dir).countries, "country-002", _area(spark, sf_dir), fx.grid(spark, sf_dir).where("noise < 900")))
 
 
-@query(f"""WITH {_PAIR}, {_AREA}, {_REGIONS}, b AS (SELECT a.x, a.y FROM area a JOIN owned o ON o.x = a.x AND o.y = a.y AND o.owner = 'country-002'),
+@query(f"""WITH {_PAIR}, {_AREA}, {_REGIONS}, b AS (SELECT a.x, a.y FROM area a JOIN owned o ON o.x = a.x AND o.y = a.y AND o.owner = 'country-002' WHERE (SELECT max(y) FROM grid) >= 50),
 n AS (SELECT id, x, y FROM reg WHERE id = 'country-002-region-02' UNION SELECT 'country-002-region-02', x, y FROM b UNION SELECT id, x, y FROM reg r WHERE id <> 'country-002-region-02' AND (country <> 'country-002' OR NOT EXISTS (SELECT 1 FROM b WHERE b.x = r.x AND b.y = r.y)))
-SELECT id AS owner, count(*) AS area FROM n WHERE id <> 'country-002-region-02' OR (SELECT max(y) FROM grid) >= 50 GROUP BY id""")
+SELECT id AS owner, count(*) AS area FROM n GROUP BY id""")
 def expand_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A lasso's part of a country given to one of its regions; regions of others keep their cells. Grids of fewer than
-    50 rows don't have the region."""
+    51 rows don't have the region, and stay as they are."""
     m = _map(spark, sf_dir)
     return overlay.areas(edits.redraw(m, _area(spark, sf_dir), fx.grid(spark, sf_dir), "country-002", "country-002-region-02").regions)
 
@@ -191,8 +191,8 @@ def regions_of_a_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.rows.select("id", "number", "area", "label_rank", "style_index")
 
 
-@query(f"""WITH {fx.GRID}, b AS (SELECT max(y) - (1 + (max(y) - 5) % 9) AS last FROM grid), inside AS (SELECT x, y FROM grid, b WHERE x BETWEEN 7 AND 142 AND y BETWEEN 4 AND last), terr AS (SELECT x, y FROM grid WHERE x >= 30),
- room AS (SELECT 1 + (x - 7) // 45 AS region, x, y FROM grid, b WHERE x > 7 AND x < 142 AND (x - 7) % 45 <> 0 AND y > 4 AND y < last),
+@query(f"""WITH {fx.GRID}, b AS (SELECT max(y) - 1 AS last FROM grid), inside AS (SELECT x, y FROM grid, b WHERE x BETWEEN 7 AND 142 AND y BETWEEN 1 AND last), terr AS (SELECT x, y FROM grid WHERE x >= 30),
+ room AS (SELECT 1 + (x - 7) // 45 AS region, x, y FROM grid, b WHERE x > 7 AND x < 142 AND (x - 7) % 45 <> 0 AND y > 1 AND y < last),
  near AS (SELECT a.x, a.y, arg_min(r.region, ((a.x - r.x) * (a.x - r.x) + (a.y - r.y) * (a.y - r.y), r.y, r.x)) AS region FROM inside a JOIN room r ON r.x BETWEEN a.x - 3 AND a.x + 3 AND r.y BETWEEN a.y - 3 AND a.y + 3 GROUP BY a.x, a.y),
  kept AS (SELECT n.* FROM near n JOIN terr USING (x, y)) SELECT (SELECT count(*) FROM kept) AS cells, (SELECT count(DISTINCT region) FROM kept) AS regions, round(1.0, 6) AS inside_ratio, round((SELECT count(*) FROM kept) / (SELECT count(*) FROM terr), 6) AS contour_iou,
  (SELECT count(*) FROM kept WHERE x < 40) AS overseas_area, 0 AS labels_outside, 1 AS missing_pairs, ['regions meet an overseas part', 'required borders are missing'] AS failures""")
@@ -200,10 +200,9 @@ def regions_of_a_drawing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole run on linework: three rooms clipped to a territory, judged by the gate."""
     cells = fx.grid(spark, sf_dir)
     top = cells.agg(F.max("y")).first()[0] or 0
-    last = top - (1 + (top - 5) % 9)
     x, y = F.col("x"), F.col("y")
-    lines = cells.where(x.between(7, 142) & y.between(4, last) & (((x - 7) % 45 == 0) | y.isin(4, last))).select("x", "y")
-    seeds = spark.createDataFrame([(12 + 45 * i, 5, 1 + i) for i in range(3)], "x int, y int, region int")
+    lines = cells.where(x.between(7, 142) & y.between(1, top - 1) & (((x - 7) % 45 == 0) | y.isin(1, top - 1))).select("x", "y")
+    seeds = spark.createDataFrame([(12 + 45 * i, 3, 1 + i) for i in range(3)], "x int, y int, region int")
     made = extraction.extract_linework(lines, seeds, (0, 0, 149, top), 5, 1, "country-007", cells.where("x >= 30").select("x", "y"), cells.where("x < 40").select("x", "y"), cells.where("x < 0").select("x", "y"), [(1, 2), (1, 3)])
     report = validate.linework_gate(made.report, 0.9, 0.1, 0.0, 0.0)
     n = made.cells.agg(F.count(F.lit(1)).alias("cells"), F.count_distinct("owner").alias("regions"))

@@ -51,8 +51,11 @@ def expand_country(countries: DataFrame, target: str, brush: DataFrame, land: Da
 
 
 def expand_region(regions: DataFrame, region_rows: DataFrame, target: str, brush: DataFrame, country: DataFrame) -> DataFrame:
-    """The brush's part of the country given to a region and taken from regions of the same country only."""
+    """The brush's part of the country given to a region and taken from regions of the same country only; nothing
+    changes if there is no such region."""
     parent = region_rows.where(F.col("id") == target).select("country_id")
+    if parent.isEmpty():
+        return regions
     siblings = region_rows.join(parent, "country_id", "left_semi").select(F.col("id").alias("owner"))
     return give(regions, target, overlay.intersect(brush, country), siblings)
 
