@@ -52,18 +52,21 @@ def drop_written(df: DataFrame) -> None:
 SHARE = 1000
 
 
-def spread_join(rows: DataFrame, right: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+def spread_join(rows: DataFrame, right: DataFrame, keys: list[str], n: str, total: int, spot: Column | None = None) -> DataFrame:
     """A left join of rows with right, in which no task gets many more than total / SHARE rows of one key.
 
     right: one row a key; its column n says how many of the `total` rows have that key. Keys with more than a share, at
     most SHARE of them, are broadcast with their number of salts, and stand on the right once a salt, 2 * SHARE times at
     most in all. Rows of a null key meet nothing and are dealt evenly. rows have no columns of right but the keys.
+
+    spot: a hash of a row by which it gets its salt. Rows that come out of a shuffle need one, as a lost task that runs
+    again may see them in another order; rows of a written table go by their places there.
     """
     most = max(1, total // SHARE)
     salts = F.when(F.col(n) > most, F.ceil(F.col(n) / most)).otherwise(1).cast("int")
     hot = right.where(F.col(n) > most).select(*keys, salts.alias("x_salts"))
     copies = right.withColumn("x_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop(n)
-    spot = F.xxhash64(F.monotonically_increasing_id())
+    spot = F.xxhash64(F.monotonically_increasing_id()) if spot is None else spot
     no_key = functools.reduce(lambda a, b: a | b, (F.col(k).isNull() for k in keys))
     salt = F.when(no_key, -1 - F.pmod(spot, F.lit(1 << 20))).otherwise(F.pmod(spot, F.coalesce("x_salts", F.lit(1)))).cast("int")
     return rows.join(F.broadcast(hot), keys, "left").withColumn("x_salt", salt).drop("x_salts").join(copies, [*keys, "x_salt"], "left").drop("x_salt")
