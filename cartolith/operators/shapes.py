@@ -7,25 +7,35 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartolith.functions.geometry import RING
 
+#: Lists of points as Arrow has them.
+POINTS = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+
 
 def _array(ring) -> np.ndarray:
     return np.array([(p["x"], p["y"]) for p in ring], float).reshape(-1, 2)
 
 
-def _rowwise(df: DataFrame, columns: list[str], name: str, kind: str, f: Callable) -> DataFrame:
-    """df's `columns` and f(row) of each row as `name`."""
+def _rowwise(df: DataFrame, keep: list[str], read: str, name: str, kind: str, made: pa.DataType, f: Callable) -> DataFrame:
+    """df's `keep` columns and f(value) of each row's `read` column as `name`, of SQL type `kind` and Arrow type `made`.
+
+    Values come as Arrow lists: pandas can't hold lists of lists of unlike lengths.
+    """
     kinds = {c.name: c.dataType.simpleString() for c in df.schema.fields}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(**{name: [f(r) for r in pdf.to_dict("records")]})[[*columns, name]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)  # one shape at a time is held as Python lists
+                out = pa.array([f(row.column(read)[0].as_py())], made)
+                yield pa.RecordBatch.from_arrays([*(row.column(c) for c in keep), out], [*keep, name])
 
-    return df.select(*columns).mapInPandas(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), f"`{name}` {kind}"]))
+    return df.select(*dict.fromkeys([*keep, read])).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{name}` {kind}"]))
 
 
 def grid_line(points: np.ndarray, step: float = 1.0) -> np.ndarray:
@@ -57,10 +67,10 @@ def grid_line(points: np.ndarray, step: float = 1.0) -> np.ndarray:
 
 
 def grid_lines(strokes: DataFrame, key: str, points: str = "points", step: float = 1.0) -> DataFrame:
-    def f(row: dict) -> list[dict]:
-        return [{"x": x, "y": y} for x, y in grid_line(_array(row[points]), step).tolist()]
+    def f(stroke: list[dict]) -> list[dict]:
+        return [{"x": x, "y": y} for x, y in grid_line(_array(stroke), step).tolist()]
 
-    return _rowwise(strokes, [key, points], "line", RING, f).select(key, "line")
+    return _rowwise(strokes, [key], points, "line", RING, POINTS, f)
 
 
 def row_spans(rings: list[np.ndarray], y: int) -> list[tuple[int, int]]:
@@ -82,49 +92,54 @@ def rasterized(shapes: DataFrame, key: str = "id", shape: str = "shape") -> Data
     """
     kinds = {c.name: c.dataType.simpleString() for c in shapes.schema.fields}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, value in zip(pdf[key], pdf[shape], strict=True):
-                rings = [_array(r) for p in value for r in p if len(r) >= 3]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rings = [_array(r) for p in batch.column(shape)[i].as_py() or [] for r in p if len(r) >= 3]
                 if rings:
                     low, high = min(r[:, 1].min() for r in rings), max(r[:, 1].max() for r in rings)
                     rows = [(y, a, b) for y in range(int(np.floor(low)), int(np.ceil(high)) + 1) for a, b in row_spans(rings, y)]
-                    yield pd.DataFrame([(name, *r) for r in rows], columns=[key, "y", "a", "b"])
+                    names = batch.column(key).take(pa.array([i] * len(rows), pa.int32()))
+                    yield pa.RecordBatch.from_arrays([names, *(pa.array([r[k] for r in rows], pa.int32()) for k in range(3))], [key, "y", "a", "b"])
 
-    spans = shapes.select(key, shape).mapInPandas(run, f"`{key}` {kinds[key]}, y int, a int, b int")
+    spans = shapes.select(key, shape).mapInArrow(run, f"`{key}` {kinds[key]}, y int, a int, b int")
     return spans.select(key, F.explode(F.sequence("a", "b")).alias("x"), "y")
 
 
-def _distance(x: float, y: float, rings: list[np.ndarray]) -> float:
+def _edges(rings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All rings' edges in one: starts, steps and squared lengths (1 for those of none)."""
+    a = np.vstack([r[:-1] for r in rings])
+    d = np.vstack([r[1:] for r in rings]) - a
+    length = (d**2).sum(axis=1)
+    return a, d, np.where(length == 0, 1, length)
+
+
+def _distance(x: float, y: float, edges: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
     """Distance to the outline, negative outside."""
-    best, inside = np.inf, False
-    for r in rings:
-        a, d = r[:-1], r[1:] - r[:-1]
-        rel = np.array([x, y]) - a
-        length = (d**2).sum(axis=1)
-        t = np.clip((rel * d).sum(axis=1) / np.where(length == 0, 1, length), 0, 1)
-        best = min(best, float(np.hypot(*(rel - t[:, None] * d).T).min()))
-        cut = (r[:-1, 1] > y) != (r[1:, 1] > y)
-        at = (r[1:, 0] - r[:-1, 0]) * (y - r[:-1, 1]) / np.where(r[1:, 1] == r[:-1, 1], 1, r[1:, 1] - r[:-1, 1]) + r[:-1, 0]
-        inside ^= bool((cut & (x < at)).sum() % 2)
-    return best if inside else -best
+    a, d, length = edges
+    rel = np.array([x, y]) - a
+    t = np.clip((rel * d).sum(axis=1) / length, 0, 1)
+    best = float(np.hypot(*(rel - t[:, None] * d).T).min())
+    cut = (rel[:, 1] < 0) != (rel[:, 1] < d[:, 1])
+    crossed = rel[cut, 0] < d[cut, 0] * rel[cut, 1] / d[cut, 1]
+    return best if crossed.sum() % 2 else -best
 
 
 def deepest_point(rings: list[np.ndarray], tolerance: float = 0.05) -> tuple[float, float, float]:
     """(x, y, clearance) of the point farthest inside a polygon, by halving squares that may still hold a better one."""
     (x0, y0), (x1, y1) = rings[0].min(axis=0), rings[0].max(axis=0)
     size = max(min(x1 - x0, y1 - y0), 1e-9)
-    count, queue = 0, []
+    count, queue, edges = 0, [], _edges(rings)
 
     def push(x: float, y: float, h: float) -> tuple[float, float, float]:
         nonlocal count
-        d = _distance(x, y, rings)
+        d = _distance(x, y, edges)
         count += 1
         heapq.heappush(queue, (-(d + h * np.sqrt(2)), count, x, y, h, d))
         return d, x, y
 
     cx, cy = (x0 + x1) / 2, (y0 + y1) / 2
-    best = (_distance(cx, cy, rings), cx, cy)
+    best = (_distance(cx, cy, edges), cx, cy)
     for i in range(int(np.ceil((x1 - x0) / size))):
         for j in range(int(np.ceil((y1 - y0) / size))):
             best = max(best, push(x0 + (i + 0.5) * size, y0 + (j + 0.5) * size, size / 2), key=lambda b: b[0])
@@ -139,14 +154,15 @@ def deepest_point(rings: list[np.ndarray], tolerance: float = 0.05) -> tuple[flo
 def inner_points(shapes: DataFrame, tolerance: float = 0.05) -> DataFrame:
     """(id, x, y, clearance) of the deepest point of each shape's largest polygon."""
 
-    def f(row: dict) -> dict:
-        polygons = [[_array(r) for r in p] for p in row["shape"]]
+    def f(shape: list) -> dict:
+        polygons = [[_array(r) for r in p] for p in shape]
         area = lambda r: abs((r[:-1, 0] * r[1:, 1] - r[1:, 0] * r[:-1, 1]).sum()) / 2
         largest = max(polygons, key=lambda p: area(p[0]) - sum(area(h) for h in p[1:]))
         x, y, clearance = deepest_point(largest, tolerance)
         return {"x": x, "y": y, "clearance": clearance}
 
-    return _rowwise(shapes, ["id", "shape"], "p", "struct<x:double,y:double,clearance:double>", f).select("id", "p.*")
+    made = pa.struct([(c, pa.float64()) for c in ("x", "y", "clearance")])
+    return _rowwise(shapes, ["id"], "shape", "p", "struct<x:double,y:double,clearance:double>", made, f).select("id", "p.*")
 
 
 def side_of_line(cells: DataFrame, line: list[tuple[float, float]], reach: float = 1e5) -> DataFrame:
@@ -221,17 +237,27 @@ def uniform_fits(local: np.ndarray, target: np.ndarray, scales: np.ndarray) -> p
     return pd.DataFrame(rows, columns=["scale", "x", "y", "iou"])
 
 
+#: Cells of the largest mask that best_fit() takes, as 8-byte numbers 128 MB.
+MASK_CELLS = 1 << 24
+
+
 def best_fit(local: DataFrame, target: DataFrame, low: float, high: float, step: float = 1e-4, pad: int = 0) -> DataFrame:
     """One row (scale, ox, oy, iou): the uniform scale and shift of cells that cover target cells best.
 
-    Scales are dealt over the cluster; the first of equal ones wins. Both masks travel with the function: they are
-    bounded by a map's size.
+    Scales are dealt over the cluster; the first of equal ones wins. Both masks travel with the function as images, so
+    each is counted first: one of more than MASK_CELLS cells in its box is an error, to be fitted at a coarser grain.
     """
     spark = local.sparkSession
 
     def mask(cells: DataFrame, pad: int) -> tuple[np.ndarray, int, int]:
-        p = cells.select("x", "y").toPandas()
-        x0, y0 = int(p["x"].min()) - pad, int(p["y"].min()) - pad
+        cells = cells.select("x", "y").distinct()
+        b = cells.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+        if b[0] is None:
+            raise ValueError("a mask without cells can't be fitted")
+        if (b[2] - b[0] + 1 + 2 * pad) * (b[3] - b[1] + 1 + 2 * pad) > MASK_CELLS:
+            raise ValueError(f"a mask of more than {MASK_CELLS} cells can't be fitted; coarsen it")
+        p = cells.toPandas()
+        x0, y0 = int(b[0]) - pad, int(b[1]) - pad
         out = np.zeros((int(p["y"].max()) - y0 + 1 + pad, int(p["x"].max()) - x0 + 1 + pad))
         out[p["y"].to_numpy() - y0, p["x"].to_numpy() - x0] = 1
         return out, x0, y0

@@ -6,12 +6,14 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartolith.functions import text
 from cartolith.functions.geometry import RING
 from cartolith.operators.ranking import numbered
+from cartolith.operators.shapes import POINTS
 
 SEGMENT = "a int, b int, x0 int, y0 int, x1 int, y1 int"
 SHAPE = f"array<array<{RING}>>"
@@ -233,7 +235,9 @@ def contours(labels: DataFrame, tolerance: float, least_area: float = 1.0) -> Da
         return out
 
     def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"label": pdf["label"], "shape": [thin(s) for s in pdf["shape"]]})
+        for batch in batches:
+            for i in range(batch.num_rows):
+                slim = pa.array([thin(batch.column("shape")[i].as_py())], pa.list_(pa.list_(POINTS)))
+                yield pa.RecordBatch.from_arrays([batch.column("label").slice(i, 1), slim], ["label", "shape"])
 
-    return polygons(labels).mapInPandas(run, f"label int, shape {SHAPE}")
+    return polygons(labels).mapInArrow(run, f"label int, shape {SHAPE}")

@@ -16,6 +16,7 @@ from cartolith.functions import text
 from cartolith.operators import features as ft
 from cartolith.operators import grid, overlay, shapes, topology
 from cartolith.operators.overlay import XY
+from cartolith.session import written
 
 #: A region that is covered by more than this share goes over as a whole.
 MOSTLY = 0.85
@@ -264,7 +265,7 @@ def borders_and_labels(m: Map, old_country_labels: DataFrame, old_region_labels:
     """Border lines and label points of countries and regions; labels stay where their feature still holds them."""
     out = {}
     for kind, cells, rows, old in (("country", m.countries, m.country_rows, old_country_labels), ("region", m.regions, m.region_rows, old_region_labels)):
-        made = outlines(cells)
+        made = written(outlines(cells), f"{kind}-outlines")
         out[f"{kind}_borders"] = made.select("id", F.posexplode(F.flatten("shape")).alias("part", "line"))
         inner = shapes.inner_points(made).select("id", F.col("x").alias("px"), F.col("y").alias("py"))
         spots = ft.kept_labels(made.join(inner, "id"), old)
