@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolith.llm import ann, bpe, decontam, langid, minhash, pii, tokencount, toxicity, urlrules, warc
+from cartolith.llm import ann, bpe, collocations, decontam, langid, lexicon, lloyd, minhash, pii, tokencount, toxicity, urlrules, warc
 from cartolith.llm.common import fold, table
 
 
@@ -59,10 +59,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.report(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, eod=50256)
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.report(table(spark, sf_dir, "documents"))
+
+
+def op13_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_pii, op2_warc, op3_language_id, op4_byte_bpe, op5_url_filters, op6_toxicity, op7_decontamination, op8_nearest_neighbours, op9_minhash_dedup, op10_token_counts)
+    found = (op1_pii, op2_warc, op3_language_id, op4_byte_bpe, op5_url_filters, op6_toxicity, op7_decontamination, op8_nearest_neighbours, op9_minhash_dedup, op10_token_counts, op11_centroid_clustering, op12_collocations, op13_lexicon_bpe)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": warc.ORACLE}
+    return {"op2_warc": warc.ORACLE, "op11_centroid_clustering": lloyd.ORACLE, "op12_collocations": collocations.ORACLE}
