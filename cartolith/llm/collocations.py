@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from cartolith.llm.common import drop_written, small_batches, spread_join, written
 
 #: Words of a phrase at most, its least frequency, and the words of a shard.
-LONGEST, LEAST, SHARD = 5, 100, 2_000_000
+LONGEST, LEAST, SHARD = 5, 100, 600_000
 #: Phrases that are returned of a language.
 TOP = 2000
 #: Bits of the filter of pairs for each of them, and at most in all (32 MB).
@@ -67,8 +67,8 @@ class Words:
             known = self.of[lang] = defaultdict(self.next)
             known[_BREAK] = 0
         found = [w for w in words_of(text) if w]
-        numbers = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
-        self.held += [numbers, np.zeros(1, np.int64)]
+        numbers = np.fromiter(map(known.__getitem__, found), np.int32, len(found))
+        self.held += [numbers, np.zeros(1, np.int32)]
         self.size += len(found) + 1
 
     def names(self) -> tuple[pa.Array, pa.Array]:
@@ -86,7 +86,7 @@ class Words:
         return pa.array(words, pa.binary()).take(pa.array(at)), pa.array(langs, pa.string()).dictionary_encode().take(pa.array(at))
 
     def numbers(self) -> np.ndarray:
-        return np.concatenate([np.zeros(1, np.int64), *self.held])
+        return np.concatenate([np.zeros(1, np.int32), *self.held]).astype(np.int64)
 
 
 @dataclass
