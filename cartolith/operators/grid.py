@@ -8,6 +8,7 @@ are found by columns and then by bands of rows.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +29,6 @@ FEW_PAIRS = 1_000_000
 BAND = 32
 
 
-def offsets(spark: SparkSession, steps=AROUND_8) -> DataFrame:
-    return spark.createDataFrame([(i, dx, dy) for i, (dx, dy) in enumerate(steps)], "k int, dx int, dy int")
-
-
 def neighbours(cells: DataFrame, steps=AROUND_8, keep: tuple[str, ...] = ()) -> DataFrame:
     """(x, y, k, nx, ny, keep...) for each cell and step, whether there is a cell at (nx, ny) or not."""
     step = F.explode(F.array(*(F.struct(F.lit(i).alias("k"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for i, (dx, dy) in enumerate(steps)))).alias("s")
@@ -161,6 +158,11 @@ def _joined(pairs: DataFrame) -> DataFrame:
     return pairs.coalesce(1).mapInArrow(run, "node long, root long")
 
 
+def linked(pairs: DataFrame, few_pairs: int = FEW_PAIRS) -> DataFrame:
+    """(node, root) of nodes that aren't their own root: the least node that each reaches. pairs: a written table of u and v."""
+    return _joined(pairs) if pairs.count() <= few_pairs else _stars(pairs)
+
+
 def components(cells: DataFrame, steps=AROUND_8, tile: int = TILE, few_pairs: int = FEW_PAIRS, by: str | None = None) -> DataFrame:
     """(x, y, component): the least cell number (y * 2^32 + x) that each cell reaches. Coordinates are 0 to 2^31 - 1.
 
@@ -180,7 +182,7 @@ def components(cells: DataFrame, steps=AROUND_8, tile: int = TILE, few_pairs: in
     border = local.where(edge)
     crossing = adjacent(border, steps, ("node", "kind")).where((F.col("node") < F.col("n_node")) & (F.col("kind") == F.col("n_kind")))
     crossing = written(crossing.select(F.col("node").alias("u"), F.col("n_node").alias("v")).distinct(), "crossing")
-    roots = _joined(crossing) if crossing.count() <= few_pairs else _stars(crossing)
+    roots = linked(crossing, few_pairs)
     return local.join(roots, "node", "left").select("x", "y", F.coalesce("root", "node").alias("component"))
 
 
@@ -261,42 +263,77 @@ def _fill_tile(x: np.ndarray, y: np.ndarray, far: np.ndarray, seed: np.ndarray,
     return far, seed
 
 
+#: Tables of changed tiles after which a fill's tiles are written anew as one table.
+VERSIONS = 16
+
+
+def _latest(versions: list[DataFrame]) -> DataFrame:
+    """The cells of each tile from the last of the tables that has it."""
+    if len(versions) == 1:
+        return versions[0].drop("changed")
+    tiles = [v.select("tx", "ty").distinct().withColumn("version", F.lit(i)) for i, v in enumerate(versions)]
+    last = functools.reduce(DataFrame.union, tiles).groupBy("tx", "ty").agg(F.max("version").alias("version"))  # a row a tile
+    all_ = functools.reduce(DataFrame.unionByName, (v.drop("changed").withColumn("version", F.lit(i)) for i, v in enumerate(versions)))
+    return all_.join(last, ["tx", "ty", "version"], "left_semi").drop("version")
+
+
 def flood(cells: DataFrame, steps=AROUND_8, tile: int = TILE) -> DataFrame:
     """(x, y, label, distance): seeds spread over cells; unreached cells have label 0 and distance -1.
 
     cells: x, y (0 to 2^31 - 1), seed (0: none). Among seeds at equal distance the first one in row-major order wins.
     That is the one that a queue would serve first: it serves cells by distance, and those of a distance in the order
-    of the seeds they came from. Each tile spreads what it has; values beside a border go to the next tile, for as long
-    as they make any cell there nearer, or as near to an earlier seed.
+    of the seeds they came from.
+
+    Each tile spreads what it has, once. From then on only changes move: cells beside a border that have become nearer, or as near
+    to an earlier seed, go to the tile beyond, and of the tiles that get some, those with a cell that this improves are
+    written anew. Settled tiles stay where they are; they are read again, and written again every VERSIONS rounds.
     """
     kind = cells.schema["seed"].dataType.simpleString()
+    kinds = {c: cells.schema[c].dataType.simpleString() for c in ("x", "y")}
     number = F.when(F.col("seed") > 0, F.col("y").cast("long") * (1 << 32) + F.col("x"))
-    now = cells.select("x", "y", "seed", F.when(F.col("seed") > 0, 0).otherwise(NEVER).cast("long").alias("far"), F.coalesce(number, F.lit(NEVER)).alias("by"))
-    kinds = {f.name: f.dataType.simpleString() for f in now.schema.fields}
-    schema = ", ".join(f"{n} {k}" for n, k in kinds.items())
-    halo = cells.sparkSession.createDataFrame([], f"x {kinds['x']}, y {kinds['y']}, far long, by long, tx long, ty long")
+    at = {"tx": F.floor(F.col("x") / tile), "ty": F.floor(F.col("y") / tile)}
+    start = cells.select("x", "y", F.when(F.col("seed") > 0, 0).otherwise(NEVER).cast("long").alias("far"), F.coalesce(number, F.lit(NEVER)).alias("by"), F.greatest(F.col("seed"), F.lit(0)).cast(kind).alias("label")).withColumns(at)
+    schema = f"x {kinds['x']}, y {kinds['y']}, far long, by long, label {kind}, tx long, ty long, changed boolean"
+    names = ["x", "y", "far", "by", "label", "tx", "ty"]
 
-    def spread(key, own: pd.DataFrame, beside: pd.DataFrame) -> pd.DataFrame:
+    def spread(own: pd.DataFrame, beside: pd.DataFrame | None) -> pd.DataFrame:
         if not len(own):
-            return own[list(kinds)].assign(changed=False)
-        both = pd.concat([own, beside], ignore_index=True)
-        far, by = _fill_tile(both["x"].to_numpy(np.int64), both["y"].to_numpy(np.int64), both["far"].to_numpy(np.int64), both["by"].to_numpy(np.int64), steps)
+            return own.reindex(columns=[*names, "changed"])
+        both = own if beside is None else pd.concat([own[names[:5]], beside[names[:5]]], ignore_index=True)
+        was, old = both["far"].to_numpy(np.int64), both["by"].to_numpy(np.int64)
+        far, by = _fill_tile(both["x"].to_numpy(np.int64), both["y"].to_numpy(np.int64), was, old, steps)
         n = len(own)
-        changed = (far[:n] != own["far"].to_numpy()) | (by[:n] != own["by"].to_numpy())
-        return own[list(kinds)].assign(far=far[:n], by=by[:n], changed=changed)
+        changed = (far[:n] != was[:n]) | (by[:n] != old[:n])
+        if beside is not None and not changed.any():
+            return own.iloc[:0].reindex(columns=names).assign(changed=False)
+        seeds, place = np.unique(old, return_index=True)
+        label = both["label"].to_numpy()[place[np.searchsorted(seeds, by[:n])]]
+        return own[names].assign(far=far[:n], by=by[:n], label=label, changed=changed)
+
+    def first(own: pd.DataFrame) -> pd.DataFrame:
+        return spread(own, None)
+
+    def again(key, own: pd.DataFrame, beside: pd.DataFrame) -> pd.DataFrame:
+        return spread(own, beside)
 
-    tiles = {"tx": F.floor(F.col("x") / tile), "ty": F.floor(F.col("y") / tile)}
     edge = (F.col("x") % tile).isin(0, tile - 1) | (F.col("y") % tile).isin(0, tile - 1)
+    versions = [written(start.groupBy("tx", "ty").applyInPandas(first, schema), "flood")]
+    tiles = versions[0].select("tx", "ty").distinct()
+    news = versions[0].where(edge & (F.col("far") != NEVER))
     while True:
-        done = now.withColumns(tiles).groupBy("tx", "ty").cogroup(halo.groupBy("tx", "ty")).applyInPandas(spread, f"{schema}, changed boolean")
-        now = written(done, "flood")
-        if now.where(F.col("changed") & edge).isEmpty():
+        ring = neighbours(news, AROUND_8, ("far", "by", "label", "tx", "ty")).withColumns({"bx": F.floor(F.col("nx") / tile), "by_": F.floor(F.col("ny") / tile)})
+        ring = ring.where((F.col("bx") != F.col("tx")) | (F.col("by_") != F.col("ty"))).select("x", "y", "far", "by", "label", F.col("bx").alias("tx"), F.col("by_").alias("ty"))
+        halo = written(ring.distinct().join(tiles, ["tx", "ty"], "left_semi"), "halo")
+        if halo.isEmpty():
             break
-        ring = neighbours(now.where(edge & (F.col("far") != NEVER)), AROUND_8, ("far", "by")).select("x", "y", "far", "by", F.floor(F.col("nx") / tile).alias("tx"), F.floor(F.col("ny") / tile).alias("ty"))
-        halo = written(ring.where((F.col("tx") != F.floor(F.col("x") / tile)) | (F.col("ty") != F.floor(F.col("y") / tile))).distinct(), "halo")
-        now = now.drop("changed")
-    seeds = now.where("by = y * 4294967296L + x").select(F.col("by").alias("by"), F.col("seed").alias("label"))
-    return now.select("x", "y", "far", "by").join(seeds, "by", "left").select("x", "y", F.coalesce("label", F.lit(0)).cast(kind).alias("label"), F.when(F.col("far") == NEVER, -1).otherwise(F.col("far")).alias("distance"))
+        mine = _latest(versions).join(halo.select("tx", "ty").distinct(), ["tx", "ty"], "left_semi")
+        patch = written(mine.groupBy("tx", "ty").cogroup(halo.groupBy("tx", "ty")).applyInPandas(again, schema), "flood")
+        news = patch.where(F.col("changed") & edge)
+        versions.append(patch)
+        if len(versions) > VERSIONS:
+            versions = [written(_latest(versions).withColumn("changed", F.lit(False)), "flood")]
+    never = F.col("far") == NEVER
+    return _latest(versions).select("x", "y", F.when(never, 0).otherwise(F.col("label")).cast(kind).alias("label"), F.when(never, -1).otherwise(F.col("far")).alias("distance"))
 
 
 def nearest_seed(cells: DataFrame, seeds: DataFrame, radius: int | None = None) -> DataFrame:

@@ -1,15 +1,20 @@
 """Overlays: set algebra on cells that belong to owners, and joins of points, boxes and shapes.
 
 A feature is the set of cells (owner, x, y); intersections, differences and unions are equi-joins on (x, y), so a spatial
-predicate is never a nested loop. Joins of points to shapes go through grid squares that the shape's box touches.
+predicate is never a nested loop. Points meet shapes, and boxes meet boxes, through squares of the size that fits each box.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartolith.functions import geometry as g
+from cartolith.operators import squares
+from cartolith.session import written
 
 XY = ["x", "y"]
 
@@ -74,49 +79,32 @@ def clip_to_land(countries: DataFrame, borders: DataFrame, land: DataFrame, uncl
     return shown, lines, free, report
 
 
-def _squares(shapes: DataFrame, size: float, margin: float = 0.0) -> DataFrame:
-    """shapes (with box: x0, y0, x1, y1) once for each grid square of their box."""
-    low, high = (lambda c: F.floor((F.col(c) - margin) / size)), (lambda c: F.floor((F.col(c) + margin) / size))
-    wide = shapes.withColumn("qx", F.explode(F.sequence(low("box.x0"), high("box.x1"))))
-    return wide.withColumn("qy", F.explode(F.sequence(low("box.y0"), high("box.y1"))))
-
-
-def points_in_shapes(points: DataFrame, shapes: DataFrame, square: float = 64.0) -> DataFrame:
+def points_in_shapes(points: DataFrame, shapes: DataFrame) -> DataFrame:
     """points (x, y, ...) joined with the shapes (shape, ...) that hold them, edges included."""
-    boxed = _squares(shapes.withColumn("box", g.bbox(F.col("shape"))), square)
-    placed = points.withColumns({"qx": F.floor(F.col("x") / square), "qy": F.floor(F.col("y") / square)})
-    met = placed.join(boxed, ["qx", "qy"])
-    near = met.where(F.col("x").between(F.col("box.x0"), F.col("box.x1")) & F.col("y").between(F.col("box.y0"), F.col("box.y1")))
-    return near.where(g.in_multipolygon(F.col("x"), F.col("y"), F.col("shape"))).drop("qx", "qy", "box")
+    near = squares.in_boxes(points, shapes.withColumn("box", g.bbox(F.col("shape"))))
+    return near.where(g.in_multipolygon(F.col("x"), F.col("y"), F.col("shape"))).drop("box")
 
 
-def first_holder(points: DataFrame, shapes: DataFrame, key: str, order: str, square: float = 64.0) -> DataFrame:
+def first_holder(points: DataFrame, shapes: DataFrame, key: str, order: str) -> DataFrame:
     """(key, the holder of smallest order) of each point that a shape holds."""
-    return points_in_shapes(points, shapes, square).groupBy(key).agg(F.min_by("id", order).alias("id"))
+    return points_in_shapes(points, shapes).groupBy(key).agg(F.min_by("id", order).alias("id"))
 
 
-def exactly_one(points: DataFrame, shapes: DataFrame, key: str, square: float = 64.0) -> DataFrame:
+def exactly_one(points: DataFrame, shapes: DataFrame, key: str) -> DataFrame:
     """(key, id) of each point's only holder; fails where a point has none or several."""
-    found = points.select(key).join(points_in_shapes(points, shapes, square).select(key, "id"), key, "left")
+    found = points.select(key).join(points_in_shapes(points, shapes).select(key, "id"), key, "left")
     counted = found.groupBy(key).agg(F.count("id").alias("n"), F.max("id").alias("id"))
     from cartolith.operators.features import checked
 
     return checked(counted, F.col("n") == 1, F.concat(F.lit("anchor must be in exactly one part: "), F.col(key).cast("string"))).select(key, "id")
 
 
-def box_overlaps(boxes: DataFrame, square: float = 64.0, least: float = 1e-9) -> DataFrame:
-    """(first, second, area) of boxes (id, x0, y0, x1, y1) that overlap by more than `least`, each pair once.
-
-    A pair meets in each square that both touch, and is kept in the first of them only.
-    """
-    boxed = boxes.select("id", F.struct("x0", "y0", "x1", "y1").alias("box"))
-    a = _squares(boxed, square).select("qx", "qy", F.col("id").alias("first"), F.col("box").alias("a"))
-    b = _squares(boxed, square).select("qx", "qy", F.col("id").alias("second"), F.col("box").alias("b"))
+def box_overlaps(boxes: DataFrame, least: float = 1e-9) -> DataFrame:
+    """(first, second, area) of boxes (id, x0, y0, x1, y1) that overlap by more than `least`, each pair once."""
+    met = squares.box_pairs(boxes.select("id", F.struct("x0", "y0", "x1", "y1").alias("box")))
     wide = F.least("a.x1", "b.x1") - F.greatest("a.x0", "b.x0")
     tall = F.least("a.y1", "b.y1") - F.greatest("a.y0", "b.y0")
-    once = (F.col("qx") == F.floor(F.greatest("a.x0", "b.x0") / square)) & (F.col("qy") == F.floor(F.greatest("a.y0", "b.y0") / square))
-    met = a.join(b, ["qx", "qy"]).where((F.col("first") < F.col("second")) & (wide > 0) & (tall > 0) & once)
-    return met.select("first", "second", (wide * tall).alias("area")).where(F.col("area") > least)
+    return met.where((wide > 0) & (tall > 0)).select("first", "second", (wide * tall).alias("area")).where(F.col("area") > least)
 
 
 def nearest(points: DataFrame, targets: DataFrame, within: float, key: str = "key", group: str | None = None) -> DataFrame:
@@ -135,29 +123,62 @@ def nearest(points: DataFrame, targets: DataFrame, within: float, key: str = "ke
 
 
 def nearest_in_group(points: DataFrame, targets: DataFrame, group: str, key: str = "key", k: int = 1) -> DataFrame:
-    """(key, place, id, d2) of the k targets of a point's group that are nearest; ties to the smaller order.
+    """(key, place, id, d2) of the k targets of a point's group that are nearest; ties to the smaller order, then id.
 
-    For groups that are small (a country's regions); each point meets all targets of its group.
+    A point meets the squares of its group's targets that can hold one of the k, however large the group is.
     """
-    b = targets.select("id", "ord", group, F.col("x").alias("tx"), F.col("y").alias("ty"))
-    met = points.join(b, group).withColumn("d2", g.squared(F.col("x"), F.col("y"), F.col("tx"), F.col("ty")))
-    best = met.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct("d2", "ord", "id"))), 1, k).alias("near"))
-    return best.select(key, F.posexplode("near").alias("p", "m")).select(key, (F.col("p") + 1).alias("place"), F.col("m.id").alias("id"), F.col("m.d2").alias("d2"))
+    return squares.nearest_in_tree(points, targets, group, key, k).select(key, "place", "id", "d2")
 
 
 def absorb_gaps(cells: DataFrame, territory: DataFrame, reach: int | None = None, owner: str = "owner") -> DataFrame:
     """Owners' cells within a territory, each gap of it (its connected free cells) given whole to the nearest owner.
 
-    Nearest is by the closest pair of cells, ties to the smaller owner; with a reach, gaps farther than that stay free.
-    Gaps don't wait for each other: a gap goes to an owner of the start.
+    Gaps wait for each other: they go by their first cells, row by row, and what an owner has got counts as its own for
+    those that come later. Nearest is by the closest pair of cells, ties to the smaller owner. With a reach, gaps farther
+    than that from all owners of the start stay free and pass nothing on. Without owners nothing happens.
+
+    Most gaps touch an owner, and nothing is nearer. Others look for the nearest gap before them; such gaps and those that
+    they lean on are settled in order, for each connected part of that graph by itself, one row a gap and link.
     """
-    from cartolith.operators.grid import components, nearest_seed
+    from cartolith.operators.grid import AROUND_4, adjacent, components, linked, nearest_seed
 
     inside = intersect(cells, territory)
-    gaps = components(subtract(territory, inside))
+    gaps = written(components(subtract(territory, inside)), "gaps")
     seeds = inside.select("x", "y", F.col(owner).alias("label"))
     close = nearest_seed(gaps, seeds, reach).join(gaps, XY)
-    best = close.where(F.col("label").isNotNull()).groupBy("component").agg(F.min(F.struct("d2", "label")).alias("m")).select("component", F.col("m.label").alias(owner))
+    direct = written(close.where(F.col("label").isNotNull()).groupBy("component").agg(F.min(F.struct("d2", "label")).alias("m")).select("component", "m.d2", "m.label"), "gap-owners")
+    best = direct.select("component", F.col("label").alias(owner))
+    alone = direct.where("d2 >= 4").select("component")  # other gaps are two cells away at least
+    if not alone.isEmpty():
+        mine = gaps.join(direct.select("component"), "component", "left_semi")
+        inner = adjacent(mine, AROUND_4, ("component",)).where("component = n_component").groupBy(*XY).count().where("count = 4").select(*XY)
+        rim = written(mine.join(inner, XY, "left_anti").select("component", F.col("component").alias("id"), F.col("component").alias("ord"), F.lit(0).alias("all"), *XY), "gap-rims")
+        asks = rim.join(alone, "component", "left_semi").select((F.col("y").cast("long") * (1 << 32) + F.col("x")).alias("key"), F.col("component").alias("before"), "all", *XY)
+        near = squares.nearest_in_tree(asks, rim.select("id", "ord", "all", *XY), "all", "key", before="before", ties=True)
+        near = near.join(asks.select("key", F.col("before").alias("component")), "key").groupBy("component", F.col("id").alias("other")).agg(F.min("d2").alias("gap"))
+        least = near.groupBy("component").agg(F.min("gap").alias("gap"))
+        near = near.join(least, ["component", "gap"]).join(direct, "component").where("gap <= d2").select("component", "other", "gap")
+        near = written(near, "gap-links")
+        parts = linked(near.select(F.col("other").alias("u"), F.col("component").alias("v")))
+        rows = direct.join(near, "component", "left").join(parts.withColumnRenamed("node", "component"), "component", "left")
+        rows = rows.select("component", F.col("d2").cast("double").alias("d2"), "label", "other", "gap", F.coalesce("root", "component").alias("root"))
+        roots = near.select(F.col("component").alias("node")).join(parts, "node", "left").select(F.coalesce("root", "node").alias("root")).distinct()
+        leans = written(rows.join(roots, "root", "left_semi"), "gap-parts")
+        kind = direct.schema["label"].dataType.simpleString()
+
+        def settle(group: pa.Table) -> pa.Table:
+            got: dict[int, object] = {}
+            by: dict[int, list[tuple]] = defaultdict(list)
+            for component, d2, label, other, gap in zip(*(group.column(c).to_pylist() for c in ("component", "d2", "label", "other", "gap")), strict=True):
+                by[component].append((d2, label, other, gap))
+            for component in sorted(by):
+                options = [(by[component][0][0], by[component][0][1])]
+                options += [(gap, got[other]) for _, _, other, gap in by[component] if other is not None]
+                got[component] = min(options)[1]
+            return pa.table([pa.array(list(got), pa.int64()), pa.array(list(got.values()), group.column("label").type)], ["component", owner])
+
+        settled = leans.groupBy("root").applyInArrow(settle, f"component long, {owner} {kind}")
+        best = best.join(leans.select("component"), "component", "left_anti").unionByName(settled)
     return inside.select(owner, *XY).union(gaps.join(best, "component").select(owner, *XY))
 
 

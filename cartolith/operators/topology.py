@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartolith.functions import text
 from cartolith.functions.geometry import RING
+from cartolith.operators import chains
 from cartolith.operators.ranking import numbered
 from cartolith.operators.shapes import POINTS
+from cartolith.session import written
 
 SEGMENT = "a int, b int, x0 int, y0 int, x1 int, y1 int"
 SHAPE = f"array<array<{RING}>>"
@@ -70,135 +69,140 @@ def simplify(points: np.ndarray, tolerance: float) -> np.ndarray:
     return points[keep]
 
 
-def chain(segments: np.ndarray) -> list[np.ndarray]:
-    """Lines of unit segments (x0, y0, x1, y1) that run between points where other than two segments meet, then rings."""
-    at: dict[tuple, list[int]] = defaultdict(list)
-    ends = [((s[0], s[1]), (s[2], s[3])) for s in segments.tolist()]
-    for i, (p, q) in enumerate(ends):
-        at[p].append(i)
-        at[q].append(i)
-    used, lines = set(), []
-
-    def walk(start: tuple, i: int) -> np.ndarray:
-        line, here = [start], start
-        while i is not None:
-            used.add(i)
-            here = ends[i][1] if ends[i][0] == here else ends[i][0]
-            line.append(here)
-            i = None if len(at[here]) != 2 or here == start else next((j for j in at[here] if j not in used), None)
-        return np.array(line, float)
-
-    for p in sorted(at):
-        if len(at[p]) != 2:
-            lines += [walk(p, i) for i in at[p] if i not in used]
-    for p in sorted(at):
-        lines += [walk(p, i) for i in at[p][:1] if i not in used]
-    return lines
-
-
 def _points(line: np.ndarray) -> list[dict]:
     return [{"x": float(x), "y": float(y)} for x, y in line]
 
 
-def arcs(segments: DataFrame, tolerance: float = 0.0) -> DataFrame:
-    """(a, b, part, points): each interface merged to lines and simplified once for both of its sides.
-
-    A task holds one pair's boundary, which grows with a perimeter and not with an area.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lines = chain(pdf[["x0", "y0", "x1", "y1"]].to_numpy())
-        lines = [x for x in (simplify(line, tolerance) for line in lines) if len(x) > 1]
-        return pd.DataFrame({"a": pdf["a"].iloc[0], "b": pdf["b"].iloc[0], "part": np.arange(1, len(lines) + 1), "points": [_points(x) for x in lines]})
-
-    return segments.groupBy("a", "b").applyInPandas(run, f"a int, b int, part int, points {RING}")
+def _joined_points(group: pa.Table) -> np.ndarray:
+    """The points of a chain's pieces in order; where one ends, the next begins. flip: pieces that are walked backwards."""
+    group = group.sort_by([("ahead", "descending")])
+    flip = group.column("flip").to_pylist()
+    lines = [chains.points_of(p)[:: -1 if f else 1] for p, f in zip(group.column("points"), flip, strict=True)]
+    return np.concatenate([lines[0], *(x[1:] for x in lines[1:])])
 
 
-def rings_of(segments: np.ndarray, inside: np.ndarray) -> list[np.ndarray]:
-    """Closed rings of directed unit edges that keep the label on their right hand (screen coordinates).
+def arcs(segments: DataFrame, tolerance: float = 0.0, tile: int = chains.TILE, few: int = chains.FEW_LINKS) -> DataFrame:
+    """(a, b, part, points): each interface merged to lines and simplified once for both of its sides.
 
-    segments: x0, y0, x1, y1; inside: whether the label's cell is the one of smaller coordinates. Where two cells touch
-    at a corner only, a ring turns so that they stay apart.
+    Lines run between points where other than two segments of a pair meet, from the lesser end on, or are rings. They are
+    pieced together over tiles, so that a task holds a pair's segments within one tile, or one line's corners. Parts count from
+    1 for each pair, lines before rings.
     """
-    out: dict[tuple, list[tuple]] = defaultdict(list)
-    for (x0, y0, x1, y1), before in zip(segments.tolist(), inside.tolist(), strict=True):
-        p, q = (x0, y0), (x1, y1)
-        forward = (x0 == x1) == before  # a vertical edge runs down where the label is on its left
-        out[p if forward else q].append(q if forward else p)
-    rings = []
-    for start in sorted(out):
-        while out[start]:
-            ring, here, came = [start], start, None
-            while True:
-                options = out[here]
-                if len(options) > 1 and came is not None:
-                    right = (-came[1], came[0])
-                    options.sort(key=lambda q: (q[0] - here[0], q[1] - here[1]) != right)
-                nxt = options.pop(0)
-                came = (nxt[0] - here[0], nxt[1] - here[1])
-                here = nxt
-                ring.append(here)
-                if here == start:
-                    break
-            rings.append(np.array(ring, float))
-    return rings
-
-
-def straight(ring: np.ndarray) -> np.ndarray:
-    """A closed ring without the points inside its straight runs."""
-    body = ring[:-1]
-    before, after = np.roll(body, 1, axis=0), np.roll(body, -1, axis=0)
-    cross = (body[:, 0] - before[:, 0]) * (after[:, 1] - body[:, 1]) - (body[:, 1] - before[:, 1]) * (after[:, 0] - body[:, 0])
-    body = body[cross != 0]
-    return np.vstack([body, body[:1]])
-
-
-def _area(ring: np.ndarray) -> float:
-    x, y = ring[:, 0], ring[:, 1]
-    return float((x[:-1] * y[1:] - x[1:] * y[:-1]).sum() / 2)
-
-
-def _holds(ring: np.ndarray, x: float, y: float) -> bool:
-    x0, y0, x1, y1 = ring[:-1, 0], ring[:-1, 1], ring[1:, 0], ring[1:, 1]
-    cut = (y0 > y) != (y1 > y)
-    return bool((cut & (x < (x1 - x0) * (y - y0) / np.where(y1 == y0, 1, y1 - y0) + x0)).sum() % 2)
+    placed = segments.withColumns({"tx": F.floor(F.col("x0") / tile), "ty": F.floor(F.col("y0") / tile)})
+    pieces = placed.groupBy("a", "b", "tx", "ty").applyInArrow(chains.arc_pieces(tile), chains.ARC_PIECE)
+    pieces = written(pieces.withColumn("piece", F.monotonically_increasing_id()), "arc-pieces")
+    whole = F.col("closed") | ~(F.col("open0") | F.col("open1"))
+    fields = f"a int, b int, ring boolean, points {RING}"
 
+    def alone(batches):
+        for batch in batches:
+            lines = [simplify(chains.settled(chains.points_of(p)), tolerance) for p in batch.column("points")]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("closed"), chains.lists(lines)], ["a", "b", "ring", "points"])
+
+    made = pieces.where(whole).select("a", "b", "closed", "points").mapInArrow(alone, fields)
+    left = pieces.where(~whole)
+    if not left.isEmpty():
+        side = lambda end: F.struct(F.lit(end).alias("end"), F.col(f"x{end}").alias("vx"), F.col(f"y{end}").alias("vy"), F.col(f"open{end}").alias("open"))
+        ends = left.select("a", "b", "piece", F.explode(F.array(side(0), side(1))).alias("s")).select("a", "b", "piece", "s.*")
+        met = ends.where("open").groupBy("a", "b", "vx", "vy").agg(F.array_sort(F.collect_list(F.struct("piece", "end"))).alias("two"))
+        two = met.where(F.size("two") == 2).select(F.explode(F.array(*(F.struct(F.col(f"two.piece")[i].alias("piece"), F.col("two.end")[i].alias("end"), F.col("two.piece")[1 - i].alias("to"), F.col("two.end")[1 - i].alias("at")) for i in (0, 1)))).alias("t")).select("t.*")
+        # a piece is walked both ways: forwards it is left at its end 1, and a piece that is met at its end 1 is walked backwards
+        links = ends.select("piece", "end").join(two, ["piece", "end"], "left")
+        links = written(links.select((F.col("piece") * 2 + (F.col("end") == 0).cast("int")).alias("node"), (F.col("to") * 2 + F.col("at")).alias("next")), "arc-links")
+        chain = written(chains.ranked(links, few), "arc-ranks")
+        forward = chain.groupBy("leader").agg(F.min("node").alias("least")).where("least % 2 = 0").select("leader")  # of two ways, that which takes the least piece forwards
+        ring = links.where("next is null").select(F.col("node").alias("leader"), F.lit(False).alias("ring"))
+        chain = chain.join(forward, "leader").join(ring, "leader", "left").select(F.shiftright("node", 1).alias("piece"), (F.col("node") % 2 == 1).alias("flip"), "leader", "ahead", F.coalesce("ring", F.lit(True)).alias("ring"))
+
+        def join(group: pa.Table) -> pa.Table:
+            line = _joined_points(group)
+            ring = group.column("ring")[0].as_py()
+            points = chains.lists([simplify(chains.settled(chains.straight(line) if ring else line), tolerance)])
+            return pa.table([*(group.column(c).slice(0, 1) for c in ("a", "b", "ring")), points], ["a", "b", "ring", "points"])
+
+        made = made.unionByName(left.select("a", "b", "points", "piece").join(chain, "piece").groupBy("leader").applyInArrow(join, fields))
+    ends = [F.element_at("points", i)[c] for i in (1, 2, -1, -2) for c in ("x", "y")]
+    placed = numbered(made, ["a", "b", "ring", *ends], "n")
+    first = placed.groupBy("a", "b").agg((F.min("n") - 1).alias("base"))
+    return placed.join(first, ["a", "b"]).select("a", "b", (F.col("n") - F.col("base")).cast("int").alias("part"), "points")
+
+
+def label_edges(labels: DataFrame) -> DataFrame:
+    """(label, x0, y0, x1, y1) of the unit edges around each label's cells, directed so that the cells are on the right hand."""
+    known = labels.where(F.col("label") != 0).select("x", "y", F.col("label").cast("int").alias("label"))
+    x, y = F.col("x").cast("long"), F.col("y").cast("long")
+    corners = ((x, y, x + 1, y, 0), (x + 1, y, x + 1, y + 1, 1), (x, y + 1, x + 1, y + 1, 2), (x, y, x, y + 1, 3))
+    sides = F.array(*(F.struct(a.alias("x0"), b.alias("y0"), c.alias("x1"), d.alias("y1"), F.lit(way).alias("way")) for a, b, c, d, way in corners))
+    edges = known.select("label", F.explode(sides).alias("s")).select("label", "s.*")
+    once = edges.groupBy("label", "x0", "y0", "x1", "y1").agg(F.min("way").alias("way"), F.max("way").alias("most")).where("way = most")
+    back = F.col("way") > 1
+    return once.select("label", *(F.when(back, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("x0", "x1"), ("y0", "y1"), ("x1", "x0"), ("y1", "y0"))))
 
-def assemble(rings: list[np.ndarray]) -> list[list[np.ndarray]]:
-    """Polygons of rings: hulls have positive area here, and each hole goes to the smallest hull around it."""
-    hulls = sorted((r for r in rings if _area(r) > 0), key=_area)
-    polygons = [[h] for h in hulls]
-    for hole in (r for r in rings if _area(r) < 0):
-        step = (hole[1] - hole[0]) / 2
-        x, y = hole[0] + step + np.array([-step[1], step[0]]) * 0.5  # just beside the edge, on the label's side
-        for hull, polygon in zip(hulls, polygons, strict=True):
-            if _holds(hull, x, y):
-                polygon.append(hole)
-                break
-    return polygons
 
+def ring_pieces(labels: DataFrame, tile: int = chains.TILE, few: int = chains.FEW_LINKS) -> tuple[DataFrame, DataFrame]:
+    """Outlines of labels at any size: pieces (label, ring, ahead, points) and rings (label, ring, area, parent).
 
-def polygons(labels: DataFrame) -> DataFrame:
+    A ring's pieces follow each other by falling `ahead`. Holes have negative area, and the hull around them as parent; a
+    hull is its own. No task holds more than a label's edges within one tile.
+    """
+    edges = label_edges(labels).withColumns({"tx": F.floor(F.col("x0") / tile), "ty": F.floor(F.col("y0") / tile)})
+    pieces = edges.groupBy("label", "tx", "ty").applyInArrow(chains.ring_pieces, chains.RING_PIECE)
+    pieces = written(pieces.withColumn("piece", F.monotonically_increasing_id()), "ring-pieces")
+    whole = pieces.where("closed").withColumns({"ring": F.col("piece"), "ahead": F.lit(0).cast("long")})
+    left = pieces.where("not closed")
+    if not left.isEmpty():
+        heads = left.select("label", F.col("x0").alias("x1"), F.col("y0").alias("y1"), "want", F.col("piece").alias("next"))
+        links = left.select("label", "x1", "y1", "way", "piece").join(heads, ["label", "x1", "y1"]).where(F.col("want").isNull() | (F.col("want") == F.col("way")))
+        ranks = chains.ranked(written(links.select(F.col("piece").alias("node"), "next"), "ring-links"), few)
+        whole = whole.unionByName(left.join(ranks.select(F.col("node").alias("piece"), F.col("leader").alias("ring"), "ahead"), "piece"))
+    whole = written(whole.select("label", "ring", "ahead", "closed", "area", "drop_x", "drop_y", "points"), "rings")
+    drop = F.min(F.when(F.col("drop_x").isNotNull(), F.struct(F.col("drop_y").alias("y"), F.col("drop_x").alias("x")))).alias("drop")
+    rings = written(whole.groupBy("label", "ring").agg(F.sum("area").alias("area"), drop), "ring-areas")
+    return whole.select("label", "ring", "ahead", "closed", "points"), _with_parents(rings, whole, few)
+
+
+def _with_parents(rings: DataFrame, pieces: DataFrame, few: int) -> DataFrame:
+    """rings with the hull around each. Where a label has several hulls and holes, a hole looks left from its topmost cell:
+    the run of the label's cells there begins at an edge of that hull, or of another hole in it, which is asked in turn."""
+    hulls = rings.where("area > 0").groupBy("label").agg(F.count(F.lit(1)).alias("hulls"), F.min("ring").alias("only"))
+    known = rings.join(hulls, "label")
+    simple = known.select("label", "ring", "area", F.when(F.col("area") > 0, F.col("ring")).when(F.col("hulls") == 1, F.col("only")).alias("parent"), "drop")
+    asked = written(simple.where("parent is null").select("label", "ring", "area", "drop"), "holes")
+    if asked.isEmpty():
+        return simple.select("label", "ring", "area", "parent")
+    rows = asked.select("label", F.col("drop.y").alias("y")).distinct()
+    pair = F.transform(F.sequence(F.lit(1), F.size("points") - 1), lambda i: F.struct(F.element_at("points", i).alias("p"), F.element_at("points", i + 1).alias("q")))
+    up = pieces.join(asked.select("label").distinct(), "label", "left_semi").select("label", "ring", F.explode(pair).alias("e")).where("e.p.y > e.q.y")
+    up = up.select("label", "ring", F.col("e.p.x").cast("long").alias("x"), F.explode(F.sequence(F.col("e.q.y").cast("long"), F.col("e.p.y").cast("long") - 1)).alias("y"))
+    spots = up.join(rows, ["label", "y"], "left_semi").select("label", "y", "x", F.col("ring").alias("edge"), F.lit(None).cast("long").alias("hole"))
+    spots = spots.unionByName(asked.select("label", "drop.y", "drop.x", F.lit(None).cast("long").alias("edge"), F.col("ring").alias("hole")))
+    left = F.last("edge", ignorenulls=True).over(Window.partitionBy("label", "y").orderBy("x", F.col("hole").isNull()).rowsBetween(Window.unboundedPreceding, 0))
+    holes = spots.withColumn("next", left).where("hole is not null").select(F.col("hole").alias("node"), "next")
+    ends = rings.where("area > 0").join(asked.select("label").distinct(), "label", "left_semi").select(F.col("ring").alias("node"), F.lit(None).cast("long").alias("next"))
+    found = chains.ranked(written(holes.unionByName(ends), "hole-links"), few).select(F.col("node").alias("ring"), F.col("leader").alias("parent"))
+    return simple.where("parent is not null").select("label", "ring", "area", "parent").unionByName(asked.select("label", "ring", "area").join(found, "ring"))
+
+
+def polygons(labels: DataFrame, tile: int = chains.TILE, few: int = chains.FEW_LINKS) -> DataFrame:
     """(label, shape): the exact outline of each label's cells, holes with it, islands as polygons of their own.
 
-    A task holds one label's boundary.
+    Rings are pieced together over tiles; a shape is one value, and ring_pieces() has outlines without such values. Polygons
+    go by their topmost and leftmost places, holes by their least points. Cells that repeat count once.
     """
-    known = labels.where(F.col("label") != 0).select("x", "y", F.col("label").cast("int").alias("label"))
-    sides = F.array(
-        F.struct(F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("x").alias("x1"), (F.col("y") + 1).alias("y1"), F.lit(False).alias("before")),
-        F.struct((F.col("x") + 1).alias("x0"), F.col("y").alias("y0"), (F.col("x") + 1).alias("x1"), (F.col("y") + 1).alias("y1"), F.lit(True).alias("before")),
-        F.struct(F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 1).alias("x1"), F.col("y").alias("y1"), F.lit(False).alias("before")),
-        F.struct(F.col("x").alias("x0"), (F.col("y") + 1).alias("y0"), (F.col("x") + 1).alias("x1"), (F.col("y") + 1).alias("y1"), F.lit(True).alias("before")),
-    )
-    edges = known.select("label", F.explode(sides).alias("s")).select("label", "s.*")
-    once = edges.groupBy("label", "x0", "y0", "x1", "y1").agg(F.count(F.lit(1)).alias("n"), F.first("before").alias("before")).where("n = 1")
+    pieces, rings = ring_pieces(labels, tile, few)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = assemble([straight(r) for r in rings_of(pdf[["x0", "y0", "x1", "y1"]].to_numpy(), pdf["before"].to_numpy())])
-        found.sort(key=lambda p: (p[0][:, 1].min(), p[0][:, 0].min()))
-        return pd.DataFrame({"label": [pdf["label"].iloc[0]], "shape": [[[_points(r) for r in p] for p in found]]})
+    def join(group: pa.Table) -> pa.Table:
+        line = chains.straight(_joined_points(group))
+        return pa.table([group.column("ring").slice(0, 1), chains.lists([line])], ["ring", "points"])
 
-    return once.groupBy("label").applyInPandas(run, f"label int, shape {SHAPE}")
+    several = pieces.where("not closed").withColumn("flip", F.lit(False)).groupBy("ring").applyInArrow(join, f"ring long, points {RING}")
+    lines = pieces.where("closed").select("ring", "points").unionByName(several).join(rings, "ring")
+    low = lambda c: F.array_min(F.transform("points", lambda p: p[c]))
+    first = F.when(F.col("area") > 0, F.struct(low("y").alias("y"), low("x").alias("x")))
+    inner = F.struct((F.col("area") < 0).alias("hole"), F.col("points")[0].alias("p"), "points")
+    whole = lines.groupBy("label", "parent").agg(F.max(first).alias("place"), F.array_sort(F.collect_list(inner)).alias("r"))
+    polygon = F.struct("place", F.col("r")[0]["p"].alias("p"), F.transform("r", lambda r: r["points"]).alias("rings"))
+    return whole.groupBy("label").agg(F.array_sort(F.collect_list(polygon)).alias("s")).select("label", F.transform("s", lambda s: s["rings"]).cast(SHAPE).alias("shape"))
 
 
 def borders(lines: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -214,6 +218,11 @@ def borders(lines: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame, Dat
     return inner, coast, vertices
 
 
+def _area(ring: np.ndarray) -> float:
+    x, y = ring[:, 0], ring[:, 1]
+    return float((x[:-1] * y[1:] - x[1:] * y[:-1]).sum() / 2)
+
+
 def contours(labels: DataFrame, tolerance: float, least_area: float = 1.0) -> DataFrame:
     """(label, shape) of outlines simplified one by one; parts that would vanish become their bounding boxes.
 
