@@ -307,6 +307,36 @@ def hashes_of_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row.select(F.size("hashes").cast("long").alias("shapes"), F.array_min(F.map_values("hashes")).alias("first"), "combined")
 
 
+_LEVEL = "{0} AS (SELECT (i - 1) // 16 + 1 AS i, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h, ceil(any_value(n) / 16)::BIGINT AS n FROM {1} GROUP BY (i - 1) // 16 + 1)"
+
+
+@query(f"""WITH l0 AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS i, sha256(o_orderkey || ':' || o_clerk) AS h, count(*) OVER () AS n FROM orders),
+{", ".join(_LEVEL.format(f"l{k + 1}", f"l{k}") for k in range(8))} SELECT h AS combined FROM l8""")
+def digest_of_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One digest of all orders, in levels of 16."""
+    each = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.sha2(F.concat_ws(":", F.col("o_orderkey").cast("string"), "o_clerk"), 256).alias("hash"))
+    return ft.merkle_digest(each, fan=16)
+
+
+@query(f"""WITH {fx.BOXES} SELECT id::VARCHAR AS id, CASE id % 4 WHEN 0 THEN 3 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END::BIGINT AS parts, (CASE id % 4 WHEN 0 THEN 3 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END * (x1 - x0) * (y1 - y0))::DOUBLE AS area FROM boxes""")
+def nested_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes in a file of geometries of all kinds: a polygon, two in collections within one, three with points beside them, a line."""
+    from cartolith.session import new_folder
+
+    p = lambda x, y: F.array(F.col(x), F.col(y))
+    ring = F.to_json(F.array(F.array(p("x0", "y0"), p("x1", "y0"), p("x1", "y1"), p("x0", "y1"), p("x0", "y0"))))
+    made = lambda kind, inner: F.concat(F.lit(f'{{"type":"{kind}","coordinates":'), inner, F.lit("}"))
+    held = lambda *of: F.concat(F.lit('{"type":"GeometryCollection","geometries":['), F.concat_ws(",", *of), F.lit("]}"))
+    polygon, point, line = made("Polygon", ring), F.lit('{"type":"Point","coordinates":[1,2]}'), F.lit('{"type":"LineString","coordinates":[[1,2],[3,4]]}')
+    multi = made("MultiPolygon", F.concat(F.lit("["), ring, F.lit(","), ring, F.lit("]")))
+    kind = F.col("id") % 4
+    geometry = F.when(kind == 0, held(point, held(multi, held(line, polygon)), held())).when(kind == 1, polygon).when(kind == 2, held(held(polygon), polygon)).otherwise(line)
+    rows = fx.boxes(spark, sf_dir).withColumn("geometry", geometry).withColumn("id", F.col("id").cast("string"))
+    path = new_folder(spark, "nested") + "/nested.geojson"
+    geojson.write_collection(geojson.feature_lines(rows, F.col("geometry"), []), path)
+    return geojson.polygonal(geojson.read_geometries(spark, path), ["id"]).select("id", F.size("shape").cast("long").alias("parts"), g.area(F.col("shape")).alias("area"))
+
+
 @query("""WITH r AS (SELECT s_suppkey::VARCHAR AS id, s_name AS name, s_nationkey AS country_id FROM supplier), n AS (SELECT CASE WHEN id = '3' THEN 'x-3' ELSE id END AS id, name, country_id FROM r)
 SELECT 'region' AS kind, id, name FROM n WHERE country_id <> 4 UNION ALL SELECT 'region', 'new-' || c_custkey, c_name FROM customer WHERE c_nationkey = 4
 UNION ALL SELECT 'label', CASE WHEN id = '3' THEN 'x-3' ELSE id END, CASE WHEN id = '5' THEN '7.0' ELSE '1.0' END FROM r UNION ALL SELECT 'border', CASE WHEN id = '3' THEN 'x-3' ELSE id END, '' FROM r""")

@@ -80,12 +80,14 @@ def rooms_of_a_drawn_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("component").agg(F.count(F.lit(1)).alias("area"))
 
 
-@query(f"""WITH {_PAIR} SELECT owner, count(*) AS area, sum(x)::BIGINT AS sx, sum(y)::BIGINT AS sy FROM owned WHERE x < 60 GROUP BY owner""")
+@query(f"""WITH {_PAIR} SELECT owner, 4 * count(*) AS area, sum(8 * x + 2)::BIGINT AS sx, sum(8 * y + 2)::BIGINT AS sy FROM owned GROUP BY owner""")
 def placed_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions that lie 7 to the right of and 3 below their territory are moved back onto it."""
-    cells = fx.owned(spark, sf_dir).where("x < 60")
+    """Regions of half the size, 7 to the right of and 3 below their place, are fitted to their territory, whose cells are twice as wide."""
+    cells = fx.owned(spark, sf_dir)
     away = cells.select("owner", (F.col("x") + 7).alias("x"), (F.col("y") + 3).alias("y"))
-    moved, _ = extraction.place_regions(away, cells.select("x", "y"), 1.0, 1.0, 0.1, 0)
+    part = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)))).alias("p")
+    twice = cells.select("x", "y", part).select((F.col("x") * 2 + F.col("p.i")).alias("x"), (F.col("y") * 2 + F.col("p.j")).alias("y"))
+    moved, _ = extraction.place_regions(away, twice, 1.5, 2.5, 0.25, 0)
     return moved.groupBy("owner").agg(F.count(F.lit(1)).alias("area"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
 
 

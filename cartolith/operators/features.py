@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cartolith.session import written
 from cartolith.functions import colors, geometry, text
 
 #: Ranks of cities and the zoom from which each shows.
@@ -223,6 +224,23 @@ def shape_hashes(shapes: DataFrame) -> DataFrame:
     return whole.select(F.map_from_entries("all").alias("hashes"), F.sha2(F.array_join(F.transform("all", lambda s: s["hash"]), ""), 256).alias("combined"))
 
 
+def merkle_digest(hashes: DataFrame, order: str = "id", hash_: str = "hash", fan: int = 4096) -> DataFrame:
+    """One row (combined): a digest of all hashes in a total order, at any number of them.
+
+    Runs of `fan` hashes in order are joined and hashed, then runs of those, until one is left; so no row holds more than
+    `fan` hashes. One hash alone is its own digest, and that of none is the hash of nothing. Null hashes count as empty ones.
+    """
+    from cartolith.operators.ranking import numbered
+
+    now = numbered(hashes.select(order, F.coalesce(hash_, F.lit("")).alias("hash")), [order], "n").select("n", "hash")
+    while True:
+        now = written(now, "digests")
+        if now.limit(2).count() < 2:
+            return now.agg(F.coalesce(F.max("hash"), F.sha2(F.lit(""), 256)).alias("combined"))
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "hash"))), lambda s: s["hash"]), "")
+        now = now.groupBy((F.floor((F.col("n") - 1) / fan) + 1).alias("n")).agg(F.sha2(joined, 256).alias("hash"))
+
+
 def stroke_scores(points: DataFrame, cells: DataFrame, selected: str | None, owner: str = "owner") -> DataFrame:
     """(owner, score): sample points of a stroke on each owner's cells, 2 more for the selected one if it has any."""
     on = points.select(F.floor("x").cast("int").alias("x"), F.floor("y").cast("int").alias("y")).join(cells, ["x", "y"])

@@ -267,14 +267,14 @@ def _fill_tile(x: np.ndarray, y: np.ndarray, far: np.ndarray, seed: np.ndarray,
 VERSIONS = 16
 
 
-def _latest(versions: list[DataFrame]) -> DataFrame:
-    """The cells of each tile from the last of the tables that has it."""
+def latest(versions: list[DataFrame], keys: list[str]) -> DataFrame:
+    """The cells of each tile (keys) from the last of the tables that has it."""
     if len(versions) == 1:
         return versions[0].drop("changed")
-    tiles = [v.select("tx", "ty").distinct().withColumn("version", F.lit(i)) for i, v in enumerate(versions)]
-    last = functools.reduce(DataFrame.union, tiles).groupBy("tx", "ty").agg(F.max("version").alias("version"))  # a row a tile
+    tiles = [v.select(*keys).distinct().withColumn("version", F.lit(i)) for i, v in enumerate(versions)]
+    last = functools.reduce(DataFrame.union, tiles).groupBy(*keys).agg(F.max("version").alias("version"))  # a row a tile
     all_ = functools.reduce(DataFrame.unionByName, (v.drop("changed").withColumn("version", F.lit(i)) for i, v in enumerate(versions)))
-    return all_.join(last, ["tx", "ty", "version"], "left_semi").drop("version")
+    return all_.join(last, [*keys, "version"], "left_semi").drop("version")
 
 
 def flood(cells: DataFrame, steps=AROUND_8, tile: int = TILE) -> DataFrame:
@@ -326,14 +326,14 @@ def flood(cells: DataFrame, steps=AROUND_8, tile: int = TILE) -> DataFrame:
         halo = written(ring.distinct().join(tiles, ["tx", "ty"], "left_semi"), "halo")
         if halo.isEmpty():
             break
-        mine = _latest(versions).join(halo.select("tx", "ty").distinct(), ["tx", "ty"], "left_semi")
+        mine = latest(versions, ["tx", "ty"]).join(halo.select("tx", "ty").distinct(), ["tx", "ty"], "left_semi")
         patch = written(mine.groupBy("tx", "ty").cogroup(halo.groupBy("tx", "ty")).applyInPandas(again, schema), "flood")
         news = patch.where(F.col("changed") & edge)
         versions.append(patch)
         if len(versions) > VERSIONS:
-            versions = [written(_latest(versions).withColumn("changed", F.lit(False)), "flood")]
+            versions = [written(latest(versions, ["tx", "ty"]).withColumn("changed", F.lit(False)), "flood")]
     never = F.col("far") == NEVER
-    return _latest(versions).select("x", "y", F.when(never, 0).otherwise(F.col("label")).cast(kind).alias("label"), F.when(never, -1).otherwise(F.col("far")).alias("distance"))
+    return latest(versions, ["tx", "ty"]).select("x", "y", F.when(never, 0).otherwise(F.col("label")).cast(kind).alias("label"), F.when(never, -1).otherwise(F.col("far")).alias("distance"))
 
 
 def nearest_seed(cells: DataFrame, seeds: DataFrame, radius: int | None = None) -> DataFrame:
@@ -397,55 +397,6 @@ def nearest_seed(cells: DataFrame, seeds: DataFrame, radius: int | None = None)
     return found.select("x", "y", F.when(near, F.col("label")).alias("label"), F.when(near, F.col("d2")).alias("d2"))
 
 
-def seal_kernel(grid: np.ndarray, gaps: bool = True) -> np.ndarray:
-    """Closes diagonal leaks, then gaps of one cell, of barriers (-1) in open land (0), in scan order and in place."""
-    grid = grid.copy()
-    height, width = grid.shape
-    for y in range(height - 1):
-        for x in range(width - 1):
-            if grid[y, x] == -1 and grid[y + 1, x + 1] == -1 and grid[y, x + 1] == 0 and grid[y + 1, x] == 0:
-                grid[y, x + 1] = -1
-            if grid[y + 1, x] == -1 and grid[y, x + 1] == -1 and grid[y, x] == 0 and grid[y + 1, x + 1] == 0:
-                grid[y, x] = -1
-    for y in range(1, height - 1) if gaps else ():
-        for x in range(1, width - 1):
-            if grid[y, x] == 0 and ((grid[y, x - 1] == -1 and grid[y, x + 1] == -1) or (grid[y - 1, x] == -1 and grid[y + 1, x] == -1)):
-                grid[y, x] = -1
-    return grid
-
-
-def merge_noise_kernel(labels: np.ndarray, least: int) -> np.ndarray:
-    """Gives labels of fewer cells, by rising label, to their neighbour of most cells; counts are those at the start."""
-    labels = labels.copy()
-    names, sizes = np.unique(labels[labels > 0], return_counts=True)
-    count = dict(zip(names.tolist(), sizes.tolist(), strict=True))
-    for name in names.tolist():
-        if count[name] < least:
-            best, most = 0, 0
-            for y, x in zip(*np.nonzero(labels == name), strict=True):
-                for dx, dy in AROUND_4:
-                    if 0 <= y + dy < labels.shape[0] and 0 <= x + dx < labels.shape[1]:
-                        near = int(labels[y + dy, x + dx])
-                        if near > 0 and near != name and count[near] > most:
-                            best, most = near, count[near]
-            if best:
-                labels[labels == name] = best
-    return labels
-
-
-def owned_grid_kernel(cells: DataFrame, owner: str, value: str, kernel, outside: int) -> DataFrame:
-    """Runs a kernel on each owner's grid of values; an owner's bounding box has to fit into a task."""
-    kinds = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
-        grid = np.full((int(y.max() - y.min()) + 1, int(x.max() - x.min()) + 1), outside, np.int64)
-        grid[y - y.min(), x - x.min()] = pdf[value]
-        return pdf.assign(**{value: kernel(grid)[y - y.min(), x - x.min()]})
-
-    return cells.select(owner, "x", "y", value).groupBy(owner).applyInPandas(run, f"{owner} {kinds[owner]}, x {kinds['x']}, y {kinds['y']}, {value} {kinds[value]}")
-
-
 def stroke_cells(strokes: DataFrame, per_unit: int = 2) -> DataFrame:
     """Distinct cells under strokes. strokes: points (array of x, y), sampled `per_unit` times a unit."""
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.size("points") - 2), lambda i: F.struct(F.get("points", i).alias("a"), F.get("points", i + 1).alias("b")))).alias("e")

@@ -114,32 +114,67 @@ def _edges(rings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return a, d, np.where(length == 0, 1, length)
 
 
-def _distance(x: float, y: float, edges: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
-    """Distance to the outline, negative outside."""
-    a, d, length = edges
-    rel = np.array([x, y]) - a
-    t = np.clip((rel * d).sum(axis=1) / length, 0, 1)
-    best = float(np.hypot(*(rel - t[:, None] * d).T).min())
-    cut = (rel[:, 1] < 0) != (rel[:, 1] < d[:, 1])
-    crossed = rel[cut, 0] < d[cut, 0] * rel[cut, 1] / d[cut, 1]
-    return best if crossed.sum() % 2 else -best
+class EdgeIndex:
+    """Distances to an outline of many edges: they lie in blocks of EDGES that are near each other, and a block's box says how near
+    its edges can be, and whether a ray to the right can cross them."""
+
+    EDGES = 64
+
+    def __init__(self, rings: list[np.ndarray]) -> None:
+        a, d, length = _edges(rings)
+        middle = a + d / 2
+        low, high = middle.min(axis=0), middle.max(axis=0)
+        at = ((middle - low) / np.maximum(high - low, 1e-300) * 65535).astype(np.uint64)
+        order = np.argsort(_interleaved(at[:, 0]) | _interleaved(at[:, 1]) << np.uint64(1), kind="stable")
+        self.a, self.d, self.length = a[order], d[order], length[order]
+        starts = np.arange(0, len(a), self.EDGES)
+        b = self.a + self.d
+        self.low = np.minimum.reduceat(np.minimum(self.a, b), starts)
+        self.high = np.maximum.reduceat(np.maximum(self.a, b), starts)
+
+    def _edges_of(self, blocks: np.ndarray) -> np.ndarray:
+        at = (blocks[:, None] * self.EDGES + np.arange(self.EDGES)).ravel()
+        return at[at < len(self.a)]
+
+    def distance(self, x: float, y: float) -> float:
+        """Distance to the outline, negative outside."""
+        here = np.array([x, y])
+        gap = np.hypot(*np.maximum(0, np.maximum(self.low - here, here - self.high)).T)
+        order, best, k = np.argsort(gap), np.inf, 0
+        while k < len(order) and gap[order[k]] <= best:
+            at = self._edges_of(order[k : k + 4])
+            rel, d = here - self.a[at], self.d[at]
+            t = np.clip((rel * d).sum(axis=1) / self.length[at], 0, 1)
+            best, k = min(best, float(np.hypot(*(rel - t[:, None] * d).T).min())), k + 4
+        at = self._edges_of(np.flatnonzero((self.low[:, 1] <= y) & (self.high[:, 1] >= y) & (self.high[:, 0] >= x)))
+        rel, d = here - self.a[at], self.d[at]
+        cut = (rel[:, 1] < 0) != (rel[:, 1] < d[:, 1])
+        crossed = rel[cut, 0] < d[cut, 0] * rel[cut, 1] / d[cut, 1]
+        return best if crossed.sum() % 2 else -best
+
+
+def _interleaved(x: np.ndarray) -> np.ndarray:
+    """The lowest 16 bits, each with a zero before it."""
+    for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+        x = (x | x << np.uint64(shift)) & np.uint64(mask)
+    return x
 
 
 def deepest_point(rings: list[np.ndarray], tolerance: float = 0.05) -> tuple[float, float, float]:
     """(x, y, clearance) of the point farthest inside a polygon, by halving squares that may still hold a better one."""
     (x0, y0), (x1, y1) = rings[0].min(axis=0), rings[0].max(axis=0)
     size = max(min(x1 - x0, y1 - y0), 1e-9)
-    count, queue, edges = 0, [], _edges(rings)
+    count, queue, edges = 0, [], EdgeIndex(rings)
 
     def push(x: float, y: float, h: float) -> tuple[float, float, float]:
         nonlocal count
-        d = _distance(x, y, edges)
+        d = edges.distance(x, y)
         count += 1
         heapq.heappush(queue, (-(d + h * np.sqrt(2)), count, x, y, h, d))
         return d, x, y
 
     cx, cy = (x0 + x1) / 2, (y0 + y1) / 2
-    best = (_distance(cx, cy, edges), cx, cy)
+    best = (edges.distance(cx, cy), cx, cy)
     for i in range(int(np.ceil((x1 - x0) / size))):
         for j in range(int(np.ceil((y1 - y0) / size))):
             best = max(best, push(x0 + (i + 0.5) * size, y0 + (j + 0.5) * size, size / 2), key=lambda b: b[0])
@@ -217,59 +252,3 @@ def coast_link(end: np.ndarray, coast: np.ndarray, most: float = 8.0) -> np.ndar
     if gap > most:
         raise ValueError(f"border end is {gap:.2f} from the coast; {most} at most")
     return there
-
-
-def uniform_fits(local: np.ndarray, target: np.ndarray, scales: np.ndarray) -> pd.DataFrame:
-    """Best shift and IoU for each scale of a mask (0/1) within a larger one, by correlation in frequency space."""
-    rows, need = [], float(target.sum())
-    for scale in scales.tolist():
-        width, height = max(1, round(local.shape[1] * scale)), max(1, round(local.shape[0] * scale))
-        if width > target.shape[1] or height > target.shape[0]:
-            continue
-        at_y = np.minimum((np.arange(height) / scale).astype(int), local.shape[0] - 1)
-        at_x = np.minimum((np.arange(width) / scale).astype(int), local.shape[1] - 1)
-        part = local[np.ix_(at_y, at_x)].astype(float)
-        size = (target.shape[0] + height - 1, target.shape[1] + width - 1)
-        found = np.rint(np.fft.irfft2(np.fft.rfft2(target, size) * np.fft.rfft2(part[::-1, ::-1], size), size))
-        found = found[height - 1 : target.shape[0], width - 1 : target.shape[1]]
-        y, x = np.unravel_index(int(found.argmax()), found.shape)
-        rows.append((scale, int(x), int(y), found[y, x] / max(1.0, part.sum() + need - found[y, x])))
-    return pd.DataFrame(rows, columns=["scale", "x", "y", "iou"])
-
-
-#: Cells of the largest mask that best_fit() takes, as 8-byte numbers 128 MB.
-MASK_CELLS = 1 << 24
-
-
-def best_fit(local: DataFrame, target: DataFrame, low: float, high: float, step: float = 1e-4, pad: int = 0) -> DataFrame:
-    """One row (scale, ox, oy, iou): the uniform scale and shift of cells that cover target cells best.
-
-    Scales are dealt over the cluster; the first of equal ones wins. Both masks travel with the function as images, so
-    each is counted first: one of more than MASK_CELLS cells in its box is an error, to be fitted at a coarser grain.
-    """
-    spark = local.sparkSession
-
-    def mask(cells: DataFrame, pad: int) -> tuple[np.ndarray, int, int]:
-        cells = cells.select("x", "y").distinct()
-        b = cells.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
-        if b[0] is None:
-            raise ValueError("a mask without cells can't be fitted")
-        if (b[2] - b[0] + 1 + 2 * pad) * (b[3] - b[1] + 1 + 2 * pad) > MASK_CELLS:
-            raise ValueError(f"a mask of more than {MASK_CELLS} cells can't be fitted; coarsen it")
-        p = cells.toPandas()
-        x0, y0 = int(b[0]) - pad, int(b[1]) - pad
-        out = np.zeros((int(p["y"].max()) - y0 + 1 + pad, int(p["x"].max()) - x0 + 1 + pad))
-        out[p["y"].to_numpy() - y0, p["x"].to_numpy() - x0] = 1
-        return out, x0, y0
-
-    a, ax, ay = mask(local, 0)
-    b, bx, by = mask(target, pad)
-    count = int(np.floor((high - low) / step + 1.5))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fits = uniform_fits(a, b, low + pdf["id"].to_numpy() * step)
-            yield fits.assign(ox=bx + fits["x"] - ax * fits["scale"], oy=by + fits["y"] - ay * fits["scale"])[["scale", "ox", "oy", "iou"]]
-
-    fits = spark.range(count).mapInPandas(run, "scale double, ox double, oy double, iou double")
-    return fits.agg(F.max_by(F.struct("scale", "ox", "oy", "iou"), F.struct("iou", -F.col("scale"))).alias("m")).select("m.*")

@@ -81,16 +81,12 @@ def _joined_points(group: pa.Table) -> np.ndarray:
     return np.concatenate([lines[0], *(x[1:] for x in lines[1:])])
 
 
-def arcs(segments: DataFrame, tolerance: float = 0.0, tile: int = chains.TILE, few: int = chains.FEW_LINKS) -> DataFrame:
-    """(a, b, part, points): each interface merged to lines and simplified once for both of its sides.
+def _merged(pieces: DataFrame, tolerance: float, few: int) -> DataFrame:
+    """(a, b, part, points): pieces of pairs of labels linked to lines and rings, and simplified once.
 
-    Lines run between points where other than two segments of a pair meet, from the lesser end on, or are rings. They are
-    pieced together over tiles, so that a task holds a pair's segments within one tile, or one line's corners. Parts count from
-    1 for each pair, lines before rings.
+    pieces: a written table (a, b, piece, closed, points) with the places x0, y0, x1, y1 of its ends, whole numbers. Where two open ends
+    of a pair meet (open0, open1), one goes on with the other.
     """
-    placed = segments.withColumns({"tx": F.floor(F.col("x0") / tile), "ty": F.floor(F.col("y0") / tile)})
-    pieces = placed.groupBy("a", "b", "tx", "ty").applyInArrow(chains.arc_pieces(tile), chains.ARC_PIECE)
-    pieces = written(pieces.withColumn("piece", F.monotonically_increasing_id()), "arc-pieces")
     whole = F.col("closed") | ~(F.col("open0") | F.col("open1"))
     fields = f"a int, b int, ring boolean, points {RING}"
 
@@ -105,7 +101,7 @@ def arcs(segments: DataFrame, tolerance: float = 0.0, tile: int = chains.TILE, f
         side = lambda end: F.struct(F.lit(end).alias("end"), F.col(f"x{end}").alias("vx"), F.col(f"y{end}").alias("vy"), F.col(f"open{end}").alias("open"))
         ends = left.select("a", "b", "piece", F.explode(F.array(side(0), side(1))).alias("s")).select("a", "b", "piece", "s.*")
         met = ends.where("open").groupBy("a", "b", "vx", "vy").agg(F.array_sort(F.collect_list(F.struct("piece", "end"))).alias("two"))
-        two = met.where(F.size("two") == 2).select(F.explode(F.array(*(F.struct(F.col(f"two.piece")[i].alias("piece"), F.col("two.end")[i].alias("end"), F.col("two.piece")[1 - i].alias("to"), F.col("two.end")[1 - i].alias("at")) for i in (0, 1)))).alias("t")).select("t.*")
+        two = met.where(F.size("two") == 2).select(F.explode(F.array(*(F.struct(F.col("two.piece")[i].alias("piece"), F.col("two.end")[i].alias("end"), F.col("two.piece")[1 - i].alias("to"), F.col("two.end")[1 - i].alias("at")) for i in (0, 1)))).alias("t")).select("t.*")
         # a piece is walked both ways: forwards it is left at its end 1, and a piece that is met at its end 1 is walked backwards
         links = ends.select("piece", "end").join(two, ["piece", "end"], "left")
         links = written(links.select((F.col("piece") * 2 + (F.col("end") == 0).cast("int")).alias("node"), (F.col("to") * 2 + F.col("at")).alias("next")), "arc-links")
@@ -127,6 +123,36 @@ def arcs(segments: DataFrame, tolerance: float = 0.0, tile: int = chains.TILE, f
     return placed.join(first, ["a", "b"]).select("a", "b", (F.col("n") - F.col("base")).cast("int").alias("part"), "points")
 
 
+def arcs(segments: DataFrame, tolerance: float = 0.0, tile: int = chains.TILE, few: int = chains.FEW_LINKS) -> DataFrame:
+    """(a, b, part, points): each interface merged to lines and simplified once for both of its sides.
+
+    Lines run between points where other than two segments of a pair meet, from the lesser end on, or are rings. They are
+    pieced together over tiles, so that a task holds a pair's segments within one tile, or one line's corners. Parts count from
+    1 for each pair, lines before rings.
+    """
+    placed = segments.withColumns({"tx": F.floor(F.col("x0") / tile), "ty": F.floor(F.col("y0") / tile)})
+    pieces = placed.groupBy("a", "b", "tx", "ty").applyInArrow(chains.arc_pieces(tile), chains.ARC_PIECE)
+    return _merged(written(pieces.withColumn("piece", F.monotonically_increasing_id()), "arc-pieces"), tolerance, few)
+
+
+def snapped_arcs(lines: DataFrame, snap: float, tolerance: float = 0.0, few: int = chains.FEW_LINKS) -> DataFrame:
+    """(a, b, part, points): lines of pairs that don't come from cells, snapped to a grid of `snap`, merged and simplified once.
+
+    lines: a, b, points. Points go to the nearest place of the grid (halves to the even one); segments that shrink to a point are
+    dropped, and those that fall together are one. Lines end where other than two segments of their pair meet, so that lines with
+    nearly equal ends become one, and a line is split where another one's point lies on its own. Lines that cross between
+    their points aren't split. Null points and lines of one point give nothing.
+    """
+    put = F.transform("points", lambda p: F.struct(F.rint(p["x"] / snap).cast("long").alias("x"), F.rint(p["y"] / snap).cast("long").alias("y")))
+    pair = F.transform(F.sequence(F.lit(0), F.size("p") - 2), lambda i: F.struct(F.get("p", i).alias("p"), F.get("p", i + 1).alias("q")))
+    cut = lines.where(F.size("points") > 1).select(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), put.alias("p")).select("a", "b", F.explode(pair).alias("s"))
+    cut = cut.select("a", "b", F.least("s.p", "s.q").alias("p"), F.greatest("s.p", "s.q").alias("q")).where("p <> q").distinct()
+    at = lambda p: F.struct((F.col(f"{p}.x") * snap).alias("x"), (F.col(f"{p}.y") * snap).alias("y"))
+    open_ = {"closed": F.lit(False), "open0": F.lit(True), "open1": F.lit(True)}
+    pieces = cut.select("a", "b", F.col("p.x").alias("x0"), F.col("p.y").alias("y0"), F.col("q.x").alias("x1"), F.col("q.y").alias("y1"), F.array(at("p"), at("q")).alias("points")).withColumns(open_)
+    return _merged(written(pieces.withColumn("piece", F.monotonically_increasing_id()), "snapped"), tolerance, few)
+
+
 def label_edges(labels: DataFrame) -> DataFrame:
     """(label, x0, y0, x1, y1) of the unit edges around each label's cells, directed so that the cells are on the right hand."""
     known = labels.where(F.col("label") != 0).select("x", "y", F.col("label").cast("int").alias("label"))

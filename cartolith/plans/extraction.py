@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cartolith.functions import colors, text
 from cartolith.operators import features as ft
-from cartolith.operators import grid, overlay, ranking, shapes, topology, validate
+from cartolith.operators import fits, grid, overlay, ranking, sealing, shapes, topology, validate
 from cartolith.operators.overlay import XY
 from cartolith.session import written
 
@@ -182,7 +182,7 @@ def region_rows(cells: DataFrame, country: str) -> DataFrame:
 
 def place_regions(cells: DataFrame, territory: DataFrame, low: float, high: float, step: float, pad: int) -> tuple[DataFrame, DataFrame]:
     """Region cells moved by the best uniform fit of their union to a territory, and that fit."""
-    fit = written(shapes.best_fit(cells.select(*XY).distinct(), territory, low, high, step, pad), "fit")
+    fit = written(fits.best_fit(cells.select(*XY).distinct(), territory, low, high, step, pad), "fit")
     f = fit.first()
     box = territory.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
     target = grid.box_cells(cells.sparkSession, box[0] - pad, box[1] - pad, box[2] + pad, box[3] + pad)
@@ -226,11 +226,10 @@ def photo_cells(owned: DataFrame, pixels: DataFrame, box: tuple[float, float, fl
 def photo_regions(cells: DataFrame, least: int) -> DataFrame:
     """(owner, x, y, label): regions between the border cells (-1) of each owner's land (0).
 
-    Leaks and gaps are sealed, faces labelled, borders given to the face that reaches them first, noise merged. Sealing
-    and merging depend on their order, so an owner's grid is one kernel call. For the search of faces and the fill,
-    owners lie in one grid side by side, a column apart, so that all are done at once.
+    Leaks and gaps are sealed, faces labelled, borders given to the face that reaches them first, noise merged. For the
+    search of faces and the fill, owners lie in one grid side by side, a column apart, so that all are done at once.
     """
-    sealed = written(grid.owned_grid_kernel(cells, "owner", "value", grid.seal_kernel, -999), "sealed")
+    sealed = written(sealing.sealed(cells), "sealed")
     bounds = sealed.groupBy("owner").agg(F.min("x").alias("x0"), (F.max("x") - F.min("x") + 2).alias("width"))
     order = ranking.numbered(bounds, ["owner"], "k")
     left = F.coalesce(F.sum("width").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row an owner
@@ -243,13 +242,12 @@ def photo_regions(cells: DataFrame, least: int) -> DataFrame:
     full = spots.join(seeds, XY, "left").select("owner", *XY, "move", F.coalesce("label", F.lit(0)).alias("seed"))
     grown = grid.flood(full.select(*XY, "seed"), grid.AROUND_4).join(full.select("owner", *XY, "move"), XY)
     back = grown.select("owner", (F.col("x") - F.col("move")).cast("int").alias("x"), "y", "label")
-    return grid.owned_grid_kernel(back, "owner", "label", lambda g: grid.merge_noise_kernel(g, least), 0)
+    return sealing.without_noise(back, least)
 
 
 def border_preview(cells: DataFrame) -> DataFrame:
     """(owner, n): border cells after leaks, but not gaps, are sealed."""
-    sealed = grid.owned_grid_kernel(cells, "owner", "value", lambda g: grid.seal_kernel(g, gaps=False), -999)
-    return sealed.where("value = -1").groupBy("owner").agg(F.count(F.lit(1)).alias("n"))
+    return sealing.sealed(cells, gaps=False).where("value = -1").groupBy("owner").agg(F.count(F.lit(1)).alias("n"))
 
 
 def annotated_mask(pixels: DataFrame, fill: colors.Rgb, tolerance: int, least: int) -> DataFrame:
@@ -310,10 +308,6 @@ def region_report(cells: DataFrame, territory: DataFrame) -> DataFrame:
     return fit.join(shared)  # one row each
 
 
-def accepted(report: DataFrame, rules: list[tuple[str, Column]], path: str | None = None) -> DataFrame:
-    return validate.enforce(report.withColumn("failures", validate.failures(rules)), path)
-
-
 @dataclass
 class Regions:
     cells: DataFrame
@@ -349,18 +343,19 @@ def _fit(cells: DataFrame, made: DataFrame, spots: DataFrame, territory: DataFra
     return row.join(ratio).join(shared)  # one row each
 
 
-def extract_linework(barrier: DataFrame, seeds: DataFrame, box: tuple[int, int, int, int], least: int, close: int, country: str, territory: DataFrame, overseas: DataFrame, others: DataFrame, required: list[tuple[int, int]] = (), clip: bool = True, tolerance: float = 0.55) -> Regions:
+def extract_linework(barrier: DataFrame, seeds: DataFrame, box: tuple[int, int, int, int], least: int, close: int, country: str, territory: DataFrame, overseas: DataFrame, others: DataFrame, required: list[tuple[int, int]] = (), clip: bool = True, tolerance: float = 0.55, closures: list[tuple[int, int]] = (), extensions: list[tuple[int, int]] = (), most: float = 8.0) -> Regions:
     """Regions of a drawing, from its lines to feature rows, borders and the report that linework_gate() judges.
 
     seeds: x, y, region (a number); territory, overseas, others: x, y of the country's parts that belong to the drawing,
-    of its other parts, and of countries that must not be met; required: pairs of numbers that must share a border.
+    of its other parts, and of countries that must not be met; required: pairs of numbers that must share a border, where
+    a repaired one counts; closures, extensions, most: as repaired() has them.
     """
     spark = barrier.sparkSession
     found = linework_regions(barrier, seeds, box, least, close)
     raw = written(found.select(F.concat(F.lit(f"{country}-region-"), text.padded(F.col("region"), 3)).alias("owner"), *XY), "regions")
     cells = written(overlay.intersect(raw, territory).select("owner", *XY), "clipped") if clip else raw
     rows, made, spots, lines = _regions(cells, country, tolerance)
-    lines = written(lines, "borders")
+    lines = written(repaired(written(lines, "lines"), made, territory, country, closures, extensions, most), "borders")
     pairs = spark.createDataFrame([(min(p), max(p)) for p in required], "a int, b int")
     missing = pairs.join(lines.select("a", "b").distinct(), ["a", "b"], "left_anti").agg(F.count(F.lit(1)).alias("missing_pairs"))
     report = _fit(cells, made, spots, territory, overseas, others).join(missing)  # one row each
@@ -378,17 +373,49 @@ def close_border(made: DataFrame, first: str, second: str) -> DataFrame:
 
 
 def extend_to_coast(line: DataFrame, territory_shape: DataFrame, most: float = 8.0) -> DataFrame:
-    """(length, points): from the end of a border that is nearest to the coast to the coast; fails beyond `most`."""
+    """(length, points): from the end of a border that is nearest to the coast to the coast; fails beyond `most`.
+
+    The coast is that of all parts of the territory, lakes within it too. Both are single pairs' or shapes' rows.
+    """
     import numpy as np
 
     points = [np.array([(p["x"], p["y"]) for p in r["points"]]) for r in line.select("points").collect()]  # one pair's lines
-    coast = np.array([(p["x"], p["y"]) for p in territory_shape.first()["shape"][0][0]])
+    coasts = [np.array([(p["x"], p["y"]) for p in ring]) for polygon in territory_shape.first()["shape"] for ring in polygon]
     ends = [e for x in points for e in (x[0], x[-1])]
-    end = min(ends, key=lambda e: shapes.shortest_link(np.vstack([e, e]), coast)[0])
+    _, end, coast = min(((shapes.shortest_link(np.vstack([e, e]), c)[0], e, c) for e in ends for c in coasts), key=lambda m: m[0])
     there = shapes.coast_link(end, coast, most)
     return line.sparkSession.createDataFrame([(float(np.hypot(*(end - there))), [tuple(map(float, x)) for x in (end, there)])], "length double, points array<struct<x:double,y:double>>")
 
 
+def repaired(lines: DataFrame, made: DataFrame, territory: DataFrame, country: str, closures: list[tuple[int, int]], extensions: list[tuple[int, int]], most: float = 8.0) -> DataFrame:
+    """Border lines (a, b, part, points) with `repair`: null, or what was added.
+
+    closures: pairs that get the shortest line between their regions (`closure`) if they have no border and don't touch.
+    extensions: pairs whose border is then prolonged to the coast (`coast`), by `most` at most; one without a border is
+    an error. Both are lists that a person writes, a line or two each.
+    """
+    spark = lines.sparkSession
+    out = lines.withColumn("repair", F.lit(None).cast("string"))
+    schema = "a int, b int, part int, points array<struct<x:double,y:double>>, repair string"
+    added: dict[tuple[int, int], list[tuple]] = {}
+    of = lambda pair: lines.where((F.col("a") == pair[0]) & (F.col("b") == pair[1]))
+    for pair in sorted({(min(p), max(p)) for p in closures}):
+        if of(pair).isEmpty():
+            link = close_border(made, *(f"{country}-region-{n:03d}" for n in pair)).first()
+            if link.length > 0:
+                added[pair] = [(*pair, 1, link.points, "closure")]
+    coast = written(topology.polygons(territory.select(*XY, F.lit(1).alias("label"))), "coast") if extensions else None
+    for pair in sorted({(min(p), max(p)) for p in extensions}):
+        known = written(of(pair).select("a", "b", "part", "points"), "line").union(spark.createDataFrame([r[:4] for r in added.get(pair, [])], schema.rpartition(",")[0]))
+        count = known.count()
+        if not count:
+            raise ValueError(f"border {pair} isn't there and can't be prolonged")
+        link = extend_to_coast(known, coast, most).first()
+        if link.length > 1e-9:
+            added.setdefault(pair, []).append((*pair, count + 1, link.points, "coast"))
+    return out.unionByName(spark.createDataFrame([r for rows in added.values() for r in rows], schema))
+
+
 def extract_mask(pixels: DataFrame, known: DataFrame, parent: DataFrame, country: str, drawn: DataFrame, tolerance_cells: int, least_iou: float, least_f: float, tolerance: float = 0.55) -> Regions:
     """Regions of a categorical mask; fails unless the drawing's land and the parent's cells agree.
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartolith.functions.geometry import RING
+from cartolith.operators.ranking import numbered
+from cartolith.session import written
 
 #: A feature as read: properties and coordinates stay JSON until a caller names their types.
 FEATURE = "struct<type:string,id:string,properties:string,geometry:struct<type:string,coordinates:string>>"
@@ -72,6 +74,48 @@ def shapes(features: DataFrame) -> DataFrame:
     return features.withColumn("shape", shape.cast(f"array<array<{RING}>>")).drop("coordinates")
 
 
+def read_geometries(spark: SparkSession, path: str) -> DataFrame:
+    """(ord, id, properties, geometry) of a collection's features with geometries of any kind, as JSON."""
+    feature = "struct<type:string,id:string,properties:string,geometry:string>"
+    raw = spark.read.schema(f"type string, features array<{feature}>").option("multiLine", True).json(path)
+    good = F.coalesce((F.col("type") == "FeatureCollection") & F.col("features").isNotNull(), F.lit(False))
+    found = F.when(good, F.col("features")).otherwise(F.raise_error(F.lit("not a FeatureCollection")))
+    own = F.get_json_object("f.properties", "$.id")
+    return raw.select(F.posexplode(found).alias("ord", "f")).select("ord", F.coalesce(F.col("f.id"), own).alias("id"), F.col("f.properties").alias("properties"), F.col("f.geometry").alias("geometry"))
+
+
+def flattened(rows: DataFrame, geometry: str = "geometry") -> DataFrame:
+    """rows once for each simple geometry of theirs: `place` (its places in collections, from outside in), type and coordinates.
+
+    A GeometryCollection may hold others, to any depth; each round takes one level off those that are left. Null
+    geometries, such without a type, empty collections and what isn't JSON give no rows.
+    """
+    names = [c for c in rows.columns if c != geometry]
+    now = rows.select(*names, F.array().cast("array<int>").alias("place"), F.try_parse_json(geometry).alias("g"))
+    out = None
+    while True:
+        kind = F.try_variant_get("g", "$.type", "string")
+        now = written(now.withColumn("type", kind).where(F.col("type").isNotNull()), "geometries")
+        flat = now.where(F.col("type") != "GeometryCollection").select(*names, "place", "type", F.to_json(F.try_variant_get("g", "$.coordinates", "variant")).alias("coordinates"))
+        out = flat if out is None else out.unionByName(flat)
+        held = now.where(F.col("type") == "GeometryCollection")
+        if held.isEmpty():
+            return out
+        inner = F.posexplode(F.try_variant_get("g", "$.geometries", "array<variant>")).alias("i", "h")
+        now = held.select(*names, "place", inner).select(*names, F.concat("place", F.array("i")).alias("place"), F.col("h").alias("g"))
+
+
+def polygonal(rows: DataFrame, key: list[str], geometry: str = "geometry") -> DataFrame:
+    """(key, shape): all polygons of each row's geometry, however deep in collections, in their order; points and lines are dropped.
+
+    Rows without polygons have an empty shape; a row is told from others by its key.
+    """
+    parts = shapes(flattened(rows.select(*key, geometry), geometry).where(F.col("type").isin("Polygon", "MultiPolygon")))
+    whole = parts.groupBy(*key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "shape"))), lambda s: s["shape"])).alias("shape"))
+    none = F.array().cast(f"array<array<{RING}>>")
+    return rows.select(*key).distinct().join(whole, key, "left").select(*key, F.coalesce("shape", none).alias("shape"))
+
+
 def _numbers(p: Column) -> Column:
     return F.array(p["x"], p["y"])
 
@@ -94,13 +138,50 @@ def feature_lines(rows: DataFrame, geometry: Column, keep: list[str]) -> DataFra
 
 
 def write_collection(lines: DataFrame, path: str) -> None:
-    """Writes one GeoJSON file for collections that fit into a task; larger ones are written as lines, a part a task.
+    """Writes one GeoJSON file of any size, features in the order of their text; a null line is left out.
 
-    The file appears under its name only when it is whole.
+    Tasks write ranges of lines as parts, which are then joined; no row, task or driver holds more than a part. The file
+    appears under its name only when it is whole.
     """
-    spark = lines.sparkSession
-    whole = lines.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.array_sort(F.collect_list("value")), ","), F.lit("]}")).alias("value"))
-    replace_text(whole, path, spark)
+    placed = numbered(lines.where(F.col("value").isNotNull()).select("value"), ["value"], "n")
+    last = F.lit((1 << 63) - 1)
+    ends = lines.sparkSession.createDataFrame([(True,), (False,)], "first boolean")
+    frame = ends.select(F.when(F.col("first"), '{"type":"FeatureCollection","features":[').otherwise("]}").alias("value"), F.when(F.col("first"), 0).otherwise(last).alias("n"))
+    rows = placed.select(F.when(F.col("n") > 1, F.concat(F.lit(","), "value")).otherwise(F.col("value")).alias("value"), "n").unionByName(frame)
+    stage = f"{path}.parts"
+    rows.repartitionByRange("n").sortWithinPartitions("n").select("value").write.mode("overwrite").text(stage)
+    join_parts(lines.sparkSession, stage, path)
+
+
+def join_parts(spark: SparkSession, folder: str, path: str) -> None:
+    """Makes one file of a folder's parts, by name, and deletes the folder: by the file system itself where it can put
+    files together, else by copying through a buffer."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    fs_path = jvm.org.apache.hadoop.fs.Path
+    target, stage, source = fs_path(path), fs_path(f"{path}.staged"), fs_path(folder)
+    fs = target.getFileSystem(conf)
+    parts = sorted((f.getPath() for f in fs.globStatus(fs_path(f"{folder}/part-*"))), key=lambda p: p.getName())
+    parts = [p for p in parts if fs.getFileStatus(p).getLen()]
+    fs.delete(stage, True)
+    fs.create(stage).close()
+    try:
+        array = spark.sparkContext._gateway.new_array(fs_path, len(parts))
+        for i, p in enumerate(parts):
+            array[i] = p
+        fs.concat(stage, array)
+    except Exception as error:  # the file system says that it can't
+        if "UnsupportedOperationException" not in str(error):
+            raise
+        out = fs.create(stage, True)
+        for p in parts:
+            part = fs.open(p)
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+            part.close()
+        out.close()
+    fs.delete(target, True)
+    if not fs.rename(stage, target):
+        raise OSError(f"could not move {folder} to {path}")
+    fs.delete(source, True)
 
 
 def replace_text(rows: DataFrame, path: str, spark: SparkSession) -> None:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cartolith.functions import geometry as g
 from cartolith.operators import features as ft
-from cartolith.operators import overlay, ranking, shapes, topology, validate
+from cartolith.operators import fits, overlay, ranking, shapes, topology, validate
 from cartolith.plans import edits, extraction
 from cartolith.session import new_folder
 from cartolith.sources import geojson, images
@@ -44,7 +44,7 @@ def test_points_and_outlines(spark):
 def test_uniform_fit(spark):
     local = spark.createDataFrame([(x, y) for x in range(4) for y in range(3)], "x int, y int")
     target = spark.createDataFrame([(x + 10, y + 20) for x in range(8) for y in range(6)], "x int, y int")
-    fit = shapes.best_fit(local, target, 1.0, 2.5, 0.25).first()
+    fit = fits.best_fit(local, target, 1.0, 2.5, 0.25).first()
     assert (fit.scale, fit.ox, fit.oy, fit.iou) == (2, 10, 20, 1)
 
 

@@ -120,14 +120,6 @@ def test_arcs_are_shared_and_cover_all_edges(spark):
     assert coast.count() == sum(r.a == 0 for r in lines) and vertices.select("id").distinct().count() == vertices.count()
 
 
-def test_seals_in_scan_order():
-    at = np.array([[-1, 0, 0], [0, -1, 0], [0, 0, 0]])
-    assert grid.seal_kernel(at, gaps=False)[0, 1] == -1
-    gap = np.array([[0, 0, 0, 0, 0], [0, -1, 0, -1, 0], [0, 0, 0, 0, 0]])
-    assert grid.seal_kernel(gap)[1, 2] == -1 and grid.seal_kernel(gap, gaps=False)[1, 2] == 0
-    assert grid.merge_noise_kernel(np.array([[1, 1, 1, 2, 3, 3]]), 2).tolist() == [[1, 1, 1, 1, 3, 3]]
-
-
 def test_equal_masks_score_one(spark):
     mask = spark.createDataFrame([(x, y, int(6 <= x < 24 and 4 <= y < 28)) for x in range(32) for y in range(32)], "x int, y int, value int")
     row = overlay.boundary_metrics(mask, mask, 3).first()

@@ -1,5 +1,7 @@
 """Shapes whose polygons have unlike numbers of rings, and the bounds of fits."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -27,18 +29,18 @@ def test_rasters_give_back_the_cells(made):
 def test_deepest_point_is_that_of_a_fine_grid(made):
     row = shapes.inner_points(made, 0.01).first()
     rings = [np.array([(p["x"], p["y"]) for p in r]) for r in made.first()["shape"][0]]
-    edges = shapes._edges(rings)
-    best = max(shapes._distance(x, y, edges) for x in np.arange(0, 12, 0.1) for y in np.arange(0, 9, 0.1))
+    edges = shapes.EdgeIndex(rings)
+    best = max(edges.distance(x, y) for x in np.arange(0, 12, 0.1) for y in np.arange(0, 9, 0.1))
     assert row.clearance >= best - 0.011
-    assert abs(shapes._distance(row.x, row.y, edges) - row.clearance) < 1e-9
+    assert abs(edges.distance(row.x, row.y) - row.clearance) < 1e-9
 
 
 def test_distance_is_negative_outside_and_in_holes(made):
     rings = [np.array([(p["x"], p["y"]) for p in r]) for r in made.first()["shape"][0]]
-    edges = shapes._edges(rings)
-    assert shapes._distance(3.0, 2.5, edges) == -0.5
-    assert shapes._distance(-2.0, 4.5, edges) == -2.0
-    assert shapes._distance(0.75, 7.5, edges) == 0.75
+    edges = shapes.EdgeIndex(rings)
+    assert edges.distance(3.0, 2.5) == -0.5
+    assert edges.distance(-2.0, 4.5) == -2.0
+    assert edges.distance(0.75, 7.5) == 0.75
 
 
 def test_contours_without_tolerance_are_the_outlines(spark):
@@ -53,10 +55,32 @@ def test_empty_shapes(spark):
     assert shapes.inner_points(none).count() == 0
 
 
-def test_fits_refuse_masks_that_are_empty_or_too_large(spark, monkeypatch):
-    some, none = spark.createDataFrame([(0, 0), (4, 4)], "x int, y int"), spark.createDataFrame([], "x int, y int")
-    with pytest.raises(ValueError, match="without cells"):
-        shapes.best_fit(none, some, 1.0, 1.0)
-    monkeypatch.setattr(shapes, "MASK_CELLS", 20)
-    with pytest.raises(ValueError, match="more than 20"):
-        shapes.best_fit(some, some, 1.0, 1.0)
+def plain_distance(x, y, rings):
+    best, inside = np.inf, False
+    for ring in rings:
+        for (ax, ay), (bx, by) in zip(ring[:-1], ring[1:], strict=True):
+            dx, dy = bx - ax, by - ay
+            t = min(1, max(0, ((x - ax) * dx + (y - ay) * dy) / ((dx * dx + dy * dy) or 1)))
+            best = min(best, np.hypot(x - ax - t * dx, y - ay - t * dy))
+            if (ay > y) != (by > y) and x < ax + dx * (y - ay) / dy:
+                inside = not inside
+    return best if inside else -best
+
+
+def test_indexed_distances_are_those_over_all_edges():
+    turn = np.linspace(0, 2 * np.pi, 701)
+    outer = np.stack([(50 + 9 * np.sin(13 * turn)) * np.cos(turn), (40 + 7 * np.cos(9 * turn)) * np.sin(turn)], axis=1)
+    outer[-1] = outer[0]
+    hole = np.array([(-5.0, -5.0), (-5.0, 5.0), (5.0, 5.0), (5.0, -5.0), (-5.0, -5.0)])
+    index = shapes.EdgeIndex([outer, hole])
+    for x, y in np.random.default_rng(3).uniform(-70, 70, (200, 2)).tolist() + [(0.0, 0.0), (5.0, 5.0), (300.0, 0.0)]:
+        assert index.distance(x, y) == pytest.approx(plain_distance(x, y, [outer, hole]), abs=1e-9)
+
+
+def test_an_outline_of_many_edges_is_quick():
+    turn = np.linspace(0, 2 * np.pi, 100_001)
+    ring = np.stack([(1000 + 5 * np.sin(997 * turn)) * np.cos(turn), (800 + 5 * np.cos(501 * turn)) * np.sin(turn)], axis=1)
+    ring[-1] = ring[0]
+    began = time.process_time()
+    x, y, clearance = shapes.deepest_point([ring], 0.05)
+    assert time.process_time() - began < 4 and 780 < clearance < 810
