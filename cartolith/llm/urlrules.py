@@ -1,12 +1,23 @@
 """URL filtering by host and path rules, and by association rules mined from the URLs that those label.
 
 Only DataFrame and SQL functions and Spark's FP-growth are used. A URL becomes a set of tokens: the labels of its host,
-its site (the last two of them), the segments of its path, the keys of its query, an extension. URLs that a rule judges are the labelled ones; FP-growth over their tokens
-and verdicts finds sets of tokens that go with a verdict, and rules of enough support and confidence are kept, without
-those that a shorter rule with the same verdict and no less confidence makes idle. Each kept rule is indexed by its
-rarest token. Distinct token sets (fewer than URLs) meet the index by token, and keep the rules that are contained in
-them; the most confident one decides, then that of larger support, then block before allow. What no rule meets is allowed.
-Tokens and sets that very many rows share are dealt over several tasks.
+its site (the last two of them), the segments of its path, the keys of its query, an extension. URLs that a rule judges are
+the labelled ones; FP-growth over their tokens and verdicts finds sets of tokens that go with a verdict, and rules of enough
+support and confidence are kept, without those that a shorter rule with the same verdict and no less confidence makes idle.
+Each kept rule is indexed by its rarest item. Distinct token sets (fewer than URLs) meet the index by item, and keep the
+rules that are contained in them; the most confident one decides, then that of larger support, then block before allow.
+What no rule meets is allowed. Tokens and sets that very many rows share are dealt over several tasks.
+
+FP-growth lists all frequent sets, whose number doubles with each token that frequent URLs share. So that a long URL that
+repeats doesn't keep it from ending, it is spared what can't change a verdict:
+
+* tokens that the same labelled URLs have are one item (a count and two sums of those URLs' hashes tell them): a set has
+  the support and confidence of any choice of such tokens, and a URL meets an item by any of its tokens;
+* an item that goes with one verdict only is a rule by itself, of confidence 1, which makes longer ones with it idle; it
+  takes no part in the mining.
+
+What is left are sets of items with both verdicts and unlike URLs. Only dozens of such items in the same frequent URLs would
+make their number large.
 
 A null URL, or one without "://", has an empty host and path and no tokens. Repeated rows are judged alike and count as
 often as they come.
@@ -14,6 +25,7 @@ often as they come.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
@@ -81,13 +93,51 @@ def tokens(host: Column, path: Column, keys: Column) -> Column:
     return F.when(host != "", F.array_sort(F.array_distinct(found))).otherwise(F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, support: float = 0.002, confidence: float = 0.9) -> DataFrame:
-    """(antecedent, verdict, confidence, support) of the rules kept. labelled: tokens, verdict."""
+def items_of(labelled: DataFrame, support: float) -> tuple[DataFrame, DataFrame, int]:
+    """Distinct baskets (tokens, verdict, n), (token, item, n, only) of their frequent tokens, and the number of URLs.
+
+    item: the least of the tokens that the same URLs have; only: the verdict that all its URLs have, if they have one.
+    """
+    baskets = written(labelled.where(F.size("tokens") > 0).groupBy("tokens", "verdict").agg(F.count(F.lit(1)).alias("n")), "baskets")
+    total = baskets.agg(F.sum("n")).first()[0] or 0
+    each = baskets.select("n", "verdict", *(F.xxhash64(F.lit(i), "tokens", "verdict").alias(f"m{i}") for i in (0, 1)), F.explode("tokens").alias("token"))
+    stats = each.groupBy("token").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("sets"), *(F.bit_xor(f"m{i}").alias(f"m{i}") for i in (0, 1)), F.min("verdict").alias("low"), F.max("verdict").alias("high"))
+    frequent = written(stats.where(F.col("n") >= math.ceil(support * total)), "tokens")
+    same = ["n", "sets", "m0", "m1"]
+    least = frequent.groupBy(*same).agg(F.min("token").alias("item"))
+    items = frequent.join(least, same).select("token", "item", "n", "sets", F.when(F.col("low") == F.col("high"), F.col("low")).alias("only"))
+    return baskets, written(items, "items"), total
+
+
+def with_items(sets: DataFrame, known: DataFrame, n: str) -> DataFrame:
+    """sets (tokens, ..., n) with `items`, those of their tokens; sets without any are left out. known: token, item."""
+    keys = [c for c in sets.columns if c not in ("tokens", n)]
+    each = written(sets.select("tokens", *keys, n, F.explode("tokens").alias("token")), "settokens")
+    uses = each.groupBy("token").agg(F.count(F.lit(1)).alias("x_n"))
+    met = spread_join(each, uses.join(known.select("token", "item"), "token"), ["token"], "x_n", each.count()).where("item is not null")
+    return met.groupBy("tokens", *keys).agg(F.max(n).alias(n), F.array_sort(F.collect_set("item")).alias("items"))
+
+
+#: A basket that repeats is dealt over tasks by so many at once.
+REPEATS = 1024
+
+
+def mine(labelled: DataFrame, support: float = 0.002, confidence: float = 0.9) -> tuple[DataFrame, DataFrame]:
+    """(antecedent, verdict, confidence, support) of the rules kept, and (token, item) of the items in them. labelled: tokens, verdict."""
     parts = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    baskets = labelled.where(F.size("tokens") > 0).select(F.concat("tokens", F.array(F.concat(F.lit("verdict:"), "verdict"))).alias("items"))
-    rules = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence, numPartitions=parts).fit(baskets).associationRules
+    baskets, items, total = items_of(labelled, support)
+    pure = items.where(F.col("only").isNotNull()).select("item", "only", "n").distinct()
+    alone = pure.select(F.array("item").alias("antecedent"), F.col("only").alias("verdict"), F.lit(1.0).alias("confidence"), (F.col("n") / F.lit(float(total or 1))).alias("support"))
+    mixed = with_items(baskets, items.where(F.col("only").isNull()), "n")
+    some = mixed.agg(F.sum("n")).first()[0] or 0
+    again = lambda most: F.explode(F.sequence(F.lit(1), most))
+    rows = mixed.select("items", "verdict", "n", again(F.ceil(F.col("n") / REPEATS)).alias("k")).repartition(parts, "items", "k")
+    rows = rows.select(F.concat("items", F.array(F.concat(F.lit("verdict:"), "verdict"))).alias("items"), again(F.least(F.lit(REPEATS), F.col("n") - (F.col("k") - 1) * REPEATS)).alias("k"))
+    least = math.ceil(support * total)
+    rules = FPGrowth(itemsCol="items", minSupport=min(1.0, max(0.0, (least - 0.5) / some)) if some else 1.0, minConfidence=confidence, numPartitions=parts).fit(rows.select("items")).associationRules
     rules = rules.where(F.startswith(F.get("consequent", F.lit(0)), F.lit("verdict:")) & ~F.exists("antecedent", lambda t: F.startswith(t, F.lit("verdict:"))))
-    rules = written(rules.select(F.array_sort("antecedent").alias("antecedent"), F.substring(F.get("consequent", F.lit(0)), 9, 1 << 30).alias("verdict"), "confidence", "support"), "rules")
+    rules = rules.select(F.array_sort("antecedent").alias("antecedent"), F.substring(F.get("consequent", F.lit(0)), 9, 1 << 30).alias("verdict"), "confidence", (F.rint(F.col("support") * some) / F.lit(float(total or 1))).alias("support"))
+    rules = written(rules.unionByName(alone), "rules")
     short = rules.select(F.explode("antecedent").alias("token"), F.col("antecedent").alias("less"), F.col("verdict").alias("v"), F.col("confidence").alias("c"))
     idle = (
         rules.select("antecedent", "verdict", "confidence", F.explode("antecedent").alias("token"))
@@ -96,19 +146,22 @@ def mine(labelled: DataFrame, support: float = 0.002, confidence: float = 0.9) -
         .select("antecedent", "verdict")
         .distinct()
     )
-    return rules.join(idle, ["antecedent", "verdict"], "left_anti")
+    kept = rules.join(idle, ["antecedent", "verdict"], "left_anti")
+    used = kept.select(F.explode("antecedent").alias("item")).distinct()
+    return kept, items.join(used, "item", "left_semi").select("token", "item")
 
 
-def match(sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """(tokens, n, verdict) of the distinct token sets that a rule meets. sets: tokens, n (how many have it)."""
-    each = sets.select("tokens", "n", F.explode("tokens").alias("token"))
+def match(sets: DataFrame, rules: DataFrame, known: DataFrame) -> DataFrame:
+    """(tokens, n, verdict) of the distinct token sets that a rule meets. sets: tokens, n (how many have it); known: token, item."""
+    each = with_items(sets, known, "n").select("tokens", "n", "items", F.explode("items").alias("token"))
+    each = written(each, "setitems")
     counts = written(each.groupBy("token").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("sets")), "tokencounts")
     ranked = rules.select("antecedent", "verdict", "confidence", "support", F.explode("antecedent").alias("token")).join(counts, "token")
     index = ranked.groupBy("antecedent", "verdict", "confidence", "support").agg(F.min_by("token", F.struct("n", "token")).alias("token"), F.min(F.struct("n", "token", "sets")).alias("rarest"))
     rule = F.struct("confidence", "support", (F.col("verdict") == "block").alias("block"), "verdict", "antecedent")
     index = index.groupBy("token", F.col("rarest.sets").alias("sets")).agg(F.collect_list(rule).alias("rules"))
-    met = spread_join(each, index, ["token"], "sets", sets.count()).where("rules is not null")
-    fits = F.filter("rules", lambda r: F.size(F.array_except(r["antecedent"], F.col("tokens"))) == 0)
+    met = spread_join(each, index, ["token"], "sets", each.count()).where("rules is not null")
+    fits = F.filter("rules", lambda r: F.size(F.array_except(r["antecedent"], F.col("items"))) == 0)
     best = F.array_max(F.transform(fits, lambda r: F.struct(*(r[c].alias(c) for c in ("confidence", "support", "block", "verdict")))))
     found = met.select("tokens", "n", best.alias("best")).where("best is not null").groupBy("tokens").agg(F.max("best").alias("best"), F.max("n").alias("n"))
     return found.select("tokens", "n", F.col("best.verdict").alias("verdict"))
@@ -125,9 +178,9 @@ def judge(pages: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RULES, s
     inner = inner.withColumns({"host": host, "path": path})
     inner = inner.withColumn("rule", longest_rule(F.col("host"), F.col("path"), rules)).withColumn("tokens", tokens(F.col("host"), F.col("path"), query_keys(F.col(f"c{names.index(url)}"))))
     inner = inner.withColumn("by_rule", verdict_of(F.col("rule"), rules))
-    mined = mine(inner.where(F.col("rule").isNotNull()).select("tokens", F.col("by_rule").alias("verdict")), support, confidence)
+    mined, known = mine(inner.where(F.col("rule").isNotNull()).select("tokens", F.col("by_rule").alias("verdict")), support, confidence)
     sets = written(inner.where(F.col("rule").isNull() & (F.size("tokens") > 0)).groupBy("tokens").agg(F.count(F.lit(1)).alias("n")), "tokensets")
-    found = written(match(sets, mined), "verdicts").where(F.col("verdict") == "block")  # what is not blocked is allowed
+    found = written(match(sets, mined, known), "verdicts").where(F.col("verdict") == "block")  # what is not blocked is allowed
     found = found.select(F.col("tokens").alias("key"), "n", F.col("verdict").alias("by_mined"))
     keyed = inner.withColumn("key", F.when(F.col("rule").isNull() & (F.size("tokens") > 0), F.col("tokens"))).drop("tokens")
     out = spread_join(keyed, found, ["key"], "n", sets.agg(F.sum("n")).first()[0] or 0)
