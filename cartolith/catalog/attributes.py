@@ -310,11 +310,11 @@ def hashes_of_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LEVEL = "{0} AS (SELECT (i - 1) // 16 + 1 AS i, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h, ceil(any_value(n) / 16)::BIGINT AS n FROM {1} GROUP BY (i - 1) // 16 + 1)"
 
 
-@query(f"""WITH l0 AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS i, sha256(o_orderkey || ':' || o_clerk) AS h, count(*) OVER () AS n FROM orders),
+@query(f"""WITH l0 AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS i, sha256(o_orderkey || ':' || o_orderpriority) AS h, count(*) OVER () AS n FROM orders),
 {", ".join(_LEVEL.format(f"l{k + 1}", f"l{k}") for k in range(8))} SELECT h AS combined FROM l8""")
 def digest_of_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One digest of all orders, in levels of 16."""
-    each = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.sha2(F.concat_ws(":", F.col("o_orderkey").cast("string"), "o_clerk"), 256).alias("hash"))
+    each = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.sha2(F.concat_ws(":", F.col("o_orderkey").cast("string"), "o_orderpriority"), 256).alias("hash"))
     return ft.merkle_digest(each, fan=16)
 
 

@@ -94,7 +94,7 @@ def snapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     k = F.col("p_partkey")
     off = lambda n, m: ((k * n % m) - m // 2) / (m * 10.0)
-    ends = F.array(g.point(k * 3 + off(7, 11), k / k * 5 + off(5, 13)), g.point(k * 3 + 3 + off(3, 17), k / k * 5 + off(9, 7)))
+    ends = F.array(g.point(k * 3 + off(7, 11), 5 + off(5, 13)), g.point(k * 3 + 3 + off(3, 17), 5 + off(9, 7)))
     lines = table(spark, sf_dir, "part").select(F.floor(k / 40).cast("int").alias("a"), F.lit(1).alias("b"), F.when(k % 2 == 0, ends).otherwise(F.reverse(ends)).alias("points"))
     made = topology.snapped_arcs(lines, 0.5)
     return made.select(F.col("a").cast("long").alias("a"), "b", "part", F.col("points")[0]["x"].alias("x0"), F.element_at("points", -1)["x"].alias("x1"), F.size("points").cast("long").alias("corners"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import UnsupportedOperationException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -169,9 +170,7 @@ def join_parts(spark: SparkSession, folder: str, path: str) -> None:
         for i, p in enumerate(parts):
             array[i] = p
         fs.concat(stage, array)
-    except Exception as error:  # the file system says that it can't
-        if "UnsupportedOperationException" not in str(error):
-            raise
+    except UnsupportedOperationException:
         out = fs.create(stage, True)
         for p in parts:
             part = fs.open(p)
