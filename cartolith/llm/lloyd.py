@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartolith.llm.common import small_batches, written
@@ -133,10 +133,6 @@ def moved(vectors: DataFrame, centroids: list[list[int]], width: int) -> list[li
     return out
 
 
-def _long(total: Column) -> Column:
-    return F.least(total, F.lit(LONGEST).cast("decimal(38,0)")).cast("bigint")
-
-
 def cluster(rows: DataFrame, k: int = 16, rounds: int = 3, seed: int = 1, vec_id: str = "vec_id", embedding: str = "embedding", width: int = WIDTH) -> tuple[DataFrame, list[list[int]]]:
     """(vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256), and the final centroids."""
     spark = rows.sparkSession
@@ -151,13 +147,11 @@ def cluster(rows: DataFrame, k: int = 16, rounds: int = 3, seed: int = 1, vec_id
     assigned = written(assigned.withColumn("vec_id", F.col("vec_id").cast(vectors.schema["vec_id"].dataType)), "clusters")
     sent.unpersist()
 
-    sums = assigned.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("own"))
-    names = [(i, hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()) for i, c in enumerate(centroids)]
-    names = spark.createDataFrame(names, "cluster int, centroid_sha256 string")
-    every = sums.agg(F.sum("own").alias("all"))
-    sums = sums.join(F.broadcast(names), "cluster").crossJoin(F.broadcast(every))  # a row
-    sums = sums.select("cluster", _long(F.col("own")).alias("cluster_inertia"), _long(F.col("all")).alias("inertia"), "centroid_sha256")
-    return assigned.join(F.broadcast(sums), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"), centroids
+    sums = {r.cluster: int(r.d) for r in assigned.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("d")).collect()}  # k rows
+    every = min(LONGEST, sum(sums.values()))
+    about = [(i, min(LONGEST, sums[i]), every, hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()) for i, c in enumerate(centroids) if i in sums]
+    about = spark.createDataFrame(about, "cluster int, cluster_inertia bigint, inertia bigint, centroid_sha256 string")
+    return assigned.join(F.broadcast(about), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"), centroids
 
 
 def report(rows: DataFrame) -> DataFrame:

@@ -128,7 +128,7 @@ def mine(labelled: DataFrame, support: float = 0.002, confidence: float = 0.9) -
     baskets, items, total = items_of(labelled, support)
     pure = items.where(F.col("only").isNotNull()).select("item", "only", "n").distinct()
     alone = pure.select(F.array("item").alias("antecedent"), F.col("only").alias("verdict"), F.lit(1.0).alias("confidence"), (F.col("n") / F.lit(float(total or 1))).alias("support"))
-    mixed = with_items(baskets, items.where(F.col("only").isNull()), "n")
+    mixed = with_items(baskets, items.where(F.col("only").isNull()), "n").groupBy("items", "verdict").agg(F.sum("n").alias("n"))
     some = mixed.agg(F.sum("n")).first()[0] or 0
     again = lambda most: F.explode(F.sequence(F.lit(1), most))
     rows = mixed.select("items", "verdict", "n", again(F.ceil(F.col("n") / REPEATS)).alias("k")).repartition(parts, "items", "k")
