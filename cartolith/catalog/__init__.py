@@ -24,4 +24,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from cartolith.catalog import attributes, cells, clicks, plans  # noqa: F401
+    from cartolith.catalog import attributes, cells, clicks, plans, rasters  # noqa: F401

@@ -66,10 +66,14 @@ def id_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", text.id_hash(F.col("p_type")).alias("hash"), text.color_slot(F.col("p_type")).alias("slot"))
 
 
-@query("""SELECT * FROM (VALUES ('Иудейская Автономия', 'iudeyskaya-avtonomiya'), ('  Щука/Ёж №5 ', 'shchuka-yozh-5'), ('--Объект__2', 'obekt-2'), ('', '')) t(name, slug)""")
+_LATIN, _CYRILLIC = "ABDEFGIKLMNOPRSTUVZ", "АБДЕФГИКЛМНОПРСТУВЗ"
+
+
+@query("""SELECT n_nationkey, trim(regexp_replace('shchuka-yozh-5-' || lower(n_name) || '-' || n_nationkey, '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM nation""")
 def cyrillic_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.createDataFrame([("Иудейская Автономия",), ("  Щука/Ёж №5 ",), ("--Объект__2",), ("",)], "name string")
-    return names.select("name", text.slug(F.col("name")).alias("slug"))
+    """Nations' names in Cyrillic letters, between signs that slugs don't have."""
+    name = F.concat(F.lit("  Щука/Ёж №5 "), F.translate("n_name", _LATIN, _CYRILLIC), F.lit("__"), F.col("n_nationkey").cast("string"), F.lit("--"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", text.slug(name).alias("slug"))
 
 
 @query("""SELECT p_partkey, round(least(greatest(p_retailprice, 0), 1925) / 1925 * 359.998 - 179.999, 6) AS lon,
@@ -222,11 +226,15 @@ def pasted_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ft.placed_names(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("number"), F.col("n_name").alias("name")), " Alpha\n\n Beta \nGamma").select("number", "name")
 
 
-@query("""SELECT mode, debug AS extraction_debug, (mode <> 'original' OR debug) AND mode <> 'landOverlay' AS show_land_fill, (mode <> 'original' OR debug) AND mode NOT IN ('land', 'landOverlay') AS show_country_labels, mode = 'landOverlay' AS show_debug_land
-FROM (VALUES ('vector'), ('terrain'), ('original'), ('combined'), ('land'), ('landOverlay')) m(mode), (VALUES (true), (false)) d(debug)""")
+_MODES = ("vector", "terrain", "original", "combined", "land", "landOverlay")
+
+
+@query(f"""SELECT id, mode, debug AS extraction_debug, (mode <> 'original' OR debug) AND mode <> 'landOverlay' AS show_land_fill, (mode <> 'original' OR debug) AND mode NOT IN ('land', 'landOverlay') AS show_country_labels, mode = 'landOverlay' AS show_debug_land
+FROM (SELECT p_partkey AS id, {list(_MODES)}[1 + p_partkey % 6] AS mode, p_partkey % 5 < 2 AS debug FROM part)""")
 def layer_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    modes = spark.createDataFrame([(m, d, *[True] * len(ft.FLAGS)) for m in ("vector", "terrain", "original", "combined", "land", "landOverlay") for d in (True, False)], ["mode", "extraction_debug", *ft.FLAGS])
-    return ft.layer_visibility(modes).select("mode", "extraction_debug", "show_land_fill", "show_country_labels", "show_debug_land")
+    k = F.col("p_partkey")
+    modes = table(spark, sf_dir, "part").select(k.alias("id"), F.get(F.array(*map(F.lit, _MODES)), (k % 6).cast("int")).alias("mode"), (k % 5 < 2).alias("extraction_debug"), *(F.lit(True).alias(f) for f in ft.FLAGS))
+    return ft.layer_visibility(modes).select("id", "mode", "extraction_debug", "show_land_fill", "show_country_labels", "show_debug_land")
 
 
 @query("""SELECT k AS id, list_filter(['contour IoU is below the minimum', 'boundary F score is below the minimum'], lambda s: (s[1:1] = 'c' AND iou < 0.5) OR (s[1:1] = 'b' AND f < 0.3)) AS failures
@@ -237,9 +245,12 @@ def gate_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.alignment_gate(report, 0.5, 0.3).select("id", "failures")
 
 
-@query("""SELECT * FROM (VALUES ('area', 1, 'A', '38,6'), ('area', 2, 'B', NULL), ('people', 1, 'C', '9'), ('people', 2, 'A', '7')) t(ranking, rank, country, value)""")
+@query("""SELECT n_nationkey, ranking, rank, value FROM nation JOIN (VALUES ('area', 1, 'A', '38,6'), ('area', 2, 'B', NULL), ('people', 1, 'C', '9'), ('people', 2, 'A', '7')) t(ranking, rank, country, value) ON country = chr(65 + (n_nationkey % 4)::INT)""")
 def ranking_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geojson.rankings(spark, {"area": [("A", "38,6"), ("B", None)], "people": [("C", "9"), ("A", "7")]})
+    """Places of nations in rankings that are given with the settings."""
+    known = geojson.rankings(spark, {"area": [("A", "38,6"), ("B", None)], "people": [("C", "9"), ("A", "7")]})
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", F.char(65 + F.col("n_nationkey") % 4).alias("country"))
+    return nations.join(F.broadcast(known), "country").select("n_nationkey", "ranking", "rank", "value")
 
 
 @query("""SELECT s_suppkey AS id, 'Supplier' AS kind, s_acctbal AS x, s_nationkey * 1.0 AS y, s_name AS name, CASE WHEN s_nationkey % 3 = 0 THEN 'dark' ELSE 'light' END AS scheme FROM supplier""")

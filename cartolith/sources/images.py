@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartolith.operators.features import checked
+from cartolith.session import written
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
@@ -132,3 +135,25 @@ def to_png(cells: DataFrame, channels: list[Column], key: Column, width: int, he
     rows = cells.select(key.cast("string").alias("key"), F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), *(c.cast("int").alias(f"c{i}") for i, c in enumerate(channels)))
     sound = checked(rows, F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1), "a cell is outside the image")
     return sound.groupBy("key").applyInPandas(run, "key string, png binary")
+
+
+def write_png(cells: DataFrame, channels: list[Column], key: Column, width: int, height: int, folder: str) -> DataFrame:
+    """(key, path) of image files, one a key, which tasks write under folder through Arrow's file systems.
+
+    A file appears under its name only when it is whole; of two attempts of a task the later one's stays, and both are alike.
+    """
+    uri = "/" + folder.removeprefix("file:").lstrip("/") if folder.startswith("file:") else folder
+    system, base = fs.FileSystem.from_uri(uri)
+    system.create_dir(base)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = fs.FileSystem.from_uri(uri)
+        for frame in frames:
+            for name, png in zip(frame["key"], frame["png"], strict=True):
+                stage = f"{base}/_{name}-{uuid.uuid4().hex}"
+                with system.open_output_stream(stage) as out:
+                    out.write(bytes(png))
+                system.move(stage, f"{base}/{name}.png")
+            yield pd.DataFrame({"key": frame["key"], "path": [f"{folder}/{name}.png" for name in frame["key"]]})
+
+    return written(to_png(cells, channels, key, width, height).mapInPandas(run, "key string, path string"), "images")
