@@ -21,8 +21,7 @@ from cartolith.session import written
 TILE = 512
 #: So many links at most are followed by one task, a bound that is counted first.
 FEW_LINKS = 1_000_000
-#: East, south, west, north, as y grows downwards: one more is a turn to the right.
-_WAYS = {(1, 0): 0, (0, 1): 1, (-1, 0): 2, (0, -1): 3}
+_NOWHERE = (1 << 62)
 
 
 def _leaders(node: np.ndarray, following: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,11 +114,15 @@ def _corners(line: np.ndarray) -> np.ndarray:
     return line[np.concatenate([[True], (step[1:] != step[:-1]).any(axis=1), [True]])]
 
 
+def _sliced(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Points in a row as lists of (x, y) of so many each."""
+    points = pa.StructArray.from_arrays([pa.array(flat[:, 0].astype(np.float64)), pa.array(flat[:, 1].astype(np.float64))], ["x", "y"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), pa.int32()), points)
+
+
 def lists(lines: list[np.ndarray]) -> pa.Array:
     """Lines of points as lists of (x, y)."""
-    flat = np.concatenate([np.empty((0, 2)), *lines])
-    points = pa.StructArray.from_arrays([pa.array(flat[:, 0].astype(np.float64)), pa.array(flat[:, 1].astype(np.float64))], ["x", "y"])
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lines], dtype=np.int64)]), pa.int32()), points)
+    return _sliced(np.concatenate([np.empty((0, 2)), *lines]), np.array([len(x) for x in lines], np.int64))
 
 
 def points_of(cell) -> np.ndarray:
@@ -139,7 +142,7 @@ def ring_pieces(group: pa.Table) -> pa.Table:
     Where two cells of the label touch at a corner only, two edges come in and two go out; each turns right, so that the cells stay apart.
     """
     x0, y0, x1, y1 = (group.column(c).to_numpy().astype(np.int64) for c in ("x0", "y0", "x1", "y1"))
-    way = np.select([x1 > x0, y1 > y0, x1 < x0], [0, 1, 2], 3)
+    way = np.select([x1 > x0, y1 > y0, x1 < x0], [0, 1, 2], 3)  # east, south, west, north, as y grows downwards: one more is a turn to the right
     order = np.lexsort((way, _codes(x0, y0)))
     x0, y0, x1, y1, way = (v[order] for v in (x0, y0, x1, y1, way))
     start, end = _codes(x0, y0), _codes(x1, y1)
@@ -150,21 +153,45 @@ def ring_pieces(group: pa.Table) -> pa.Table:
     led = np.zeros(len(start), bool)
     led[following[following >= 0]] = True
     twice = np.searchsorted(start, start, side="right") - np.searchsorted(start, start) == 2
-    rows, lines = [], []
-    for closed, path in _paths(following.tolist(), np.flatnonzero(~led).tolist()):
-        at = np.array(path)
-        first, last = at[0], at[-1]
-        line = np.stack([np.append(x0[at], x1[last]), np.append(y0[at], y1[last])], axis=1)
-        down = at[way[at] == 1]
-        drop = down[np.lexsort((x0[down], y0[down]))[0]] if len(down) else None
-        area = int((x0[at] * (y1[at] - y0[at])).sum())
-        rows.append((closed, x0[first], y0[first], (way[first] + 3) % 4 if twice[first] and not closed else None, x1[last], y1[last], way[last], area, None if drop is None else x0[drop], None if drop is None else y0[drop]))
-        lines.append(straight(line) if closed else _corners(line))
-    columns = list(zip(*rows, strict=True))
-    kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-    label = pa.array([group.column("label")[0].as_py()] * len(rows), pa.int32())
+    paths = _paths(following.tolist(), np.flatnonzero(~led).tolist())
+    closed = np.array([c for c, _ in paths])
+    sizes = np.array([len(p) for _, p in paths])
+    at = np.concatenate([np.array(p) for _, p in paths])
+    last = np.cumsum(sizes) - 1
+    first = last - sizes + 1
+    before = np.roll(at, 1)
+    before[first] = at[last]
+    corner = way[at] != way[before]
+    corner[first[~closed]] = True
+    down = np.where(way[at] == 1, _codes(x0[at], y0[at]), _NOWHERE)  # row by row
+    drop = np.minimum.reduceat(down, first)
+    area = np.add.reduceat(x0[at] * (y1[at] - y0[at]), first)
+    # a ring's corners from its least one on, and that one again; a line's corners and its end
+    spot = np.flatnonzero(corner)
+    path = np.searchsorted(last, spot)
+    px, py = x0[at[spot]], y0[at[spot]]
+    begin = np.searchsorted(path, np.arange(len(paths)))
+    count = np.diff(np.append(begin, len(path)))
+    least = np.empty(len(paths), np.int64)
+    order = np.lexsort((py, px, path))
+    least[:] = order[begin]
+    turn = np.where(closed[path], (np.arange(len(path)) - least[path]) % count[path], np.arange(len(path)))
+    order = np.lexsort((turn, path))
+    px, py = px[order], py[order]
+    end = np.where(closed, 0, at[last])
+    ex, ey = np.where(closed, px[begin], x1[end]), np.where(closed, py[begin], y1[end])
+    close = begin + count
+    flat = np.stack([np.insert(px, close, ex), np.insert(py, close, ey)], axis=1)
+    want = np.where(twice[at[first]] & ~closed, (way[at[first]] + 3) % 4, -1)
+    nothing = drop == _NOWHERE
+    drop_x = ((drop + (1 << 31)) & 0xFFFFFFFF) - (1 << 31)
+    columns = [
+        pa.array(closed), pa.array(x0[at[first]]), pa.array(y0[at[first]]), pa.array(want, pa.int32(), mask=want < 0), pa.array(x1[at[last]]), pa.array(y1[at[last]]), pa.array(way[at[last]], pa.int32()),
+        pa.array(area), pa.array(drop_x, mask=nothing), pa.array((drop - drop_x) >> 32, mask=nothing),
+    ]
+    label = pa.array(np.full(len(paths), group.column("label")[0].as_py()), pa.int32())
     names = ["label", "closed", "x0", "y0", "want", "x1", "y1", "way", "area", "drop_x", "drop_y", "points"]
-    return pa.table([label, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), lists(lines)], names)
+    return pa.table([label, *columns, _sliced(flat, count + 1)], names)
 
 
 ARC_PIECE = "a int, b int, closed boolean, x0 long, y0 long, open0 boolean, x1 long, y1 long, open1 boolean, points array<struct<x:double,y:double>>"

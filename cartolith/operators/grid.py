@@ -318,14 +318,12 @@ def flood(cells: DataFrame, steps=AROUND_8, tile: int = TILE) -> DataFrame:
 
     edge = (F.col("x") % tile).isin(0, tile - 1) | (F.col("y") % tile).isin(0, tile - 1)
     versions = [written(start.groupBy("tx", "ty").applyInPandas(first, schema), "flood")]
-    tiles = versions[0].select("tx", "ty").distinct()
     news = versions[0].where(edge & (F.col("far") != NEVER))
-    while True:
+    while not news.isEmpty():
         ring = neighbours(news, AROUND_8, ("far", "by", "label", "tx", "ty")).withColumns({"bx": F.floor(F.col("nx") / tile), "by_": F.floor(F.col("ny") / tile)})
-        ring = ring.where((F.col("bx") != F.col("tx")) | (F.col("by_") != F.col("ty"))).select("x", "y", "far", "by", "label", F.col("bx").alias("tx"), F.col("by_").alias("ty"))
-        halo = written(ring.distinct().join(tiles, ["tx", "ty"], "left_semi"), "halo")
-        if halo.isEmpty():
-            break
+        ring = ring.where((F.col("bx") != F.col("tx")) | (F.col("by_") != F.col("ty")))
+        new = [(F.col(c) + F.lit(0)).cast(t).alias(c) for c, t in (*kinds.items(), ("far", "long"), ("by", "long"), ("label", kind))]  # columns that aren't those of the tiles
+        halo = ring.select(*new, F.col("bx").alias("tx"), F.col("by_").alias("ty"))
         mine = latest(versions, ["tx", "ty"]).join(halo.select("tx", "ty").distinct(), ["tx", "ty"], "left_semi")
         patch = written(mine.groupBy("tx", "ty").cogroup(halo.groupBy("tx", "ty")).applyInPandas(again, schema), "flood")
         news = patch.where(F.col("changed") & edge)
