@@ -5,7 +5,8 @@ A long text is cut into chunks that overlap. Each chunk is pre-tokenised alone,
 where it begins and on what follows, so once a chunk has one true boundary, all later ones are true up to its end's
 margin. Chunk k is stitched to chunk k+1 at the first place in their overlap that is a boundary of both; a place
 behind white space is no stitch, for a white-space match looks at what follows it. Pairs of chunks are stitched apart
-from each other. Where an overlap has no common boundary, the two chunks are joined and split again. The ranges between
+from each other. Where an overlap has no common boundary, chunks are joined until they are half as long again, and split
+once more, so that the work stays in proportion to the text even where it has no boundary at all. The ranges between
 stitches are encoded on their own, all over the cluster; decoding concatenates bytes.
 
 Null texts are empty texts; an empty text has no ids. Repeated rows stay as they are, an empty table gives an empty
@@ -68,18 +69,24 @@ def stitch(chunks: list[str], starts: list[int], marks: list[np.ndarray], patter
     """
     out: list[str] = []
     text, begin, own, mark = chunks[0], starts[0], 0, marks[0]
+    more: list[str] = []  # what follows the text and isn't split yet
+    size = len(text)
     for nxt, at, theirs in zip(chunks[1:], starts[1:], marks[1:], strict=True):
-        trusted = mark[:-1][(mark[:-1] <= len(text) - MARGIN) & (mark[:-1] > own)] + begin
-        both = np.intersect1d(trusted[trusted > at], theirs[:-1] + at, assume_unique=True)
-        place = next((p for p in both.tolist() if not text[p - begin - 1].isspace()), None)
-        if place is None:
-            text = text[own:] + nxt[begin + len(text) - at :]
-            begin, own = begin + own, 0
-            mark = boundaries(text, pattern)
-        else:
+        place = None
+        if not more:
+            trusted = mark[:-1][(mark[:-1] <= len(text) - MARGIN) & (mark[:-1] > own)] + begin
+            both = np.intersect1d(trusted[trusted > at], theirs[:-1] + at, assume_unique=True)
+            place = next((p for p in both.tolist() if not text[p - begin - 1].isspace()), None)
+        if place is not None:
             out.append(text[own : place - begin])
-            text, begin, own, mark = nxt, at, place - at, theirs
-    out.append(text[own:])
+            text, begin, own, mark, size = nxt, at, place - at, theirs, len(nxt)
+            continue
+        more.append(nxt[begin + size - at :])
+        size += len(more[-1])
+        if 2 * size >= 3 * len(text):
+            text, begin, own, more = "".join([text, *more])[own:], begin + own, 0, []
+            mark, size = boundaries(text, pattern), len(text)
+    out.append("".join([text, *more])[own:])
     return out
 
 
