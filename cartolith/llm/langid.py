@@ -117,7 +117,7 @@ def edges(words: np.ndarray, vocabulary: Pieces) -> Iterator[tuple[int, int, np.
 
 def word_edges(word: np.ndarray, vocabulary: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(from, to, piece) of one word's edges, by rising end and then falling start."""
-    ends, key, out = np.arange(1, len(word) + 1), np.zeros(len(word), np.uint64), []
+    ends, key, out = np.arange(1, len(word) + 1, dtype=np.int32), np.zeros(len(word), np.uint64), []
     for size in range(1, vocabulary.longest + 1):
         inside = ends >= size
         ends, key = ends[inside], key[inside]
@@ -129,24 +129,50 @@ def word_edges(word: np.ndarray, vocabulary: Pieces) -> tuple[np.ndarray, np.nda
         out.append((ends[have] - size, ends[have], found[have]))
         ends, key = ends[found != -2], key[found != -2]
     begin, end, ids = (np.concatenate(x) for x in zip(*out, strict=True))
+    del out
     order = np.lexsort((-begin, end))
     return begin[order], end[order], ids[order]
 
 
 def _forward_one(word: np.ndarray, vocabulary: Pieces, table: np.ndarray) -> np.ndarray:
-    """Logarithm of a word's probability; table: pieces by languages."""
+    """Logarithm of a word's probability; table: pieces by languages. Sums are kept for the longest piece's bytes only."""
     begin, end, ids = word_edges(word, vocabulary)
     cuts = np.searchsorted(end, np.arange(1, len(word) + 2))
-    at, scale = np.zeros((len(word) + 1, table.shape[1])), np.zeros(table.shape[1])
+    kept = vocabulary.longest + 1
+    at, scale = np.zeros((kept, table.shape[1])), np.zeros(table.shape[1])
     at[0] = 1
+    begin %= kept
     for e in range(1, len(word) + 1):
         part = slice(cuts[e - 1], cuts[e])
-        at[e] = (at[begin[part]] * table[ids[part]]).sum(axis=0)
+        at[e % kept] = (at[begin[part]] * table[ids[part]]).sum(axis=0)
         if e % 8 == 0:
-            top = at[e].copy()
-            at[max(0, e - vocabulary.longest) : e + 1] /= top
+            top = at[e % kept].copy()
+            with np.errstate(over="ignore"):  # what lies far back may pass a double's range
+                np.minimum(at / top, 1e280, out=at)
             scale += np.log(top)
-    return np.log(at[-1]) + scale
+    return np.log(at[len(word) % kept]) + scale
+
+
+def _expected_one(word: np.ndarray, vocabulary: Pieces, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pieces, expected number) of one word's edges; logs: of one language's pieces. All is held in flat arrays."""
+    begin, end, ids = word_edges(word, vocabulary)
+    gain, size = logs[ids], len(word)
+    cuts = np.searchsorted(end, np.arange(1, size + 2))
+    fore, back = np.zeros(size + 1), np.zeros(size + 1)
+    for e in range(1, size + 1):
+        part = slice(cuts[e - 1], cuts[e])
+        fore[e] = np.logaddexp.reduce(fore[begin[part]] + gain[part])
+    order = np.argsort(begin, kind="stable")
+    cuts = np.searchsorted(begin, np.arange(size + 1), sorter=order)
+    back[size], last = 0, len(order)
+    for b in range(size - 1, -1, -1):
+        part = order[cuts[b] : last]
+        last = cuts[b]
+        back[b] = np.logaddexp.reduce(gain[part] + back[end[part]])
+    gain += fore[begin]
+    gain += back[end]
+    gain -= fore[size]
+    return ids, np.exp(gain, out=gain)
 
 
 def forward(words: np.ndarray, vocabulary: Pieces, prob: np.ndarray, size: np.ndarray | None = None) -> np.ndarray:
@@ -190,13 +216,12 @@ def expected(words: np.ndarray, vocabulary: Pieces, prob: np.ndarray, lang: np.n
     size = np.full(n, length) if size is None else size
     logs = np.log(prob)
     if n < FEW and length > 64:
-        found = []
+        out = np.zeros(prob.shape)
         for r in range(n):
-            begin, end, ids = word_edges(words[r, : size[r]], vocabulary)
-            found += [(int(a), int(b), np.array([r]), np.array([i])) for a, b, i in zip(begin, end, ids, strict=True)]
-        found.sort(key=lambda e: e[1])
-    else:
-        found = list(edges(words, vocabulary))
+            ids, share = _expected_one(words[r, : size[r]], vocabulary, logs[lang[r]])
+            out[lang[r]] += np.bincount(ids, share, minlength=prob.shape[1]) * weight[r]
+        return out
+    found = list(edges(words, vocabulary))
     fore, back = np.full((length + 1, n), -np.inf), np.full((length + 1, n), -np.inf)
     fore[0] = 0
     back[size, np.arange(n)] = 0
