@@ -7,7 +7,7 @@ these runs, with a separator between them, are indexed. All windows are searched
 located by sampled suffix positions, and the spans of one row merged.
 
 Texts need no shuffle, and no row depends on another. Items go to the executors in blocks of bounded size; a larger
-benchmark takes more passes over the rows, in one stage. Runs longer than a shard are cut with an overlap of a window
+benchmark takes more passes over the rows, which are written between them, so that a task never holds two blocks. Runs longer than a shard are cut with an overlap of a window
 less one word.
 
 Null or empty texts have no words and are clean, null or empty items have no windows. Rows that repeat are judged
@@ -16,26 +16,31 @@ alike; items that share an id count as one, a null id is "null".
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartolith.llm.common import own_name
+from cartolith.llm.common import own_name, written
 from cartolith.llm.fmindex import FMIndex
 from cartolith.llm.textblocks import ALNUM, column_bytes, hash_words, row_blocks
 
 WINDOW = 13
 #: Symbols of a shard, bytes of text worked on together, bytes of items in a block.
-SHARD, BLOCK, ITEMS = 1 << 19, 2 << 20, 32 << 20
+SHARD, BLOCK, ITEMS = 1 << 19, 2 << 20, 16 << 20
 SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
 class Windows:
-    """The windows of items: symbols by word, phrases, and the items of each phrase."""
+    """The windows of items: symbols by word, phrases, and the items of each phrase.
+
+    A phrase is a place in the stream of all items' symbols. Arrays hold all of it: some 50 bytes a word of the items.
+    """
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
         column = pa.array([t for _, t in items], pa.string())
@@ -44,22 +49,52 @@ class Windows:
         self.words = np.unique(hashes)
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[(self.words >> np.uint64(48)).astype(np.int64)] = True
-        symbols = np.searchsorted(self.words, hashes) + 1
-        owners: dict[bytes, list[int]] = {}
-        for i, row in enumerate(np.split(symbols.astype(np.int64), np.cumsum(counts)[:-1])):
-            size = min(window, len(row))
-            for a in range(len(row) - size + 1 if size else 0):
-                owners.setdefault(row[a : a + size].tobytes(), []).append(i)
-        rows = [np.frombuffer(p, np.int64) for p in owners]
-        self.lengths = np.array([len(r) for r in rows], np.int64)
-        self.phrases = np.zeros((len(rows), window), np.int64)
-        for k, r in enumerate(rows):
-            self.phrases[k, : len(r)] = r
+        self.stream = (np.searchsorted(self.words, hashes) + 1).astype(np.int32)
+        ends = np.cumsum(counts)
+        size = np.minimum(counts, window)
+        many = np.where(size > 0, counts - size + 1, 0)
+        del hashes, data
+        owner = np.repeat(np.arange(len(items), dtype=np.int32), many)
+        start = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many - ends + counts, many)
+        length = size[owner].astype(np.int32)
+        order, first = self._groups(start, length)
+        self.starts, self.lengths = start[order[first]], length[order[first]]
+        self.held, self.cuts = owner[order], np.append(first, len(order))
         self.ids = [i for i, _ in items]
-        self.owners = [np.unique(x) for x in owners.values()]
-        self.shortest = int(self.lengths.min()) if len(rows) else window
+        self.shortest = int(self.lengths.min(initial=window))
         self.window = window
 
+    def _groups(self, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The windows in an order that has equal ones side by side, and where each group of equal ones begins in it."""
+        factor = np.uint64(0x9E3779B97F4A7C15)
+        while True:
+            key = np.empty(len(start), np.uint64)
+            for at in range(0, len(start), SHARD):
+                begin, size = start[at : at + SHARD], length[at : at + SHARD]
+                part = size.astype(np.uint64)
+                for k in range(int(size.max())):
+                    here = np.flatnonzero(k < size)
+                    part[here] = part[here] * factor + self.stream[begin[here] + k].astype(np.uint64)
+                key[at : at + SHARD] = part
+            order = np.argsort(key, kind="stable").astype(np.int32)
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = np.diff(key[order]) != 0
+            if all(self._equal(start, length, order[np.maximum(old - 1, 0)], order[old]) for old in (at + np.flatnonzero(~fresh[at : at + SHARD]) for at in range(0, len(order), SHARD))):
+                return order, np.flatnonzero(fresh)
+            factor = factor * np.uint64(0xD6E8FEB86659FD93)  # unlike windows met at one key: other keys
+
+    def _equal(self, start: np.ndarray, length: np.ndarray, left: np.ndarray, right: np.ndarray) -> bool:
+        """Whether windows on the left are those on the right, word by word."""
+        size = length[right]
+        if (length[left] != size).any():
+            return False
+        a, b = start[left], start[right]
+        return all((self.stream[a[here] + k] == self.stream[b[here] + k]).all() for k in range(int(size.max(initial=0))) for here in (np.flatnonzero(k < size),))
+
+    def owners(self, phrase: int) -> np.ndarray:
+        """The items that have a phrase, repeated where they have it several times."""
+        return self.held[self.cuts[phrase] : self.cuts[phrase + 1]]
+
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         """Each word's symbol, 0 for words of no item."""
         out = np.zeros(len(hashes), np.int64)
@@ -99,12 +134,26 @@ class Windows:
                 size += b - a + 1
                 at += 1
             index, place = FMIndex(np.concatenate(text), len(self.words) + 1), np.concatenate(origin)
-            low, high = index.search(self.phrases, self.lengths)
+            near = self._within(np.concatenate(text))
+            low, high = index.search(self.stream, self.starts[near], self.lengths[near])
             many = np.maximum(high - low, 0)
-            which = np.repeat(np.arange(len(many)), many)
-            suffix = np.repeat(low, many) + np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
+            suffix = np.repeat(low, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+            which = np.repeat(near, many)
             yield place[index.locate(suffix)], self.lengths[which], which
 
+    def _within(self, shard: np.ndarray) -> np.ndarray:
+        """The phrases all of whose words are in a shard; others can't occur there, and aren't searched for."""
+        there = np.zeros(len(self.words) + 2, bool)
+        there[shard] = True
+        have = np.concatenate([[0], np.cumsum(there[self.stream], dtype=np.int32)])
+        return np.flatnonzero(have[self.starts + self.lengths] - have[self.starts] == self.lengths)
+
+
+@functools.lru_cache(maxsize=1)
+def _windows(held: Broadcast, window: int) -> Windows:
+    """The windows of a block of items, kept while a worker's tasks have the same block."""
+    return Windows(held.value, window)
+
 
 def _merge(begin: np.ndarray, end: np.ndarray) -> list[dict]:
     order = np.argsort(begin, kind="stable")
@@ -119,11 +168,12 @@ def _blocks(items: DataFrame, item_id: str, text: str, most: int) -> Iterator[li
     rows = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t")).distinct().orderBy("i", "t")
     block, size = [], 0
     for row in rows.toLocalIterator():
-        if block and size + len(row.t) > most:
+        more = len(row.t.encode())
+        if block and size + more > most:
             yield block
             block, size = [], 0
         block.append((row.i, row.t))
-        size += len(row.t)
+        size += more
     yield block
 
 
@@ -132,11 +182,13 @@ def mark(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
     kept = docs.columns
     at = kept.index(text)
     out = docs.toDF(*[f"c{i}" for i in range(len(kept))]).withColumns({"x_n": F.lit(0).cast("bigint"), "x_spans": F.lit(None).cast(SPANS), "x_items": F.lit(None).cast("array<string>")})
-    for block in _blocks(items, item_id, item_text, ITEMS):
-        held = docs.sparkSession.sparkContext.broadcast(block)  # of at most ITEMS characters and one item
+    for k, block in enumerate(_blocks(items, item_id, item_text, ITEMS)):
+        if k:
+            out = written(out, "marked")  # so that a task holds one block's windows
+        held = docs.sparkSession.sparkContext.broadcast(block)  # of at most ITEMS bytes, or one item
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            windows = Windows(held.value, window)
+            windows = _windows(held, window)
             for batch in batches:
                 data, offsets = column_bytes(batch.column(at))
                 words = np.zeros(len(batch), np.int64)
@@ -154,7 +206,7 @@ def mark(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
                             here = begin[part] - base[r]
                             old = spans[a + r] or []
                             spans[a + r] = _merge(np.concatenate([here, [x["start"] for x in old]]).astype(np.int64), np.concatenate([here + size[part], [x["end"] for x in old]]).astype(np.int64))
-                            ids = {windows.ids[i] for k in np.unique(which[part]) for i in windows.owners[k].tolist()}
+                            ids = {windows.ids[i] for k in np.unique(which[part]) for i in np.unique(windows.owners(k))}
                             found[a + r] = sorted(ids | set(found[a + r] or ()))
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns[:-3], pa.array(words), pa.array(spans, batch.schema.types[-2]), pa.array(found, pa.list_(pa.string()))], batch.schema.names

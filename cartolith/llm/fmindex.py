@@ -87,13 +87,13 @@ class FMIndex:
         sampled = order % every == 0
         self.sampled, self.places = BitRank(sampled), order[sampled]
 
-    def search(self, phrases: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each phrase's range of suffixes. phrases: one a row, its symbols first, then padding."""
-        low, high = np.zeros(len(phrases), np.int64), np.full(len(phrases), self.size, np.int64)
-        for back in range(1, phrases.shape[1] + 1):
+    def search(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each phrase's range of suffixes. A phrase is lengths symbols from starts on."""
+        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), self.size, np.int64)
+        for back in range(1, int(lengths.max(initial=0)) + 1):
             live = np.flatnonzero((lengths >= back) & (low < high))
             if len(live):
-                symbol = phrases[live, lengths[live] - back]
+                symbol = symbols[starts[live] + lengths[live] - back].astype(np.int64)
                 low[live] = self.first[symbol] + self.tree.rank(symbol, low[live])
                 high[live] = self.first[symbol] + self.tree.rank(symbol, high[live])
         return low, high

@@ -66,7 +66,7 @@ def test_fm_index_finds_all_occurrences():
     index = fmindex.FMIndex(text, 3)
     for size in (1, 3, 6):
         phrases = rng.integers(1, 4, (20, 6))
-        low, high = index.search(phrases, np.full(20, size))
+        low, high = index.search(phrases.ravel(), np.arange(20) * 6, np.full(20, size))
         for p, a, b in zip(phrases, low, high, strict=True):
             want = [i for i in range(501 - size) if (text[i : i + size] == p[:size]).all()]
             assert sorted(index.locate(np.arange(a, max(a, b))).tolist()) == want
