@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
@@ -85,11 +86,23 @@ def in_share(key: Column, share: float) -> Column:
 BATCH_ROWS = 2048
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Has the session hand at most BATCH_ROWS rows to Python at once; a smaller setting stays."""
+def small_batches(spark: SparkSession, most_bytes: int | None = None) -> None:
+    """Has the session hand at most BATCH_ROWS rows to Python at once, and most_bytes if given (a larger row goes alone).
+
+    Smaller settings stay.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if most_bytes is not None and not 0 < _bytes(spark.conf.get(key)) <= most_bytes:
+        spark.conf.set(key, f"{most_bytes}b")
+
+
+def _bytes(setting: str) -> int:
+    """The number of bytes of a setting like 64m, 65536k or 67108864."""
+    number, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)(?:i?b)?", setting.strip().lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

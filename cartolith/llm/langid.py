@@ -32,9 +32,9 @@ from cartolith.llm.common import own_name, written
 from cartolith.llm.textblocks import LETTERS, LOWER, column_bytes, hash_words, row_blocks
 
 #: Bytes of text that are worked on together.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 #: Numbers (words x bytes x languages) of a batch of words; so many bytes at most are kept as scores of known words.
-CELLS, CACHE = 1 << 22, 16 << 20
+CELLS, CACHE = 1 << 20, 16 << 20
 #: A batch of fewer words goes word by word, over the edges that there are.
 FEW = 8
 MOST_LANGUAGES = 1000

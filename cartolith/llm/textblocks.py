@@ -1,6 +1,7 @@
 """Words of Arrow string columns, found and hashed with array operations.
 
-A column's UTF-8 bytes are walked in pieces of a few MB, so that memory does not follow a text's length.
+A column's UTF-8 bytes are walked in pieces of STEP bytes, so that memory does not follow a text's length: some 40 times
+as much for a piece, and 16 times for tables that stay with the worker.
 Pieces end at a row's end or at a byte that belongs to no word.
 """
 
@@ -11,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-STEP = 1 << 21
+STEP = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 

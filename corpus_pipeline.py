@@ -18,24 +18,33 @@ from cartolith.llm import bpe, decontam, langid, minhash, pii
 from cartolith.llm.common import drop_written, new_folder, small_batches, table
 
 
+#: Bytes of a batch for Python, at most: all stages run in one session, and a batch stands several times in the memory of
+#: an executor and of its workers, beside what earlier stages have left there.
+BATCH_BYTES = 4 << 20
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    small_batches(spark, BATCH_BYTES)
     return langid.keep_identified(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), docs.select("text", "lang"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark, BATCH_BYTES)
     return minhash.drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark, BATCH_BYTES)
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark, BATCH_BYTES)
     return pii.sanitise(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark, BATCH_BYTES)
     return bpe.digests(docs.select("doc_id", "source", "lang", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
