@@ -12,7 +12,8 @@ own. Decoding concatenates the bytes of ids and reads them as UTF-8, with U+FFFD
 
 Null texts are empty, and an empty text has no ids. Rows that repeat stay; an empty table gives an empty one. Other columns
 are kept where asked for; encode()'s columns get a leading underscore where docs has one of their names. A text is whole in
-one task, its words are taken up in parts of PART.
+one task. Short texts, TAKEN bytes together, are cut into words by conditions on neighbouring characters, and only their distinct
+words are looked up; longer ones are walked through, and taken up in parts of PART words.
 """
 
 from __future__ import annotations
@@ -22,13 +23,13 @@ import hashlib
 import heapq
 import json
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import accumulate, islice
+from itertools import accumulate, chain, islice, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -40,8 +41,8 @@ from cartolith.llm.tokencount import opened
 
 #: Words of a lexicon at most, their bytes, and how often they must occur.
 WORDS, WORD_BYTES, LEAST = 1 << 17, 64, 2
-#: Words that a task takes up at once, and distinct ones that it counts at once.
-PART, HELD = 1 << 18, 1 << 18
+#: Words that a task takes up at once, distinct ones that it counts at once, and bytes of short texts that it cuts at once.
+PART, HELD, TAKEN = 1 << 18, 1 << 18, 1 << 21
 #: Arrays of a lexicon's file, in order: transitions of state s are edges starts[s] to starts[s + 1], by byte.
 ARRAYS = ("starts", "byte", "target", "out_starts", "out", "final", "final_starts", "final_out")
 
@@ -53,6 +54,17 @@ def byte_letters() -> dict[str, int]:
     return {**{chr(b): b for b in plain}, **{chr(256 + i): b for i, b in enumerate(rest)}}
 
 
+def ranges(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The parts of flat that have these beginnings and sizes, one behind the other."""
+    return flat[np.arange(sizes.sum()) + np.repeat(begins - (np.cumsum(sizes) - sizes), sizes)]
+
+
+def lists(counts: np.ndarray, flat: np.ndarray) -> list[list[int]]:
+    """flat in lists of these sizes."""
+    ids, ends = flat.tolist(), np.cumsum(counts).tolist()
+    return [ids[end - n : end] for end, n in zip(ends, counts.tolist(), strict=True)]
+
+
 @dataclass
 class Tokenizer:
     """What a tokenizer's JSON file says: ids of bytes, merges of pairs of ids (rank and result), bytes of ids, special tokens."""
@@ -101,20 +113,21 @@ class Tokenizer:
         at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
         return np.where(keys[at] == key, ranks[at], len(ranks))
 
-    def merged_all(self, words: list[bytes]) -> list[list[int]]:
-        """merged() of many short words: in each round the least pair of each word merges, all words at once."""
-        if not words or not self.merges:
-            return [self.merged(w) for w in words]
+    def merged_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """merged() of many short words: how many ids each has, and all ids in order.
+
+        In each round the least pair of each word merges, all words at once.
+        """
         _, _, results, first = self._tables
         none = len(results)
-        out: list[list[int]] = [[] for _ in words]
+        rows, sizes, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]  # of words that are done
         row = np.arange(len(words))
         size = np.fromiter(map(len, words), np.int64, len(words))
         ids = first[np.frombuffer(b"".join(words), np.uint8)]
         row, size = row[size > 0], size[size > 0]
         last = np.cumsum(size) - 1
         rank = np.full(len(ids), none)  # of each place's id with the next one of its word
-        if len(ids) > 1:
+        if len(ids) > 1 and none:
             rank[:-1] = self._ranks(ids[:-1], ids[1:])
         rank[last] = none
         while len(row):
@@ -123,10 +136,9 @@ class Tokenizer:
             done = least == none
             if done.any():
                 places = np.repeat(done, size)
-                flat, at = ids[places].tolist(), 0
-                for r, n in zip(row[done].tolist(), size[done].tolist(), strict=True):
-                    out[r] = flat[at : at + n]
-                    at += n
+                rows.append(row[done])
+                sizes.append(size[done])
+                found.append(ids[places])
                 ids, rank, row, size, least = ids[~places], rank[~places], row[~done], size[~done], least[~done]
                 if not len(row):
                     break
@@ -146,7 +158,11 @@ class Tokenizer:
             rank[at[inner]] = self._ranks(ids[at[inner]], ids[at[inner] + 1])
             behind = at > end - size + 1
             rank[at[behind] - 1] = self._ranks(ids[at[behind] - 1], ids[at[behind]])
-        return out
+        done, n = np.concatenate(rows), np.concatenate(sizes)
+        order, begins = np.argsort(done), np.cumsum(n) - n
+        counts = np.zeros(len(words), np.int64)
+        counts[done] = n
+        return counts, ranges(np.concatenate(found).astype(np.int32), begins[order], n[order])
 
     def merged(self, word: bytes) -> list[int]:
         """The ids of a word: always the pair of least rank merges, the leftmost of equals."""
@@ -179,6 +195,10 @@ ANY = regex.compile(r" ?\p{L}+|'(?:s|t|re|ve|m|ll|d)| ?\p{N}+| ?[^\s\p{L}\p{N}]+
 ASCII = re.compile(r" ?[A-Za-z]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 
 
+#: Classes of characters: letters, digits and others come before.
+OTHER_WHITE, SPACE, UNKNOWN = 3, 4, 255
+
+
 def _pattern(text: str) -> re.Pattern | regex.Pattern:
     return ASCII if text.isascii() else ANY
 
@@ -193,22 +213,82 @@ class Splitter:
         from tokenizers import pre_tokenizers
 
         self.library = pre_tokenizers.ByteLevel(add_prefix_space=False)
+        self.tokens = list(special)
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
         self.known: set[str] = set(map(chr, range(128)))
         self.stand_ins: dict[int, str] = {}
+        self.classes = np.full(0x110000, UNKNOWN, np.uint8)
+        self.classes[ord(" ")] = SPACE
 
-    def _learn(self, char: str) -> None:
-        def alike(other: str, split) -> list[int]:
-            return [len(x) for x in split(f"a{other}a1{other}1-{other}-{other}")]
+    @staticmethod
+    def _alike(char: str, split) -> list[int]:
+        """How a split takes a character among others: equal for characters of a class."""
+        return [len(x) for x in split(f"a{char}a1{char}1-{char}-{char}")]
 
-        def library(text: str) -> list[str]:
-            return [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
+    def _library(self, text: str) -> list[str]:
+        return [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
 
-        want = alike(char, library)
-        if want != alike(char, ANY.findall):
-            self.stand_ins[ord(char)] = next(c for c in "a1-\t" if alike(c, ANY.findall) == want)
+    def _learn(self, char: str) -> None:
+        want = self._alike(char, self._library)
+        if want != self._alike(char, ANY.findall):
+            self.stand_ins[ord(char)] = next(c for c in "a1-\t" if self._alike(c, ANY.findall) == want)
         self.known.add(char)
 
+    def _classes(self, chars: np.ndarray) -> np.ndarray:
+        """The class of each character, by the library."""
+        found = self.classes[chars]
+        if (found == UNKNOWN).any():
+            for c in np.unique(chars[found == UNKNOWN]).tolist():
+                want = self._alike(chr(c), self._library)
+                self.classes[c] = next(k for k, other in enumerate("a1-\t") if self._alike(other, self._library) == want)
+            found = self.classes[chars]
+        return found
+
+    def plain(self, texts: pa.Array) -> np.ndarray:
+        """Which texts cut() takes: short ones without special tokens."""
+        good = pc.less_equal(pc.utf8_length(texts), PART).to_numpy(zero_copy_only=False)
+        for token in self.tokens:
+            good &= ~pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        return good
+
+    def cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """All words of these plain texts in order, and how many each text has. The pattern of ANY as conditions on neighbours."""
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        data = b"".join(v.as_buffer() for v in texts)
+        if not data:
+            return pa.array([], pa.binary()), np.zeros(len(texts), np.int64)
+        chars = np.frombuffer(data.decode().encode("utf-32-le"), np.uint32)
+        places = np.flatnonzero(np.frombuffer(data, np.uint8) & 0xC0 != 0x80)  # the first byte of each character
+        begins = np.searchsorted(places, (np.cumsum(sizes) - sizes)[sizes > 0])  # the first character of each text
+        of = self._classes(chars)
+        white = of >= OTHER_WHITE
+        start = np.ones(len(chars), bool)
+        start[1:] = of[1:] != of[:-1]
+        start[1:] &= (of[:-1] != SPACE) | white[1:]  # a space goes with what follows
+        start[1:] &= ~(white[1:] & white[:-1])
+        start[begins] = True
+        # the last of a run of white space, if anything else follows in this text, is by itself
+        last = white.copy()
+        last[-1] = False
+        last[:-1] &= ~white[1:]
+        last[begins[1:] - 1] = False
+        start |= last
+        quotes = np.flatnonzero((chars == ord("'")) & start)
+        ends = np.append(begins[1:], len(chars))[np.searchsorted(begins, quotes, side="right") - 1]
+        one, two = (np.where(quotes + k < ends, chars[np.minimum(quotes + k, len(chars) - 1)], 0) for k in (1, 2))
+        n = np.where(np.isin(one, list(map(ord, "stmd"))), 2, 0)
+        for ending in ("re", "ve", "ll"):
+            n[(one == ord(ending[0])) & (two == ord(ending[1]))] = 3
+        quotes, ends, n = quotes[n > 0], ends[n > 0], n[n > 0]
+        start[quotes + 1] = False
+        after = quotes + n
+        start[after[after < ends]] = True
+        at = np.flatnonzero(start)
+        offsets = np.append(places[at], len(data)).astype(np.int32)
+        counts = np.zeros(len(texts), np.int64)
+        counts[sizes > 0] = np.diff(np.append(np.searchsorted(at, begins), len(at)))
+        return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)]), counts
+
     def sections(self, text: str) -> Iterator[tuple[str, bool]]:
         """Parts of a text, and whether each is a special token."""
         at = 0
@@ -242,17 +322,27 @@ class Splitter:
         seen = self._seen(section)
         return (section[m.start() : m.end()] for m in _pattern(seen).finditer(seen))
 
-    def parts(self, text: str) -> Iterator[list[str]]:
-        """The words of a text without special tokens, PART or a short text's at once."""
-        for section, special in self.sections(text):
-            if special:
-                continue
-            if len(section) <= PART:
-                yield self.split(section)
-            else:
-                words = self.walk(section)
-                while part := list(islice(words, PART)):
-                    yield part
+    def bundles(self, texts: Iterable[str]) -> Iterator[list[tuple[int, str, bool]]]:
+        """The sections of texts, with the number of their text and whether they are a special token: some PART characters at once.
+
+        A section that is longer comes alone.
+        """
+        group, size = [], 0
+        for i, text in enumerate(texts):
+            for section, special in self.sections(text):
+                if group and size + len(section) > PART:
+                    yield group
+                    group, size = [], 0
+                group.append((i, section, special))
+                size += len(section)
+        if group:
+            yield group
+
+    def parts(self, section: str) -> Iterator[pa.Array]:
+        """The words of a long section, PART at once."""
+        words = self.walk(section)
+        while part := list(islice(words, PART)):
+            yield pa.array([w.encode() for w in part], pa.binary())
 
 
 @functools.lru_cache(maxsize=4)
@@ -357,6 +447,7 @@ class Transducer:
             setattr(self, name, arrays[name])
         states = np.repeat(np.arange(len(self.starts) - 1, dtype=np.int64), np.diff(self.starts))
         self.keys = states << 8 | self.byte  # edges lie in order of state and byte
+        self.outs = np.concatenate([self.out, self.final_out])
 
     @classmethod
     def mapped(cls, path: str) -> Transducer:
@@ -374,11 +465,16 @@ class Transducer:
 
     def look_up(self, words: list[bytes]) -> list[list[int] | None]:
         """The ids of each word, None for those that the lexicon doesn't hold."""
+        held, counts, flat = self.look_up_all(words)
+        return [ids if h else None for h, ids in zip(held.tolist(), lists(counts, flat), strict=True)]
+
+    def look_up_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether the lexicon holds each word, how many ids the word has (0, if not held), and all ids in order."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        found: list[list[int] | None] = [None] * len(words)
+        is_good = np.zeros(len(words), bool)
         rows = np.flatnonzero((lengths > 0) & (lengths <= WORD_BYTES))
         if not len(rows) or not len(self.keys):
-            return found
+            return is_good, np.zeros(len(words), np.int64), np.empty(0, np.int32)
         data = np.frombuffer(b"".join(words), np.uint8)
         begins = np.cumsum(lengths) - lengths
         state = np.ones(len(rows), np.int64)
@@ -401,38 +497,58 @@ class Transducer:
         begin = np.concatenate([self.out_starts[edge], self.final_starts[state] + len(self.out)]).astype(np.int64)
         end = np.concatenate([self.out_starts[edge + 1], self.final_starts[state + 1] + len(self.out)]).astype(np.int64)
         place = np.concatenate([place, rows])
-        is_good = np.zeros(len(words), bool)
         is_good[rows] = True
         order = np.argsort(place, kind="stable")
         order = order[is_good[place[order]]]
-        begin, end, place = begin[order], end[order], place[order]
-        n = end - begin
-        flat = np.concatenate([self.out, self.final_out])[np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)].tolist()
-        total = np.bincount(place, n, len(words)).astype(np.int64)
-        ends = np.cumsum(total)
-        for r in np.flatnonzero(is_good).tolist():
-            found[r] = flat[ends[r] - total[r] : ends[r]]
-        return found
+        begin, n = begin[order], (end - begin)[order]
+        return is_good, np.bincount(place[order], n, len(words)).astype(np.int64), ranges(self.outs, begin, n)
+
+
+def portions(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in order (null: empty), TAKEN bytes or one text at once."""
+    texts = texts.fill_null("")
+    begin = size = 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if i > begin and size + n > TAKEN:
+            yield texts[begin:i]
+            begin, size = i, 0
+        size += n
+    if begin < len(texts):
+        yield texts[begin:]
+
+
+def word_parts(texts: pa.Array, own: Splitter) -> Iterator[pa.Array]:
+    """The words of a portion of texts, in any order, without special tokens."""
+    plain = own.plain(texts)
+    yield own.cut(texts.filter(pa.array(plain)))[0]
+    for group in own.bundles(t.as_py() for t in texts.filter(pa.array(~plain))):
+        sections = [s for _, s, special in group if not special]
+        if any(len(s) > PART for s in sections):
+            yield from own.parts(*sections)
+        else:
+            yield own.cut(pa.array(sections, pa.string()))[0]
 
 
 def word_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """(word, n) of all words of at most WORD_BYTES bytes, of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, held = splitter(path), Counter()
+        own, held = splitter(path), {}
 
         def out() -> pa.RecordBatch:
-            words = [w.encode() for w in held]
-            small = [(w, n) for w, n in zip(words, held.values(), strict=True) if len(w) <= WORD_BYTES]
+            found = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in small], pa.binary()), pa.array([n for _, n in small], pa.int64())], ["word", "n"])
+            return found
 
-        for batch in batches:
-            for value in batch.column(0):
-                for part in own.parts(value.as_py() or ""):
-                    held.update(part)
-                    if len(held) >= HELD:
-                        yield out()
+        get = held.get
+        for texts in chain.from_iterable(portions(batch.column(0)) for batch in batches):
+            for words in word_parts(texts, own):
+                found = pc.value_counts(words)
+                found = found.filter(pc.less_equal(pc.binary_length(found.field(0)), WORD_BYTES))
+                for w, n in zip(found.field(0).to_pylist(), found.field(1).to_pylist(), strict=True):
+                    held[w] = get(w, 0) + n
+                if len(held) >= HELD:
+                    yield out()
         yield out()
 
     return docs.select(text).mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
@@ -448,7 +564,7 @@ def build(docs: DataFrame, path: str, text: str = "text", words: int = WORDS, le
     frequent = word_counts(docs, path, text).where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(words).select("word")
     own = Tokenizer.read(path)
     found = sorted(frequent.toArrow().column(0).to_pylist())
-    entries = [(w, tuple(ids)) for w, ids in zip(found, own.merged_all(found), strict=True)]
+    entries = [(w, tuple(ids)) for w, ids in zip(found, lists(*own.merged_all(found)), strict=True)]
     return shared(spark, Transducer(compiled(entries)))
 
 
@@ -469,76 +585,95 @@ def _mapped(name: str) -> Transducer:
     return Transducer.mapped(SparkFiles.get(name))
 
 
+class Values:
+    """A value of each id, as bytes."""
+
+    def __init__(self, values: dict[int, bytes]) -> None:
+        self.all = pa.array([values.get(i, b"") for i in range(max(values) + 1)], pa.large_binary())
+
+    def of(self, ids: np.ndarray, counts: np.ndarray) -> Iterator[memoryview]:
+        """The values of the first counts[0] ids put together, those of the next counts[1] and so on."""
+        if not len(ids):
+            return repeat(memoryview(b""), len(counts))
+        _, offsets, data = self.all.take(pa.array(ids)).buffers()
+        data = memoryview(data)
+        ends = np.frombuffer(offsets, np.int64)[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        return (data[a:b] for a, b in pairwise(ends))
+
+
 class Encoder:
     """A task's texts to ids; it keeps the ids of words that it met and that the lexicon holds."""
 
     def __init__(self, path: str, lexicon: Transducer) -> None:
         self.tokenizer, self.lexicon = Tokenizer.read(path), lexicon
         self.splitter = splitter(path)
-        self.names = {i: str(i) for i in self.tokenizer.bytes_of}
-        self.fixed = {(s,): self._entry([i]) for s, i in self.tokenizer.special.items()}
-        self.kept: dict[str | tuple[str], tuple[int, str, bytes]] = dict(self.fixed)
-
-    def _entry(self, ids: list[int]) -> tuple[int, str, bytes]:
-        """Of a word: the number of its ids, the ids in decimal, and their bytes put together from the ids."""
-        raw, names = self.tokenizer.bytes_of, self.names
-        return len(ids), ",".join([names[i] for i in ids]), b"".join([raw[i] for i in ids])
-
-    def _learn(self, words: list[str]) -> dict[str, tuple[int, str, bytes]]:
-        """The entries of distinct words; those that the lexicon holds are kept, as their number has a bound."""
-        raw = [w.encode() for w in words]
-        found = self.lexicon.look_up(raw)
-        held = {w: self._entry(ids) for w, ids in zip(words, found, strict=True) if ids is not None}
-        self.kept |= held
-        unseen = [i for i, ids in enumerate(found) if ids is None]
-        short = [i for i in unseen if len(raw[i]) <= WORD_BYTES]
-        new = {words[i]: self._entry(ids) for i, ids in zip(short, self.tokenizer.merged_all([raw[i] for i in short]), strict=True)}
-        new |= {words[i]: self._entry(self.tokenizer.merged(raw[i])) for i in unseen if len(raw[i]) > WORD_BYTES}
-        return new
-
-    def _words(self, text: str) -> Iterator[str | tuple[str]]:
-        for section, special in self.splitter.sections(text):
-            if special:
-                yield (section,)
-            else:
-                yield from (self.splitter.split if len(section) <= PART else self.splitter.walk)(section)
-
-    def _entries(self, words: list[str | tuple[str]]) -> list[tuple[int, str, bytes]]:
-        new = list(set(words).difference(self.kept))
-        got = self._learn(new) if new else {}
-        self.kept |= got
-        out = list(map(self.kept.__getitem__, words))
-        for w in got:
-            del self.kept[w]
-        return out
+        raw = self.tokenizer.bytes_of
+        self.names, self.raw = Values({i: b"%d," % i for i in raw}), Values(raw)
+        self.special = {s: np.array([i], np.int32) for s, i in self.tokenizer.special.items()}
+        self.kept: dict[bytes, int] = {}
+        self.sizes, self.ids = np.empty(0, np.int64), np.empty(0, np.int32)  # of what is kept, one behind the other
+
+    def _coded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and all ids in order. What the lexicon holds is kept, as its number has a bound."""
+        coded = pc.dictionary_encode(words)
+        distinct, number = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        slot = np.fromiter(map(self.kept.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(slot < 0)
+        raw = [distinct[i] for i in new.tolist()]
+        held, counts, ids = self.lexicon.look_up_all(raw)
+        slot[new[held]] = np.arange(held.sum()) + len(self.kept)
+        self.kept.update(zip([raw[i] for i in np.flatnonzero(held).tolist()], slot[new[held]].tolist(), strict=True))
+        self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, counts[held]])
+        raw = [raw[i] for i in np.flatnonzero(~held).tolist()]
+        new = new[~held]
+        long = np.fromiter(map(len, raw), np.int64, len(raw)) > WORD_BYTES
+        counts, ids = self.tokenizer.merged_all([raw[i] for i in np.flatnonzero(~long).tolist()])
+        ones = [np.array(self.tokenizer.merged(raw[i]), np.int32) for i in np.flatnonzero(long).tolist()]
+        slot[np.concatenate([new[~long], new[long]])] = np.arange(len(new)) + len(self.kept)
+        sizes = np.concatenate([self.sizes, counts, np.array(list(map(len, ones)), np.int64)])
+        begins = (np.cumsum(sizes) - sizes)[slot]
+        sizes = sizes[slot][number]
+        return sizes, ranges(np.concatenate([self.ids, ids, *ones]), begins[number], sizes)
+
+    def _cut(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each of these plain texts."""
+        words, counts = self.splitter.cut(texts)
+        sizes, ids = self._coded(words)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        return [ids[a:b] for a, b in pairwise(ends)]
+
+    def _others(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each of these texts, of any kind."""
+        found: list[list[np.ndarray]] = [[np.empty(0, np.int32)] for _ in texts]
+        for group in self.splitter.bundles(texts):
+            if len(group[0][1]) > PART and not group[0][2]:
+                for words in self.splitter.parts(group[0][1]):
+                    found[group[0][0]].append(self._coded(words)[1])
+                continue
+            short = iter(self._cut(pa.array([s for _, s, special in group if not special], pa.string())))
+            for i, section, special in group:
+                found[i].append(self.special[section] if special else next(short))
+        return list(map(np.concatenate, found))
+
+    def coded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each text of a portion has, and all ids in order."""
+        plain = self.splitter.plain(texts)
+        short = iter(self._cut(texts.filter(pa.array(plain))))
+        others = iter(self._others(texts.filter(pa.array(~plain)).to_pylist()))
+        found = [next(short if good else others) for good in plain.tolist()]
+        return np.array(list(map(len, found)), np.int64), np.concatenate(found)
+
+    def texts(self, texts: pa.Array) -> Iterator[tuple[int, memoryview, memoryview]]:
+        """For each text the number of its ids, the ids in decimal, and their bytes put together from the ids."""
+        for portion in portions(texts):
+            counts, ids = self.coded(portion)
+            names = (v[:-1] for v in self.names.of(ids, counts))
+            yield from zip(counts.tolist(), names, self.raw.of(ids, counts), strict=True)
 
     def entries(self, texts: Iterable[str]) -> Iterator[list[tuple[int, str, bytes]]]:
-        """For each text the entries of its words in order. Short texts share look-ups, long ones take several."""
-        group: list[list[str | tuple[str]]] = []
-        size = 0
-
-        def out() -> Iterator[list[tuple[int, str, bytes]]]:
-            all_, at = self._entries([w for words in group for w in words]), 0
-            for words in group:
-                yield all_[at : at + len(words)]
-                at += len(words)
-            group.clear()
-
+        """texts() of one text after the other, as values in a list, which is empty for a text without ids."""
         for text in texts:
-            if len(text) > PART:
-                yield from out()
-                size, words, mine = 0, self._words(text), []
-                while part := list(islice(words, PART)):
-                    mine += self._entries(part)
-                yield mine
-                continue
-            sections = list(self.splitter.sections(text))
-            group.append(self.splitter.split(text) if sections == [(text, False)] else list(self._words(text)))
-            size += len(text)
-            if size > PART:
-                yield from out()
-                size = 0
-        yield from out()
+            yield [(n, str(names, "ascii"), bytes(raw)) for n, names, raw in self.texts(pa.array([text], pa.string())) if n]
 
 
 def _column_of(docs: DataFrame, text: str) -> tuple[DataFrame, int]:
@@ -552,9 +687,12 @@ def encode(docs: DataFrame, path: str, lexicon: str, text: str = "text", ids: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, _mapped(lexicon))
         for batch in batches:
-            for i, mine in enumerate(encoder.entries(value.as_py() or "" for value in batch.column(at))):
-                found = np.array([int(x) for e in mine for x in e[1].split(",")], np.int32)
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, pa.array([found], pa.list_(pa.int32()))], [*batch.schema.names, "x_ids"])
+            at_row = 0
+            for texts in portions(batch.column(at)):
+                counts, found = encoder.coded(texts)
+                for mine in np.split(found, np.cumsum(counts)[:-1]):
+                    yield pa.RecordBatch.from_arrays([*batch.slice(at_row, 1).columns, pa.array([mine], pa.list_(pa.int32()))], [*batch.schema.names, "x_ids"])
+                    at_row += 1
 
     made = T.StructField("x_ids", T.ArrayType(T.IntegerType()))
     return inner.mapInArrow(run, T.StructType([*inner.schema.fields, made])).toDF(*docs.columns, own_name(docs.columns, ids))
@@ -584,11 +722,10 @@ def digests(docs: DataFrame, path: str, lexicon: str, text: str = "text", keep:
         encoder = Encoder(path, _mapped(lexicon))
         for batch in batches:
             sizes, names, texts = [], [], []
-            for mine in encoder.entries(value.as_py() or "" for value in batch.column(len(keep))):
-                n, ids, raw = zip(*mine, strict=True) if mine else ((), (), ())
-                sizes.append(sum(n))
-                names.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
-                texts.append(hashlib.sha256(b"".join(raw).decode("utf-8", "replace").encode()).hexdigest())
+            for n, ids, raw in encoder.texts(batch.column(len(keep))):
+                sizes.append(n)
+                names.append(hashlib.sha256(ids).hexdigest())
+                texts.append(hashlib.sha256(str(raw, "utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes, pa.int64()), pa.array(names, pa.string()), pa.array(texts, pa.string())], [*batch.schema.names[:-1], *made])
 
     made = ["x_n", "x_ids", "x_decoded"]

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -208,6 +209,39 @@ def test_splits_as_the_library_does():
         assert own.split(text) == want and list(own.walk(text)) == want
 
 
+def test_arrays_cut_as_the_library_does():
+    own, rng = lexicon.Splitter({}), random.Random(9)
+    chars = "aZéß中10²५ \t\n\x0b\x1c\x85\xa0\u180e\u2003\u3000.,_-'‘՘₏😀𝟘\u0301\U0003fc3f"
+    texts = ["".join(rng.choice(rng.choice((chars, "a '", "  \n\t", "'sdtmrevl"))) for _ in range(rng.randrange(12))) for _ in range(4000)]
+    texts += [f"{a}{b}{a}x {b}" for a in map(chr, range(128)) for b in map(chr, range(128))] + ["", " ", "'", "'r", "'l", "s", "", "\n \n"]
+    words, counts = own.cut(pa.array(texts))
+    found, at = [w.decode() for w in words.to_pylist()], 0
+    for text, n in zip(texts, counts.tolist(), strict=True):
+        assert found[at : at + n] == [text[i:j] for _, (i, j) in own.library.pre_tokenize_str(text)]
+        at += n
+    assert at == len(found)
+    none, counts = own.cut(pa.array(["", ""]))
+    assert len(none) == 0 and counts.tolist() == [0, 0]
+
+
+def test_short_texts_are_cut_together(library, monkeypatch):
+    """A pattern that goes through each text and an entry for each word took most of a task's time."""
+    rng = random.Random(10)
+    texts = [" ".join(rng.choice(["the", "étude", "x9's,", "\n\n", "z" * 90, str(k)]) for _ in range(rng.randrange(40))) for k in range(300)]
+    enc, calls, split = encoder([b" the"]), [], lexicon.Splitter.split
+    monkeypatch.setattr(lexicon.Splitter, "split", lambda own, section: calls.append(section) or split(own, section))
+    monkeypatch.setattr(lexicon, "TAKEN", 5000)
+    odd = [*texts, None, "a<|endoftext|>b<|endoftext|>", *texts[:9]]
+    got = list(enc.texts(pa.array(odd)))
+    for text, (n, ids, raw) in zip(odd, got, strict=True):
+        want = library.encode(text or "", add_special_tokens=False).ids
+        assert (n, str(ids, "ascii"), bytes(raw)) == (len(want), ",".join(map(str, want)), (text or "").encode())
+    own = lexicon.splitter(LIBRARY)
+    counts = Counter(w for portion in lexicon.portions(pa.array(odd)) for words in lexicon.word_parts(portion, own) for w in words.to_pylist())
+    assert calls == []
+    assert counts == Counter(w.encode() for text in odd for section, special in own.sections(text or "") if not special for w in own.split(section))
+
+
 def test_random_texts_encode_as_the_library_does(library):
     rng = random.Random(6)
     enc = encoder([b" the", b"the", b" walking", b" talking", b"ing", b" a", b"\xc3\xa9t\xc3\xa9", b"aaaa"])
