@@ -5,7 +5,8 @@ ranges of the files are dealt over the cluster, wherever documents begin or end.
 separators with one array comparison, which tells the lengths of the documents within it, and is summed up as the
 numbers of separators and the place of the last one. A prefix scan over a file's ranges (running sums of separators, and
 the running place of the last one), by groups of ranges and then over groups, gives each range's first document the tokens
-that it has in earlier ranges. Tokens behind a file's last separator are a document that hasn't ended.
+that it has in earlier ranges. Joins are merges, by hint: a table of packed doc_ids or lengths is a hundredth of its rows' size, from
+which Spark would conclude that the driver can broadcast it. Tokens behind a file's last separator are a document that hasn't ended.
 
 Files are read and written through Arrow's file systems, in the shared folder or wherever a URI leads. A writer's attempt
 has files of its own, and those that count are named in a table that Spark commits; what a lost executor left is never
@@ -126,10 +127,10 @@ def scan(rows: DataFrame, eod: int, width: int, range_tokens: int = RANGE_TOKENS
     groups = narrow.groupBy("file", "g").agg(F.sum("ends").alias("ends"), F.max("last").alias("last"))
     across = Window.partitionBy("file").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)  # a row a group
     groups = groups.select("file", "g", F.coalesce(F.sum("ends").over(across), F.lit(0)).alias("g_ends"), F.max("last").over(across).alias("g_last"))
-    placed = narrow.withColumns({"b_ends": F.coalesce(F.sum("ends").over(inside), F.lit(0)), "b_last": F.max("last").over(inside)}).join(groups, ["file", "g"])
+    placed = narrow.withColumns({"b_ends": F.coalesce(F.sum("ends").over(inside), F.lit(0)), "b_last": F.max("last").over(inside)}).join(groups.hint("merge"), ["file", "g"])
     carried = F.col("block") * range_tokens - F.coalesce("b_last", "g_last", F.lit(-1)) - 1
     placed = placed.where("ends > 0").select("file", "block", (F.col("g_ends") + F.col("b_ends")).alias("ordinal"), carried.alias("carried"))
-    each = found.select("file", "block", F.posexplode("lengths").alias("i", "length")).join(placed, ["file", "block"])
+    each = found.select("file", "block", F.posexplode("lengths").alias("i", "length")).hint("merge").join(placed, ["file", "block"])
     ended = each.select("file", (F.col("ordinal") + F.col("i")).alias("ordinal"), (F.col("length") + F.when(F.col("i") == 0, F.col("carried")).otherwise(0)).alias("n_tokens"), F.lit(True).alias("ended"))
     whole = narrow.groupBy("file").agg(F.sum("n").alias("size"), F.coalesce(F.max("last") + 1, F.lit(0)).alias("open"), F.sum("ends").alias("ordinal"))
     rest = whole.where("size > open").select("file", "ordinal", (F.col("size") - F.col("open")).alias("n_tokens"), F.lit(False).alias("ended"))
@@ -147,4 +148,4 @@ def report(docs: DataFrame, ranks_path: str, pattern: str, eod: int) -> DataFram
     spark = docs.sparkSession
     folder = write(docs, ranks_path, pattern, eod)
     counted = scan(files(spark, folder), eod, width_of(ranks_path, eod))
-    return counted.join(names(spark, folder), ["file", "ordinal"]).select("doc_id", "n_tokens")
+    return counted.join(names(spark, folder).hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens")
