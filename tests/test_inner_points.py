@@ -36,3 +36,15 @@ def test_shapes_of_one_partition_are_dealt(spark):
     found = shapes.inner_points(made, 0.01)
     assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 1
     assert {r.id: r.clearance for r in found.collect()} == {i: min(i + 4, 6) / 2 for i in range(60)}
+
+
+def test_largest_of_very_many_polygons(spark):
+    small = F.transform(F.sequence(F.lit(0), F.lit(150_000)), lambda i: F.array(F.transform(F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0)))), lambda p: g.point(p["x"] + 2 * i, p["y"]))))
+    large, hole = (F.array(*(g.point(F.lit(float(x)), F.lit(float(y))) for x, y in line)) for line in (box(0, 10, 9, 19).tolist(), box(1, 11, 8, 18).tolist()))
+    shape = F.concat(small, F.array(F.array(large, hole)), small)
+    one = spark.range(1).select("id", shape.alias("shape"))
+    one.write.mode("overwrite").format("noop").save()
+    began = time.time()
+    row = shapes.inner_points(one, 0.01).first()
+    took = time.time() - began
+    assert took < 10 and abs(row.clearance - 0.5857) < 0.02 and (row.y < 11 or row.y > 18)
