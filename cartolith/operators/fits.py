@@ -3,7 +3,7 @@
 Small images are correlated as wholes, scales dealt over the cluster. Large ones are never put together: both sets become
 packed tiles. For each scale, numbers of cells in blocks of C x C give a bound of what any shift within a window of C x C
 can cover; a block of the moved set can at most cover the cells of the four blocks that it may touch. Windows are then
-taken by falling bound, a few at a time: tiles of the moved set meet the tiles below them, each pair is correlated over
+taken by falling bound, one at first and then more at a time: tiles of the moved set meet the tiles below them, each pair is correlated over
 the window's shifts, and the pairs' images are added up. It ends when no window left has a bound as good as the best
 that was found, so the result is that of trying all shifts.
 """
@@ -23,6 +23,8 @@ from cartolith.session import written
 
 #: Cells of the boxes that are fitted as whole images, blocks of a coarse image, side of a moved tile, windows that are looked at together.
 WHOLE, COARSE, SIDE, TOGETHER = 1 << 20, 1 << 12, 512, 64
+#: Shifts up to which a window is counted shift by shift, not in frequency space.
+FEW_SHIFTS = 16
 #: Scales whose blocks are counted together.
 SCALES = 64
 
@@ -147,9 +149,14 @@ def _windows(blocks: DataFrame, a: Box, b: Box, coarse: np.ndarray, low: float,
     return blocks.groupBy("id").applyInArrow(run, "id long, wy long, wx long, bound double")
 
 
-def _covered(windows: list, moved: DataFrame, fixed: DataFrame, a: Box, side: int, low: float, step: float, block: int) -> dict[int, np.ndarray]:
-    """For each window its image of covered cells by shift, added up over pairs of a moved tile and a tile below it."""
-    sent = moved.sparkSession.sparkContext.broadcast([(w.id, w.wy, w.wx) for w in windows])
+def _covered(windows: list, moved: DataFrame, fixed: DataFrame, a: Box, b: Box, side: int, low: float, step: float, block: int) -> dict[int, np.ndarray]:
+    """For each window its image of covered cells by shift, added up over pairs of a moved tile and a tile below it.
+
+    Only shifts that leave the moved set within the other one's box are in it.
+    """
+    room = {i: (b.height - len(sources(a.height, low + i * step)), b.width - len(sources(a.width, low + i * step))) for i in {w.id for w in windows}}
+    shifts = [tuple(min(block, r - w * block + 1) for r, w in zip(room[w.id], (w.wy, w.wx), strict=True)) for w in windows]
+    sent = moved.sparkSession.sparkContext.broadcast([(w.id, w.wy, w.wx, *h) for w, h in zip(windows, shifts, strict=True)])
 
     def spans(ty: int, tx: int, i: int) -> tuple[np.ndarray, np.ndarray, tuple[int, int], tuple[int, int]]:
         at_y, at_x = sources(a.height, low + i * step), sources(a.width, low + i * step)
@@ -159,11 +166,11 @@ def _covered(windows: list, moved: DataFrame, fixed: DataFrame, a: Box, side: in
         for frame in frames:
             for ty, tx, bits in frame.itertuples(index=False):
                 rows = []
-                for w, (i, wy, wx) in enumerate(sent.value):
+                for w, (i, wy, wx, hy, hx) in enumerate(sent.value):
                     _, _, (y0, y1), (x0, x1) = spans(ty, tx, i)
                     if y0 < y1 and x0 < x1:
-                        ys = range((y0 + wy * block) // SIDE, (y1 + wy * block + block - 2) // SIDE + 1)
-                        xs = range((x0 + wx * block) // SIDE, (x1 + wx * block + block - 2) // SIDE + 1)
+                        ys = range((y0 + wy * block) // SIDE, (y1 + wy * block + hy - 2) // SIDE + 1)
+                        xs = range((x0 + wx * block) // SIDE, (x1 + wx * block + hx - 2) // SIDE + 1)
                         rows += [(w, ty, tx, bits, y, x) for y in ys for x in xs]
                 yield pd.DataFrame(rows, columns=["w", "ay", "ax", "own", "ty", "tx"])
 
@@ -171,20 +178,25 @@ def _covered(windows: list, moved: DataFrame, fixed: DataFrame, a: Box, side: in
         total: dict[int, np.ndarray] = {}
         for frame in frames:
             for w, ay, ax, own, ty, tx, bits in frame[["w", "ay", "ax", "own", "ty", "tx", "bits"]].itertuples(index=False):
-                i, wy, wx = sent.value[w]
+                i, wy, wx, hy, hx = sent.value[w]
                 at_y, at_x, (y0, y1), (x0, x1) = spans(ay, ax, i)
-                part = _tile(own, side)[np.ix_(at_y[y0:y1] - ay * side, at_x[x0:x1] - ax * side)].astype(float)
-                size = (y1 - y0 + block - 1, x1 - x0 + block - 1)
+                part = _tile(own, side)[np.ix_(at_y[y0:y1] - ay * side, at_x[x0:x1] - ax * side)]
+                size = (y1 - y0 + hy - 1, x1 - x0 + hx - 1)
                 ground, top, left = np.zeros(size), y0 + wy * block - ty * SIDE, x0 + wx * block - tx * SIDE
                 there = _tile(bits, SIDE)[max(0, top) : top + size[0], max(0, left) : left + size[1]]
                 ground[max(0, -top) : max(0, -top) + there.shape[0], max(0, -left) : max(0, -left) + there.shape[1]] = there
-                full = (size[0] + y1 - y0 - 1, size[1] + x1 - x0 - 1)
-                found = np.fft.irfft2(np.fft.rfft2(ground, full) * np.fft.rfft2(part[::-1, ::-1], full), full)
-                found = np.rint(found[y1 - y0 - 1 : size[0], x1 - x0 - 1 : size[1]]).astype(np.int64)
+                if hy * hx <= FEW_SHIFTS:
+                    found = np.array([[np.count_nonzero(ground[j : j + y1 - y0, k : k + x1 - x0] * part) for k in range(hx)] for j in range(hy)], np.int64)
+                else:
+                    full = (size[0] + y1 - y0 - 1, size[1] + x1 - x0 - 1)
+                    found = np.fft.irfft2(np.fft.rfft2(ground, full) * np.fft.rfft2(part[::-1, ::-1].astype(float), full), full)
+                    found = np.rint(found[y1 - y0 - 1 : size[0], x1 - x0 - 1 : size[1]]).astype(np.int64)
                 total[w] = total[w] + found if w in total else found
         yield pd.DataFrame([(w, image.ravel()) for w, image in total.items()], columns=["w", "image"])
 
     pairs = moved.mapInPandas(below, "w int, ay long, ax long, own binary, ty long, tx long").join(fixed, ["ty", "tx"])
+    # packed pairs are small and their work isn't, so their number of tasks doesn't follow their bytes
+    pairs = pairs.repartition(int(moved.sparkSession.conf.get("spark.sql.shuffle.partitions")), "w", "ay", "ax", "ty", "tx")
     images: dict[int, np.ndarray] = {}
 
     def merge(group: pa.Table) -> pa.Table:
@@ -192,7 +204,7 @@ def _covered(windows: list, moved: DataFrame, fixed: DataFrame, a: Box, side: in
         return pa.table([group.column("w").slice(0, 1), pa.array([whole], pa.list_(pa.int64()))], ["w", "image"])
 
     for r in pairs.mapInPandas(add, "w int, image array<long>").groupBy("w").applyInArrow(merge, "w int, image array<long>").collect():  # TOGETHER windows
-        images[r.w] = np.array(r.image).reshape(block, block)
+        images[r.w] = np.array(r.image).reshape(shifts[r.w])
     return images
 
 
@@ -231,18 +243,17 @@ def best_fit(local: DataFrame, target: DataFrame, low: float, high: float, step:
     sizes = {r.id: r.n for r in blocks.groupBy("id").agg(F.sum("n").alias("n")).collect()}  # a row a scale
     windows = written(_windows(blocks, a, b, coarse, low, step, block), "windows")
     best: tuple | None = None
-    left = windows
+    left, together = windows, 1
     while True:
         if best is not None:
             left = left.where(F.col("bound") >= best[0])
-        some = left.orderBy(F.desc("bound"), "id", "wy", "wx").limit(TOGETHER).collect()
+        some = left.orderBy(F.desc("bound"), "id", "wy", "wx").limit(together).collect()
         if not some:
             break
-        images = _covered(some, moved, fixed, a, side, low, step, block)
+        images = _covered(some, moved, fixed, a, b, side, low, step, block)
+        together = min(TOGETHER, together * 2)
         for w, (i, wy, wx, _) in enumerate(some):
-            cover = images.get(w, np.zeros((block, block), np.int64))
-            height, width = (len(sources(n, low + i * step)) for n in (a.height, a.width))
-            cover = cover[: b.height - height - wy * block + 1, : b.width - width - wx * block + 1]
+            cover = images.get(w, np.zeros((1, 1), np.int64))
             y, x = np.unravel_index(int(cover.argmax()), cover.shape)
             iou = float(cover[y, x] / max(1.0, sizes[i] + b.count - cover[y, x]))
             fit = (iou, -i, -(int(y) + wy * block), -(int(x) + wx * block))
