@@ -27,6 +27,12 @@ def test_placed_regions_and_boxes_are_not_broadcast(spark):
     assert "Broadcast" not in plan(box.join(written(box, "box"), ["x", "y"], "left_anti"))
 
 
+def test_photo_regions_are_not_broadcast(spark):
+    cells = spark.range(6000).select(F.lit("p").alias("owner"), (F.col("id") % 60).cast("int").alias("x"), F.floor(F.col("id") / 60).cast("int").alias("y"))
+    found = extraction.photo_regions(cells.withColumn("value", F.when((F.col("x") % 20 == 10) | (F.col("y") % 15 == 7), -1).otherwise(0)), 5)
+    assert "Broadcast" not in plan(found) and found.count() == 6000 and found.select("label").distinct().count() == 4 * 8
+
+
 def test_a_fit_that_bounds_tell_looks_at_one_window(spark, monkeypatch):
     for name, value in (("WHOLE", 10), ("COARSE", 60)):
         monkeypatch.setattr(fits, name, value)
