@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from cartolith.catalog import fixtures as fx
 from cartolith.catalog import query
-from cartolith.functions import geometry as g
 from cartolith.operators import topology
 from cartolith.plans import extraction
 from cartolith.session import new_folder, table
@@ -27,8 +26,8 @@ def border_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {fx.GRID} SELECT label, count(*)::DOUBLE AS area FROM grid WHERE land GROUP BY label""")
 def contour_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outlines one by one; without a tolerance they hold the cells' areas."""
-    made = topology.contours(fx.grid(spark, sf_dir).where("land").select("x", "y", "label"), 0.0, 0.5)
-    return made.select("label", g.area(F.col("shape")).alias("area"))
+    made = topology.contour_rings(fx.grid(spark, sf_dir).where("land").select("x", "y", "label"), 0.0, 0.5)
+    return topology.ring_areas(made)
 
 
 @query(f"""WITH {fx.GRID}, {fx.OWNED}, {fx.MASK}, o AS (SELECT owner, x, y FROM owned UNION SELECT 'neighbour', x, y FROM owned WHERE x % 30 < 4), a AS (SELECT DISTINCT x, y FROM o)
